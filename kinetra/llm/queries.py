@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.llm import bpe_tree, rule_ledger, token_counts, url_filter, vector_packing
+from kinetra.llm import bpe_tree, rule_ledger, substring_dedup, token_counts, url_filter, vector_packing
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -34,6 +34,11 @@ def _literal(spark: SparkSession, rows: list[tuple[str, ...]], names: str) -> Da
     return spark.sql(f"select * from values {values} as t({names})")
 
 
+def op1_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = substring_dedup.dedup(_table(spark, sf_dir, "documents", "doc_id", "text"), window=13)
+    return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(_table(spark, sf_dir, "documents", "doc_id", "text"), TOKENIZER)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
@@ -70,6 +75,7 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_rlz": op1_substring_rlz,
     "op3_token_counts": op3_token_counts,
     "op4_url_filter": op4_url_filter,
     "op6_rule_ledger": op6_rule_ledger,
