@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.llm import bpe_tree, rule_ledger, substring_dedup, token_counts, url_filter, vector_packing
+from kinetra.llm import ann_mih, bpe_tree, lang_id, rule_ledger, substring_dedup, token_counts, url_filter, vector_packing
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -39,6 +39,11 @@ def op1_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_ann_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return ann_mih.search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(_table(spark, sf_dir, "documents", "doc_id", "text"), TOKENIZER)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
@@ -63,6 +68,13 @@ def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = lang_id.train(docs.where(~lang_id.held_out(F.col("doc_id"))))
+    named = lang_id.with_language(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", lang_id.held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score", "language.accepted")
+
+
 def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_tree.encode_decode(_table(spark, sf_dir, "documents", "doc_id", "text"), TOKENIZER)
     n = (F.octet_length("ids") / 4).cast("long")
@@ -76,9 +88,11 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_rlz": op1_substring_rlz,
+    "op2_ann_mih": op2_ann_mih,
     "op3_token_counts": op3_token_counts,
     "op4_url_filter": op4_url_filter,
     "op6_rule_ledger": op6_rule_ledger,
+    "op7_lang_id": op7_lang_id,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_vector_packing": op10_vector_packing,
 }
