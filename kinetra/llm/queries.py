@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.llm import ann_mih, bpe_tree, lang_id, rule_ledger, substring_dedup, token_counts, url_filter, vector_packing
+from kinetra.llm import ann_mih, bpe_tree, jaccard_join, lang_id, rule_ledger, substring_dedup, token_counts, url_filter, vector_packing
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -75,6 +75,10 @@ def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", lang_id.held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score", "language.accepted")
 
 
+def op8_jaccard_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(_table(spark, sf_dir, "documents", "doc_id", "text"), size=4, percent=85)
+
+
 def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_tree.encode_decode(_table(spark, sf_dir, "documents", "doc_id", "text"), TOKENIZER)
     n = (F.octet_length("ids") / 4).cast("long")
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op6_rule_ledger": op6_rule_ledger,
     "op7_lang_id": op7_lang_id,
+    "op8_jaccard_vertical": op8_jaccard_vertical,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_vector_packing": op10_vector_packing,
 }
