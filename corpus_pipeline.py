@@ -1,28 +1,72 @@
-"""The corpus pipeline: quality rules, language, near duplicates, repeated passages, packing."""
+"""The corpus pipeline: quality rules, language, near duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps with the columns of ``documents``; the last
+returns the packed pieces. ``STAGES`` may be run with a written table between two stages, or in one go by ``run``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.llm import rule_ledger
+from kinetra.llm import jaccard_join, lang_id, rule_ledger, substring_dedup, vector_packing
+from kinetra.llm.shared import written
 
-STAGES = []
-ORACLE_SQL = None
+#: Near duplicates share four fifths of their five-word shingles; a passage of 50 words is a repeated one.
+SHINGLE, PERCENT, PASSAGE = 5, 80, 50
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that pass the policy ``corpus-1``."""
-    ledger = rule_ledger.with_ledger(docs, out="_ledger")
+    """Keeps documents that pass the policy ``corpus-1``; short documents are not rejected as such."""
+    ledger = rule_ledger.with_ledger(docs.select(*COLUMNS), out="_ledger")
     return ledger.where(rule_ledger.passes("corpus-1", F.col("_ledger.bits"))).drop("_ledger")
 
 
-STAGES.append(("quality_rules", quality_rules))
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is recognised, by a model learned from a sample of the labelled ones."""
+    named = lang_id.with_language(docs.select(*COLUMNS), lang_id.train(docs), out="_language")
+    return named.where("_language.accepted").drop("_language")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each class of near duplicates."""
+    found = jaccard_join.classes(docs, SHINGLE, PERCENT)
+    copies = written(found.where("component_id != doc_id").select("doc_id").distinct())
+    copies = F.broadcast(copies) if copies.count() <= jaccard_join.BROADCAST_IDS else copies
+    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes out passages that an earlier document holds; documents without any stay as they are."""
+    parsed = substring_dedup.dedup(docs, PASSAGE, carry=["lang", "source", "n_chars"], as_is=True)
+    length = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("carried.n_chars"))
+    return parsed.select("doc_id", F.col("kept_text").alias("text"), "carried.lang", "carried.source", length.alias("n_chars"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' tokens into sequences of at most 2048."""
+    return vector_packing.pack(docs, TOKENIZER)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("packing", packing),
+]
+
+#: The stages' models and closures are beyond SQL; tests hold them against brute force.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over ``documents``."""
+    """The stages in order over ``documents``, with lineage cut between them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        docs = docs if k == len(STAGES) - 1 else written(docs)
     return docs

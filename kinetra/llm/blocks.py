@@ -29,8 +29,8 @@ def block_count(docs: DataFrame, text: str = "text") -> int:
 
 
 def in_blocks(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, text) with a block number."""
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int").alias("block"))
+    """The rows (doc_id, text and others) with a block number."""
+    return docs.select("*", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int").alias("block"))
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -19,84 +20,87 @@ from pyspark.sql import functions as F
 HEAD = 1 << 19
 #: Distinct terms a task counts before it hands its counts on.
 FLUSH = 1 << 19
+#: Documents whose rows are handed back at once.
+ROWS = 256
 
 Splitter = Callable[[object], list]
 
 
-def term_counts(docs: DataFrame, split: Splitter, term_type: str = "string") -> DataFrame:
-    """(term, n): occurrences over all rows of the columns (text, weight); tasks count before they shuffle."""
+def term_counts(docs: DataFrame, split: Splitter, term_type: str = "string", classes: int = 1) -> DataFrame:
+    """(term, n, n0, n1, ...): occurrences over all rows of the columns (text, label), in all and by label.
+
+    Terms of rows with a negative label are listed, too, but not counted. Tasks count before they shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: dict[int, Counter] = {}
         kind = pa.binary() if term_type == "binary" else pa.string()
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), kind), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for label, mine in counts.items():
+                n = np.fromiter(mine.values(), np.int64, len(mine)) if label >= 0 else np.zeros(len(mine), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(list(mine), kind), pa.array([label] * len(mine), pa.int32()), pa.array(n)], ["term", "label", "n"])
+            counts.clear()
 
         for batch in batches:
-            for text, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if weight:
-                    counts.update(split(text))
-                else:
-                    for term in split(text):
-                        counts.setdefault(term, 0)
-                if len(counts) > FLUSH:
-                    yield out()
-                    counts = Counter()
-        if counts:
-            yield out()
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                counts.setdefault(label, Counter()).update(split(text.as_py()))
+                if sum(map(len, counts.values())) > FLUSH:
+                    yield from out()
+        yield from out()
 
-    return docs.mapInArrow(run, f"term {term_type}, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = docs.mapInArrow(run, f"term {term_type}, label int, n long")
+    by_class = [F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(classes)]
+    return found.groupBy("term").agg(F.sum("n").alias("n"), *by_class)
 
 
 def sums(docs: DataFrame, table: DataFrame, split: Splitter, values: list[str], keys: list[str], term_type: str = "string", head: int = HEAD) -> DataFrame:
-    """Per row of ``docs`` (columns: keys, then text): keys, n_terms and the sum of each value over its terms.
+    """Per row of ``docs`` (columns: keys, then text): keys, n_terms and the sum of each value (a double) over its terms.
 
-    ``table`` has term, n and the values (as doubles or longs; a term that it lacks adds nothing). It is read twice,
-    so give one that is written or checkpointed.
+    ``table`` has term, n and the values (a term that it lacks adds nothing). It is read twice, so give one that is
+    written or checkpointed.
     """
-    spark = docs.sparkSession
-    top = table.orderBy(F.desc("n"), "term").limit(head).select("term", *values).toArrow()
-    known = spark.sparkContext.broadcast({t: v for t, *v in zip(*[top.column(c).to_pylist() for c in ("term", *values)], strict=True)})
-    wide = [f.dataType.simpleString() for f in table.select(*values).schema]
-    schema = ", ".join([f"uid long, {', '.join(f'`{c}` {docs.schema[c].dataType.simpleString()}' for c in keys)}, n_terms long, term {term_type}, freq long", *[f"h_{k} {w}" for k, w in enumerate(wide)]])
+    top = table.orderBy(F.desc("n"), "term").limit(head).select("term", *[F.col(v).cast("double") for v in values]).toArrow()
+    place = {t: k for k, t in enumerate(top.column("term").to_pylist())}
+    matrix = np.stack([top.column(v).to_numpy() for v in values], axis=1) if place else np.zeros((0, len(values)))
+    known = docs.sparkSession.sparkContext.broadcast((place, matrix))
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys)
+    own = [f"h{j}" for j in range(len(values))]
+    schema = f"uid long, {kinds}, n_terms long, term {term_type}, freq long, {', '.join(f'{c} double' for c in own)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, uid = known.value, TaskContext.get().partitionId() << 33
+        place, matrix = known.value
+        uid = TaskContext.get().partitionId() << 33
         kind = pa.binary() if term_type == "binary" else pa.string()
-        numbers = [pa.float64() if w == "double" else pa.int64() for w in wide]
-        zero = [0.0 if w == "double" else 0 for w in wide]
         for batch in batches:
             texts = batch.column(len(keys))
-            for at in range(0, batch.num_rows, 256):
-                part = texts.slice(at, 256).to_pylist()
-                docs_n, totals, tail = [], [list(zero) for _ in part], []
-                for k, text in enumerate(part):
-                    terms = Counter(split(text))
-                    docs_n.append(sum(terms.values()))
-                    mine = totals[k]
-                    for term, freq in terms.items():
-                        got = lookup.get(term)
-                        if got is None:
-                            tail.append((uid + k, term, freq))
-                        else:
-                            for j, v in enumerate(got):
-                                mine[j] += freq * v
-                n, m = len(part), len(tail)
-                own = [batch.column(j).slice(at, n) for j in range(len(keys))]
-                pad = [pa.concat_arrays([c, pa.nulls(m, c.type)]) for c in own]
+            for at in range(0, batch.num_rows, ROWS):
+                n_terms, totals, tail = [], [], []
+                for k, text in enumerate(texts.slice(at, ROWS)):
+                    terms = Counter(split(text.as_py()))
+                    found = [place.get(t, -1) for t in terms]
+                    freq, spot = np.fromiter(terms.values(), np.int64, len(terms)), np.array(found, np.int64)
+                    n_terms.append(int(freq.sum()))
+                    totals.append(freq[spot >= 0] @ matrix[spot[spot >= 0]])
+                    if -1 in found:
+                        tail += [(uid + k, t, f) for (t, f), s in zip(terms.items(), found, strict=True) if s < 0]
+                n, m = len(n_terms), len(tail)
+                padded = [pa.concat_arrays([c, pa.nulls(m, c.type)]) for c in (batch.column(j).slice(at, n) for j in range(len(keys)))]
                 # A document's own row takes part in the join under a name that no term has, so that none of them meet.
                 names = [f"\x00 {uid + k} \x00" for k in range(n)]
                 names = [x.encode() for x in names] if kind == pa.binary() else names
+                total = np.stack(totals)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([*range(uid, uid + n), *(t[0] for t in tail)], pa.int64()), *pad, pa.array(docs_n + [None] * m, pa.int64()),
-                     pa.array([*names, *(t[1] for t in tail)], kind), pa.array([0] * n + [t[2] for t in tail], pa.int64()),
-                     *[pa.array([t[j] for t in totals] + [None] * m, numbers[j]) for j in range(len(wide))]],
-                    ["uid", *keys, "n_terms", "term", "freq", *[f"h_{j}" for j in range(len(wide))]],
+                    [
+                        pa.array([*range(uid, uid + n), *(t[0] for t in tail)], pa.int64()), *padded, pa.array(n_terms + [None] * m, pa.int64()),
+                        pa.array([*names, *(t[1] for t in tail)], kind), pa.array([0] * n + [t[2] for t in tail], pa.int64()),
+                        *[pa.concat_arrays([pa.array(total[:, j]), pa.nulls(m, pa.float64())]) for j in range(len(values))],
+                    ],
+                    ["uid", *keys, "n_terms", "term", "freq", *own],
                 )
                 uid += n
 
     rows = docs.select(*keys, "text").mapInArrow(run, schema)
-    met = rows.join(table.select("term", *[F.col(v).alias(f"t_{k}") for k, v in enumerate(values)]), "term", "left")
-    total = [F.sum(F.coalesce(F.col(f"h_{k}"), F.lit(0).cast(w)) + F.coalesce(F.col("freq") * F.col(f"t_{k}"), F.lit(0).cast(w))).alias(v) for k, (v, w) in enumerate(zip(values, wide, strict=True))]
+    met = rows.join(table.select("term", *[F.col(v).cast("double").alias(f"t{j}") for j, v in enumerate(values)]), "term", "left")
+    total = [F.sum(F.coalesce(f"h{j}", F.col("freq") * F.col(f"t{j}"), F.lit(0.0))).alias(v) for j, v in enumerate(values)]
     return met.groupBy("uid").agg(*[F.max(c).alias(c) for c in keys], F.max("n_terms").alias("n_terms"), *total).drop("uid")

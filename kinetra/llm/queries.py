@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.llm import ann_mih, bpe_tree, jaccard_join, lang_id, rule_ledger, substring_dedup, token_counts, url_filter, vector_packing
+from kinetra.llm import ann_mih, bpe_tree, ctw, jaccard_join, lang_id, rule_ledger, substring_dedup, token_counts, url_filter, vector_packing
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -56,6 +56,13 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, rules, blocked).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scored = ctw.score(docs, ~held, group="lang")
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = rule_ledger.with_ledger(_table(spark, sf_dir, "documents", "doc_id", "text"))
     bits = F.col("ledger.bits")
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ann_mih": op2_ann_mih,
     "op3_token_counts": op3_token_counts,
     "op4_url_filter": op4_url_filter,
+    "op5_context_tree": op5_context_tree,
     "op6_rule_ledger": op6_rule_ledger,
     "op7_lang_id": op7_lang_id,
     "op8_jaccard_vertical": op8_jaccard_vertical,

@@ -102,10 +102,9 @@ def with_ledger(docs: DataFrame, text: str = "text", out: str = "ledger") -> Dat
     }
     bits = sum((F.when(fails[r], F.lit(1 << k)).otherwise(F.lit(0)) for k, r in enumerate(RULES)), F.lit(0))
     measured = ("n_words", "word_chars", "n_symbols", "n_exclamations", "n_lines", "n_dup_lines", "n_repeat_words")
-    return base.select(
-        *[F.col("_row")[c].alias(c) for c in docs.columns if c != out],
-        F.struct(*measured, bits.cast("long").alias("bits")).alias(out),
-    )
+    # Generated, not projected: a filter on the ledger is not pushed below it, where it would measure all again.
+    ledger = F.explode(F.array(F.struct(*measured, bits.cast("long").alias("bits"))))
+    return base.select("_row", ledger.alias("_ledger")).select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != out], F.col("_ledger").alias(out))
 
 
 def passes(policy: str, bits: Column) -> Column:

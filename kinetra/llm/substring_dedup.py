@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from kinetra.llm import blocks
 from kinetra.llm.text import words
 
-SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start:long,length:long,source:long>>"
+SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start:long,length:long,source:long>>, carried {}"
 FACTORS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("source", pa.int64())]))
 
 
@@ -58,8 +58,8 @@ def covered(factors: list[tuple[int, int, int]], source: np.ndarray, window: int
     return np.cumsum(edge[:-1]) > 0
 
 
-def _block(docs: pa.Table, window: int) -> tuple[list, list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """A block's ids in order, words, windows, each window's document number, and where each document's windows start."""
+def _block(docs: pa.Table, window: int) -> tuple[pa.Table, list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
+    """A block in order of ids, its words, windows, each window's document, and where each document's windows start."""
     docs = docs.take(pc.sort_indices(docs, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
     ids, split, hashes, sizes = docs.column("doc_id").to_pylist(), [], [], []
     for key, text in zip(ids, docs.column("text"), strict=True):
@@ -68,24 +68,26 @@ def _block(docs: pa.Table, window: int) -> tuple[list, list[list[bytes]], np.nda
         hashes.append(h)
         sizes.append(len(h))
     owner = np.repeat(np.array([i if i is not None else 0 for i in ids], np.int64), sizes)
-    return ids, split, np.concatenate(hashes), owner, np.concatenate([[0], np.cumsum(sizes)])
+    return docs, split, np.concatenate(hashes), owner, np.concatenate([[0], np.cumsum(sizes)])
 
 
-def dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_removed, kept_text (kept words joined by a space) and factors.
+def dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, as_is: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_removed, kept_text (kept words joined by a space), factors and carried.
 
+    ``carried`` is a struct of the columns named in ``carry``. With ``as_is``, a text that loses nothing stays as it was.
     A word goes if a window over it also stands in a document with a smaller doc_id. A null text has no words; one
     with fewer words than a window keeps all; rows with a null doc_id are no source and keep all; rows of one doc_id
     are no sources of each other; an empty table gives no rows; other columns are not read.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    others = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in carry or []])
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), others.alias("carried"))
     n = blocks.block_count(rows)
 
     def offer(table: pa.Table) -> tuple[np.ndarray, np.ndarray, tuple]:
-        ids, split, h, owner, at = _block(table, window)
+        ordered, split, h, owner, at = _block(table, window)
         _, first, back = np.unique(h, return_index=True, return_inverse=True)
         place = np.argsort(first)  # offered in reading order; as documents are in order, the first has the smallest id
-        return h[first[place]], owner[first[place]], (ids, split, owner, at, first, back, place)
+        return h[first[place]], owner[first[place]], (ordered, split, owner, at, first, back, place)
 
     def resolve(keys: np.ndarray, owner: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order, starts, group = blocks.grouped(keys)
@@ -95,20 +97,25 @@ def dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str =
         return places, least[places]
 
     def finish(state: tuple, places: np.ndarray, answers: np.ndarray) -> pa.Table:
-        ids, split, owner, at, first, back, place = state
+        ordered, split, owner, at, first, back, place = state
         least = owner[first]
         least[place[places]] = answers
         source = least[back]
         source[source >= owner] = -1
         out: list[tuple] = []
-        for k, (key, w) in enumerate(zip(ids, split, strict=True)):
+        for k, (w, text) in enumerate(zip(split, ordered.column("text"), strict=True)):
             mine = source[at[k] : at[k + 1]]
             factors = parse(mine, window)
             gone = covered(factors, mine, window, len(w))
-            kept = b" ".join(compress(w, ~gone)).decode() if factors else b" ".join(w).decode()
-            out.append((key, len(w), int(gone.sum()), kept, [dict(zip(("start", "length", "source"), f, strict=True)) for f in factors]))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), FACTORS)
-        names = ("doc_id", "n_words", "n_removed", "kept_text", "factors")
-        return pa.table({c: pa.array([r[j] for r in out], t) for j, (c, t) in enumerate(zip(names, types, strict=True))})
-
-    return blocks.exchange(blocks.in_blocks(rows, n), n, offer, resolve, finish, SCHEMA)
+            kept = text.as_py() if as_is and not factors else b" ".join(compress(w, ~gone)).decode()
+            out.append((len(w), int(gone.sum()), kept, [dict(zip(("start", "length", "source"), f, strict=True)) for f in factors]))
+        types = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_text": pa.string(), "factors": FACTORS}
+        made = {c: pa.array([r[j] for r in out], t) for j, (c, t) in enumerate(types.items())}
+        carried = ordered.column("carried").combine_chunks()
+        carried = carried.chunk(0) if isinstance(carried, pa.ChunkedArray) else carried
+        carried = pa.StructArray.from_arrays(carried.flatten(), [f.name for f in carried.type])  # all fields nullable
+        return pa.table({"doc_id": ordered.column("doc_id")} | made | {"carried": carried})
+
+    schema = SCHEMA.format(rows.schema["carried"].dataType.simpleString())
+    parsed = blocks.exchange(blocks.in_blocks(rows, n), n, offer, resolve, finish, schema)
+    return parsed.withColumn("carried", F.col("carried").dropFields("none")) if carry else parsed.drop("carried")

@@ -27,7 +27,7 @@ def piece_counts(terms: DataFrame, tokenizer: str) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pieces, pa.int64())], ["term", "n", "pieces"])
 
-    return terms.mapInArrow(run, "term string, n long, pieces long")
+    return terms.select("term", "n").mapInArrow(run, "term string, n long, pieces long")
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", head: int = dictionary.HEAD) -> DataFrame:
@@ -41,8 +41,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     def split(value: object) -> list:
         return vocabulary(tokenizer).pre_tokens(value)
 
-    terms = dictionary.term_counts(rows.select("text", F.lit(1).alias("weight")), split)
+    terms = dictionary.term_counts(rows.select("text", F.lit(0).alias("label")), split)
     table = written(piece_counts(terms, tokenizer))
     return dictionary.sums(rows, table, split, ["pieces"], ["doc_id", "n_bytes"], head=head).select(
-        "doc_id", "n_bytes", F.col("n_terms").alias("n_pre_tokens"), F.col("pieces").alias("n_tokens")
+        "doc_id", "n_bytes", F.col("n_terms").alias("n_pre_tokens"), F.round("pieces").cast("long").alias("n_tokens")
     )
