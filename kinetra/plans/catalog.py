@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from kinetra.plans import grouped_queries, pose_queries, study_queries, track_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+_PARTS = (track_queries, pose_queries, study_queries, grouped_queries)
+QUERIES = {k: q for part in _PARTS for k, q in part.QUERIES.items()}
+ORACLE_SQL = {k: q for part in _PARTS for k, q in part.ORACLE_SQL.items()}
 FLAGSHIP = "sequence_scores"
