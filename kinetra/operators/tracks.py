@@ -85,7 +85,7 @@ def smoothness(obs: DataFrame) -> DataFrame:
 
 def mot_lines(obs: DataFrame) -> DataFrame:
     """Text lines of the multiple-object-tracking format, frames from 1; decimals are rounded half up."""
-    line = F.format_string("%d,%d,%.2f,%.2f,%.2f,%.2f,%.4f,1,1", F.col("frame_idx") + 1, F.col("track_id"), "x1", "y1", g.width(), g.height(), F.col("conf"))
+    line = F.format_string("%d,%d,%.2f,%.2f,%.2f,%.2f,%.4f,1,1", F.col("frame_idx") + 1, F.col("track_id"), *[F.round(v, 6) for v in (F.col("x1"), F.col("y1"), g.width(), g.height())], F.round("conf", 8))
     return obs.select("seq_id", (F.col("frame_idx") + 1).alias("frame"), F.col("track_id").alias("id"), line.alias("line"))
 
 

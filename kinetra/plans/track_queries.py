@@ -175,7 +175,7 @@ select seq_id, track_id, {_r('vx', 'vy')} from v""",
 select seq_id, track_id, min(frame_idx) as run_start, max(frame_idx) as run_end, count(*) as run_len from r group by seq_id, track_id, run""",
     "jerk": _with(OBS_SQL, _G) + f""", j as (select *, (lead(cx, 2) over w - 2 * lead(cx) over w + 2 * lag(cx) over w - lag(cx, 2) over w) / 2 as jerk from g window w as (partition by seq_id, track_id order by frame_idx)),
 s as (select seq_id, track_id, avg(abs(jerk)) as mean_jerk, count(jerk) as n from j group by all) select seq_id, track_id, {_r('mean_jerk')}, n from s""",
-    "mot_lines": _with(OBS_SQL) + """ select seq_id, frame_idx + 1 as frame, track_id as id, format('{:d},{:d},', frame_idx + 1, track_id) || concat_ws(',', round(x1::decimal(20, 8), 2)::decimal(20, 2), round(y1::decimal(20, 8), 2)::decimal(20, 2), round((x2 - x1)::decimal(20, 8), 2)::decimal(20, 2), round((y2 - y1)::decimal(20, 8), 2)::decimal(20, 2), round(conf::decimal(20, 12), 4)::decimal(20, 4), '1,1') as line from obs""",
+    "mot_lines": _with(OBS_SQL) + """ select seq_id, frame_idx + 1 as frame, track_id as id, format('{:d},{:d},', frame_idx + 1, track_id) || concat_ws(',', round(x1::decimal(20, 6), 2)::decimal(20, 2), round(y1::decimal(20, 6), 2)::decimal(20, 2), round((x2 - x1)::decimal(20, 6), 2)::decimal(20, 2), round((y2 - y1)::decimal(20, 6), 2)::decimal(20, 2), round(conf::decimal(20, 8), 4)::decimal(20, 4), '1,1') as line from obs""",
     "frame_pivot": _with(OBS_SQL) + """, s as (select distinct seq_id from obs), p as (select seq_id, f.frame_idx from s, range(0, 60) as f(frame_idx)),
 c as (select seq_id, frame_idx, count(*) as n, string_agg(track_id::varchar, ',' order by track_id) as ids from obs group by all)
 select p.seq_id, p.frame_idx::bigint as frame_idx, coalesce(n, 0)::bigint as n_tracks, coalesce(ids, '') as track_ids from p left join c on p.seq_id = c.seq_id and p.frame_idx = c.frame_idx""",
