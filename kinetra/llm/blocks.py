@@ -19,13 +19,19 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in a block, about (a single longer text is a block's whole).
 BLOCK_BYTES = 4 << 20
+#: Shards of an index, at least.
+SHARDS = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def block_count(docs: DataFrame, text: str = "text") -> int:
-    """Blocks (and shards) for a table: by its bytes of text, and several for each shuffle partition."""
+def counts(docs: DataFrame, text: str = "text") -> tuple[int, int]:
+    """Blocks and shards for a table, by its bytes of text; at least two blocks for each shuffle partition.
+
+    The number of shards does not follow the partitions, so that packed rows (blocks times shards) stay few.
+    """
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_BYTES))
+    by_size = -(-total // BLOCK_BYTES)
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), by_size), max(SHARDS, by_size)
 
 
 def in_blocks(docs: DataFrame, n: int) -> DataFrame:
@@ -99,12 +105,13 @@ OFFER = "block int, shard int, keys binary, extra binary"
 ANSWER = "block int, shard int, answer binary"
 
 
-def exchange(rows: DataFrame, shards: int, offer: Callable, resolve: Callable, finish: Callable, schema: str) -> DataFrame:
-    """Runs a block operator over ``rows`` (doc_id, text, block).
+def exchange(rows: DataFrame, shards: int, offer: Callable, resolve: Callable, finish: Callable, schema: str, width: int = 1) -> DataFrame:
+    """Runs a block operator over ``rows`` (doc_id, text, block); an answer has ``width`` numbers.
 
     ``offer(docs)`` gives a block's distinct hashes, a number for each (say the smallest doc_id that has it) and
     what ``finish`` needs of it.
-    ``resolve(keys, numbers, blocks)`` sees a shard's entries and gives the places of those it answers, and the answers.
+    ``resolve(keys, numbers, blocks)`` sees a shard's entries and gives the places of those it answers, in order, and
+    a row of answers for each.
     ``finish(state, places, answers)`` gets the answers by place in what ``offer`` gives again for the same block.
     """
 
@@ -134,7 +141,7 @@ def exchange(rows: DataFrame, shards: int, offer: Callable, resolve: Callable, f
         for (block, _, _), start, b in zip(rows, ends - sizes, cuts, strict=True):
             if b > a:
                 at = pack_numbers(places[a:b] - start)
-                out.append((block, len(at).to_bytes(4, "little") + at + pack_numbers(answers[a:b])))
+                out.append((block, len(at).to_bytes(4, "little") + at + pack_numbers(answers[a:b].T.ravel())))
             a = b
         return pa.table({"block": pa.array([x[0] for x in out], pa.int32()), "shard": pa.array([shard] * len(out), pa.int32()), "answer": pa.array([x[1] for x in out], pa.binary())})
 
@@ -142,11 +149,11 @@ def exchange(rows: DataFrame, shards: int, offer: Callable, resolve: Callable, f
         h, _, state = offer(docs)
         order, present, at = by_shard(h, shards)
         begin = dict(zip(present.tolist(), at[:-1].tolist(), strict=True))
-        places, answers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        places, answers = [np.zeros(0, np.int64)], [np.zeros((0, width), np.int64)]
         for shard, data in zip(replies.column("shard").to_pylist(), replies.column("answer").to_pylist(), strict=True):
             cut = 4 + int.from_bytes(data[:4], "little")
             places.append(order[begin[shard] + unpack_numbers(data[4:cut])])
-            answers.append(unpack_numbers(data[cut:]))
+            answers.append(unpack_numbers(data[cut:]).reshape(width, -1).T)
         return finish(state, np.concatenate(places), np.concatenate(answers))
 
     offers = rows.groupBy("block").applyInArrow(offered, OFFER)

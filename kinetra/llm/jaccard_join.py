@@ -3,7 +3,9 @@
 The global order of the n-grams (by hash) is cut into fragments, so each document's set falls into segments. Two sets
 that link differ in at most D n-grams, D set by their sizes; with more than D non-empty segments, at least one is
 equal in both. Documents of like size are cut alike (each also as the next size class is, where a partner may lie
-there) and equal segments are found in a sharded index. First each document is compared with the smallest
+there) and equal segments are found in a sharded index. As all segments but D must be equal, a document with fewer shared
+ones has no partner, and of those of the others the most frequent can be left out (the prefix of D + 1 segments in
+order of frequency decides), which rids passages that many documents hold of their pairs. First each document is compared with the smallest
 document of each segment it shares; links found give components; then, for shared segments with documents of more than
 one component, all pairs across components follow. A bound from parity sketches of the sets leaves out pairs that
 cannot link. Pairs are verified exactly: overlaps are counted for each fragment of the order separately and summed
@@ -79,9 +81,9 @@ class Cut:
                 out.append((k, differ, differ + differ // 6 + 3))
         return out
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """A hash of each non-empty segment; of the empty ones too, if the others may all differ."""
-        out = [np.zeros(0, np.uint64)]
+    def keys(self, s: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """For each class: how many segments may differ, and a hash of each non-empty one (of all, if those may all differ)."""
+        out = []
         for c, differ, n in self.classes(len(s)) if len(s) else []:
             fragment = (s % np.uint64(n)).astype(np.int64)
             order = np.argsort(fragment, kind="stable")
@@ -90,53 +92,62 @@ class Cut:
             if len(f) <= differ:
                 rest = np.setdiff1d(np.arange(n), f)
                 f, content = np.concatenate([f, rest]), np.concatenate([content, np.full(len(rest), EMPTY)])
-            out.append(blocks.mixed(content * blocks.MIX + f.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(c)))
-        return np.concatenate(out)
+                differ = len(f)  # none can be left out: a partner may offer its non-empty segments only
+            out.append((differ, blocks.mixed(content * blocks.MIX + f.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(c))))
+        return out
 
 
 def _sharing(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Per row: doc_id, n, node, sketch, the segments it shares (keys) and the smallest documents of these (hubs)."""
-    n_blocks = blocks.block_count(rows)
+    n_blocks, shards = blocks.counts(rows)
 
     def offer(table: pa.Table) -> tuple[np.ndarray, np.ndarray, tuple]:
         cut = Cut(percent)
         table = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
-        ids, out, keys = table.column("doc_id").to_pylist(), [], []
+        ids, out, keys, owner = table.column("doc_id").to_pylist(), [], [], []
         for key, text in zip(ids, table.column("text"), strict=True):
             s = shingles(text.as_py(), size)
-            keys.append(cut.keys(s) if key is not None else np.zeros(0, np.uint64))
-            out.append((key, len(s), node_of(s) if len(s) and key is not None else None, *sketch(s)))
-        owner = np.repeat(np.array([i if i is not None else 0 for i in ids], np.int64), [len(k) for k in keys])
-        distinct, first, back, count = np.unique(np.concatenate(keys), return_index=True, return_inverse=True, return_counts=True)
-        return distinct, owner[first], (out, keys, owner[first], back, count)
+            mine = cut.keys(s) if key is not None else []
+            keys += [k for _, k in mine]
+            owner += [np.full(len(k), key) for _, k in mine]
+            out.append(((key, len(s), node_of(s) if len(s) and key is not None else None, *sketch(s)), [(d, len(k)) for d, k in mine]))
+        h = np.concatenate([np.zeros(0, np.uint64), *keys])
+        owner = np.concatenate([np.zeros(0, np.int64), *owner])
+        distinct, first, back, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        return distinct, owner[first], (out, distinct, owner[first], back, count)
 
     def resolve(keys: np.ndarray, owner: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order, starts, group = blocks.grouped(keys)
-        least, shared = np.empty(len(keys), np.int64), np.zeros(len(keys), bool)
+        least, often = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
         least[order] = np.minimum.reduceat(owner[order], starts)[group]
-        shared[order] = (np.diff(np.append(starts, len(keys))) > 1)[group]
-        places = np.flatnonzero(shared)
-        return places, least[places]
+        often[order] = np.diff(np.append(starts, len(keys)))[group]
+        places = np.flatnonzero(often > 1)
+        return places, np.stack([least[places], often[places]], axis=1)
 
     def finish(state: tuple, places: np.ndarray, answers: np.ndarray) -> pa.Table:
-        out, keys, hub, back, count = state
-        shared = count > 1
+        out, distinct, hub, back, count = state
+        shared, hub, often = count > 1, hub.copy(), np.ones(len(hub), np.int64)
         shared[places] = True
-        hub = hub.copy()
-        hub[places] = answers
+        hub[places], often[places] = answers[:, 0], answers[:, 1]
         rows, at = [], 0
-        for doc, own in zip(out, keys, strict=True):
-            mine = back[at : at + len(own)]
-            at += len(own)
-            mine, own = mine[shared[mine]], own[shared[mine]]
+        for doc, parts in out:
+            kept = [np.zeros(0, np.int64)]
+            for differ, n in parts:
+                mine = back[at : at + n]
+                at += n
+                if shared[mine].sum() >= n - differ:
+                    # A segment that no other set has comes first; then the rarer ones, in an order that all sets share.
+                    prefix = np.lexsort((mine, often[mine], shared[mine]))[: differ + 1]
+                    kept.append(mine[prefix][shared[mine[prefix]]])
+            mine = np.concatenate(kept)
             hubs = np.unique(hub[mine])
-            rows.append((*doc, own.view(np.int64).tolist(), hubs[hubs != doc[0]].tolist()))
+            rows.append((*doc, distinct[mine].view(np.int64).tolist(), hubs[hubs != doc[0]].tolist()))
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         names = ("doc_id", "n", "node", "s0", "s1", "keys", "hubs")
         return pa.table({c: pa.array([r[j] for r in rows], t) for j, (c, t) in enumerate(zip(names, types, strict=True))})
 
     schema = "doc_id long, n long, node long, s0 long, s1 long, keys array<long>, hubs array<long>"
-    return blocks.exchange(blocks.in_blocks(rows, n_blocks), n_blocks, offer, resolve, finish, schema)
+    return blocks.exchange(blocks.in_blocks(rows, n_blocks), shards, offer, resolve, finish, schema, width=2)
 
 
 def _may_link(percent: int) -> Column:

@@ -81,7 +81,7 @@ def dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str =
     """
     others = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in carry or []])
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), others.alias("carried"))
-    n = blocks.block_count(rows)
+    n_blocks, shards = blocks.counts(rows)
 
     def offer(table: pa.Table) -> tuple[np.ndarray, np.ndarray, tuple]:
         ordered, split, h, owner, at = _block(table, window)
@@ -94,12 +94,12 @@ def dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str =
         least = np.empty(len(keys), np.int64)
         least[order] = np.minimum.reduceat(owner[order], starts)[group]
         places = np.flatnonzero(least < owner)
-        return places, least[places]
+        return places, least[places, None]
 
     def finish(state: tuple, places: np.ndarray, answers: np.ndarray) -> pa.Table:
         ordered, split, owner, at, first, back, place = state
         least = owner[first]
-        least[place[places]] = answers
+        least[place[places]] = answers[:, 0]
         source = least[back]
         source[source >= owner] = -1
         out: list[tuple] = []
@@ -117,5 +117,5 @@ def dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str =
         return pa.table({"doc_id": ordered.column("doc_id")} | made | {"carried": carried})
 
     schema = SCHEMA.format(rows.schema["carried"].dataType.simpleString())
-    parsed = blocks.exchange(blocks.in_blocks(rows, n), n, offer, resolve, finish, schema)
+    parsed = blocks.exchange(blocks.in_blocks(rows, n_blocks), shards, offer, resolve, finish, schema)
     return parsed.withColumn("carried", F.col("carried").dropFields("none")) if carry else parsed.drop("carried")
