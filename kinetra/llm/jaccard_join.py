@@ -15,6 +15,7 @@ for each pair. Equal sets are one node throughout, so copies are never paired.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,9 @@ from kinetra.llm.shared import written
 FRAGMENTS = 8
 #: Documents to verify are picked by a broadcast of their ids up to so many, beyond that by a shuffled join.
 BROADCAST_IDS = 1 << 20
+#: 64-bit words of a sketch.
+WORDS = 8
+SKETCH = tuple(f"s{k}" for k in range(WORDS))
 EMPTY = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -48,11 +52,10 @@ def node_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def sketch(s: np.ndarray) -> tuple[int, int]:
-    """128 parities; two sets' sketches differ in no more places than the sets have n-grams of their own."""
-    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & 127, minlength=128) & 1
-    lo, hi = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
-    return int(lo), int(hi)
+def sketch(s: np.ndarray) -> list[int]:
+    """Parities of the n-grams by a part of their hash; two sets' sketches differ in no more places than the sets do."""
+    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & (64 * WORDS - 1), minlength=64 * WORDS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
 class Cut:
@@ -142,17 +145,17 @@ def _sharing(rows: DataFrame, size: int, percent: int) -> DataFrame:
             mine = np.concatenate(kept)
             hubs = np.unique(hub[mine])
             rows.append((*doc, distinct[mine].view(np.int64).tolist(), hubs[hubs != doc[0]].tolist()))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        names = ("doc_id", "n", "node", "s0", "s1", "keys", "hubs")
+        types = (*[pa.int64()] * (3 + WORDS), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        names = ("doc_id", "n", "node", *SKETCH, "keys", "hubs")
         return pa.table({c: pa.array([r[j] for r in rows], t) for j, (c, t) in enumerate(zip(names, types, strict=True))})
 
-    schema = "doc_id long, n long, node long, s0 long, s1 long, keys array<long>, hubs array<long>"
+    schema = f"doc_id long, n long, node long, {', '.join(f'{c} long' for c in SKETCH)}, keys array<long>, hubs array<long>"
     return blocks.exchange(blocks.in_blocks(rows, n_blocks), shards, offer, resolve, finish, schema, width=2)
 
 
 def _may_link(percent: int) -> Column:
     """Sizes and sketches of a and b allow a link."""
-    differ = F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))) + F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1")))
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCH])
     near = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
     return near & (differ * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent))
 
@@ -200,9 +203,9 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "do
     sharing = written(_sharing(rows, size, percent))
     sets = sharing.where("node is not null")
     nodes = written(
-        sets.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.min_by("keys", "doc_id").alias("keys"))
+        sets.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in SKETCH], F.min_by("keys", "doc_id").alias("keys"))
     )
-    facts = ("node", "n", "s0", "s1")
+    facts = ("node", "n", *SKETCH)
     stars = sets.select(*facts, F.explode("hubs").alias("hub")).distinct()
     hubs = sets.select("doc_id", *facts)
     pairs = _as("a", stars, *facts, "hub").join(_as("b", hubs, *facts, "doc_id"), F.col("a_hub") == F.col("b_doc_id")).where("a != b").where(_may_link(percent))
