@@ -54,13 +54,26 @@ def term_counts(docs: DataFrame, split: Splitter, term_type: str = "string", cla
     return found.groupBy("term").agg(F.sum("n").alias("n"), *by_class)
 
 
+def frequent(table: DataFrame, head: int) -> DataFrame:
+    """The most frequent terms, ``head`` at most: all from a power of 2^(1/8) on, so that no task has to sort them."""
+    power = F.floor(8 * F.log2("n"))
+    sizes = table.where("n > 0").groupBy(power.alias("power")).count().orderBy(F.desc("power")).collect()
+    least, total = None, 0
+    for row in sizes:
+        total += row["count"]
+        if total > head:
+            break
+        least = row["power"]
+    return table.where((F.col("n") > 0) & (power >= least)) if least is not None else table.limit(0)
+
+
 def sums(docs: DataFrame, table: DataFrame, split: Splitter, values: list[str], keys: list[str], term_type: str = "string", head: int = HEAD) -> DataFrame:
     """Per row of ``docs`` (columns: keys, then text): keys, n_terms and the sum of each value (a double) over its terms.
 
     ``table`` has term, n and the values (a term that it lacks adds nothing). It is read twice, so give one that is
     written or checkpointed.
     """
-    top = table.orderBy(F.desc("n"), "term").limit(head).select("term", *[F.col(v).cast("double") for v in values]).toArrow()
+    top = frequent(table, head).select("term", *[F.col(v).cast("double") for v in values]).toArrow()
     place = {t: k for k, t in enumerate(top.column("term").to_pylist())}
     matrix = np.stack([top.column(v).to_numpy() for v in values], axis=1) if place else np.zeros((0, len(values)))
     known = docs.sparkSession.sparkContext.broadcast((place, matrix))
