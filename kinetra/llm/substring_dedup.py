@@ -58,17 +58,19 @@ def covered(factors: list[tuple[int, int, int]], source: np.ndarray, window: int
     return np.cumsum(edge[:-1]) > 0
 
 
-def _block(docs: pa.Table, window: int) -> tuple[pa.Table, list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """A block in order of ids, its words, windows, each window's document, and where each document's windows start."""
+def _block(docs: pa.Table, window: int) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """A block in order of ids, its windows, each window's document, and where each document's windows start.
+
+    Words are split one document at a time and not kept: as objects they take ten times the room of the text.
+    """
     docs = docs.take(pc.sort_indices(docs, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
-    ids, split, hashes, sizes = docs.column("doc_id").to_pylist(), [], [], []
+    ids, hashes, sizes = docs.column("doc_id").to_pylist(), [], []
     for key, text in zip(ids, docs.column("text"), strict=True):
-        split.append(words(text.as_py()))
-        h = blocks.window_hashes(blocks.word_hashes(split[-1]), window) if key is not None else np.zeros(0, np.uint64)
+        h = blocks.window_hashes(blocks.word_hashes(words(text.as_py())), window) if key is not None else np.zeros(0, np.uint64)
         hashes.append(h)
         sizes.append(len(h))
     owner = np.repeat(np.array([i if i is not None else 0 for i in ids], np.int64), sizes)
-    return docs, split, np.concatenate(hashes), owner, np.concatenate([[0], np.cumsum(sizes)])
+    return docs, np.concatenate(hashes), owner, np.concatenate([[0], np.cumsum(sizes)])
 
 
 def dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, as_is: bool = False) -> DataFrame:
@@ -84,10 +86,10 @@ def dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str =
     n_blocks, shards = blocks.counts(rows)
 
     def offer(table: pa.Table) -> tuple[np.ndarray, np.ndarray, tuple]:
-        ordered, split, h, owner, at = _block(table, window)
+        ordered, h, owner, at = _block(table, window)
         _, first, back = np.unique(h, return_index=True, return_inverse=True)
         place = np.argsort(first)  # offered in reading order; as documents are in order, the first has the smallest id
-        return h[first[place]], owner[first[place]], (ordered, split, owner, at, first, back, place)
+        return h[first[place]], owner[first[place]], (ordered, owner, at, first, back, place)
 
     def resolve(keys: np.ndarray, owner: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order, starts, group = blocks.grouped(keys)
@@ -97,14 +99,14 @@ def dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str =
         return places, least[places, None]
 
     def finish(state: tuple, places: np.ndarray, answers: np.ndarray) -> pa.Table:
-        ordered, split, owner, at, first, back, place = state
+        ordered, owner, at, first, back, place = state
         least = owner[first]
         least[place[places]] = answers[:, 0]
         source = least[back]
         source[source >= owner] = -1
         out: list[tuple] = []
-        for k, (w, text) in enumerate(zip(split, ordered.column("text"), strict=True)):
-            mine = source[at[k] : at[k + 1]]
+        for k, text in enumerate(ordered.column("text")):
+            w, mine = words(text.as_py()), source[at[k] : at[k + 1]]
             factors = parse(mine, window)
             gone = covered(factors, mine, window, len(w))
             kept = text.as_py() if as_is and not factors else b" ".join(compress(w, ~gone)).decode()
