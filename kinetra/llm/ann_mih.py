@@ -6,18 +6,21 @@ holds ``TARGET`` of the sample's own neighbours, which lie farther than those am
 codes are cut into substrings of 16 bits with a table each. By the pigeonhole principle a code within the radius of
 the query's differs, in one substring at least, by no more than that substring's share of the radius, so probing all
 values within these shares finds every such code; the others drop out by their whole Hamming distance, and what stays
-is ranked by Euclidean distance on the original vectors.
+is ranked by Euclidean distance on the original vectors. Queries with fewer than ``k`` rows within the radius are asked
+again within the largest distance of the sample's neighbours, and at last against all codes.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetra.llm.shared import written
+
 SAMPLE, TARGET, ROUNDS = 4096, 0.95, 30
 #: Vectors in a block of the index and queries in a block of queries, at most about.
 BLOCK, QUERIES = 16384, 4096
@@ -34,7 +37,7 @@ def usable(vectors: DataFrame, dim: int) -> DataFrame:
 
 
 class Codes:
-    """Learned binary codes: centre, projection and radius."""
+    """Learned binary codes: centre, projection, radius, and the radius that holds all of the sample's neighbours."""
 
     def __init__(self, sample: np.ndarray, k: int, seed: int = 7) -> None:
         self.centre = sample.mean(axis=0)
@@ -47,7 +50,7 @@ class Codes:
             rotation = (u @ vt).T
         self.turn = axes @ rotation
         self.bits = self.turn.shape[1]
-        self.radius = self._radius(sample, k)
+        self.radius, self.widest = self._radii(sample, k)
 
     def of(self, x: np.ndarray) -> np.ndarray:
         """Codes as rows of 16-bit substrings."""
@@ -55,14 +58,16 @@ class Codes:
         on = np.pad(on, ((0, 0), (0, -on.shape[1] % BITS)))
         return np.packbits(on, axis=1, bitorder="little").view(np.uint16)
 
-    def _radius(self, sample: np.ndarray, k: int) -> int:
+    def _radii(self, sample: np.ndarray, k: int) -> tuple[int, int]:
         codes, near = self.of(sample), []
         for at in range(0, len(sample), max(1, len(sample) // 128)):
             d = ((sample - sample[at]) ** 2).sum(axis=1)
             d[at] = np.inf
             best = np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]
             near.append(np.bitwise_count(codes[best] ^ codes[at]).sum(axis=1))
-        return int(np.quantile(np.concatenate(near), TARGET, method="higher")) if len(sample) > 1 else self.bits
+        if len(sample) < 2:
+            return self.bits, self.bits
+        return int(np.quantile(np.concatenate(near), TARGET, method="higher")), int(max(d.max() for d in near))
 
     def shares(self) -> list[int]:
         """Radius of each substring: together one less for each substring but one, which the principle allows."""
@@ -104,9 +109,11 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank from 1, vec_id, score): each query's ``k`` nearest of the rows found, ties to smaller ids.
 
+    A query has ``k`` rows, or all its candidates where there are fewer.
+
     Both tables have an id and a vector. Vectors that are null, zero, of another length than most, or with null or
     non-finite components take no part, nor do null ids; a query's own id is no candidate; repeated rows of an id each
-    count; without usable vectors or queries the result is empty; other columns are not read.
+    count, but a query that is repeated as it is counts once; without usable vectors or queries the result is empty; other columns are not read.
     """
     rows, asked = (t.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").alias("v")) for t in (vectors, queries))
     empty = "query_id long, rank int, vec_id long, score double"
@@ -114,14 +121,33 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "v
     if common is None:
         return rows.sparkSession.createDataFrame([], empty)
     dim = common["dim"]
-    rows, asked = usable(rows, dim), usable(asked, dim)
+    rows, asked = usable(rows, dim), usable(asked, dim).dropDuplicates(["vec_id", "v"])
     n, n_asked = rows.count(), asked.count()
     if not n or not n_asked:
         return rows.sparkSession.createDataFrame([], empty)
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     codes = Codes(_matrix(picked.column("v"), dim), k)
     spread = min(64, 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    n_blocks, n_groups = max(spread, -(-n // BLOCK)), -(-n_asked // QUERIES)
+    n_blocks = max(spread, -(-n // BLOCK))
+    parts, radii = [], sorted({codes.radius, max(codes.radius, codes.widest), codes.bits})
+    for radius in radii:
+        codes.radius, n_groups = radius, -(-n_asked // QUERIES)
+        ranked = _ranked(rows, asked, codes, k, dim, n_blocks, n_groups)
+        if radius == radii[-1]:
+            parts.append(ranked)
+            break
+        ranked = written(ranked)
+        full = ranked.where(F.col("held") >= k)
+        parts.append(full)
+        asked = written(asked.join(full.where("rank = 1").select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti"))
+        n_asked = asked.count()
+        if not n_asked:
+            break
+    return reduce(DataFrame.union, parts).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _ranked(rows: DataFrame, asked: DataFrame, codes: Codes, k: int, dim: int, n_blocks: int, n_groups: int) -> DataFrame:
+    """(query_id, vec_id, score, rank, held): the ``k`` nearest rows within the radius of the codes, and their number."""
 
     def run(key: tuple, block: pa.Table, ask: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
@@ -129,11 +155,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "v
             x, q, ids = _matrix(block.column("v"), dim), _matrix(ask.column("v"), dim), block.column("vec_id").to_numpy()
             index = codes.of(x)
             tables = []
-            for sub in index.T:
+            for sub in index.T if codes.radius < codes.bits else ():
                 order = np.argsort(sub, kind="stable")
                 tables.append((order, np.searchsorted(sub[order], np.arange((1 << BITS) + 1))))
             for query, vec, code in zip(ask.column("vec_id").to_pylist(), q, codes.of(q), strict=True):
-                at = probe(tables, code, codes.shares(), len(x))
+                at = probe(tables, code, codes.shares(), len(x)) if codes.radius < codes.bits else np.arange(len(x))
                 at = at[(np.bitwise_count(index[at] ^ code).sum(axis=1) <= codes.radius) & (ids[at] != query)]
                 score = np.sqrt(((x[at] - vec) ** 2).sum(axis=1))
                 best = np.lexsort((ids[at], score))[:k]
@@ -144,5 +170,5 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "v
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
     asks = asked.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(n_groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     found = dealt.groupBy("block", "group").cogroup(asks.groupBy("block", "group")).applyInArrow(run, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+    return ranked.withColumn("held", F.count("*").over(Window.partitionBy("query_id")))

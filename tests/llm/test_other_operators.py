@@ -78,6 +78,26 @@ def test_vector_search(spark):
     assert ann_mih.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_vector_search_leaves_no_query_short(spark):
+    rng = np.random.default_rng(5)
+    copies = np.repeat(rng.normal(size=(4, 24)), 300, axis=0) + 1e-4 * rng.normal(size=(1200, 24))
+    skewed = np.concatenate([copies, 20 * rng.normal(size=(12, 24))])  # the radius is that of the dense groups
+    for x, k in ((skewed, 10), (rng.normal(size=(11, 24)), 10), (rng.normal(size=(5, 24)), 10), (rng.normal(size=(2, 24)), 3)):
+        v = x.astype(np.float32).astype(float)
+        df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<float>")
+        asked = df.where(f"vec_id >= {len(v) - 12} or vec_id % 100 = 0")
+        got: dict = {}
+        for r in ann_mih.search(df, asked.union(asked), k=k).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+        assert set(got) == {r["vec_id"] for r in asked.collect()}
+        for q, found in got.items():
+            want = min(k, len(v) - 1)
+            assert [f[0] for f in sorted(found)] == list(range(1, want + 1))
+            assert len({f[1] for f in found} - {q}) == want
+            if want == len(v) - 1:
+                assert {f[1] for f in found} == set(range(len(v))) - {q}
+
+
 def test_probing_finds_all_within_the_radius():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 40))
