@@ -1,12 +1,12 @@
 """Language-model scoring by context-tree weighting over binary-decomposed byte contexts.
 
-A token is its bytes and a closing space (the end of a text is one byte of its own). Each byte is eight binary
-decisions; a decision's node is the bits so far and the ``depth`` bytes before it in the token (spaces before its start).
+A text is its words in lower case with a space after each, and one byte for its end. Each byte is eight binary decisions;
+a decision's node is the bits so far and the ``depth`` bytes before it in the running text (spaces before its start), so
+contexts cross the spaces between words. With ``running=False`` they stop at the start of the word, and words are independent.
 Nodes of depth 0 to ``depth`` form the context trees: each has Krichevsky-Trofimov estimates of its counts, and the
 weighted probability of a node mixes its own estimate with the product of its children's, half and half, from the
 deepest nodes up. Scoring mixes the estimates of all depths on a decision's path by the posterior weights that this
-gives; contexts that were never seen leave their share to an even bit. A token's code length depends on the token
-alone, so it is computed once for each distinct token and summed over documents by their frequencies. Where rows to
+gives; contexts that were never seen leave their share to an even bit. Where rows to
 learn from have classes (languages, say), each has its own trees, and a text's probability is their mixture.
 """
 
@@ -33,6 +33,8 @@ GRAM_TASKS = 16
 HEAD = 1 << 18
 #: The table of byte probabilities is broadcast up to so many rows, beyond that it is joined by a shuffle.
 BROADCAST_GRAMS = 1 << 21
+#: Bytes of text whose positions are held at once, and distinct grams that a task holds before it hands them on.
+PIECE, HELD = 1 << 18, 1 << 20
 #: Classes with trees of their own, at most, besides the rest.
 CLASSES = 8
 END = b"\n"
@@ -68,14 +70,18 @@ def one(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def positions(terms: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """For each byte of each term: its context's bytes and itself as one number, and the term's place."""
-    pad = b" " * depth
-    parts = [pad + t if t == END else pad + t + b" " for t in terms]
+    return placed_bytes([t if t == END else t + b" " for t in terms], depth)
+
+
+def placed_bytes(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for texts that are complete as they are."""
+    parts = [b" " * depth + t for t in texts]
     sizes = np.array([len(p) for p in parts], np.int64)
     data = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
     key = np.zeros(len(data), np.int64)
     for j in range(depth + 1):
         key[j:] |= data[: len(data) - j] << (8 * j)
-    owner = np.repeat(np.arange(len(terms)), sizes)
+    owner = np.repeat(np.arange(len(texts)), sizes)
     inside = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= depth
     return key[inside], owner[inside]
 
@@ -139,6 +145,51 @@ def count_grams(counts: DataFrame, depth: int, classes: int) -> DataFrame:
     return found.groupBy("key").agg(*[F.sum(c).alias(c) for c in names])
 
 
+def running(text: str | None) -> bytes:
+    """The text's tokens in a row."""
+    return b" ".join(tokens(text))
+
+
+def _pieces(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """Running texts in pieces of about ``PIECE`` bytes, each with the place of its first."""
+    at, held, size = 0, [], 0
+    for k, text in enumerate(texts):
+        held.append(running(text))
+        size += len(held[-1])
+        if size >= PIECE or k == len(texts) - 1:
+            yield at, held
+            at, held, size = k + 1, [], 0
+
+
+def count_running(rows: DataFrame, depth: int, classes: int) -> DataFrame:
+    """(key, n0, n1, ...) of running texts (text, label): summed in the tasks, which hold ``HELD`` grams or so, before the shuffle."""
+    names = [f"n{k}" for k in range(classes)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sums = np.zeros(0, np.int64), np.zeros((0, classes))
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(c.astype(np.int64)) for c in sums.T]], ["key", *names])
+        for batch in batches:
+            labels = batch.column(1).to_numpy(zero_copy_only=False)
+            for label in np.unique(labels):
+                for _, texts in _pieces(batch.column(0).filter(pa.array(labels == label)).to_pylist()):
+                    key, n = np.unique(placed_bytes(texts, depth)[0], return_counts=True)
+                    new = np.zeros((len(key), classes))
+                    if label >= 0:
+                        new[:, label] = n
+                    distinct = np.union1d(keys, key)
+                    both = np.zeros((len(distinct), classes))
+                    both[np.searchsorted(distinct, keys)] = sums
+                    both[np.searchsorted(distinct, key)] += new
+                    keys, sums = distinct, both
+                    if len(keys) >= HELD:
+                        yield out()
+                        keys, sums = np.zeros(0, np.int64), np.zeros((0, classes))
+        yield out()
+
+    found = rows.select("text", "label").mapInArrow(run, "key long, " + ", ".join(f"{c} long" for c in names))
+    return found.groupBy("key").agg(*[F.sum(c).alias(c) for c in names])
+
+
 def _columns(table: pa.Table, names: list[str]) -> np.ndarray:
     return np.stack([table.column(c).to_numpy() for c in names], axis=1).astype(float)
 
@@ -218,13 +269,50 @@ def term_scores(counts: DataFrame, scores: DataFrame, depth: int, classes: int)
     return met.groupBy("term").agg(F.max("n").alias("n"), *[F.sum(c).alias(c) for c in names])
 
 
-def score(docs: DataFrame, learn: Column, group: str | None = None, depth: int = DEPTH, doc_id: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
+def running_scores(rows: DataFrame, scores: DataFrame, depth: int, classes: int) -> DataFrame:
+    """``rows`` (with text) and s0, s1, ...: log10 probability of each running text, by class."""
+    names = [f"s{k}" for k in range(classes)]
+    wide = ", ".join(f"{c} double" for c in names)
+    if scores.count() <= BROADCAST_GRAMS:
+        table = scores.toArrow()
+        order = np.argsort(table.column("key").to_numpy())
+        known = rows.sparkSession.sparkContext.broadcast((table.column("key").to_numpy()[order], [table.column(c).to_numpy()[order] for c in names]))
+        del table, order
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, values = known.value
+            for batch in batches:
+                sums = np.zeros((classes, batch.num_rows))
+                for first, texts in _pieces(batch.column("text").to_pylist()):
+                    key, owner = placed_bytes(texts, depth)
+                    at = np.searchsorted(keys, key)
+                    sums[:, first : first + len(texts)] = [np.bincount(owner, v[at], len(texts)) for v in values]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(v) for v in sums]], [*batch.schema.names, *names])
+
+        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        return rows.mapInArrow(run, f"{kept}, {wide}")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for first, texts in _pieces(batch.column(1).to_pylist()):
+                for k, text in enumerate(texts, first):
+                    key, n = np.unique(placed_bytes([text], depth)[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), ids[k])), pa.array(key), pa.array(n)], ["row", "key", "n"])
+
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
+    met = rows.select("row", "text").mapInArrow(placed, "row long, key long, n long").join(scores, "key")
+    sums = met.groupBy("row").agg(*[F.sum(F.col("n") * F.col(c)).alias(c) for c in names])
+    return rows.join(sums, "row").drop("row")
+
+
+def score(docs: DataFrame, learn: Column, group: str | None = None, depth: int = DEPTH, doc_id: str = "doc_id", text: str = "text", head: int = HEAD, running: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte.
 
     Rows for which ``learn`` holds are learned from; all are scored. ``group`` names a column that sorts the rows to
     learn from into classes with trees of their own (the ``CLASSES`` most frequent values; others and nulls together):
     a text's probability is then their mixture by share of documents, and scoring does not look at the column.
-    ``base_score`` is the add-one unigram baseline. A null or empty text is its end alone; repeated rows count and are
+    With ``running`` contexts go over the spaces between words. ``base_score`` is the add-one unigram baseline. A null or empty text is its end alone; repeated rows count and are
     scored each; null ids stay null; without rows to learn from all bits are even; an empty table gives no rows.
     """
     size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long")
@@ -241,11 +329,13 @@ def score(docs: DataFrame, learn: Column, group: str | None = None, depth: int =
     labelled = rows.select("text", F.when(F.col("weight") > 0, label).otherwise(-1).cast("int").alias("label"))
     counts = written(dictionary.term_counts(labelled, tokens, "binary", len(shares)))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    grams = written(count_grams(counts, depth, len(shares)))
+    grams = written(count_running(labelled, depth, len(shares)) if running else count_grams(counts, depth, len(shares)))
     scores = written(gram_scores(grams, depth, len(shares)))
-    by_term = term_scores(counts, scores, depth, len(shares))
-    table = written(by_term.select("term", "n", F.log10(F.col("n") + 1.0).alias("plus"), (F.col("n") > 0).cast("double").alias("known"), *[f"s{k}" for k in ks]))
-    out = dictionary.sums(rows.select("doc_id", "n_bytes", "text"), table, tokens, ["plus", "known", *[f"s{k}" for k in ks]], ["doc_id", "n_bytes"], "binary", head)
+    each = [f"s{k}" for k in ks]
+    by_term, rows = counts if running else term_scores(counts, scores, depth, len(shares)), rows.select("doc_id", "n_bytes", "text")
+    rows, carried, summed = (running_scores(rows, scores, depth, len(shares)), each, []) if running else (rows, [], each)
+    table = written(by_term.select("term", "n", F.log10(F.col("n") + 1.0).alias("plus"), (F.col("n") > 0).cast("double").alias("known"), *summed))
+    out = dictionary.sums(rows, table, tokens, ["plus", "known", *summed], ["doc_id", "n_bytes", *carried], "binary", head)
     base = F.col("plus") - F.col("n_terms") * math.log10(total["n"] + total["v"] + 1)
     parts = [F.col(f"s{k}") + math.log10(max(shares[k], 1) / max(sum(shares), 1)) for k in ks]
     best = F.greatest(*parts) if len(parts) > 1 else parts[0]

@@ -59,7 +59,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    scored = ctw.score(docs, ~held, group="lang")
+    scored = ctw.score(docs, ~held, group="lang", running=True)
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 

@@ -275,3 +275,52 @@ def test_context_trees(spark):
         best = max(parts)
         assert r["score"] == pytest.approx(best + math.log10(sum(10 ** (p - best) for p in parts)), rel=1e-9)
     assert ctw.score(df.limit(0), F.col("doc_id") != 4).count() == 0
+
+
+def brute_running(train, depth):
+    """The same definition over running texts: log10 probability of a text."""
+    nodes: dict = {}
+    padded = lambda text: b" " * depth + b" ".join(ctw.tokens(text))
+    decisions = lambda s: [(s, i, (1 << k) | (s[i] >> (8 - k)), (s[i] >> (7 - k)) & 1) for i in range(depth, len(s)) for k in range(8)]
+    for text in train:
+        for s, i, q, bit in decisions(padded(text)):
+            for d in range(depth + 1):
+                nodes.setdefault((s[i - d : i], q), [0, 0])[bit] += 1
+    lkt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+    weighted, below = {}, Counter()
+    for c, q in sorted(nodes, key=lambda x: -len(x[0])):
+        mine = lkt(*nodes[c, q])
+        weighted[c, q] = mine if len(c) == depth else np.logaddexp(mine, below[c, q]) - math.log(2)
+        if c:
+            below[c[1:], q] += weighted[c, q]
+
+    def score(text):
+        total = 0.0
+        for s, i, q, bit in decisions(padded(text)):
+            p, rest = 0.0, 1.0
+            for d in range(depth + 1):
+                at = s[i - d : i], q
+                if at not in nodes:
+                    break
+                a, b = nodes[at]
+                share = 1.0 if d == depth else 1 / (1 + math.exp(min(700, below[at] - lkt(a, b))))
+                p, rest = p + rest * share * (b + 0.5) / (a + b + 1), rest * (1 - share)
+            total += math.log10(p + rest / 2 if bit else 1 - p - rest / 2)
+        return total
+
+    return score
+
+
+def test_contexts_cross_words(spark, monkeypatch):
+    texts = ["the cat sat", "the cat ran", "A cat sat the", "sat the cat", None, "", "ünseen the"]
+    rows = [(i % 6, t, "xxyyyxy"[i]) for i, t in enumerate(texts)]  # an id is there twice
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string").repartition(2)
+    for bound, piece, held in ((1 << 21, 1 << 21, 1 << 20), (0, 8, 5)):  # broadcast, then joined in small pieces
+        for name, value in (("BROADCAST_GRAMS", bound), ("PIECE", piece), ("HELD", held)):
+            monkeypatch.setattr(ctw, name, value)
+        got = sorted((r["doc_id"], r["score"]) for r in ctw.score(df, F.col("doc_id") != 3, depth=5, running=True).collect())
+        brute = brute_running([t for i, t, _ in rows if i != 3], 5)
+        want = sorted((i, brute(t)) for i, t, _ in rows)
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-9)
+        assert brute("the cat sat") > brute("sat cat the")  # a shuffle of the words scores less
