@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetra.sources.shared import written
+
 
 def status(trials: DataFrame) -> DataFrame:
     """Counts of each state and the best completed trial (number, state, value)."""
@@ -53,11 +55,14 @@ def wins_and_losses(edges: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """All (w, l) that follow from the edges by transitivity."""
-    return edges.sparkSession.sql(
-        "with recursive reach(w, l, d) as (select w, l, 1 from {e} union all select r.w, e.l, r.d + 1 from reach r join {e} e on r.l = e.w where r.d < 32) select distinct w, l from reach",
-        e=edges,
-    )
+    """All (w, l) that follow from the edges by transitivity: joined on until no new pair appears."""
+    known = new = written(edges.select("w", "l").distinct())
+    on = lambda a, b: a.select("w", F.col("l").alias("m")).join(b.select(F.col("w").alias("m"), "l"), "m").select("w", "l")
+    while not new.isEmpty():
+        # A path through the pairs of the last round has them before or after the rest; lengths double.
+        new = written(on(new, known).union(on(known, new)).subtract(known))
+        known = written(known.union(new))
+    return known
 
 
 def variants(base: DataFrame, options: DataFrame) -> DataFrame:
