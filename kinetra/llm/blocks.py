@@ -17,8 +17,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text in a block, about (a single longer text is a block's whole).
-BLOCK_BYTES = 4 << 20
+#: Bytes of text in a block, about (a single longer text is a block's whole): the least, and the most for large tables.
+BLOCK_BYTES, LARGEST_BLOCK = 4 << 20, 32 << 20
+#: Blocks up to which they stay at the least size; packed rows are blocks times shards, so beyond it blocks grow first.
+MANY = 8192
 #: Shards of an index, at least.
 SHARDS = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -30,13 +32,13 @@ def counts(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     The number of shards does not follow the partitions, so that packed rows (blocks times shards) stay few.
     """
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    by_size = -(-total // BLOCK_BYTES)
+    by_size = -(-total // min(LARGEST_BLOCK, max(BLOCK_BYTES, total // MANY)))
     return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), by_size), max(SHARDS, by_size)
 
 
-def in_blocks(docs: DataFrame, n: int) -> DataFrame:
-    """The rows (doc_id, text and others) with a block number."""
-    return docs.select("*", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int").alias("block"))
+def in_blocks(docs: DataFrame, n: int, by: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """The rows with a block number from a hash of the columns ``by``."""
+    return docs.select("*", F.pmod(F.xxhash64(*by), F.lit(n)).cast("int").alias("block"))
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -71,16 +73,16 @@ def unpack_numbers(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.decompress(data), np.int64))
 
 
-def pack_keys(h: np.ndarray, shards: int) -> bytes:
-    """Hashes of one shard in 7 bytes each: the quotient by the number of shards (the remainder is the shard)."""
+def pack_keys(h: np.ndarray, shards: int, size: int = 7) -> bytes:
+    """Hashes of one shard in ``size`` bytes each: the quotient by the number of shards (the remainder is the shard)."""
     q = h // np.uint64(shards)
-    return np.ascontiguousarray(q.view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+    return np.ascontiguousarray(q.view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
 
 
-def unpack_keys(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 7)
+def unpack_keys(data: bytes, size: int = 7) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, size)
     out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :7] = raw
+    out[:, :size] = raw
     return out.view(np.uint64).ravel()
 
 
@@ -105,8 +107,8 @@ OFFER = "block int, shard int, keys binary, extra binary"
 ANSWER = "block int, shard int, answer binary"
 
 
-def exchange(rows: DataFrame, shards: int, offer: Callable, resolve: Callable, finish: Callable, schema: str, width: int = 1) -> DataFrame:
-    """Runs a block operator over ``rows`` (doc_id, text, block); an answer has ``width`` numbers.
+def exchange(rows: DataFrame, shards: int, offer: Callable, resolve: Callable, finish: Callable, schema: str, width: int = 1, key_bytes: int = 7) -> DataFrame:
+    """Runs a block operator over ``rows`` (with a block); an answer has ``width`` numbers, a key ``key_bytes`` besides its shard.
 
     ``offer(docs)`` gives a block's distinct hashes, a number for each (say the smallest doc_id that has it) and
     what ``finish`` needs of it.
@@ -125,14 +127,14 @@ def exchange(rows: DataFrame, shards: int, offer: Callable, resolve: Callable, f
             {
                 "block": pa.array([block] * len(spans), pa.int32()),
                 "shard": pa.array([s for s, _, _ in spans], pa.int32()),
-                "keys": pa.array([pack_keys(h[a:b], shards) for _, a, b in spans], pa.binary()),
+                "keys": pa.array([pack_keys(h[a:b], shards, key_bytes) for _, a, b in spans], pa.binary()),
                 "extra": pa.array([pack_numbers(number[a:b]) for _, a, b in spans], pa.binary()),
             }
         )
 
     def resolved(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("block").to_pylist(), table.column("keys").to_pylist(), table.column("extra").to_pylist(), strict=True))
-        keys = [unpack_keys(k) for _, k, _ in rows]
+        keys = [unpack_keys(k, key_bytes) for _, k, _ in rows]
         sizes = np.array([len(k) for k in keys])
         ends = np.cumsum(sizes)
         places, answers = resolve(np.concatenate(keys), np.concatenate([unpack_numbers(x) for _, _, x in rows]), np.repeat([b for b, _, _ in rows], sizes))

@@ -1,26 +1,23 @@
 """N-gram Jaccard join by vertical partitioning, and the classes of linked documents.
 
-The global order of the n-grams (by hash) is cut into fragments, so each document's set falls into segments. Two sets
-that link differ in at most D n-grams, D set by their sizes; with more than D non-empty segments, at least one is
-equal in both. Documents of like size are cut alike (each also as the next size class is, where a partner may lie
-there) and equal segments are found in a sharded index. As all segments but D must be equal, a document with fewer shared
-ones has no partner, and of those of the others the most frequent can be left out (the prefix of D + 1 segments in
-order of frequency decides), which rids passages that many documents hold of their pairs. First each document is compared with the smallest
-document of each segment it shares; links found give components; then, for shared segments with documents of more than
-one component, all pairs across components follow. A bound from parity sketches of the sets leaves out pairs that
-cannot link. Pairs are verified exactly: overlaps are counted for each fragment of the order separately and summed
-for each pair. Equal sets are one node throughout, so copies are never paired.
+Equal texts are one node, so copies are never paired. The n-grams of all nodes are in one global order, rarest first
+(by the number of nodes that hold them, then by hash). Frequencies come from a sharded index of all n-grams
+(``blocks``); its short keys may take two n-grams for one, which only makes a frequency too large, alike for all.
+
+* Two sets that link share an n-gram within the first few of both (the prefix that their sizes leave), and it has enough
+  n-grams after it in both. So each place of a prefix has a largest partner size. A node whose n-grams are mostly its
+  own has no place left and drops out before anything is paired.
+* First each node meets one hub for each n-gram of its prefix: the node that holds it with the fewest n-grams of its
+  own, the middle of a group of near copies. Links found give components; then, for n-grams that nodes of more than one
+  component hold, the pairs across components follow whose sizes and places allow a link.
+* The global n-gram order is cut into fragments (by hash); the overlap of a pair is counted for each fragment separately
+  and summed for the pair, which is exact. N-grams that one node holds alone are in no overlap and left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +27,10 @@ from kinetra.llm.shared import written
 
 #: Fragments in which overlaps are counted.
 FRAGMENTS = 8
-#: Documents to verify are picked by a broadcast of their ids up to so many, beyond that by a shuffled join.
+#: Ids of copies are broadcast up to so many, beyond that a shuffled join takes them out.
 BROADCAST_IDS = 1 << 20
-#: 64-bit words of a sketch.
-WORDS = 8
-SKETCH = tuple(f"s{k}" for k in range(WORDS))
-EMPTY = np.uint64(0x5851F42D4C957F2D)
+#: Bytes of an n-gram in the index besides its shard (the number of shards follows the data).
+KEY_BYTES = 4
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -47,179 +42,124 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(blocks.window_hashes(h, size))
 
 
-def node_of(s: np.ndarray) -> int:
-    """A set's name: 64 bits of a hash over its n-grams."""
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-
-
-def sketch(s: np.ndarray) -> list[int]:
-    """Parities of the n-grams by a part of their hash; two sets' sketches differ in no more places than the sets do."""
-    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & (64 * WORDS - 1), minlength=64 * WORDS) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64).tolist()
-
-
-class Cut:
-    """Size classes and how many fragments each is cut into."""
-
-    def __init__(self, percent: int) -> None:
-        self.percent, self.bounds = percent, [1]
-
-    def lower(self, c: int) -> int:
-        """The smallest size of class c: sizes that can link lie in one class or in two neighbours."""
-        while len(self.bounds) <= c + 1:
-            b = self.bounds[-1]
-            self.bounds.append(100 * (100 * b // self.percent + 1) // self.percent + 1)
-        return self.bounds[c]
-
-    def classes(self, n: int) -> list[tuple[int, int, int]]:
-        """(class, differences that a link allows, fragments) under which a set of n n-grams is offered."""
-        c = 0
-        while self.lower(c + 1) <= n:
-            c += 1
-        both = [c, c + 1] if 100 * n >= self.percent * self.lower(c + 1) else [c]
-        out = []
-        for k in both:
-            differ = 2 * (self.lower(k + 1) - 1) * (100 - self.percent) // (100 + self.percent)
-            if differ:
-                out.append((k, differ, differ + differ // 6 + 3))
-        return out
-
-    def keys(self, s: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """For each class: how many segments may differ, and a hash of each non-empty one (of all, if those may all differ)."""
-        out = []
-        for c, differ, n in self.classes(len(s)) if len(s) else []:
-            fragment = (s % np.uint64(n)).astype(np.int64)
-            order = np.argsort(fragment, kind="stable")
-            f, at = np.unique(fragment[order], return_index=True)
-            content = np.add.reduceat(blocks.mixed(s[order]), at)
-            if len(f) <= differ:
-                rest = np.setdiff1d(np.arange(n), f)
-                f, content = np.concatenate([f, rest]), np.concatenate([content, np.full(len(rest), EMPTY)])
-                differ = len(f)  # none can be left out: a partner may offer its non-empty segments only
-            out.append((differ, blocks.mixed(content * blocks.MIX + f.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(c))))
-        return out
-
-
-def _sharing(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n, node, sketch, the segments it shares (keys) and the smallest documents of these (hubs)."""
+def prefix(often: np.ndarray, grams: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a set's n-grams in its prefix that others hold, too, and the largest partner for each.
+
+    At place i of n n-grams in global order the overlap with a set of m can be n - i at most; a link needs
+    percent * (n + m) / (100 + percent).
+    """
+    n = len(grams)
+    order = np.lexsort((grams, often))[: n - -(-percent * n // 100) + 1]
+    at = np.flatnonzero(often[order] > 1)
+    return order[at], (n - at) * (100 + percent) // percent - n
+
+
+def _sets(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Per node: n, own (n-grams that no other node holds), keys and limits of its prefix, and its other n-grams by fragment."""
     n_blocks, shards = blocks.counts(rows)
 
     def offer(table: pa.Table) -> tuple[np.ndarray, np.ndarray, tuple]:
-        cut = Cut(percent)
-        table = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
-        ids, out, keys, owner = table.column("doc_id").to_pylist(), [], [], []
-        for key, text in zip(ids, table.column("text"), strict=True):
-            s = shingles(text.as_py(), size)
-            mine = cut.keys(s) if key is not None else []
-            keys += [k for _, k in mine]
-            owner += [np.full(len(k), key) for _, k in mine]
-            out.append(((key, len(s), node_of(s) if len(s) and key is not None else None, *sketch(s)), [(d, len(k)) for d, k in mine]))
-        h = np.concatenate([np.zeros(0, np.uint64), *keys])
-        owner = np.concatenate([np.zeros(0, np.int64), *owner])
-        distinct, first, back, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-        return distinct, owner[first], (out, distinct, owner[first], back, count)
-
-    def resolve(keys: np.ndarray, owner: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        texts, linked = table.column("text"), table.column("links").to_numpy(zero_copy_only=False)[first]
+        sets = [shingles(texts[int(k)].as_py(), size) for k in first]
+        h = np.concatenate([np.zeros(0, np.uint64), *[s for s, use in zip(sets, linked, strict=True) if use]])
+        distinct, back, count = np.unique(h, return_inverse=True, return_counts=True)
+        return distinct, count, (nodes.tolist(), sets, linked, back, count)
+
+    def resolve(keys: np.ndarray, count: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order, starts, group = blocks.grouped(keys)
-        least, often = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
-        least[order] = np.minimum.reduceat(owner[order], starts)[group]
-        often[order] = np.diff(np.append(starts, len(keys)))[group]
+        often = np.empty(len(keys), np.int64)
+        often[order] = np.add.reduceat(count[order], starts)[group]
         places = np.flatnonzero(often > 1)
-        return places, np.stack([least[places], often[places]], axis=1)
+        return places, often[places, None]
 
     def finish(state: tuple, places: np.ndarray, answers: np.ndarray) -> pa.Table:
-        out, distinct, hub, back, count = state
-        shared, hub, often = count > 1, hub.copy(), np.ones(len(hub), np.int64)
-        shared[places] = True
-        hub[places], often[places] = answers[:, 0], answers[:, 1]
+        nodes, sets, linked, back, often = state
+        often[places] = answers[:, 0]
         rows, at = [], 0
-        for doc, parts in out:
-            kept = [np.zeros(0, np.int64)]
-            for differ, n in parts:
-                mine = back[at : at + n]
-                at += n
-                if shared[mine].sum() >= n - differ:
-                    # A segment that no other set has comes first; then the rarer ones, in an order that all sets share.
-                    prefix = np.lexsort((mine, often[mine], shared[mine]))[: differ + 1]
-                    kept.append(mine[prefix][shared[mine[prefix]]])
-            mine = np.concatenate(kept)
-            hubs = np.unique(hub[mine])
-            rows.append((*doc, distinct[mine].view(np.int64).tolist(), hubs[hubs != doc[0]].tolist()))
-        types = (*[pa.int64()] * (3 + WORDS), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        names = ("doc_id", "n", "node", *SKETCH, "keys", "hubs")
-        return pa.table({c: pa.array([r[j] for r in rows], t) for j, (c, t) in enumerate(zip(names, types, strict=True))})
-
-    schema = f"doc_id long, n long, node long, {', '.join(f'{c} long' for c in SKETCH)}, keys array<long>, hubs array<long>"
-    return blocks.exchange(blocks.in_blocks(rows, n_blocks), shards, offer, resolve, finish, schema, width=2)
-
-
-def _may_link(percent: int) -> Column:
-    """Sizes and sketches of a and b allow a link."""
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCH])
-    near = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
-    return near & (differ * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent))
-
-
-def _as(side: str, df: DataFrame, *names: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(c if c == "key" else f"{side}_{c}" if c != "node" else side) for c in names])
-
-
-def _linked(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+        cuts = np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // FRAGMENTS)
+        for node, s, use in zip(nodes, sets, linked, strict=True):
+            row: tuple = (node, len(s), None, [], [], [])
+            if use:
+                f = often[back[at : at + len(s)]]
+                at += len(s)
+                shared = s[f > 1]
+                if len(s) and 100 * len(shared) >= percent * len(s):
+                    keys, limits = prefix(f, s, percent)
+                    parts = np.split(shared.view(np.int64), np.searchsorted(shared, cuts))
+                    row = (node, len(s), len(s) - len(shared), s[keys].view(np.int64), limits, parts)
+            rows.append(row)
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())))
+        return pa.table({c: pa.array([r[j] for r in rows], t) for j, (c, t) in enumerate(zip(("node", "n", "own", "keys", "limits", "parts"), types, strict=True))})
+
+    dealt = blocks.in_blocks(rows, n_blocks, by=("node",))
+    return blocks.exchange(dealt, shards, offer, resolve, finish, "node long, n long, own long, keys array<long>, limits array<long>, parts array<array<long>>", key_bytes=KEY_BYTES)
+
+
+def _fit(a: Column, b: Column) -> Column:
+    """The places of a and b at a key they share leave room for a link."""
+    return (a["n"] <= b["most"]) & (b["n"] <= a["most"])
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that link: partial overlaps by fragment, summed."""
-    ends = pairs.select("a").union(pairs.select("b")).distinct()
-    picked = written(nodes.join(ends.withColumnRenamed("a", "node"), "node", "left_semi").select("rep"))
-    ids = picked.select(F.col("rep").alias("doc_id")).distinct()
-    texts = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").select("text")
-
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for text in batch.column(0):
-                s = shingles(text.as_py(), size)
-                cuts = np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // FRAGMENTS))
-                out += [(node_of(s), len(s), k, part.view(np.int64)) for k, part in enumerate(np.split(s, cuts)) if len(part)]
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], ["node", "n", "fragment", "grams"])
-
-    cut = texts.mapInArrow(segments, "node long, n long, fragment int, grams array<long>")
-    left, right = (_as(x, cut, "node", "n", "fragment", "grams") for x in "ab")
-    met = pairs.join(left, "a").join(right.withColumnRenamed("b_fragment", "a_fragment"), ["b", "a_fragment"])
-    part = F.size(F.array_intersect("a_grams", "b_grams"))
-    # Rows repeated in the table give equal segments, hence the maximum.
-    partial = met.groupBy("a", "b", "a_n", "b_n", "a_fragment").agg(F.max(part).alias("part"))
+    cut = sets.select("node", "n", F.posexplode("parts").alias("fragment", "grams")).where(F.size("grams") > 0)
+    left = cut.select(F.col("node").alias("a"), F.col("n").alias("a_n"), "fragment", F.col("grams").alias("a_grams"))
+    right = cut.select(F.col("node").alias("b"), F.col("n").alias("b_n"), "fragment", F.col("grams").alias("b_grams"))
+    met = pairs.join(left, "a").join(right, ["b", "fragment"])
+    partial = met.select("a", "b", "a_n", "b_n", F.size(F.array_intersect("a_grams", "b_grams")).alias("part"))
     total = partial.groupBy("a", "b", "a_n", "b_n").agg(F.sum("part").alias("both"))
     return total.where(100 * F.col("both") >= percent * (F.col("a_n") + F.col("b_n") - F.col("both"))).select("a", "b")
 
 
+def _ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a["node"], b["node"]).alias("a"), F.greatest(a["node"], b["node"]).alias("b")]
+
+
+def links(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root) by components of all nodes of ``sets`` that link."""
+    entry = F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", F.col("place.limits").alias("most"))
+    places = sets.where(F.size("keys") > 0).select("*", F.explode(F.arrays_zip("keys", "limits")).alias("place")).select(F.col("place.keys").alias("key"), entry.alias("x"))
+    hubs = places.groupBy("key").agg(F.min("x").alias("hub"))
+    x, hub = F.col("x"), F.col("hub")
+    stars = written(places.join(hubs, "key").where((x["node"] != hub["node"]) & _fit(x, hub)).select(*_ordered(x, hub)).distinct())
+    found = written(_linked(stars, sets, percent))
+    roots = written(components(found))
+    labelled = places.withColumn("node", x["node"]).join(roots, "node", "left").select("key", "x", F.coalesce("root", "node").alias("label"))
+    apart = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
+    left = labelled.join(apart, "key", "left_semi")
+    right = left.select("key", F.col("x").alias("y"), F.col("label").alias("other"))
+    y = F.col("y")
+    across = left.join(right, "key").where((F.col("label") < F.col("other")) & _fit(x, y)).select(*_ordered(x, y)).distinct()
+    more = written(_linked(across.join(stars, ["a", "b"], "left_anti"), sets, percent))
+    if more.isEmpty():
+        return roots
+    of = lambda side: roots.withColumnsRenamed({"node": side, "root": f"{side}_root"})
+    between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    joined = written(components(between)).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    return roots.join(joined, "root", "full").select(F.coalesce("node", "root").alias("node"), F.coalesce("last", "root").alias("root"))
+
+
 def classes(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
     Two documents link if 100 * overlap >= percent * union of their n-gram sets. A null text or one without words has an
     empty set and links with nothing; one with fewer words than ``size`` has its whole sequence as the one n-gram;
     copies link; rows of one doc_id are judged by their texts; rows with a null doc_id link with nothing and have a
-    null component; an empty table gives no rows; other columns are not read.
+    null component; an empty table gives no rows; other columns are not read. Texts are equal if 64 bits of their hash are.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    sharing = written(_sharing(rows, size, percent))
-    sets = sharing.where("node is not null")
-    nodes = written(
-        sets.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in SKETCH], F.min_by("keys", "doc_id").alias("keys"))
-    )
-    facts = ("node", "n", *SKETCH)
-    stars = sets.select(*facts, F.explode("hubs").alias("hub")).distinct()
-    hubs = sets.select("doc_id", *facts)
-    pairs = _as("a", stars, *facts, "hub").join(_as("b", hubs, *facts, "doc_id"), F.col("a_hub") == F.col("b_doc_id")).where("a != b").where(_may_link(percent))
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = written(_linked(pairs, nodes, rows, size, percent))
-    roots = components(links)
-    labelled = nodes.where(F.size("keys") > 0).join(roots, "node", "left").select(*facts, F.coalesce("root", "node").alias("label"), F.explode("keys").alias("key"))
-    labels = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    open_keys = written(labelled.join(labels, "key", "left_semi"))
-    across = _as("a", open_keys, *facts, "label", "key").join(_as("b", open_keys, *facts, "label", "key"), "key").where("a < b and a_label != b_label")
-    across = written(across.where(_may_link(percent)).select("a", "b").distinct())
-    more = _linked(across.join(pairs, ["a", "b"], "left_anti"), nodes, rows, size, percent)
-    roots = components(links.union(written(more)))
-    named = sets.select("node", "doc_id").join(roots, "node").groupBy("root").agg(F.min("doc_id").alias("component"))
-    joined = roots.join(named, "root").select("node", "component")
-    of_set = nodes.join(joined, "node", "left").select("node", F.coalesce("component", "rep").alias("component"))
-    return sharing.join(of_set, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("node"))
+    ids = rows.select("doc_id", "node")
+    named = written(ids.join(ids.groupBy("node").agg(F.min("doc_id").alias("rep")), "node"))
+    # Of equal texts the one with the smallest id goes on; its node links if it has an id.
+    copies = named.where(~F.col("doc_id").eqNullSafe(F.col("rep"))).select(F.col("doc_id").alias("copy"), F.col("node").alias("of")).distinct()
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
+    firsts = rows.join(copies, F.col("doc_id").eqNullSafe(F.col("copy")) & (F.col("node") == F.col("of")), "left_anti")
+    sets = written(_sets(firsts.select("node", "text", F.col("doc_id").isNotNull().alias("links")), size, percent))
+    roots = links(sets, percent)
+    reps = named.where("doc_id = rep").select("node", "rep").distinct()
+    joined = roots.join(reps, "node")
+    joined = joined.join(joined.groupBy("root").agg(F.min("rep").alias("component")), "root").select("node", "component")
+    # Written, so that both sides of the last join are dealt anew and a node with many copies can be split.
+    out = written(sets.select("node", "n").join(joined, "node", "left"))
+    return named.join(out, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
