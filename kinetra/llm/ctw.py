@@ -2,12 +2,15 @@
 
 A text is its words in lower case with a space after each, and one byte for its end. Each byte is eight binary decisions;
 a decision's node is the bits so far and the ``depth`` bytes before it in the running text (spaces before its start), so
-contexts cross the spaces between words. With ``running=False`` they stop at the start of the word, and words are independent.
-Nodes of depth 0 to ``depth`` form the context trees: each has Krichevsky-Trofimov estimates of its counts, and the
-weighted probability of a node mixes its own estimate with the product of its children's, half and half, from the
-deepest nodes up. Scoring mixes the estimates of all depths on a decision's path by the posterior weights that this
-gives; contexts that were never seen leave their share to an even bit. Where rows to
-learn from have classes (languages, say), each has its own trees, and a text's probability is their mixture.
+contexts cross the spaces between words. Nodes of depth 0 to ``depth`` form the context trees: each has
+Krichevsky-Trofimov estimates of its counts, and the weighted probability of a node mixes its own estimate with the
+product of its children's, half and half, from the deepest nodes up. Scoring mixes the estimates of all depths on a
+decision's path by the posterior weights that this gives; contexts that were never seen leave their share to an even bit.
+
+A gram is a byte with its context. Tasks count grams before they shuffle them, packed by shard; a shard holds all grams
+below its contexts of ``TOP`` bytes, so it builds those trees alone, and what lies above are plain aggregates and joins. To
+score, blocks of documents offer their distinct grams to the shards and add up the answers (see ``blocks``): no table of
+grams is collected or broadcast, whatever its size.
 """
 
 from __future__ import annotations
@@ -18,25 +21,25 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetra.llm import dictionary
+from kinetra.llm import blocks, dictionary
 from kinetra.llm.shared import written
 
-DEPTH = 5
-#: Context bytes at which trees are cut into groups for the tasks.
-TOP = 2
-#: Tasks that count grams: each hands on its distinct ones, so their number bounds the shuffle.
-GRAM_TASKS = 16
+#: Context bytes: a gram is a byte more, and its number has to fit 63 bits.
+DEPTH = 6
+#: Context bytes at which trees are cut into shards.
+TOP = 3
+#: Shards by the bytes of text: about one for each so many, within bounds (contexts of ``TOP`` bytes are some ten thousands).
+SHARD_BYTES, LEAST_SHARDS, MOST_SHARDS = 4 << 20, 64, 1 << 14
+#: Bytes of text in a block to score, and blocks that one task answers for a shard.
+BLOCK_BYTES, ANSWERED = 32 << 20, 1024
+#: Bytes of text whose positions are held at once, and distinct grams that a task holds before it hands them on.
+PIECE, HELD = 1 << 20, 1 << 21
 #: Most frequent tokens that are summed in place (see ``dictionary``).
 HEAD = 1 << 18
-#: The table of byte probabilities is broadcast up to so many rows, beyond that it is joined by a shuffle.
-BROADCAST_GRAMS = 1 << 21
-#: Bytes of text whose positions are held at once, and distinct grams that a task holds before it hands them on.
-PIECE, HELD = 1 << 18, 1 << 20
-#: Classes with trees of their own, at most, besides the rest.
-CLASSES = 8
 END = b"\n"
 
 
@@ -45,6 +48,11 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text.encode().lower().split() if text else ()), END]
 
 
+def running(text: str | None) -> bytes:
+    """The text's tokens in a row."""
+    return b" ".join(tokens(text))
+
+
 def _ln_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series eight places up, and back down by the product."""
     y = x + 8
@@ -60,21 +68,16 @@ def ln_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def mixed_up(a: np.ndarray, b: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A node's weighted log probability, half its own estimate and half its children's product, and the own one's share."""
     own = ln_kt(a, b)
-    weighted = np.logaddexp(own, below) - math.log(2)
-    return weighted, np.exp(own - np.logaddexp(own, below))
+    both = np.logaddexp(own, below)
+    return both - math.log(2), np.exp(own - both)
 
 
 def one(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (b + 0.5) / (a + b + 1)
 
 
-def positions(terms: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each term: its context's bytes and itself as one number, and the term's place."""
-    return placed_bytes([t if t == END else t + b" " for t in terms], depth)
-
-
 def placed_bytes(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same for texts that are complete as they are."""
+    """For each byte of each text: its gram as one number (the byte lowest, then its context backwards), and the text's place."""
     parts = [b" " * depth + t for t in texts]
     sizes = np.array([len(p) for p in parts], np.int64)
     data = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
@@ -86,262 +89,255 @@ def placed_bytes(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray
     return key[inside], owner[inside]
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, and the sums of their rows of counts."""
+def pieces(texts: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Running texts in pieces of about ``PIECE`` bytes, each with the place of its first."""
+    at, held, size = 0, [], 0
+    for k, text in enumerate(texts):
+        held.append(running(text.as_py()))
+        size += len(held[-1])
+        if size >= PIECE:
+            yield at, held
+            at, held, size = k + 1, [], 0
+    if held:
+        yield at, held
+
+
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, and the sums of their values."""
     distinct, back = np.unique(keys, return_inverse=True)
-    return distinct, np.stack([np.bincount(back, c, len(distinct)) for c in counts.T], axis=1) if counts.shape[1] else np.zeros((len(distinct), 0))
+    return distinct, *(np.bincount(back, v, len(distinct)) for v in values)
+
+
+class Grams:
+    """Distinct grams with their counts; sorted parts are merged when they have doubled."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))]
+        self.fresh = 0
+
+    def add(self, keys: np.ndarray, weight: int) -> None:
+        distinct, n = np.unique(keys, return_counts=True)
+        self.parts.append((distinct, n * float(weight)))
+        self.fresh += len(distinct)
+        if self.fresh > 4 * PIECE and self.fresh > len(self.parts[0][0]):
+            self.merged()
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) > 1:
+            self.parts = [_summed(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))]
+            self.fresh = 0
+        return self.parts[0]
+
+
+def shard_of(top: np.ndarray, shards: int) -> np.ndarray:
+    return (top * 0x9E3779B1 >> 12 & 0xFFFFF) % shards
+
+
+def _shard_column(top: Column, shards: int) -> Column:
+    return (F.shiftright(top * F.lit(0x9E3779B1), 12).bitwiseAND(F.lit(0xFFFFF)) % shards).cast("int")
+
+
+def _split(keys: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order of sorted grams by shard, and (shard, begin, end) in it."""
+    shard = shard_of(keys >> 8 & ((1 << 8 * TOP) - 1), shards)
+    order = np.argsort(shard, kind="stable")
+    present, starts = np.unique(shard[order], return_index=True)
+    return order, list(zip(present.tolist(), starts.tolist(), [*starts.tolist(), len(keys)][1:], strict=True))
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return zstandard.compress(values.tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), kind)
 
 
 class Subtree:
-    """The trees below one context of ``TOP`` bytes: nodes (context, bits so far) by depth, with counts of each class."""
+    """The trees below contexts of ``TOP`` bytes: nodes (context, bits so far) by depth, with their counts."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int) -> None:
-        self.depth, k = depth, np.arange(8)
-        self.n, self.classes = len(keys), counts.shape[1]
+        self.n, k = len(keys), np.arange(8)
         byte = (keys & 255)[:, None]
         self.bit = ((byte >> (7 - k)) & 1).ravel()
         node = (((keys >> 8) << 8)[:, None] | (1 << k) | (byte >> (8 - k))).ravel()
-        zeros = np.repeat(counts, 8, axis=0) * (1 - self.bit)[:, None]
-        both = np.concatenate([zeros, np.repeat(counts, 8, axis=0) * self.bit[:, None]], axis=1)
-        self.nodes, sums = _summed(node, both)
-        self.of_decision = np.searchsorted(self.nodes, node)
-        self.levels = [(self.nodes, sums, ln_kt(*np.split(sums, 2, axis=1)), np.ones((len(sums), self.classes)), None)]
+        n = np.repeat(counts, 8)
+        nodes, a, b = _summed(node, n * (1 - self.bit), n * self.bit)
+        self.of_decision = np.searchsorted(nodes, node)
+        self.levels = [(nodes, a, b, ln_kt(a, b), np.ones(len(nodes)), None)]
         for d in range(depth - 1, TOP - 1, -1):
-            nodes, sums, weighted, _, _ = self.levels[-1]
+            nodes, a, b, weighted, _, _ = self.levels[-1]
             above = (((nodes >> 8) & ((1 << (8 * d)) - 1)) << 8) | (nodes & 255)
-            up, total = _summed(above, np.concatenate([sums, weighted], axis=1))
-            sums, below = total[:, : 2 * self.classes], total[:, 2 * self.classes :]
-            weighted, own = mixed_up(*np.split(sums, 2, axis=1), below)
-            self.levels.append((up, sums, weighted, own, np.searchsorted(up, above)))
+            up, a, b, below = _summed(above, a, b, weighted)
+            weighted, own = mixed_up(a, b, below)
+            self.levels.append((up, a, b, weighted, own, np.searchsorted(up, above)))
 
-    def top(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def top(self) -> tuple[np.ndarray, ...]:
         """Nodes of depth ``TOP``: names, counts, weighted log probabilities and shares."""
-        return self.levels[-1][:4]
+        return self.levels[-1][:5]
 
     def scores(self, mix: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram, given the probability of a one and the weight left at the nodes of ``TOP``."""
-        for k in range(len(self.levels) - 2, -1, -1):
-            _, sums, _, own, _ = self.levels[k]
-            parent = self.levels[k + 1][4]
-            mix, rest = mix[parent] + rest[parent] * own * one(*np.split(sums, 2, axis=1)), rest[parent] * (1 - own)
+        """log10 probability of each gram, given the probability of a one and the weight left above the nodes of ``TOP``."""
+        for k in range(len(self.levels) - 1, -1, -1):
+            _, a, b, _, own, _ = self.levels[k]
+            mix, rest = mix + rest * own * one(a, b), rest * (1 - own)
+            if k:
+                parent = self.levels[k][5]
+                mix, rest = mix[parent], rest[parent]
         p = mix[self.of_decision]
-        bits = np.log10(np.where(self.bit[:, None] == 1, p, 1 - p))
-        return bits.reshape(self.n, 8, self.classes).sum(axis=1)
-
-
-def count_grams(counts: DataFrame, depth: int, classes: int) -> DataFrame:
-    """(key, n0, n1, ...): occurrences of each byte after each context, summed in the tasks before the shuffle."""
-    names = [f"n{k}" for k in range(classes)]
+        return np.log10(np.where(self.bit == 1, p, 1 - p)).reshape(self.n, 8).sum(axis=1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums = np.zeros(0, np.int64), np.zeros((0, classes))
-        for batch in batches:
-            key, owner = positions(batch.column(0).to_pylist(), depth)
-            n = np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(classes)], axis=1).astype(float)
-            keys, sums = _summed(np.concatenate([keys, key]), np.concatenate([sums, n[owner]]))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(c.astype(np.int64)) for c in sums.T]], ["key", *names])
 
-    found = counts.select("term", *names).coalesce(GRAM_TASKS).mapInArrow(run, "key long, " + ", ".join(f"{c} long" for c in names))
-    return found.groupBy("key").agg(*[F.sum(c).alias(c) for c in names])
+def count_grams(rows: DataFrame, depth: int, shards: int) -> DataFrame:
+    """(shard, keys, counts): one row for each shard with all its grams, from rows (text, weight).
 
+    Grams of rows with weight 0 are listed without being counted, so that every gram to be scored has its nodes.
+    """
 
-def running(text: str | None) -> bytes:
-    """The text's tokens in a row."""
-    return b" ".join(tokens(text))
-
-
-def _pieces(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """Running texts in pieces of about ``PIECE`` bytes, each with the place of its first."""
-    at, held, size = 0, [], 0
-    for k, text in enumerate(texts):
-        held.append(running(text))
-        size += len(held[-1])
-        if size >= PIECE or k == len(texts) - 1:
-            yield at, held
-            at, held, size = k + 1, [], 0
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Grams()
 
-def count_running(rows: DataFrame, depth: int, classes: int) -> DataFrame:
-    """(key, n0, n1, ...) of running texts (text, label): summed in the tasks, which hold ``HELD`` grams or so, before the shuffle."""
-    names = [f"n{k}" for k in range(classes)]
+        def out() -> pa.RecordBatch:
+            keys, n = held.merged()
+            order, spans = _split(keys, shards)
+            keys, n = keys[order], n[order].astype(np.int64)
+            columns = ([s for s, _, _ in spans], [blocks.pack_numbers(keys[a:b]) for _, a, b in spans], [_packed(n[a:b]) for _, a, b in spans])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "keys", "counts"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums = np.zeros(0, np.int64), np.zeros((0, classes))
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(c.astype(np.int64)) for c in sums.T]], ["key", *names])
         for batch in batches:
-            labels = batch.column(1).to_numpy(zero_copy_only=False)
-            for label in np.unique(labels):
-                for _, texts in _pieces(batch.column(0).filter(pa.array(labels == label)).to_pylist()):
-                    key, n = np.unique(placed_bytes(texts, depth)[0], return_counts=True)
-                    new = np.zeros((len(key), classes))
-                    if label >= 0:
-                        new[:, label] = n
-                    distinct = np.union1d(keys, key)
-                    both = np.zeros((len(distinct), classes))
-                    both[np.searchsorted(distinct, keys)] = sums
-                    both[np.searchsorted(distinct, key)] += new
-                    keys, sums = distinct, both
-                    if len(keys) >= HELD:
-                        yield out()
-                        keys, sums = np.zeros(0, np.int64), np.zeros((0, classes))
+            weights = batch.column(1).to_numpy(zero_copy_only=False)
+            for weight in (0, 1):
+                for _, texts in pieces(batch.column(0).filter(pa.array(weights == weight))):
+                    held.add(placed_bytes(texts, depth)[0], weight)
+                    if held.fresh + len(held.parts[0][0]) >= HELD:
+                        if len(held.merged()[0]) >= HELD // 2:
+                            yield out()
+                            held = Grams()
         yield out()
 
-    found = rows.select("text", "label").mapInArrow(run, "key long, " + ", ".join(f"{c} long" for c in names))
-    return found.groupBy("key").agg(*[F.sum(c).alias(c) for c in names])
+    def merge(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([blocks.unpack_numbers(x.as_py()) for x in table.column("keys")])
+        keys, n = _summed(keys, np.concatenate([_unpacked(x.as_py(), np.int64) for x in table.column("counts")]).astype(float))
+        return pa.table({"shard": table.column("shard")[:1], "keys": pa.array([blocks.pack_numbers(keys)], pa.binary()), "counts": pa.array([_packed(n.astype(np.int64))], pa.binary())})
 
+    schema = "shard int, keys binary, counts binary"
+    return rows.select("text", "weight").mapInArrow(run, schema).groupBy("shard").applyInArrow(merge, schema)
 
-def _columns(table: pa.Table, names: list[str]) -> np.ndarray:
-    return np.stack([table.column(c).to_numpy() for c in names], axis=1).astype(float)
 
+def _tree(row: dict, depth: int) -> tuple[np.ndarray, Subtree]:
+    keys = blocks.unpack_numbers(row["keys"])
+    return keys, Subtree(keys, _unpacked(row["counts"], np.int64).astype(float), depth)
 
-def gram_scores(grams: DataFrame, depth: int, classes: int) -> DataFrame:
-    """(key, s0, s1, ...): log10 probability of each byte in its context, by class.
 
-    The trees are cut at contexts of ``TOP`` bytes: what lies below such a context is one task's group, what lies above
-    are plain aggregates and joins. Grams without counts are nodes, too, so unseen contexts have a place.
-    """
-    ks = range(classes)
-    names = {c: [f"{c}{k}" for k in ks] for c in ("n", "a", "b", "w", "own", "mix", "rest", "s")}
-    sheared = grams.withColumn("top", F.expr(f"shiftright(key, 8) & {(1 << (8 * TOP)) - 1}"))
+def _table(names: str, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names.split())
 
-    def up(table: pa.Table) -> pa.Table:
-        nodes, sums, weighted, own = Subtree(table.column("key").to_numpy(), _columns(table, names["n"]), depth).top()
-        values = np.concatenate([sums, weighted, own], axis=1)
-        return pa.table({"node": pa.array(nodes)} | {c: pa.array(v) for c, v in zip(names["a"] + names["b"] + names["w"] + names["own"], values.T, strict=True)})
 
-    doubles = lambda *c: ", ".join(f"{x} double" for y in c for x in names[y])
-    levels = [written(sheared.groupBy("top").applyInArrow(up, f"node long, {doubles('a', 'b', 'w', 'own')}"))]
-    for d in range(TOP - 1, -1, -1):
-        node = F.expr(f"((shiftright(node, 8) & {(1 << (8 * d)) - 1}) << 8) | (node & 255)")
-        sums = levels[-1].groupBy(node.alias("node")).agg(*[F.sum(c).alias(c) for x in "abw" for c in names[x]])
+def gram_scores(grams: DataFrame, depth: int, shards: int) -> DataFrame:
+    """(shard, keys, scores): log10 probability (4 bytes each) of each byte in its context, one row for each shard."""
 
-        def mixed(table: pa.RecordBatch) -> pa.RecordBatch:
-            a, b, w = (_columns(table, names[x]) for x in "abw")
-            weighted, own = mixed_up(a, b, w)
-            return pa.RecordBatch.from_arrays([table.column("node"), *[pa.array(v) for x in (a, b, weighted, own) for v in x.T]], ["node", *names["a"], *names["b"], *names["w"], *names["own"]])
-
-        levels.append(written(sums.mapInArrow(lambda batches, f=mixed: map(f, batches), f"node long, {doubles('a', 'b', 'w', 'own')}")))
-    ones = {k: (F.col(f"b{k}") + 0.5) / (F.col(f"a{k}") + F.col(f"b{k}") + 1) for k in ks}
-    path = levels[-1].select("node", *[(F.col(f"own{k}") * ones[k]).alias(f"mix{k}") for k in ks], *[(1 - F.col(f"own{k}")).alias(f"rest{k}") for k in ks])
-    for d in range(TOP):
-        node = F.expr(f"((shiftright(node, 8) & {(1 << (8 * d)) - 1}) << 8) | (node & 255)")
-        above = path.select(F.col("node").alias("parent"), *[F.col(c).alias(f"up_{c}") for x in ("mix", "rest") for c in names[x]])
-        here = levels[TOP - 1 - d].withColumn("parent", node).join(above, "parent")
-        path = here.select(
-            "node", *[(F.col(f"up_mix{k}") + F.col(f"up_rest{k}") * F.col(f"own{k}") * ones[k]).alias(f"mix{k}") for k in ks],
-            *[(F.col(f"up_rest{k}") * (1 - F.col(f"own{k}"))).alias(f"rest{k}") for k in ks],
-        )
-    path = path.withColumn("top", F.expr("shiftright(node, 8)"))
-
-    def down(key: tuple, table: pa.Table, above: pa.Table) -> pa.Table:
-        keys = table.column("key").to_numpy()
-        tree = Subtree(keys, _columns(table, names["n"]), depth)
-        order = np.argsort(above.column("node").to_numpy())
-        s = tree.scores(_columns(above, names["mix"])[order], _columns(above, names["rest"])[order])
-        return pa.table({"key": pa.array(keys)} | {c: pa.array(v) for c, v in zip(names["s"], s.T, strict=True)})
-
-    return sheared.groupBy("top").cogroup(path.groupBy("top")).applyInArrow(down, f"key long, {doubles('s')}")
-
-
-def term_scores(counts: DataFrame, scores: DataFrame, depth: int, classes: int) -> DataFrame:
-    """(term, n, s0, s1, ...): log10 probability of each term, by class."""
-    names = [f"s{k}" for k in range(classes)]
-    wide = ", ".join(f"{c} double" for c in names)
-    if scores.count() <= BROADCAST_GRAMS:
-        table = scores.toArrow().sort_by("key")
-        known = scores.sparkSession.sparkContext.broadcast((table.column("key").to_numpy(), _columns(table, names)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, values = known.value
-            for batch in batches:
-                key, owner = positions(batch.column(0).to_pylist(), depth)
-                at = np.searchsorted(keys, key)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.bincount(owner, v[at], batch.num_rows)) for v in values.T]], ["term", "n", *names])
-
-        return counts.select("term", "n").mapInArrow(run, f"term binary, n long, {wide}")
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, owner = positions(batch.column(0).to_pylist(), depth)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(key)], ["term", "n", "key"])
-
-    met = counts.select("term", "n").mapInArrow(placed, "term binary, n long, key long").join(scores, "key")
-    return met.groupBy("term").agg(F.max("n").alias("n"), *[F.sum(c).alias(c) for c in names])
-
-
-def running_scores(rows: DataFrame, scores: DataFrame, depth: int, classes: int) -> DataFrame:
-    """``rows`` (with text) and s0, s1, ...: log10 probability of each running text, by class."""
-    names = [f"s{k}" for k in range(classes)]
-    wide = ", ".join(f"{c} double" for c in names)
-    if scores.count() <= BROADCAST_GRAMS:
-        table = scores.toArrow()
-        order = np.argsort(table.column("key").to_numpy())
-        known = rows.sparkSession.sparkContext.broadcast((table.column("key").to_numpy()[order], [table.column(c).to_numpy()[order] for c in names]))
-        del table, order
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, values = known.value
-            for batch in batches:
-                sums = np.zeros((classes, batch.num_rows))
-                for first, texts in _pieces(batch.column("text").to_pylist()):
-                    key, owner = placed_bytes(texts, depth)
-                    at = np.searchsorted(keys, key)
-                    sums[:, first : first + len(texts)] = [np.bincount(owner, v[at], len(texts)) for v in values]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(v) for v in sums]], [*batch.schema.names, *names])
-
-        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        return rows.mapInArrow(run, f"{kept}, {wide}")
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for first, texts in _pieces(batch.column(1).to_pylist()):
-                for k, text in enumerate(texts, first):
-                    key, n = np.unique(placed_bytes([text], depth)[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), ids[k])), pa.array(key), pa.array(n)], ["row", "key", "n"])
-
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
-    met = rows.select("row", "text").mapInArrow(placed, "row long, key long, n long").join(scores, "key")
-    sums = met.groupBy("row").agg(*[F.sum(F.col("n") * F.col(c)).alias(c) for c in names])
-    return rows.join(sums, "row").drop("row")
+            for row in batch.to_pylist():
+                yield _table("node a b w own", *_tree(row, depth)[1].top())
 
+    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, w = (batch.column(c).to_numpy() for c in "abw")
+            yield _table("node a b w own", batch.column("node"), a, b, *mixed_up(a, b, w))
 
-def score(docs: DataFrame, learn: Column, group: str | None = None, depth: int = DEPTH, doc_id: str = "doc_id", text: str = "text", head: int = HEAD, running: bool = False) -> DataFrame:
+    schema = "node long, a double, b double, w double, own double"
+    above = lambda d: F.expr(f"((shiftright(node, 8) & {(1 << (8 * d)) - 1}) << 8) | (node & 255)")
+    levels = [written(grams.mapInArrow(up, schema))]
+    for d in range(TOP - 1, -1, -1):
+        sums = levels[-1].groupBy(above(d).alias("node")).agg(*[F.sum(c).alias(c) for c in "abw"])
+        levels.append(written(sums.mapInArrow(mixed, schema)))
+    # From the root down: the probability of a one that the nodes above give, and the weight that they leave.
+    p = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)
+    path = levels[-1].select("node", F.lit(0.0).alias("mix"), F.lit(1.0).alias("rest"), (F.col("own") * p).alias("gives"), F.col("own"))
+    for d in range(TOP):
+        before = path.select(F.col("node").alias("parent"), (F.col("mix") + F.col("rest") * F.col("gives")).alias("mix"), (F.col("rest") * (1 - F.col("own"))).alias("rest"))
+        path = levels[TOP - 1 - d].withColumn("parent", above(d)).join(before, "parent").select("node", "mix", "rest", (F.col("own") * p).alias("gives"), "own")
+    path = path.select("node", "mix", "rest", _shard_column(F.shiftright("node", 8), shards).alias("shard"))
+
+    def down(table: pa.Table, given: pa.Table) -> pa.Table:
+        keys, tree = _tree(table.to_pylist()[0], depth)
+        order = np.argsort(given.column("node").to_numpy())
+        s = tree.scores(given.column("mix").to_numpy()[order], given.column("rest").to_numpy()[order])
+        return pa.table({"shard": table.column("shard"), "keys": table.column("keys"), "scores": pa.array([s.astype(np.float32).tobytes()], pa.binary())})
+
+    return grams.groupBy("shard").cogroup(path.groupBy("shard")).applyInArrow(down, "shard int, keys binary, scores binary")
+
+
+def text_scores(rows: DataFrame, scores: DataFrame, depth: int, shards: int, n_blocks: int) -> DataFrame:
+    """``rows`` (with text) and score: log10 probability of each running text."""
+    dealt = blocks.in_blocks(rows, n_blocks, by=("doc_id", "text"))
+    salts = -(-n_blocks // ANSWERED)
+
+    def distinct(table: pa.Table) -> np.ndarray:
+        held = Grams()
+        for _, texts in pieces(table.column("text")):
+            held.add(placed_bytes(texts, depth)[0], 0)
+        return held.merged()[0]
+
+    def offered(table: pa.Table) -> pa.Table:
+        keys, block = distinct(table), table.column("block")[0].as_py()
+        order, spans = _split(keys, shards)
+        keys = keys[order]
+        columns = ([block] * len(spans), [s for s, _, _ in spans], [block % salts] * len(spans), [blocks.pack_numbers(keys[a:b]) for _, a, b in spans])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (*[pa.int32()] * 3, pa.binary()), strict=True)], ["block", "shard", "salt", "keys"])
+
+    def answered(asks: pa.Table, known: pa.Table) -> pa.Table:
+        out: list[bytes] = []
+        if known.num_rows and asks.num_rows:
+            keys, s = blocks.unpack_numbers(known.column("keys")[0].as_py()), np.frombuffer(known.column("scores")[0].as_py(), np.float32)
+            out = [s[np.searchsorted(keys, blocks.unpack_numbers(x.as_py()))].tobytes() for x in asks.column("keys")]
+        return pa.table({"block": asks.column("block"), "shard": asks.column("shard"), "scores": pa.array(out, pa.binary())})
+
+    def added(table: pa.Table, answers: pa.Table) -> pa.Table:
+        keys = distinct(table)
+        order, spans = _split(keys, shards)
+        given = dict(zip(answers.column("shard").to_pylist(), answers.column("scores"), strict=True))
+        s = np.empty(len(keys))
+        for shard, a, b in spans:
+            s[order[a:b]] = np.frombuffer(given[shard].as_py(), np.float32)
+        total = np.zeros(table.num_rows)
+        for first, texts in pieces(table.column("text")):
+            key, owner = placed_bytes(texts, depth)
+            own, back = np.unique(key, return_inverse=True)
+            total[first : first + len(texts)] = np.bincount(owner, s[np.searchsorted(keys, own)][back], len(texts))
+        return table.drop_columns("block").append_column("score", pa.array(total))
+
+    offers = dealt.groupBy("block").applyInArrow(offered, "block int, shard int, salt int, keys binary")
+    known = scores.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    answers = offers.groupBy("shard", "salt").cogroup(known.groupBy("shard", "salt")).applyInArrow(answered, "block int, shard int, scores binary")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(added, f"{kept}, score double")
+
+
+def score(docs: DataFrame, learn: Column, depth: int = DEPTH, doc_id: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte.
 
-    Rows for which ``learn`` holds are learned from; all are scored. ``group`` names a column that sorts the rows to
-    learn from into classes with trees of their own (the ``CLASSES`` most frequent values; others and nulls together):
-    a text's probability is then their mixture by share of documents, and scoring does not look at the column.
-    With ``running`` contexts go over the spaces between words. ``base_score`` is the add-one unigram baseline. A null or empty text is its end alone; repeated rows count and are
-    scored each; null ids stay null; without rows to learn from all bits are even; an empty table gives no rows.
+    Rows for which ``learn`` holds are learned from; all are scored. ``base_score`` is the add-one unigram baseline. A
+    null or empty text is its end alone; repeated rows count and are scored each; null ids stay null; without rows to
+    learn from all bits are even; an empty table gives no rows; other columns are not read. A text's score adds up
+    single-precision scores of its bytes (about seven digits).
     """
     size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long")
     weight = F.coalesce(learn.cast("int"), F.lit(0))
-    name = F.col(f"`{group}`").cast("string") if group else F.lit(None).cast("string")
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), size.alias("n_bytes"), F.col(f"`{text}`").alias("text"), weight.alias("weight"), name.alias("name"))
-    sizes = rows.where("weight > 0").groupBy("name").count().orderBy(F.desc("count"), "name").limit(CLASSES + 1).collect()
-    named = [r["name"] for r in sizes if r["name"] is not None][:CLASSES]
-    n_learned = rows.where("weight > 0").count()
-    shares = [r["count"] for v in named for r in sizes if r["name"] == v]
-    shares += [n_learned - sum(shares)] if n_learned > sum(shares) or not shares else []
-    ks = range(len(shares))
-    label = reduce(lambda c, k: c.when(F.col("name") == named[k], k), range(1, len(named)), F.when(F.col("name") == named[0], 0)).otherwise(len(named)) if named else F.lit(0)
-    labelled = rows.select("text", F.when(F.col("weight") > 0, label).otherwise(-1).cast("int").alias("label"))
-    counts = written(dictionary.term_counts(labelled, tokens, "binary", len(shares)))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), size.alias("n_bytes"), F.col(f"`{text}`").alias("text"), weight.alias("weight"))
+    total_bytes = rows.agg(F.sum("n_bytes")).first()[0] or 0
+    shards = min(MOST_SHARDS, max(LEAST_SHARDS, total_bytes // SHARD_BYTES))
+    n_blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // BLOCK_BYTES))
+    counts = written(dictionary.term_counts(rows.select("text", (F.col("weight") - 1).alias("label")), tokens, "binary"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    grams = written(count_running(labelled, depth, len(shares)) if running else count_grams(counts, depth, len(shares)))
-    scores = written(gram_scores(grams, depth, len(shares)))
-    each = [f"s{k}" for k in ks]
-    by_term, rows = counts if running else term_scores(counts, scores, depth, len(shares)), rows.select("doc_id", "n_bytes", "text")
-    rows, carried, summed = (running_scores(rows, scores, depth, len(shares)), each, []) if running else (rows, [], each)
-    table = written(by_term.select("term", "n", F.log10(F.col("n") + 1.0).alias("plus"), (F.col("n") > 0).cast("double").alias("known"), *summed))
-    out = dictionary.sums(rows, table, tokens, ["plus", "known", *summed], ["doc_id", "n_bytes", *carried], "binary", head)
+    grams = written(count_grams(rows, depth, shards))
+    scores = written(gram_scores(grams, depth, shards))
+    scored = text_scores(rows.drop("weight"), scores, depth, shards, n_blocks).select("doc_id", "n_bytes", "score", "text")
+    table = written(counts.select("term", "n", F.log10(F.col("n") + 1.0).alias("plus"), (F.col("n") > 0).cast("double").alias("known")))
+    out = dictionary.sums(scored, table, tokens, ["plus", "known"], ["doc_id", "n_bytes", "score"], "binary", head)
     base = F.col("plus") - F.col("n_terms") * math.log10(total["n"] + total["v"] + 1)
-    parts = [F.col(f"s{k}") + math.log10(max(shares[k], 1) / max(sum(shares), 1)) for k in ks]
-    best = F.greatest(*parts) if len(parts) > 1 else parts[0]
-    mixed = best + F.log10(reduce(lambda x, y: x + y, [F.pow(F.lit(10.0), p - best) for p in parts]))
-    scored = out.select("*", base.alias("base_score"), mixed.alias("score"))
-    return scored.select(
+    return out.select(
         "doc_id", F.col("n_terms").alias("n_tokens"), F.round("known").cast("long").alias("n_known"), F.lit(total["n"]).cast("long").alias("train_tokens"),
-        "base_score", "score", (-F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+        base.alias("base_score"), "score", (-F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )

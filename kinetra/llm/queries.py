@@ -57,9 +57,9 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    scored = ctw.score(docs, ~held, group="lang", running=True)
+    scored = ctw.score(docs, ~held)
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
@@ -93,7 +93,7 @@ def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = vector_packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"), TOKENIZER)
+    pieces = vector_packing.pack_limited(_table(spark, sf_dir, "documents", "doc_id", "text"), TOKENIZER)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 
 from kinetra.llm.text import PRE_TOKEN, vocabulary
 
+#: Limits of a sequence in ``pack_limited``: tokens, segments, tokens that bear loss.
+TOKENS, SEGMENTS, LOSS = 2048, 12, 1984
+#: Bytes of text for each leading token that counts as prompt there: an eighth of a text or so.
+PROMPT_BYTES = 32
 #: Pieces among which the heuristic chooses (a task's memory bound; all pieces are placed).
 WAITING = 1024
 
@@ -145,9 +149,27 @@ def _encoding(path: str):  # noqa: ANN202
     return tiktoken.Encoding("file", pat_str=PRE_TOKEN.pattern, mergeable_ranks=ranks, special_tokens=vocab.special)
 
 
+@lru_cache(maxsize=2)
+def _own_library(path: str):  # noqa: ANN202
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path)
+    made.no_truncation()
+    made.no_padding()
+    return made
+
+
 def ids_of(text: str | None, path: str) -> list[int]:
-    """Ids as the file's own library gives them, special strings in the text included."""
-    return _encoding(path).encode(text, allowed_special="all") if text else []
+    """Ids as the file's own library gives them, special strings in the text included.
+
+    The faster library gives up on a run of a million spaces or so (its pattern backtracks); such a text is encoded by the file's own.
+    """
+    if not text:
+        return []
+    try:
+        return _encoding(path).encode(text, allowed_special="all")
+    except ValueError:
+        return _own_library(path).encode(text, add_special_tokens=False).ids
 
 
 def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end: int = 1, tokens: int = 2048, segments: int = 512, loss: int | None = None, prompt: str | None = None) -> DataFrame:
@@ -201,3 +223,10 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
             yield from out(packer.take(), key_kind)
 
     return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+
+
+def pack_limited(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``pack`` for documents without prompts of their own: one leading token for every ``PROMPT_BYTES`` bytes bears no loss."""
+    head = F.floor(F.octet_length(F.col(f"`{text}`")) / PROMPT_BYTES)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), head.alias("prompt"))
+    return pack(rows, tokenizer, tokens=TOKENS, segments=SEGMENTS, loss=LOSS, prompt="prompt")

@@ -212,73 +212,8 @@ def test_language(spark):
     assert lang_id.train(df.limit(0)) is None
 
 
-def brute_ctw(train, depth):
-    """Sequential definition on dictionaries: log10 probability of a token from trained context trees."""
-    nodes: dict = {}
-    for token, n in train.items():
-        s = b" " * depth + token + (b"" if token == ctw.END else b" ")
-        for i in range(depth, len(s)):
-            for k in range(8):
-                q, bit = (1 << k) | (s[i] >> (8 - k)), (s[i] >> (7 - k)) & 1
-                for d in range(depth + 1):
-                    nodes.setdefault((s[i - d : i], q), [0, 0])[bit] += n
-    lkt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
-    weighted, own = {}, {}
-    for d in range(depth, -1, -1):
-        for (c, q), (a, b) in [x for x in nodes.items() if len(x[0][0]) == d]:
-            if d == depth:
-                weighted[c, q], own[c, q] = lkt(a, b), 1.0
-            else:
-                below = sum(w for (c2, q2), w in weighted.items() if q2 == q and len(c2) == d + 1 and c2[1:] == c)
-                mine = lkt(a, b)
-                weighted[c, q] = np.logaddexp(mine, below) - math.log(2)
-                own[c, q] = 1 / (1 + math.exp(min(700, below - mine)))
-
-    def score(token):
-        s, total = b" " * depth + token + (b"" if token == ctw.END else b" "), 0.0
-        for i in range(depth, len(s)):
-            for k in range(8):
-                q, bit, p, rest = (1 << k) | (s[i] >> (8 - k)), (s[i] >> (7 - k)) & 1, 0.0, 1.0
-                for d in range(depth + 1):
-                    if (s[i - d : i], q) not in nodes:
-                        break
-                    a, b = nodes[s[i - d : i], q]
-                    share = own[s[i - d : i], q]
-                    p, rest = p + rest * share * (b + 0.5) / (a + b + 1), rest * (1 - share)
-                p += rest / 2
-                total += math.log10(p if bit else 1 - p)
-        return total
-
-    return score
-
-
-def test_context_trees(spark):
-    rows = [(1, "the then the", "x"), (2, "them THE other", "x"), (3, None, "x"), (4, "unseen words, étrange", "y"), (5, "", None), (6, "the \x00", "y")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
-    learned = [r for r in rows if r[0] != 4]
-    train = Counter(t for _, text, _ in learned for t in ctw.tokens(text))
-    score = brute_ctw(train, 3)
-    n, v = sum(train.values()), len(train)
-    for head in (0, 2, 100):
-        for r in ctw.score(df, F.col("doc_id") != 4, depth=3, head=head).collect():
-            terms = ctw.tokens({i: t for i, t, _ in rows}[r["doc_id"]])
-            assert r["score"] == pytest.approx(sum(map(score, terms)), rel=1e-9)
-            assert r["base_score"] == pytest.approx(sum(math.log10((train[t] + 1) / (n + v + 1)) for t in terms), rel=1e-9)
-            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(terms), sum(t in train for t in terms), n)
-    kinds = {}
-    for kind in ("x", "y", None):
-        kinds[kind] = brute_ctw(Counter(t for _, text, k in learned if k == kind for t in ctw.tokens(text)), 3)
-    share = Counter(k for _, _, k in learned)
-    for r in ctw.score(df, F.col("doc_id") != 4, group="kind", depth=3).collect():
-        terms = ctw.tokens({i: t for i, t, _ in rows}[r["doc_id"]])
-        parts = [math.log10(share[k] / 5) + sum(map(kinds[k], terms)) for k in kinds]
-        best = max(parts)
-        assert r["score"] == pytest.approx(best + math.log10(sum(10 ** (p - best) for p in parts)), rel=1e-9)
-    assert ctw.score(df.limit(0), F.col("doc_id") != 4).count() == 0
-
-
 def brute_running(train, depth):
-    """The same definition over running texts: log10 probability of a text."""
+    """Sequential definition on dictionaries: log10 probability of a text from trained context trees."""
     nodes: dict = {}
     padded = lambda text: b" " * depth + b" ".join(ctw.tokens(text))
     decisions = lambda s: [(s, i, (1 << k) | (s[i] >> (8 - k)), (s[i] >> (7 - k)) & 1) for i in range(depth, len(s)) for k in range(8)]
@@ -311,16 +246,34 @@ def brute_running(train, depth):
     return score
 
 
-def test_contexts_cross_words(spark, monkeypatch):
-    texts = ["the cat sat", "the cat ran", "A cat sat the", "sat the cat", None, "", "ünseen the"]
-    rows = [(i % 6, t, "xxyyyxy"[i]) for i, t in enumerate(texts)]  # an id is there twice
-    df = spark.createDataFrame(rows, "doc_id long, text string, kind string").repartition(2)
-    for bound, piece, held in ((1 << 21, 1 << 21, 1 << 20), (0, 8, 5)):  # broadcast, then joined in small pieces
-        for name, value in (("BROADCAST_GRAMS", bound), ("PIECE", piece), ("HELD", held)):
+def test_context_trees(spark, monkeypatch):
+    texts = ["the cat sat", "the cat ran", "A cat sat the", "sat the cat", None, "", "ünseen the", "the \x00", "word " * 300]
+    rows = [(i % 7 if i < 8 else None, t, "xxyyyxyxy"[i]) for i, t in enumerate(texts)]  # an id is there twice, one is null
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(2)
+    learned = [t for i, t, _ in rows if i is not None and i != 3]
+    train = Counter(x for t in learned for x in ctw.tokens(t))
+    n, v = sum(train.values()), len(train)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for depth, piece, held, head in ((6, 1 << 20, 1 << 21, 100), (4, 8, 5, 0)):  # whole, then in small pieces
+        for name, value in (("PIECE", piece), ("HELD", held), ("ANSWERED", head or 1)):
             monkeypatch.setattr(ctw, name, value)
-        got = sorted((r["doc_id"], r["score"]) for r in ctw.score(df, F.col("doc_id") != 3, depth=5, running=True).collect())
-        brute = brute_running([t for i, t, _ in rows if i != 3], 5)
-        want = sorted((i, brute(t)) for i, t, _ in rows)
-        assert [g[0] for g in got] == [w[0] for w in want]
-        assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-9)
+        got = sorted(((r["doc_id"], r["n_tokens"], r["score"], r["base_score"], r["n_known"], r["train_tokens"]) for r in ctw.score(df, F.col("doc_id") != 3, depth=depth, head=head).collect()), key=key)
+        brute = brute_running(learned, depth)
+        want = []
+        for i, t, _ in rows:
+            terms = ctw.tokens(t)
+            base = sum(math.log10((train[x] + 1) / (n + v + 1)) for x in terms)
+            want.append((i, len(terms), brute(t), base, sum(x in train for x in terms), n))
+        want.sort(key=key)
+        assert [(g[0], g[1], *g[4:]) for g in got] == [(w[0], w[1], *w[4:]) for w in want]
+        assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-6)
+        assert [g[3] for g in got] == pytest.approx([w[3] for w in want], rel=1e-9)
         assert brute("the cat sat") > brute("sat cat the")  # a shuffle of the words scores less
+    assert ctw.score(df.limit(0), F.col("doc_id") != 4).count() == 0
+    even = ctw.score(df.where("doc_id = 3"), F.lit(False)).first()  # nothing learned: every bit is even
+    assert even["score"] == pytest.approx(-8 * len(ctw.running("sat the cat")) * math.log10(2), rel=1e-6)
+
+
+def test_long_runs_are_packed_like_the_library():
+    for text in (" " * 2_000_000, "\n" * 1_500_000 + "x", "a" * 1_000_000):
+        assert vector_packing.ids_of(text, TOKENIZER) == LIBRARY.encode(text, add_special_tokens=False).ids
