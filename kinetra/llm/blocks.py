@@ -107,11 +107,11 @@ OFFER = "block int, shard int, keys binary, extra binary"
 ANSWER = "block int, shard int, answer binary"
 
 
-def exchange(rows: DataFrame, shards: int, offer: Callable, resolve: Callable, finish: Callable, schema: str, width: int = 1, key_bytes: int = 7) -> DataFrame:
+def exchange(rows: DataFrame, shards: int, offer: Callable, resolve: Callable, finish: Callable, schema: str, width: int = 1, key_bytes: int = 7, told: int = 1) -> DataFrame:
     """Runs a block operator over ``rows`` (with a block); an answer has ``width`` numbers, a key ``key_bytes`` besides its shard.
 
-    ``offer(docs)`` gives a block's distinct hashes, a number for each (say the smallest doc_id that has it) and
-    what ``finish`` needs of it.
+    ``offer(docs)`` gives a block's distinct hashes, a number for each (say the smallest doc_id that has it; a row of
+    ``told`` numbers if those are more than one) and what ``finish`` needs of it.
     ``resolve(keys, numbers, blocks)`` sees a shard's entries and gives the places of those it answers, in order, and
     a row of answers for each.
     ``finish(state, places, answers)`` gets the answers by place in what ``offer`` gives again for the same block.
@@ -128,7 +128,7 @@ def exchange(rows: DataFrame, shards: int, offer: Callable, resolve: Callable, f
                 "block": pa.array([block] * len(spans), pa.int32()),
                 "shard": pa.array([s for s, _, _ in spans], pa.int32()),
                 "keys": pa.array([pack_keys(h[a:b], shards, key_bytes) for _, a, b in spans], pa.binary()),
-                "extra": pa.array([pack_numbers(number[a:b]) for _, a, b in spans], pa.binary()),
+                "extra": pa.array([pack_numbers(number[a:b].T.ravel()) for _, a, b in spans], pa.binary()),
             }
         )
 
@@ -137,7 +137,8 @@ def exchange(rows: DataFrame, shards: int, offer: Callable, resolve: Callable, f
         keys = [unpack_keys(k, key_bytes) for _, k, _ in rows]
         sizes = np.array([len(k) for k in keys])
         ends = np.cumsum(sizes)
-        places, answers = resolve(np.concatenate(keys), np.concatenate([unpack_numbers(x) for _, _, x in rows]), np.repeat([b for b, _, _ in rows], sizes))
+        numbers = np.concatenate([unpack_numbers(x).reshape(told, -1).T for _, _, x in rows])
+        places, answers = resolve(np.concatenate(keys), numbers[:, 0] if told == 1 else numbers, np.repeat([b for b, _, _ in rows], sizes))
         cuts = np.searchsorted(places, ends)
         shard, out, a = table.column("shard")[0].as_py(), [], 0
         for (block, _, _), start, b in zip(rows, ends - sizes, cuts, strict=True):

@@ -1,11 +1,11 @@
 """Substring dedup by relative Lempel-Ziv parsing against every indexed reference block.
 
 Each block of documents is a reference block; its index holds the hash of every window of ``window`` words with the
-smallest document that has it, and the blocks' indexes are sharded by hash. A document is parsed greedily from left to
-right: where the window at hand is indexed under an earlier document, a factor copies from that document as far as
-its successive windows do; else a single literal word follows. Factors are at least ``window`` words long and are
-duplicate spans. A duplicate window that lies in no factor must reach over a factor's end, so these are checked
-too, and the spans cover exactly the words of all windows that an earlier document holds.
+smallest document that has it and the place there, and the blocks' indexes are sharded by hash. A document is parsed
+greedily from left to right: where the window at hand is indexed under an earlier document, a factor copies from that
+place as far as the document's next windows are indexed at the next places; else a single literal word follows. Factors
+are at least ``window`` words long and are duplicate spans. A duplicate window that lies in no factor must reach over a
+factor's end, so these are checked too, and the spans cover exactly the words of all windows that an earlier document holds.
 
 Windows are equal if 56 bits of their hash and its shard are; more data has more shards and so more bits.
 """
@@ -23,28 +23,28 @@ from pyspark.sql import functions as F
 from kinetra.llm import blocks
 from kinetra.llm.text import words
 
-SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start:long,length:long,source:long>>, carried {}"
-FACTORS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("source", pa.int64())]))
+SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start:long,length:long,source:long,at:long>>, carried {}"
+FACTORS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("source", pa.int64()), ("at", pa.int64())]))
 
 
-def parse(source: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """Greedy factors (start, length, source) of a document; ``source`` has each window's earlier document or -1."""
+def parse(source: np.ndarray, place: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, length, source, place in the source); ``source`` has each window's earlier document or -1."""
     hits = np.flatnonzero(source >= 0)
     if not len(hits):
         return []
-    breaks = np.flatnonzero(source[1:] != source[:-1]) + 1
+    breaks = np.flatnonzero((source[1:] != source[:-1]) | (place[1:] != place[:-1] + 1)) + 1
     ends = np.append(breaks, len(source))
     factors, at = [], 0
     while (k := np.searchsorted(hits, at)) < len(hits):
         start = int(hits[k])
         end = int(ends[np.searchsorted(breaks, start, side="right")])
         length = end - start + window - 1
-        factors.append((start, length, int(source[start])))
+        factors.append((start, length, int(source[start]), int(place[start])))
         at = start + length
     return factors
 
 
-def covered(factors: list[tuple[int, int, int]], source: np.ndarray, window: int, n: int) -> np.ndarray:
+def covered(factors: list[tuple[int, int, int, int]], source: np.ndarray, window: int, n: int) -> np.ndarray:
     """Words in a factor, or in a duplicate window that reaches over a factor's end."""
     edge = np.zeros(n + 1, np.int64)
     if factors:
@@ -88,29 +88,31 @@ def dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str =
     def offer(table: pa.Table) -> tuple[np.ndarray, np.ndarray, tuple]:
         ordered, h, owner, at = _block(table, window)
         _, first, back = np.unique(h, return_index=True, return_inverse=True)
-        place = np.argsort(first)  # offered in reading order; as documents are in order, the first has the smallest id
-        return h[first[place]], owner[first[place]], (ordered, owner, at, first, back, place)
-
-    def resolve(keys: np.ndarray, owner: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order, starts, group = blocks.grouped(keys)
-        least = np.empty(len(keys), np.int64)
-        least[order] = np.minimum.reduceat(owner[order], starts)[group]
-        places = np.flatnonzero(least < owner)
-        return places, least[places, None]
+        order = np.argsort(first)  # offered in reading order; as documents are in order, the first has the smallest id
+        place = np.arange(len(h)) - np.repeat(at[:-1], np.diff(at))
+        return h[first[order]], np.stack([owner, place], axis=1)[first[order]], (ordered, owner, place, at, first, back, order)
+
+    def resolve(keys: np.ndarray, numbers: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((numbers[:, 0], keys))  # a document's place is the same in all its entries: it is in one block
+        new = np.append(True, keys[order][1:] != keys[order][:-1])
+        least = np.empty_like(numbers)
+        least[order] = numbers[order][new][np.cumsum(new) - 1]
+        places = np.flatnonzero(least[:, 0] < numbers[:, 0])
+        return places, least[places]
 
     def finish(state: tuple, places: np.ndarray, answers: np.ndarray) -> pa.Table:
-        ordered, owner, at, first, back, place = state
-        least = owner[first]
-        least[place[places]] = answers[:, 0]
-        source = least[back]
-        source[source >= owner] = -1
+        ordered, owner, place, at, first, back, order = state
+        least = np.stack([owner, place], axis=1)[first]
+        least[order[places]] = answers
+        source, place = least[back].T
+        source = np.where(source >= owner, -1, source)
         out: list[tuple] = []
         for k, text in enumerate(ordered.column("text")):
             w, mine = words(text.as_py()), source[at[k] : at[k + 1]]
-            factors = parse(mine, window)
+            factors = parse(mine, place[at[k] : at[k + 1]], window)
             gone = covered(factors, mine, window, len(w))
             kept = text.as_py() if as_is and not factors else b" ".join(compress(w, ~gone)).decode()
-            out.append((len(w), int(gone.sum()), kept, [dict(zip(("start", "length", "source"), f, strict=True)) for f in factors]))
+            out.append((len(w), int(gone.sum()), kept, [dict(zip(("start", "length", "source", "at"), f, strict=True)) for f in factors]))
         types = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_text": pa.string(), "factors": FACTORS}
         made = {c: pa.array([r[j] for r in out], t) for j, (c, t) in enumerate(types.items())}
         carried = ordered.column("carried").combine_chunks()
@@ -119,5 +121,5 @@ def dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str =
         return pa.table({"doc_id": ordered.column("doc_id")} | made | {"carried": carried})
 
     schema = SCHEMA.format(rows.schema["carried"].dataType.simpleString())
-    parsed = blocks.exchange(blocks.in_blocks(rows, n_blocks), shards, offer, resolve, finish, schema)
+    parsed = blocks.exchange(blocks.in_blocks(rows, n_blocks), shards, offer, resolve, finish, schema, width=2, told=2)
     return parsed.withColumn("carried", F.col("carried").dropFields("none")) if carry else parsed.drop("carried")

@@ -63,7 +63,16 @@ def test_substring_dedup_is_exact(spark, docs):
                     gone[k : k + window] = True
             assert r["n_words"] == len(w) and r["n_removed"] == gone.sum() and r["carried"]["lang"] == "en"
             assert r["kept_text"].encode() == b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
-            assert all(f["length"] >= window and f["source"] < r["doc_id"] for f in r["factors"])
+            for f in r["factors"]:  # each factor is a copy that is there
+                source = words(dict((x[0], x[1]) for x in rows)[f["source"]])
+                assert f["length"] >= window and f["source"] < r["doc_id"]
+                assert source[f["at"] : f["at"] + f["length"]] == w[f["start"] : f["start"] + f["length"]]
+
+
+def test_substring_dedup_copies_run_on_in_the_source(spark):
+    df = spark.createDataFrame([(1, "a b c x b c d"), (2, "a b c d"), (3, "q b c d b c d")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], [tuple(f) for f in r["factors"]]) for r in substring_dedup.dedup(df, 3).collect()}
+    assert got == {1: (0, []), 2: (4, [(0, 3, 1, 0)]), 3: (6, [(1, 3, 1, 4), (4, 3, 1, 4)])}
 
 
 def test_substring_dedup_defined_cases(spark):
