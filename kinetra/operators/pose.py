@@ -1,4 +1,4 @@
-"""Operators on keypoints (track_id, frame_idx, j, x, y, s; joints 0 to 16)."""
+"""Operators on keypoints (seq_id, track_id, frame_idx, j, x, y, s; joints 0 to 16)."""
 
 from __future__ import annotations
 
@@ -11,13 +11,15 @@ from kinetra.functions import geometry as g
 ANGLES = {"left_elbow": (5, 7, 9), "right_elbow": (6, 8, 10), "left_knee": (11, 13, 15), "right_knee": (12, 14, 16), "left_hip": (5, 11, 13), "right_hip": (6, 12, 14)}
 #: Spread of each joint in object keypoint similarity.
 SIGMAS = (0.026, 0.025, 0.025, 0.035, 0.035, 0.079, 0.079, 0.072, 0.072, 0.062, 0.062, 0.107, 0.107, 0.087, 0.087, 0.089, 0.089)
-LOWER, TORSO = (11, 12, 13, 14, 15, 16), (5, 6, 11, 12)
+LOWER, TORSO, SHOULDERS = (13, 14, 15, 16), (5, 6, 11, 12), (5, 6)
 LEAST_SCORE = 0.3
+TRACK = ("seq_id", "track_id")
+POSE = (*TRACK, "frame_idx")
 
 
 def wide(kp: DataFrame) -> DataFrame:
     """One row for each pose: array ``kp`` of (x, y, s) by joint."""
-    rows = kp.groupBy("track_id", "frame_idx").agg(F.sort_array(F.collect_list(F.struct("j", "x", "y", "s"))).alias("kp"))
+    rows = kp.groupBy(*POSE).agg(F.sort_array(F.collect_list(F.struct("j", "x", "y", "s"))).alias("kp"))
     return rows
 
 
@@ -26,21 +28,21 @@ def _at(j: int, c: str) -> Column:
 
 
 def joint_angles(kp: DataFrame) -> DataFrame:
-    """(track_id, frame_idx, joint, angle): null where one of the three joints scores under 0.3 or an arm has no length."""
+    """(seq_id, track_id, frame_idx, joint, angle): null where one of the three joints scores under 0.3 or an arm has no length."""
     angles = []
     for name, (a, b, c) in ANGLES.items():
         sure = F.least(*[_at(j, "s") for j in (a, b, c)]) >= LEAST_SCORE
         value = g.angle(*[_at(j, v) for j in (a, b, c) for v in "xy"])
         angles.append(F.struct(F.lit(name).alias("joint"), F.when(sure, value).alias("angle")))
-    return wide(kp).select("track_id", "frame_idx", F.explode(F.array(*angles)).alias("r")).select("track_id", "frame_idx", "r.joint", "r.angle")
+    return wide(kp).select(*POSE, F.explode(F.array(*angles)).alias("r")).select(*POSE, "r.joint", "r.angle")
 
 
 def consensus(angles: DataFrame, half: int = 2) -> DataFrame:
-    """Per frame and joint: circular mean (period 180 degrees) over tracks, and its centred median over frames."""
+    """Per sequence, frame and joint: circular mean (period 180 degrees) over tracks, and its centred median over frames."""
     twice = F.radians(F.col("angle") * 2)
     mean = F.degrees(F.atan2(F.avg(F.sin(twice)), F.avg(F.cos(twice)))) / 2
-    per = angles.where("angle is not null").groupBy("frame_idx", "joint").agg(F.pmod(mean + 180, F.lit(180.0)).alias("circular_mean"), F.stddev_pop("angle").alias("ripple"))
-    near = Window.partitionBy("joint").orderBy("frame_idx").rowsBetween(-half, half)
+    per = angles.where("angle is not null").groupBy("seq_id", "frame_idx", "joint").agg(F.pmod(mean + 180, F.lit(180.0)).alias("circular_mean"), F.stddev_pop("angle").alias("ripple"))
+    near = Window.partitionBy("seq_id", "joint").orderBy("frame_idx").rowsBetween(-half, half)
     return per.withColumn("truth", F.percentile("circular_mean", F.lit(0.5)).over(near))
 
 
@@ -48,73 +50,65 @@ def deviations(angles: DataFrame, truth: DataFrame, most_ripple: float = 30.0) -
     """Distance of each angle from the consensus (period 180), none where the group itself disagrees."""
     d = F.abs(F.col("angle") - F.col("truth"))
     dev = F.when(F.col("ripple") <= most_ripple, F.least(d, 180 - d))
-    return angles.join(truth, ["frame_idx", "joint"]).select("track_id", "frame_idx", "joint", dev.alias("deviation"))
+    return angles.join(truth, ["seq_id", "frame_idx", "joint"]).select(*POSE, "joint", dev.alias("deviation"))
 
 
 def summaries(dev: DataFrame) -> DataFrame:
     """Per track: mean deviation, synchronisation score and its three worst joints."""
-    per = dev.groupBy("track_id", "joint").agg(F.round(F.avg("deviation"), 6).alias("d")).where("d is not null")
+    per = dev.groupBy(*TRACK, "joint").agg(F.round(F.avg("deviation"), 6).alias("d")).where("d is not null")
     worst = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("d")).alias("d"), "joint"))), 1, 3)
-    joints = per.groupBy("track_id").agg(F.array_join(F.transform(worst, lambda r: r["joint"]), ",").alias("worst_joints"))
-    mean = dev.groupBy("track_id").agg(F.avg("deviation").alias("mean_deviation"))
-    return mean.join(joints, "track_id").select("track_id", "mean_deviation", F.round(F.greatest(F.lit(0.0), 100 - 2 * F.col("mean_deviation")), 1).alias("sync_score"), "worst_joints")
+    joints = per.groupBy(*TRACK).agg(F.array_join(F.transform(worst, lambda r: r["joint"]), ",").alias("worst_joints"))
+    mean = dev.groupBy(*TRACK).agg(F.avg("deviation").alias("mean_deviation"))
+    return mean.join(joints, [*TRACK]).select(*TRACK, "mean_deviation", F.round(F.greatest(F.lit(0.0), 100 - 2 * F.col("mean_deviation")), 1).alias("sync_score"), "worst_joints")
 
 
-def low_confidence(kp: DataFrame, limit: float = 0.45) -> DataFrame:
-    """Per track: the 75th percentile of its frames' mean scores, and whether it is under the limit."""
-    frames = kp.groupBy("track_id", "frame_idx").agg(F.avg("s").alias("m"))
-    return frames.groupBy("track_id").agg(F.percentile("m", F.lit(0.75)).alias("p75")).withColumn("low", F.col("p75") < limit)
-
-
-def jitter(kp: DataFrame, most_gap: int = 2) -> DataFrame:
-    """Per track: mean movement of a joint between its frames at most two apart."""
-    w = Window.partitionBy("track_id", "j").orderBy("frame_idx")
+def facts(kp: DataFrame, unseen: float = 0.1, unsure: float = 0.15, sure: float = 0.5, most_gap: int = 2) -> DataFrame:
+    """Per track what the pose rules ask: scores by part of the body, movement of a joint between frames at most two apart, first and last pose."""
+    s, w = F.col("s"), Window.partitionBy(*TRACK, "j").orderBy("frame_idx")
+    part = lambda joints: F.when(F.col("j").isin(*joints), s)
     moved = F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), F.lit(2)) + F.pow(F.col("y") - F.lag("y").over(w), F.lit(2)))
-    step = F.col("frame_idx") - F.lag("frame_idx").over(w)
-    return kp.withColumn("moved", F.when(step <= most_gap, moved)).groupBy("track_id").agg(F.avg("moved").alias("mean_move"))
-
-
-def confirmed(kp: DataFrame, limit: float = 0.5, share: float = 0.4) -> DataFrame:
-    """Per track: share of frames whose torso joints score ``limit`` on average, and whether that is enough."""
-    frames = kp.where(F.col("j").isin(*TORSO)).groupBy("track_id", "frame_idx").agg(F.avg("s").alias("m"))
-    return frames.groupBy("track_id").agg(F.avg((F.col("m") >= limit).cast("double")).alias("torso_share")).withColumn("confirmed", F.col("torso_share") >= share)
+    near = F.when(F.col("frame_idx") - F.lag("frame_idx").over(w) <= most_gap, moved)
+    joints = kp.withColumn("moved", near).groupBy(*TRACK).agg(F.percentile(part(LOWER), F.lit(0.95)).alias("lower_p95"), F.avg(part(SHOULDERS)).alias("shoulders"), F.avg("moved").alias("mean_move"))
+    frames = kp.groupBy(*POSE).agg(F.avg("s").alias("m"), F.avg(part(LOWER)).alias("lower"), F.avg(part(TORSO)).alias("torso"))
+    share = lambda c: F.avg(c.cast("double"))
+    poses = frames.groupBy(*TRACK).agg(
+        F.count("*").alias("n_poses"), F.min("frame_idx").alias("first_pose"), F.max("frame_idx").alias("last_pose"), F.percentile("m", F.lit(0.75)).alias("score_p75"),
+        F.avg("lower").alias("lower_mean"), share(F.col("lower") < unseen).alias("lower_unseen"), share(F.col("lower") < LEAST_SCORE).alias("lower_low"),
+        share(F.col("torso") >= sure).alias("torso_share"), share(F.col("m") < unsure).alias("unsure_share"),
+    )
+    return poses.join(joints, [*TRACK])
 
 
-def rejected(kp: DataFrame, limit: float = 0.15, share: float = 0.8) -> DataFrame:
-    frames = kp.groupBy("track_id", "frame_idx").agg(F.avg("s").alias("m"))
-    return frames.groupBy("track_id").agg(F.avg((F.col("m") < limit).cast("double")).alias("bad_share")).withColumn("rejected", F.col("bad_share") >= share)
-
-
-def completeness(kp: DataFrame) -> DataFrame:
-    """Per track: 95th percentile of the lower body's scores and mean of the shoulders'."""
-    return kp.groupBy("track_id").agg(
-        F.percentile(F.when(F.col("j").isin(*LOWER), F.col("s")), F.lit(0.95)).alias("lower_p95"), F.avg(F.when(F.col("j").isin(5, 6), F.col("s"))).alias("shoulders")
-    )
+def legacy_mirrors(facts: DataFrame, most: float = 0.5) -> DataFrame:
+    """Tracks whose lower body scores under 0.3 in more than ``most`` of their poses."""
+    return facts.where(F.col("lower_low") > most).select(*TRACK)
 
 
 def smoothed(kp: DataFrame, radius: int = 2) -> DataFrame:
     """Positions averaged over frames at most ``radius`` apart, weighted by score over one plus the distance in frames."""
-    near = kp.select("track_id", "j", F.explode(F.sequence(F.col("frame_idx") - radius, F.col("frame_idx") + radius)).alias("frame_idx"), F.col("frame_idx").alias("f"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("s").alias("ns"))
+    near = kp.select(*TRACK, "j", F.explode(F.sequence(F.col("frame_idx") - radius, F.col("frame_idx") + radius)).alias("frame_idx"), F.col("frame_idx").alias("f"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("s").alias("ns"))
     w = F.col("ns") / (1 + F.abs(F.col("f") - F.col("frame_idx")))
-    sums = near.groupBy("track_id", "j", "frame_idx").agg(F.sum(w).alias("w"), F.sum(w * F.col("nx")).alias("wx"), F.sum(w * F.col("ny")).alias("wy"))
-    out = kp.join(sums, ["track_id", "j", "frame_idx"])
-    return out.select("track_id", "frame_idx", "j", *[F.when(F.col("w") > 0, F.col(f"w{c}") / F.col("w")).otherwise(F.col(c)).alias(c) for c in "xy"], "s")
+    sums = near.groupBy(*TRACK, "j", "frame_idx").agg(F.sum(w).alias("w"), F.sum(w * F.col("nx")).alias("wx"), F.sum(w * F.col("ny")).alias("wy"))
+    out = kp.join(sums, [*TRACK, "j", "frame_idx"])
+    return out.select(*POSE, "j", *[F.when(F.col("w") > 0, F.col(f"w{c}") / F.col("w")).otherwise(F.col(c)).alias(c) for c in "xy"], "s")
+
 
+def similarity(kp: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Object keypoint similarity of the poses of two tracks (a < b) in a frame, over joints that both see.
 
-def similarity(kp: DataFrame) -> DataFrame:
-    """Object keypoint similarity of the poses of two tracks (a < b) in a frame, over joints that both see."""
-    box = kp.groupBy("track_id", "frame_idx").agg(((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("area"))
-    rows = kp.join(box, ["track_id", "frame_idx"])
-    a, b = (rows.select("frame_idx", "j", F.col("track_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("x", "y", "s", "area")]) for s in "ab")
-    pairs = a.join(b, ["frame_idx", "j"]).where("a < b and a_s > 0.01 and b_s > 0.01")
+    The scale is the mean area of both boxes (``boxes``: seq_id, track_id, frame_idx, x1, y1, x2, y2), one at least.
+    """
+    rows = kp.join(boxes.select(*POSE, g.area().alias("area")), [*POSE])
+    a, b = (rows.select("seq_id", "frame_idx", "j", F.col("track_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("x", "y", "s", "area")]) for s in "ab")
+    pairs = a.join(b, ["seq_id", "frame_idx", "j"]).where("a < b and a_s > 0.01 and b_s > 0.01")
     sigma = F.element_at(F.array(*[F.lit(x) for x in SIGMAS]), F.col("j") + 1)
     d2 = F.pow(F.col("a_x") - F.col("b_x"), F.lit(2)) + F.pow(F.col("a_y") - F.col("b_y"), F.lit(2))
-    scale = (F.col("a_area") + F.col("b_area")) / 2
-    return pairs.groupBy("frame_idx", "a", "b").agg(F.avg(F.exp(-d2 / (2 * scale * sigma * sigma + 1e-9))).alias("oks"), F.count("*").alias("n_joints"))
+    scale = F.greatest((F.col("a_area") + F.col("b_area")) / 2, F.lit(1.0))
+    return pairs.groupBy("seq_id", "frame_idx", "a", "b").agg(F.avg(F.exp(-d2 / (2 * scale * sigma * sigma + 1e-9))).alias("oks"), F.count("*").alias("n_joints"))
 
 
 def low_sync(angles: DataFrame, truth: DataFrame, least: int = 15) -> DataFrame:
     """Per track: the largest absolute correlation of a joint's angle with the consensus, over joints with enough frames."""
-    both = angles.join(truth.select("frame_idx", "joint", "truth"), ["frame_idx", "joint"]).where("angle is not null")
-    per = both.groupBy("track_id", "joint").agg(F.count("*").alias("n"), F.corr("angle", "truth").alias("r"), F.stddev_pop("angle").alias("sd"))
-    return per.where((F.col("n") >= least) & (F.col("sd") >= 1e-6)).groupBy("track_id").agg(F.max(F.abs("r")).alias("best_r"))
+    both = angles.join(truth.select("seq_id", "frame_idx", "joint", "truth"), ["seq_id", "frame_idx", "joint"]).where("angle is not null")
+    per = both.groupBy(*TRACK, "joint").agg(F.count("*").alias("n"), F.corr("angle", "truth").alias("r"), F.stddev_pop("angle").alias("sd"), F.stddev_pop("truth").alias("sd_truth"))
+    return per.where((F.col("n") >= least) & (F.col("sd") >= 1e-6) & (F.col("sd_truth") >= 1e-6)).groupBy(*TRACK).agg(F.max(F.abs("r")).alias("best_r"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinetra.functions import geometry as g
 from kinetra.operators.pairs import BOX, frame_pairs
+from kinetra.operators.pose import POSE, TRACK
 
 #: Joint pairs of the bones.
 BONES = ((5, 7), (7, 9), (6, 8), (8, 10), (11, 13), (13, 15), (12, 14), (14, 16), (5, 6), (11, 12), (5, 11), (6, 12))
@@ -55,12 +56,12 @@ def enrolment_frame(obs: DataFrame, every: int = 3, most: int = 300, apart: floa
 
 
 def visibility(obs: DataFrame, most: float = 0.85) -> DataFrame:
-    """Per observation one less its largest containment in a box of its frame whose feet are lower; hidden beyond ``most``."""
+    """Per observation: one, or where a box of its frame with lower feet contains more than ``most`` of it, one less the largest such share."""
     side = {s: obs.select("seq_id", "frame_idx", F.col("track_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in BOX]) for s in "ab"}
-    in_front = side["a"].join(side["b"], ["seq_id", "frame_idx"]).where("a != b and b_y2 > a_y2")
-    covered = in_front.groupBy("seq_id", "frame_idx", F.col("a").alias("track_id")).agg(F.max(g.containment("a_", "b_")).alias("c"))
-    out = obs.join(covered, ["seq_id", "frame_idx", "track_id"], "left").withColumn("visible", 1 - F.coalesce("c", F.lit(0.0)))
-    return out.select("seq_id", "track_id", "frame_idx", "visible", (F.coalesce("c", F.lit(0.0)) > most).alias("hidden"))
+    met = side["a"].join(side["b"], ["seq_id", "frame_idx"]).where("a != b and b_y2 > a_y2").withColumn("c", g.containment("a_", "b_")).where(F.col("c") > most)
+    covered = met.groupBy("seq_id", "frame_idx", F.col("a").alias("track_id")).agg(F.max("c").alias("c"))
+    out = obs.join(covered, ["seq_id", "frame_idx", "track_id"], "left")
+    return out.select("seq_id", "track_id", "frame_idx", (1 - F.coalesce("c", F.lit(0.0))).alias("visible"), F.col("c").isNotNull().alias("hidden"))
 
 
 def isolated(obs: DataFrame, share: float = 1.5) -> DataFrame:
@@ -73,7 +74,7 @@ def isolated(obs: DataFrame, share: float = 1.5) -> DataFrame:
 
 def held(obs: DataFrame, total_frames: int) -> DataFrame:
     """Every frame from a track's first on, boxes held from its last observation."""
-    spine = obs.groupBy("seq_id", "track_id").agg(F.min("frame_idx").alias("f0")).select("seq_id", "track_id", F.explode(F.sequence(F.col("f0"), F.lit(total_frames - 1).cast("long"))).alias("frame_idx"))
+    spine = obs.groupBy("seq_id", "track_id").agg(F.min("frame_idx").alias("f0")).where(F.col("f0") < total_frames).select("seq_id", "track_id", F.explode(F.sequence(F.col("f0"), F.lit(total_frames - 1).cast("long"))).alias("frame_idx"))
     w = Window.partitionBy("seq_id", "track_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
     full = spine.join(obs, ["seq_id", "track_id", "frame_idx"], "left")
     return full.select("seq_id", "track_id", "frame_idx", *[F.last(c, ignorenulls=True).over(w).alias(c) for c in BOX])
@@ -81,10 +82,13 @@ def held(obs: DataFrame, total_frames: int) -> DataFrame:
 
 def resampled(obs: DataFrame, ratio: float, total: int) -> DataFrame:
     """Boxes at output frame t, interpolated between frames floor(t * ratio) and the next where both are observed."""
-    at = obs.sparkSession.range(total).select(F.col("id").alias("t"), F.floor(F.col("id") * ratio).alias("lo"), (F.col("id") * ratio - F.floor(F.col("id") * ratio)).alias("alpha"))
+    # Each observed frame gives the output frames that start at it: one or a few by arithmetic, without a join with the output's frames.
+    first, t = F.ceil(F.col("lo") / ratio - 1).cast("long"), F.col("t")
     lo = obs.select("seq_id", "track_id", F.col("frame_idx").alias("lo"), *[F.col(c).alias(f"a_{c}") for c in BOX])
     hi = obs.select("seq_id", "track_id", (F.col("frame_idx") - 1).alias("lo"), *[F.col(c).alias(f"b_{c}") for c in BOX])
-    both = lo.join(F.broadcast(at), "lo").join(hi, ["seq_id", "track_id", "lo"])
+    near = F.sequence(F.greatest(first, F.lit(0).cast("long")), F.floor((F.col("lo") + 1) / ratio + 1).cast("long"))
+    both = lo.join(hi, ["seq_id", "track_id", "lo"]).withColumn("t", F.explode(near)).where((t >= 0) & (t < total) & (F.floor(t * ratio) == F.col("lo")))
+    both = both.withColumn("alpha", t * ratio - F.floor(t * ratio))
     return both.select("seq_id", "track_id", "t", *[(F.col(f"a_{c}") * (1 - F.col("alpha")) + F.col(f"b_{c}") * F.col("alpha")).alias(c) for c in BOX])
 
 
@@ -97,41 +101,41 @@ def scaled(p: Column, temperature: float) -> Column:
 def bone_lengths(kp: DataFrame) -> DataFrame:
     """Per track and bone: the median length."""
     bones = F.explode(F.array(*[F.struct(F.lit(a).alias("p"), F.lit(b).alias("q")) for a, b in BONES]))
-    ends = kp.select("track_id", "frame_idx", F.col("j"), "x", "y")
-    spec = kp.select("track_id", "frame_idx").distinct().select("track_id", "frame_idx", bones.alias("bone")).select("track_id", "frame_idx", "bone.p", "bone.q")
-    a = spec.join(ends.withColumnRenamed("j", "p").withColumnsRenamed({"x": "px", "y": "py"}), ["track_id", "frame_idx", "p"])
-    both = a.join(ends.withColumnRenamed("j", "q").withColumnsRenamed({"x": "qx", "y": "qy"}), ["track_id", "frame_idx", "q"])
+    ends = kp.select(*POSE, "j", "x", "y")
+    spec = kp.select(*POSE).distinct().select(*POSE, bones.alias("bone")).select(*POSE, "bone.p", "bone.q")
+    a = spec.join(ends.withColumnRenamed("j", "p").withColumnsRenamed({"x": "px", "y": "py"}), [*POSE, "p"])
+    both = a.join(ends.withColumnRenamed("j", "q").withColumnsRenamed({"x": "qx", "y": "qy"}), [*POSE, "q"])
     length = F.sqrt(F.pow(F.col("px") - F.col("qx"), F.lit(2)) + F.pow(F.col("py") - F.col("qy"), F.lit(2)))
-    return both.groupBy("track_id", "p", "q").agg(F.median(length).alias("length"))
+    return both.groupBy(*TRACK, "p", "q").agg(F.median(length).alias("length"))
 
 
 def motion_peaks(kp: DataFrame) -> DataFrame:
     """Per track: the frame in which its hands and feet move most since its frame before, and by how much on average."""
-    w = Window.partitionBy("track_id", "j").orderBy("frame_idx")
+    w = Window.partitionBy(*TRACK, "j").orderBy("frame_idx")
     moved = F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), F.lit(2)) + F.pow(F.col("y") - F.lag("y").over(w), F.lit(2)))
-    per = kp.where(F.col("j").isin(*EXTREMITIES)).withColumn("moved", moved).groupBy("track_id", "frame_idx").agg(F.round(F.avg("moved"), 6).alias("m")).where("m is not null")
-    return per.groupBy("track_id").agg(F.max_by("frame_idx", F.struct("m", -F.col("frame_idx"))).alias("peak_frame"), F.max("m").alias("peak"))
+    per = kp.where(F.col("j").isin(*EXTREMITIES)).withColumn("moved", moved).groupBy(*POSE).agg(F.round(F.avg("moved"), 6).alias("m")).where("m is not null")
+    return per.groupBy(*TRACK).agg(F.max_by("frame_idx", F.struct("m", -F.col("frame_idx"))).alias("peak_frame"), F.max("m").alias("peak"))
 
 
 def movement_peaks(kp: DataFrame, factor: float = 1.5) -> DataFrame:
     """Frames whose mean movement is a local maximum above ``factor`` times the track's median."""
-    w = Window.partitionBy("track_id", "j").orderBy("frame_idx")
+    w = Window.partitionBy(*TRACK, "j").orderBy("frame_idx")
     moved = F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), F.lit(2)) + F.pow(F.col("y") - F.lag("y").over(w), F.lit(2)))
-    per = kp.withColumn("moved", moved).groupBy("track_id", "frame_idx").agg(F.avg("moved").alias("m")).where("m is not null")
-    t = Window.partitionBy("track_id").orderBy("frame_idx")
-    mid = per.groupBy("track_id").agg(F.median("m").alias("mid"))
-    tested = per.withColumns({"before": F.lag("m").over(t), "after": F.lead("m").over(t)}).join(mid, "track_id")
-    return tested.where((F.col("m") > F.col("before")) & (F.col("m") > F.col("after")) & (F.col("m") > factor * F.col("mid"))).select("track_id", "frame_idx", "m")
+    per = kp.withColumn("moved", moved).groupBy(*POSE).agg(F.avg("moved").alias("m")).where("m is not null")
+    t = Window.partitionBy(*TRACK).orderBy("frame_idx")
+    mid = per.groupBy(*TRACK).agg(F.median("m").alias("mid"))
+    tested = per.withColumns({"before": F.lag("m").over(t), "after": F.lead("m").over(t)}).join(mid, [*TRACK])
+    return tested.where((F.col("m") > F.col("before")) & (F.col("m") > F.col("after")) & (F.col("m") > factor * F.col("mid"))).select(*POSE, "m")
 
 
 def formation_error(kp: DataFrame, first: int) -> DataFrame:
     """Per track: mean distance of its centre from its mean place in the first ``first`` frames, relative to the group's centre."""
-    centre = kp.groupBy("track_id", "frame_idx").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    group = Window.partitionBy("frame_idx")
-    rel = centre.select("track_id", "frame_idx", (F.col("x") - F.avg("x").over(group)).alias("rx"), (F.col("y") - F.avg("y").over(group)).alias("ry"))
-    home = rel.where(F.col("frame_idx") < first).groupBy("track_id").agg(F.avg("rx").alias("hx"), F.avg("ry").alias("hy"))
+    centre = kp.groupBy(*POSE).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    group = Window.partitionBy("seq_id", "frame_idx")
+    rel = centre.select(*POSE, (F.col("x") - F.avg("x").over(group)).alias("rx"), (F.col("y") - F.avg("y").over(group)).alias("ry"))
+    home = rel.where(F.col("frame_idx") < first).groupBy(*TRACK).agg(F.avg("rx").alias("hx"), F.avg("ry").alias("hy"))
     d = F.sqrt(F.pow(F.col("rx") - F.col("hx"), F.lit(2)) + F.pow(F.col("ry") - F.col("hy"), F.lit(2)))
-    return rel.join(home, "track_id").groupBy("track_id").agg(F.avg(d).alias("error"))
+    return rel.join(home, [*TRACK]).groupBy(*TRACK).agg(F.avg(d).alias("error"))
 
 
 def field_of_view(width: float, degrees: float) -> float:

@@ -15,22 +15,27 @@ def _by_frame() -> Window:
 
 
 def survival(obs: DataFrame, total_frames: int, share: float = 0.2, floor: int = 30, still: float = 0.02) -> DataFrame:
-    """Per track: frames, span, median height, movement and whether it lasts and moves enough.
+    """Per track: frames, span, movement, whether it lasts, the group's median height, and whether it lasts and moves enough.
 
     Enough frames: the larger of min(floor, possible) and int(share * possible) + 1, where possible counts from the
-    first frame to the end. Enough movement: the larger standard deviation of its centre is at least ``still`` times
-    its median height.
+    first frame to the end. Enough movement: the standard deviations of its centre in x and y, squared and summed, are at
+    least ``still`` times the median height of all boxes of the sequence's tracks that last. A sequence without
+    such boxes has no survivors; a track that starts past the end does not last.
     """
-    stats = obs.groupBy(*TRACK).agg(
+    track = Window.partitionBy(*TRACK)
+    n, possible = F.count("*").over(track), F.lit(total_frames) - F.min("frame_idx").over(track)
+    least = F.greatest(F.least(F.lit(floor), possible), F.floor(possible * share).cast("long") + 1)
+    rows = obs.withColumn("lasts", (possible > 0) & (n >= least))
+    heights = rows.where(F.col("lasts") & (g.height() > 0)).groupBy("seq_id").agg(F.median(g.height()).alias("median_h"))
+    stats = rows.groupBy(*TRACK).agg(
         F.count("*").alias("n_frames"),
         F.min("frame_idx").alias("first_frame"),
         (F.max("frame_idx") - F.min("frame_idx") + 1).alias("span"),
-        F.median(g.height()).alias("median_h"),
-        F.greatest(F.stddev_pop(g.cx()), F.stddev_pop(g.cy())).alias("movement_std"),
+        F.sqrt(F.var_pop(g.cx()) + F.var_pop(g.cy())).alias("movement_std"),
+        F.first("lasts").alias("lasts"),
     )
-    possible = F.lit(total_frames) - F.col("first_frame")
-    least = F.greatest(F.least(F.lit(floor), possible), F.floor(possible * share).cast("long") + 1)
-    return stats.withColumn("survives", (F.col("n_frames") >= least) & (F.col("movement_std") >= still * F.col("median_h")))
+    moves = F.coalesce(F.col("movement_std") >= still * F.col("median_h"), F.lit(False))
+    return stats.join(heights, "seq_id", "left").withColumn("survives", F.col("lasts") & moves)
 
 
 def quality(obs: DataFrame) -> DataFrame:
@@ -109,7 +114,7 @@ def swap_interval(obs: DataFrame, a: int, b: int, first: int, last: int) -> Data
 
 def lifecycle(obs: DataFrame, total_frames: int, lost: int) -> DataFrame:
     """Per track and frame from its first on: ACTIVE when observed, else DORMANT, or LOST after more than ``lost`` frames."""
-    spans = obs.groupBy(*TRACK).agg(F.min("frame_idx").alias("f0"))
+    spans = obs.groupBy(*TRACK).agg(F.min("frame_idx").alias("f0")).where(F.col("f0") < total_frames)
     spine = spans.withColumn("frame_idx", F.explode(F.sequence("f0", F.lit(total_frames - 1).cast("long")))).drop("f0")
     seen = spine.join(obs.select(*TRACK, "frame_idx", F.lit(1).alias("here")), [*TRACK, "frame_idx"], "left")
     last = F.max(F.when(F.col("here") == 1, F.col("frame_idx"))).over(_by_frame().rowsBetween(Window.unboundedPreceding, 0))

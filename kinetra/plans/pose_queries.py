@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetra.operators import pose, prune
-from kinetra.plans.rounding import rounded
-from kinetra.sources.derived import KEYPOINTS_SQL, keypoints
+from kinetra.plans.rounding import half_up_sql, rounded
+from kinetra.plans.rounding import rounded_sql as _r
+from kinetra.plans.track_queries import _G, _GROUP, FRAME, _facts
+from kinetra.sources.derived import KEYPOINTS_SQL, OBS_SQL, keypoints, obs
 
 
 def _angles(spark: SparkSession, sf: str) -> DataFrame:
@@ -21,14 +23,30 @@ def _deviations(spark: SparkSession, sf: str) -> DataFrame:
     return pose.deviations(a, pose.consensus(a), 60.0)
 
 
-def _vote(spark: SparkSession, sf: str) -> DataFrame:
-    kp = keypoints(spark, sf)
-    named = lambda df, rule: df.select(F.lit(rule).alias("rule"), F.lit(0).alias("seq_id"), "track_id")
-    hits = named(pose.low_confidence(kp, 0.56).where("low"), "low_confidence")
-    hits = hits.unionByName(named(pose.jitter(kp).where("mean_move > 80"), "jitter"))
-    hits = hits.unionByName(named(pose.completeness(kp).where("shoulders < 0.5"), "completeness"))
-    sure = pose.confirmed(kp).where("torso_share >= 0.9").select(F.lit(0).alias("seq_id"), "track_id")
-    return prune.vote(hits, sure)
+def _best_r(spark: SparkSession, sf: str) -> DataFrame:
+    a = _angles(spark, sf)
+    return pose.low_sync(a, pose.consensus(a), 3)
+
+
+def _all_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts of boxes, poses and synchrony for each track; poses may be missing."""
+    boxes, poses = prune.facts(obs(spark, sf), FRAME), pose.facts(keypoints(spark, sf), unseen=0.5, unsure=0.45)
+    return boxes.join(poses, prune.KEY, "left").join(_best_r(spark, sf), prune.KEY, "left")
+
+
+#: The six rules of the vote, with limits at which these tables' random poses give hits of each.
+VOTERS = {
+    "low_sync": prune.low_sync(FRAME, 0.6),
+    "smart_mirror": prune.smart_mirrors(0.0, 0.0, 0.55),
+    "completeness": prune.completeness(1.01, 0.5, 1.01, 0.5),
+    "head_only": prune.head_only(FRAME, 1.05, 0.3, 1.0),
+    "low_confidence": prune.low_confidence(0.57),
+    "jitter": prune.jitter(0.6),
+}
+
+
+def _rule(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: prune.hits(_all_facts(s, d), VOTERS[name])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -37,72 +55,101 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pose_consensus": lambda s, d: rounded(pose.consensus(_angles(s, d)), 4),
     "pose_deviation": lambda s, d: rounded(_deviations(s, d), 4),
     "pose_summaries": lambda s, d: rounded(pose.summaries(_deviations(s, d)).drop("worst_joints"), 4),
-    "worst_joints": lambda s, d: pose.summaries(_deviations(s, d)).select("track_id", "worst_joints"),
-    "pose_low_confidence": lambda s, d: rounded(pose.low_confidence(keypoints(s, d), 0.56)),
-    "pose_jitter": lambda s, d: rounded(pose.jitter(keypoints(s, d))),
-    "pose_confirmed": lambda s, d: rounded(pose.confirmed(keypoints(s, d))),
-    "pose_rejected": lambda s, d: rounded(pose.rejected(keypoints(s, d), 0.5)),
-    "pose_completeness": lambda s, d: rounded(pose.completeness(keypoints(s, d))),
+    "worst_joints": lambda s, d: pose.summaries(_deviations(s, d)).select(*pose.TRACK, "worst_joints"),
+    "pose_facts": lambda s, d: rounded(pose.facts(keypoints(s, d))),
+    "pose_legacy_mirrors": lambda s, d: pose.legacy_mirrors(pose.facts(keypoints(s, d)), 0.1),
+    "pose_correlation": lambda s, d: rounded(_best_r(s, d)),
+    **{f"pose_{name}": _rule(name) for name in VOTERS},
+    "pose_confirmed": lambda s, d: _all_facts(s, d).where(prune.confirmed(FRAME, 0.4, 0.01, 0.5)).select(*prune.KEY),
+    "pose_no_skeleton": lambda s, d: _all_facts(s, d).where(prune.no_skeleton(0.3)).select(*prune.KEY),
     "pose_smoothing": lambda s, d: rounded(pose.smoothed(keypoints(s, d))),
-    "pose_similarity": lambda s, d: rounded(pose.similarity(keypoints(s, d))),
-    "pose_vote": _vote,
+    "pose_similarity": lambda s, d: rounded(pose.similarity(keypoints(s, d), obs(s, d))),
+    "pose_vote": lambda s, d: rounded(prune.tiers(_all_facts(s, d), VOTERS, FRAME)),
 }
 
 _ANGLE = """
 p{n} as (
-  select q.track_id, q.frame_idx, '{n}' as joint, least(a.s, q.s, c.s) as sure, (a.x - q.x) * (c.x - q.x) + (a.y - q.y) * (c.y - q.y) as dot,
+  select q.seq_id, q.track_id, q.frame_idx, '{n}' as joint, least(a.s, q.s, c.s) as sure, (a.x - q.x) * (c.x - q.x) + (a.y - q.y) * (c.y - q.y) as dot,
     sqrt(power(a.x - q.x, 2) + power(a.y - q.y, 2)) * sqrt(power(c.x - q.x, 2) + power(c.y - q.y, 2)) as size
-  from kp q join kp a using (track_id, frame_idx) join kp c using (track_id, frame_idx) where q.j = {j[1]} and a.j = {j[0]} and c.j = {j[2]})
+  from kp q join kp a using (seq_id, track_id, frame_idx) join kp c using (seq_id, track_id, frame_idx) where q.j = {j[1]} and a.j = {j[0]} and c.j = {j[2]})
 """
 _ANGLES = ",".join(_ANGLE.format(n=n, j=j).strip() for n, j in pose.ANGLES.items()) + ", an as (" + " union all ".join(
-    f"select track_id, frame_idx, joint, case when sure >= 0.3 then degrees(acos(greatest(-1.0, least(1.0, dot / nullif(size, 0))))) end as angle from p{n}" for n in pose.ANGLES
+    f"select seq_id, track_id, frame_idx, joint, case when sure >= 0.3 then degrees(acos(greatest(-1.0, least(1.0, dot / nullif(size, 0))))) end as angle from p{n}" for n in pose.ANGLES
 ) + ")"
 _TRUTH = """
 t0 as (
-  select frame_idx, joint, degrees(atan2(avg(sin(radians(angle * 2))), avg(cos(radians(angle * 2))))) / 2 as c, stddev_pop(angle) as ripple
+  select seq_id, frame_idx, joint, degrees(atan2(avg(sin(radians(angle * 2))), avg(cos(radians(angle * 2))))) / 2 as c, stddev_pop(angle) as ripple
   from an where angle is not null group by all),
-t1 as (select frame_idx, joint, ripple, (c + 180) - 180 * floor((c + 180) / 180) as circular_mean from t0),
-tr as (select *, quantile_cont(circular_mean, 0.5) over (partition by joint order by frame_idx rows between 2 preceding and 2 following) as truth from t1),
+t1 as (select seq_id, frame_idx, joint, ripple, (c + 180) - 180 * floor((c + 180) / 180) as circular_mean from t0),
+tr as (select *, quantile_cont(circular_mean, 0.5) over (partition by seq_id, joint order by frame_idx rows between 2 preceding and 2 following) as truth from t1),
 dv as (
-  select an.track_id, an.frame_idx, an.joint, case when ripple <= 60 then least(abs(angle - truth), 180 - abs(angle - truth)) end as deviation
-  from an join tr using (frame_idx, joint))
+  select an.seq_id, an.track_id, an.frame_idx, an.joint, case when ripple <= 60 then least(abs(angle - truth), 180 - abs(angle - truth)) end as deviation
+  from an join tr using (seq_id, frame_idx, joint)),
+br0 as (select an.seq_id, track_id, joint, count(*) as n, corr(angle, truth) as r, stddev_pop(angle) as sa, stddev_pop(truth) as st from an join tr using (seq_id, frame_idx, joint) where angle is not null group by all),
+br as (select seq_id, track_id, max(abs(r)) as best_r from br0 where n >= 3 and sa >= 1e-6 and st >= 1e-6 group by all)
 """
-_FRAMES = "fm as (select track_id, frame_idx, avg(s) as m from kp group by all)"
+
+
+def _pose_facts(unseen: float, unsure: float) -> str:
+    return f"""
+pl as (select *, case when frame_idx - lag(frame_idx) over w <= 2 then sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)) end as moved from kp window w as (partition by seq_id, track_id, j order by frame_idx)),
+pj as (select seq_id, track_id, quantile_cont(s, 0.95) filter (j >= 13) as lower_p95, avg(s) filter (j in (5, 6)) as shoulders, avg(moved) as mean_move from pl group by all),
+pm as (select seq_id, track_id, frame_idx, avg(s) as m, avg(s) filter (j >= 13) as lower, avg(s) filter (j in (5, 6, 11, 12)) as torso from kp group by all),
+pp as (
+  select seq_id, track_id, count(*) as n_poses, min(frame_idx) as first_pose, max(frame_idx) as last_pose, quantile_cont(m, 0.75) as score_p75, avg(lower) as lower_mean,
+    avg(case when lower < {unseen} then 1.0 else 0.0 end) as lower_unseen, avg(case when lower < 0.3 then 1.0 else 0.0 end) as lower_low,
+    avg(case when torso >= 0.5 then 1.0 else 0.0 end) as torso_share, avg(case when m < {unsure} then 1.0 else 0.0 end) as unsure_share from pm group by all),
+pf as (select * from pp join pj using (seq_id, track_id))"""
+
+
 _SIGMA = "[" + ", ".join(map(str, pose.SIGMAS)) + "]"
 _HEAD = "with " + KEYPOINTS_SQL.strip()
+_FULL = f"{_HEAD}, {OBS_SQL.strip()}, {_G.strip()}, {_facts()}, {_ANGLES}, {_TRUTH.strip()}, {_pose_facts(0.5, 0.45).strip()}, al as (select * from fa left join pf using (seq_id, track_id) left join br using (seq_id, track_id))"
+_DEVIATES = "greatest(abs(mx - gx) / sx, abs(my - gy) / sy)"
+_VOTER = {
+    "low_sync": "k >= 3 and not (f0 >= 0.25 * 60 and n < 100) and score_p75 is not null and coalesce(best_r, 0.0) < 0.6",
+    "smart_mirror": "k >= 2 and vx * gv < 0 and moving_edge >= 0 and coalesce(lower_mean, 0.0) < 0.55",
+    "completeness": "lower_p95 < 1.01 and shoulders > 0.5",
+    "head_only": f"k >= 3 and mh < 1.05 * gh and lower_unseen >= 0.3 and (corner >= 0.5 or {_DEVIATES} > 1.0)",
+    "low_confidence": "k >= 3 and score_p75 < 0.57",
+    "jitter": "k >= 3 and mean_move / mh > 0.6",
+}
+
 
+def _voter(name: str) -> str:
+    return f"{_FULL}, w as (select *, {_GROUP} from al window s as (partition by seq_id)) select seq_id, track_id from w where {_VOTER[name]}"
 
-def _r(*names: str, places: int = 5) -> str:
-    return ", ".join(f"round({n}, {places}) + 0.0 as {n}" for n in names)
 
+_HITS = [f"coalesce({_VOTER[name]}, false)" for name in VOTERS]
+_VOTED = " + ".join(f"case when {h} then {prune.VOTE_WEIGHTS[n]} else 0 end" for n, h in zip(VOTERS, _HITS, strict=True))
+_NAMED = ", ".join(f"case when {h} then '{n}' end" for n, h in zip(VOTERS, _HITS, strict=True))
 
 ORACLE_SQL: dict[str, str] = {
-    "keypoints": f"{_HEAD} select track_id, frame_idx, j, {_r('x', 'y', 's')} from kp",
-    "joint_angles": f"{_HEAD}, {_ANGLES} select track_id, frame_idx, joint, {_r('angle')} from an",
-    "pose_consensus": f"{_HEAD}, {_ANGLES}, {_TRUTH} select frame_idx, joint, {_r('circular_mean', 'ripple', 'truth', places=4)} from tr",
-    "pose_deviation": f"{_HEAD}, {_ANGLES}, {_TRUTH} select track_id, frame_idx, joint, {_r('deviation', places=4)} from dv",
-    "pose_summaries": f"""{_HEAD}, {_ANGLES}, {_TRUTH}, m as (select track_id, avg(deviation) as mean_deviation from dv group by all)
-select track_id, {_r('mean_deviation', places=4)}, round(greatest(0.0, 100 - 2 * m.mean_deviation), 1) + 0.0 as sync_score from m""",
-    "worst_joints": f"""{_HEAD}, {_ANGLES}, {_TRUTH}, j as (select track_id, joint, round(avg(deviation), 6) as d from dv group by all having avg(deviation) is not null),
-k as (select *, row_number() over (partition by track_id order by d desc, joint) as rn from j)
-select track_id, string_agg(joint, ',' order by rn) as worst_joints from k where rn <= 3 group by all""",
-    "pose_low_confidence": f"{_HEAD}, {_FRAMES} select track_id, round(quantile_cont(m, 0.75), 5) + 0.0 as p75, quantile_cont(m, 0.75) < 0.56 as low from fm group by all",
-    "pose_jitter": f"""{_HEAD}, l as (select *, case when frame_idx - lag(frame_idx) over w <= 2 then sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)) end as moved from kp window w as (partition by track_id, j order by frame_idx))
-select track_id, round(avg(moved), 5) + 0.0 as mean_move from l group by all""",
-    "pose_confirmed": f"""{_HEAD}, f as (select track_id, frame_idx, avg(s) as m from kp where j in (5, 6, 11, 12) group by all), t as (select track_id, avg(case when m >= 0.5 then 1.0 else 0.0 end) as v from f group by all)
-select track_id, round(v, 5) + 0.0 as torso_share, v >= 0.4 as confirmed from t""",
-    "pose_rejected": f"""{_HEAD}, {_FRAMES}, t as (select track_id, avg(case when m < 0.5 then 1.0 else 0.0 end) as v from fm group by all) select track_id, round(v, 5) + 0.0 as bad_share, v >= 0.8 as rejected from t""",
-    "pose_completeness": f"""{_HEAD} select track_id, round(quantile_cont(s, 0.95) filter (j >= 11), 5) + 0.0 as lower_p95, round(avg(s) filter (j in (5, 6)), 5) + 0.0 as shoulders from kp group by all""",
-    "pose_smoothing": f"""{_HEAD}, n as (select a.track_id, a.frame_idx, a.j, any_value(a.x) as ax, any_value(a.y) as ay, any_value(a.s) as s, sum(b.s / (1 + abs(a.frame_idx - b.frame_idx))) as w,
+    "keypoints": f"{_HEAD} select seq_id, track_id, frame_idx, j, {_r('x', 'y', 's')} from kp",
+    "joint_angles": f"{_HEAD}, {_ANGLES} select seq_id, track_id, frame_idx, joint, {_r('angle')} from an",
+    "pose_consensus": f"{_HEAD}, {_ANGLES}, {_TRUTH} select seq_id, frame_idx, joint, {_r('circular_mean', 'ripple', 'truth', places=4)} from tr",
+    "pose_deviation": f"{_HEAD}, {_ANGLES}, {_TRUTH} select seq_id, track_id, frame_idx, joint, {_r('deviation', places=4)} from dv",
+    "pose_summaries": f"""{_HEAD}, {_ANGLES}, {_TRUTH}, m as (select seq_id, track_id, avg(deviation) as mean_deviation from dv group by all), j as (select distinct seq_id, track_id from dv where deviation is not null)
+select seq_id, track_id, {_r('mean_deviation', places=4)}, {half_up_sql('round(greatest(0.0, 100 - 2 * m.mean_deviation), 1)', 4)} as sync_score from m semi join j using (seq_id, track_id)""",
+    "worst_joints": f"""{_HEAD}, {_ANGLES}, {_TRUTH}, j as (select seq_id, track_id, joint, round(avg(deviation), 6) as d from dv group by all having avg(deviation) is not null),
+k as (select *, row_number() over (partition by seq_id, track_id order by d desc, joint) as rn from j)
+select seq_id, track_id, string_agg(joint, ',' order by rn) as worst_joints from k where rn <= 3 group by all""",
+    "pose_facts": f"""{_HEAD}, {_pose_facts(0.1, 0.15).strip()} select seq_id, track_id, n_poses, first_pose, last_pose,
+  {_r('score_p75', 'lower_mean', 'lower_unseen', 'lower_low', 'torso_share', 'unsure_share', 'lower_p95', 'shoulders', 'mean_move')} from pf""",
+    "pose_legacy_mirrors": f"{_HEAD}, {_pose_facts(0.1, 0.15).strip()} select seq_id, track_id from pf where lower_low > 0.1",
+    "pose_correlation": f"{_HEAD}, {_ANGLES}, {_TRUTH} select seq_id, track_id, {_r('best_r')} from br",
+    **{f"pose_{name}": _voter(name) for name in VOTERS},
+    "pose_confirmed": f"{_FULL} select seq_id, track_id from al where torso_share >= 0.4 and (last_pose - first_pose) / 60 >= 0.01 and edge <= 0.5",
+    "pose_no_skeleton": f"{_FULL} select seq_id, track_id from al where coalesce(unsure_share >= 0.3, true)",
+    "pose_smoothing": f"""{_HEAD}, n as (select a.seq_id, a.track_id, a.frame_idx, a.j, any_value(a.x) as ax, any_value(a.y) as ay, any_value(a.s) as s, sum(b.s / (1 + abs(a.frame_idx - b.frame_idx))) as w,
   sum(b.x * b.s / (1 + abs(a.frame_idx - b.frame_idx))) as wx, sum(b.y * b.s / (1 + abs(a.frame_idx - b.frame_idx))) as wy
-  from kp a join kp b on a.track_id = b.track_id and a.j = b.j and b.frame_idx between a.frame_idx - 2 and a.frame_idx + 2 group by a.track_id, a.frame_idx, a.j),
-o as (select track_id, frame_idx, j, case when w > 0 then wx / w else ax end as x, case when w > 0 then wy / w else ay end as y, s from n) select track_id, frame_idx, j, {_r('x', 'y', 's')} from o""",
-    "pose_similarity": f"""{_HEAD}, bx as (select track_id, frame_idx, (max(x) - min(x)) * (max(y) - min(y)) as area from kp group by all), k as (select * from kp join bx using (track_id, frame_idx)),
-o as (select a.frame_idx, a.track_id as a, b.track_id as b, avg(exp(-(power(a.x - b.x, 2) + power(a.y - b.y, 2)) / (2 * ((a.area + b.area) / 2) * power({_SIGMA}[a.j + 1], 2) + 1e-9))) as oks, count(*) as n_joints
-  from k a join k b on a.frame_idx = b.frame_idx and a.j = b.j and a.track_id < b.track_id and a.s > 0.01 and b.s > 0.01 group by all) select frame_idx, a, b, {_r('oks')}, n_joints from o""",
-    "pose_vote": f"""{_HEAD}, {_FRAMES}, l as (select *, case when frame_idx - lag(frame_idx) over w <= 2 then sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)) end as moved from kp window w as (partition by track_id, j order by frame_idx)),
-h as (select track_id, 0.5 as w from fm group by all having quantile_cont(m, 0.75) < 0.56 union all select track_id, 0.5 from l group by all having avg(moved) > 80
-  union all select track_id, 0.6 from kp where j in (5, 6) group by all having avg(s) < 0.5),
-f as (select track_id, frame_idx, avg(s) as m from kp where j in (5, 6, 11, 12) group by all), c as (select track_id from f group by all having avg(case when m >= 0.5 then 1.0 else 0.0 end) >= 0.9),
-v as (select track_id, round(sum(w), 6)::double as votes from h group by all) select 0 as seq_id, track_id, votes from v where votes > 0.65 and track_id not in (from c)""",
+  from kp a join kp b on a.track_id = b.track_id and a.j = b.j and b.frame_idx between a.frame_idx - 2 and a.frame_idx + 2 group by a.seq_id, a.track_id, a.frame_idx, a.j),
+o as (select seq_id, track_id, frame_idx, j, case when w > 0 then wx / w else ax end as x, case when w > 0 then wy / w else ay end as y, s from n) select seq_id, track_id, frame_idx, j, {_r('x', 'y', 's')} from o""",
+    "pose_similarity": f"""{_HEAD}, {OBS_SQL.strip()}, k as (select kp.*, (x2 - x1) * (y2 - y1) as area from kp join obs using (seq_id, track_id, frame_idx)),
+o as (select a.seq_id, a.frame_idx, a.track_id as a, b.track_id as b, avg(exp(-(power(a.x - b.x, 2) + power(a.y - b.y, 2)) / (2 * greatest((a.area + b.area) / 2, 1.0) * power({_SIGMA}[a.j + 1], 2) + 1e-9))) as oks, count(*) as n_joints
+  from k a join k b on a.seq_id = b.seq_id and a.frame_idx = b.frame_idx and a.j = b.j and a.track_id < b.track_id and a.s > 0.01 and b.s > 0.01 group by all) select seq_id, frame_idx, a, b, {_r('oks')}, n_joints from o""",
+    "pose_vote": f"""{_FULL}, w as (select *, {_GROUP} from al where not coalesce(unsure_share >= 0.8, true) window s as (partition by seq_id)),
+v as (select seq_id, track_id, torso_share >= 0.4 and (last_pose - first_pose) / 60 >= 0.1 and edge <= 0.2 as sure, round({_VOTED}, 4)::double as votes, concat_ws(',', {_NAMED}) as hits from w),
+o as (select seq_id, track_id, case when sure then 'A' when votes > 0.65 then 'B' end as tier, hits, votes from v union all select seq_id, track_id, 'C', '', 0.0 from al where coalesce(unsure_share >= 0.8, true))
+select seq_id, track_id, tier, coalesce(tier in ('B', 'C'), false) as goes, hits, {_r('votes')} from o""",
 }

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from kinetra.operators import review
 from kinetra.plans.rounding import rounded
-from kinetra.plans.track_queries import _G, _PAIRS, _r
+from kinetra.plans.rounding import rounded_sql as _r
+from kinetra.plans.track_queries import _G, _PAIRS
 from kinetra.sources.derived import KEYPOINTS_SQL, OBS_SQL, keypoints, obs
 
 
@@ -47,7 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _O, _K = "with " + OBS_SQL.strip(), "with " + KEYPOINTS_SQL.strip()
 _BONES = ", ".join(f"({a}, {b})" for a, b in review.BONES)
-_MOVED = """mv as (select *, sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)) as moved from kp window w as (partition by track_id, j order by frame_idx))"""
+_MOVED = """mv as (select *, sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)) as moved from kp window w as (partition by seq_id, track_id, j order by frame_idx))"""
 
 ORACLE_SQL: dict[str, str] = {
     "anchor_tracks": f"""{_O},{_G}, an as (select track_id * 100 + frame_idx as anchor_id, seq_id, frame_idx, x1 - 3 as x, y1 + 5 as y from obs where frame_idx % 7 = 0),
@@ -61,23 +62,24 @@ select seq_id, track_id, frame_idx, {_r('moved')} from l where step <= 2 and l.m
     "enrolment_frame": f"""{_O},{_G},{_PAIRS}, d as (select seq_id, frame_idx, min(dist) as d from pr where frame_idx % 3 = 0 and frame_idx < 300 group by all), n as (select seq_id, frame_idx, count(*) as n from obs group by all),
 s as (select seq_id, frame_idx, n, round(d * n, 6) as score from d join n using (seq_id, frame_idx) where d >= 1)
 select seq_id, frame_idx, n, {_r('score')} from s qualify row_number() over (partition by seq_id order by s.score desc, frame_idx) = 1""",
-    "visibility": f"""{_O},{_G}, c as (select a.seq_id, a.frame_idx, a.track_id, max(greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / greatest(a.w * a.h, 1e-6)) as c
-  from g a join g b on a.seq_id = b.seq_id and a.frame_idx = b.frame_idx and a.track_id <> b.track_id and b.y2 > a.y2 group by all)
-select seq_id, track_id, frame_idx, round(1 - coalesce(c, 0), 5) + 0.0 as visible, coalesce(c, 0) > 0.85 as hidden from obs left join c using (seq_id, frame_idx, track_id)""",
+    "visibility": f"""{_O},{_G}, c0 as (select a.seq_id, a.frame_idx, a.track_id, greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / greatest(a.w * a.h, 1e-6) as c
+  from g a join g b on a.seq_id = b.seq_id and a.frame_idx = b.frame_idx and a.track_id <> b.track_id and b.y2 > a.y2),
+c as (select seq_id, frame_idx, track_id, max(c) as c from c0 where c > 0.85 group by all), v as (select seq_id, track_id, frame_idx, 1 - coalesce(c, 0) as visible, c is not null as hidden from obs left join c using (seq_id, frame_idx, track_id))
+select seq_id, track_id, frame_idx, {_r('visible')}, hidden from v""",
     "isolated_observations": f"""{_O},{_G},{_PAIRS}, u as (select seq_id, frame_idx, a as track_id, dist from pr union all select seq_id, frame_idx, b, dist from pr), c as (select seq_id, frame_idx, track_id, min(dist) as d from u group by all),
-o as (select seq_id, track_id, frame_idx, d, h from g left join c using (seq_id, frame_idx, track_id)) select seq_id, track_id, frame_idx, round(o.d, 5) + 0.0 as d from o where o.d is null or o.d > 0.3 * h""",
+o as (select seq_id, track_id, frame_idx, d, h from g left join c using (seq_id, frame_idx, track_id)) select seq_id, track_id, frame_idx, floor((o.d)::double * 1e5 + 0.5) / 1e5 as d from o where o.d is null or o.d > 0.3 * h""",
     "held_boxes": f"""{_O}, s as (select seq_id, track_id, unnest(range(min(frame_idx), 60)) as frame_idx from obs group by seq_id, track_id),
 h as (select s.seq_id, s.track_id, s.frame_idx, o.x1, o.y1, o.x2, o.y2 from s asof join obs o on s.seq_id = o.seq_id and s.track_id = o.track_id and s.frame_idx >= o.frame_idx) select seq_id, track_id, frame_idx, {_r('x1', 'y1', 'x2', 'y2')} from h""",
     "resampled_boxes": f"""{_O}, t as (select t, floor(t * 0.4::double)::bigint as lo, t * 0.4::double - floor(t * 0.4::double) as al from range(150) as r(t)),
 m as (select a.seq_id, a.track_id, t, a.x1 * (1 - al) + b.x1 * al as x1, a.y1 * (1 - al) + b.y1 * al as y1, a.x2 * (1 - al) + b.x2 * al as x2, a.y2 * (1 - al) + b.y2 * al as y2
   from t join obs a on a.frame_idx = lo join obs b on b.seq_id = a.seq_id and b.track_id = a.track_id and b.frame_idx = lo + 1) select seq_id, track_id, t, {_r('x1', 'y1', 'x2', 'y2', places=9)} from m""",
-    "temperature_scaling": f"{_O}, q as (select track_id, frame_idx, greatest(1e-6, least(1 - 1e-6, conf)) as q from obs) select track_id, frame_idx, round(1 / (1 + exp(-ln(q / (1 - q)) / 1.7)), 5) + 0.0 as p from q",
-    "bone_lengths": f"""{_K}, b(p, q) as (values {_BONES}), l as (select a.track_id, b.p, b.q, median(sqrt(power(a.x - c.x, 2) + power(a.y - c.y, 2))) as length from b join kp a on a.j = b.p join kp c on c.j = b.q and c.track_id = a.track_id and c.frame_idx = a.frame_idx group by all)
-select track_id, p, q, {_r('length')} from l""",
-    "motion_peaks": f"""{_K}, {_MOVED}, p as (select track_id, frame_idx, round(avg(moved), 6) as m from mv where j in (9, 10, 15, 16) group by all having avg(moved) is not null)
-select track_id, frame_idx as peak_frame, m as peak from p qualify row_number() over (partition by track_id order by m desc, frame_idx) = 1""",
-    "movement_peaks": f"""{_K}, {_MOVED}, p as (select track_id, frame_idx, avg(moved) as m from mv group by all having avg(moved) is not null),
-t as (select *, lag(m) over w as before, lead(m) over w as after, median(m) over (partition by track_id) as mid from p window w as (partition by track_id order by frame_idx)) select track_id, frame_idx, {_r('m')} from t where t.m > before and t.m > after and t.m > 1.05 * mid""",
-    "formation_error": f"""{_K}, c as (select track_id, frame_idx, avg(x) as x, avg(y) as y from kp group by all), r as (select track_id, frame_idx, x - avg(x) over (partition by frame_idx) as rx, y - avg(y) over (partition by frame_idx) as ry from c),
-h as (select track_id, avg(rx) as hx, avg(ry) as hy from r where frame_idx < 10 group by all), e as (select track_id, avg(sqrt(power(rx - hx, 2) + power(ry - hy, 2))) as error from r join h using (track_id) group by all) select track_id, {_r('error')} from e""",
+    "temperature_scaling": f"{_O}, q as (select track_id, frame_idx, greatest(1e-6, least(1 - 1e-6, conf)) as q from obs) select track_id, frame_idx, floor((1 / (1 + exp(-ln(q / (1 - q)) / 1.7)))::double * 1e5 + 0.5) / 1e5 as p from q",
+    "bone_lengths": f"""{_K}, b(p, q) as (values {_BONES}), l as (select a.seq_id, a.track_id, b.p, b.q, median(sqrt(power(a.x - c.x, 2) + power(a.y - c.y, 2))) as length from b join kp a on a.j = b.p join kp c on c.j = b.q and c.track_id = a.track_id and c.frame_idx = a.frame_idx group by all)
+select seq_id, track_id, p, q, {_r('length')} from l""",
+    "motion_peaks": f"""{_K}, {_MOVED}, p as (select seq_id, track_id, frame_idx, round(avg(moved), 6) as m from mv where j in (9, 10, 15, 16) group by all having avg(moved) is not null)
+select seq_id, track_id, frame_idx as peak_frame, m as peak from p qualify row_number() over (partition by seq_id, track_id order by m desc, frame_idx) = 1""",
+    "movement_peaks": f"""{_K}, {_MOVED}, p as (select seq_id, track_id, frame_idx, avg(moved) as m from mv group by all having avg(moved) is not null),
+t as (select *, lag(m) over w as before, lead(m) over w as after, median(m) over (partition by seq_id, track_id) as mid from p window w as (partition by seq_id, track_id order by frame_idx)) select seq_id, track_id, frame_idx, {_r('m')} from t where t.m > before and t.m > after and t.m > 1.05 * mid""",
+    "formation_error": f"""{_K}, c as (select seq_id, track_id, frame_idx, avg(x) as x, avg(y) as y from kp group by all), r as (select seq_id, track_id, frame_idx, x - avg(x) over (partition by seq_id, frame_idx) as rx, y - avg(y) over (partition by seq_id, frame_idx) as ry from c),
+h as (select seq_id, track_id, avg(rx) as hx, avg(ry) as hy from r where frame_idx < 10 group by all), e as (select seq_id, track_id, avg(sqrt(power(rx - hx, 2) + power(ry - hy, 2))) as error from r join h using (seq_id, track_id) group by all) select seq_id, track_id, {_r('error')} from e""",
 }

@@ -79,17 +79,17 @@ ORACLE_SQL: dict[str, str] = {
     "study_status": _T + """ select count(*) as n_trials, count_if(state = 'COMPLETE')::bigint as n_complete, count_if(state = 'FAIL')::bigint as n_failed, max(value) filter (state = 'COMPLETE') as best_value,
   (select number from t where state = 'COMPLETE' and value is not null order by value desc, number limit 1) as best_number from t""",
     "trial_ranking": _T + " select number, value, row_number() over (order by value desc nulls last, number desc)::int as place from t",
-    "trial_running": _T + """ select study, number, round(avg(value) over (partition by study order by number rows 9 preceding), 5) + 0.0 as rolling_mean,
-  round(max(value) over (partition by study order by number), 5) + 0.0 as best_so_far from t""",
+    "trial_running": _T + """ select study, number, floor((avg(value) over (partition by study order by number rows 9 preceding))::double * 1e5 + 0.5) / 1e5 as rolling_mean,
+  floor((max(value) over (partition by study order by number))::double * 1e5 + 0.5) / 1e5 as best_so_far from t""",
     "param_insights": _T + """, h as (select *, ntile(2) over (partition by study order by value desc nulls last, number) as half from t), u as (select study, half, 'a' as param, a as v from h union all select study, half, 'b', b from h)
-select study, param, round(avg(v) filter (half = 1), 5) + 0.0 as mean_top, round(avg(v) filter (half = 2), 5) + 0.0 as mean_bottom, count(*) as n from u group by all""",
-    "harmonic_mean": "select l_returnflag as grp, round(sum(l_quantity) / sum(l_quantity / greatest(l_discount * 10, 1e-6)), 6) + 0.0 as harmonic from lineitem group by all",
-    "composite_score": """select p_partkey, round(0.45 * greatest(0.0::double, least(1.0::double, p_size / 50.0::double)) + 0.25 * greatest(0.0::double, least(1.0::double, p_retailprice / 2000.0::double)) + 0.20 * (1 - greatest(0.0::double, least(1.0::double, (p_partkey % 10) / 10.0::double)))
-  + 0.10 * (1 - greatest(0.0::double, least(1.0::double, (p_partkey % 7) / 5.0::double))), 6) + 0.0 as score from part""",
+select study, param, floor((avg(v) filter (half = 1))::double * 1e5 + 0.5) / 1e5 as mean_top, floor((avg(v) filter (half = 2))::double * 1e5 + 0.5) / 1e5 as mean_bottom, count(*) as n from u group by all""",
+    "harmonic_mean": "select l_returnflag as grp, floor((sum(l_quantity) / sum(l_quantity / greatest(l_discount * 10, 1e-6)))::double * 1e6 + 0.5) / 1e6 as harmonic from lineitem group by all",
+    "composite_score": """select p_partkey, floor((0.45 * greatest(0.0::double, least(1.0::double, p_size / 50.0::double)) + 0.25 * greatest(0.0::double, least(1.0::double, p_retailprice / 2000.0::double)) + 0.20 * (1 - greatest(0.0::double, least(1.0::double, (p_partkey % 10) / 10.0::double)))
+  + 0.10 * (1 - greatest(0.0::double, least(1.0::double, (p_partkey % 7) / 5.0::double))))::double * 1e6 + 0.5) / 1e6 as score from part""",
     "wins_losses": f"with {_E}, u as (select w as name, 1 as won from e union all select l, 0 from e) select name, sum(won)::bigint as wins, sum(1 - won)::bigint as losses, (sum(won) - sum(1 - won))::bigint as margin from u group by all",
     "tournament_closure": f"with recursive {_E}, r(w, l) as (select w, l from e union select r.w, e.l from r join e on r.l = e.w) select w, l from r",
     "plan_variants": """with o(p, v) as (values ('x', '0'), ('x', '1'), ('y', '1'), ('y', '2')), b as (select s_suppkey as base, (s_suppkey % 3)::varchar as x, '1' as y from supplier)
 select distinct base, '[{"key":"x","value":"' || case when p = 'x' then v else x end || '"},{"key":"y","value":"' || case when p = 'y' then v else y end || '"}]' as plan from b, o""",
     "failure_reasons": "select l_returnflag || '-' || l_linestatus as reason, sum(l_linenumber)::bigint as total from lineitem group by all order by total desc, reason limit 8",
-    "event_windows": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 2) + 0.0 as total from events group by all",
+    "event_windows": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, floor((sum(value))::double * 1e2 + 0.5) / 1e2 as total from events group by all",
 }

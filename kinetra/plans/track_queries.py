@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from kinetra.operators import pairs, prune, tracks
 from kinetra.plans.rounding import rounded
+from kinetra.plans.rounding import rounded_sql as _r
 from kinetra.sources.derived import FRAMES, OBS_SQL, obs
 
 WIDE, TALL = 320.0, 320.0
+FRAME = prune.Frame(WIDE, TALL, FRAMES)
+#: The same picture in a video twice as long, so that tracks are short in it.
+LONG = prune.Frame(WIDE, TALL, 2 * FRAMES)
 STAGE = [(20.0, 100.0), (300.0, 100.0), (330.0, 262.0), (10.0, 262.0)]
 
 _G = """
@@ -63,21 +67,25 @@ def sequence_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def chain_rules() -> dict[str, prune.Rule]:
     return {
-        "duration": lambda o: prune.short_lived(o, FRAMES),
-        "stage": lambda o: prune.outside_polygon(o, STAGE),
-        "spatial": lambda o: prune.spatial_outliers(o, 1.5, WIDE),
-        "short": lambda o: prune.short_share(o, FRAMES),
-        "audience": lambda o: prune.audience(o, WIDE, TALL),
-        "late_span": lambda o: prune.late_and_short(o, FRAMES, WIDE),
-        "bbox_size": prune.size_outliers,
-        "aspect": prune.wide_boxes,
-        "mirror": lambda o: prune.mirrors(o, WIDE),
+        "duration": prune.short_lived(),
+        "stage": prune.outside_polygon(STAGE),
+        "spatial": prune.spatial_outliers(FRAME, 1.5),
+        "short": prune.short_share(FRAME, 0.5),
+        "audience": prune.audience(FRAME),
+        "late_span": prune.late_and_short(FRAME),
+        "bbox_size": prune.size_outliers(FRAME, 0.97, 1.04),
+        "aspect": prune.wide_boxes(0.492),
+        "mirror": prune.mirrors(least=0.0),
     }
 
 
-def prune_two_rules(spark: SparkSession, sf: str) -> DataFrame:
+def _hits(rule: prune.Rule, frame: prune.Frame = FRAME, early: int = 120, edge: float = prune.MIRROR_EDGE, broken: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: prune.hits(prune.facts((_broken if broken else obs)(s, d), frame, early, edge), rule)
+
+
+def prune_chain(spark: SparkSession, sf: str) -> DataFrame:
     rules = chain_rules()
-    return prune.chain(obs(spark, sf), {k: rules[k] for k in ("duration", "stage", "spatial", "audience")})
+    return prune.pruned(prune.facts(obs(spark, sf), FRAME), {k: rules[k] for k in ("duration", "stage", "spatial", "audience")})
 
 
 def _id_votes(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,48 +121,108 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "complementary_tracks": lambda s, d: rounded(pairs.complementary(_broken(s, d), 15.0)),
     "id_votes": _id_votes,
     "merge_keep_first": lambda s, d: rounded(pairs.merge_keep_first(_cut(obs(s, d), 0, 30), _cut(obs(s, d), 20, 59).withColumn("conf", F.lit(0.5)))),
-    "prune_stage": lambda s, d: prune.outside_polygon(obs(s, d), STAGE),
-    "prune_spatial": lambda s, d: prune.spatial_outliers(obs(s, d), 1.5, WIDE),
-    "prune_short": lambda s, d: prune.short_share(obs(s, d), 2 * FRAMES, 0.35),
-    "prune_audience": lambda s, d: prune.audience(obs(s, d), WIDE, 250.0),
-    "prune_late_span": lambda s, d: prune.late_and_short(_broken(s, d), FRAMES * 2, WIDE),
-    "prune_bbox_size": lambda s, d: prune.size_outliers(obs(s, d), 0.98, 1.02),
-    "prune_aspect": lambda s, d: prune.wide_boxes(obs(s, d), 0.49),
-    "prune_mirror": lambda s, d: prune.mirrors(obs(s, d), WIDE, 0.3, 0.3, 0.0),
-    "prune_chain": prune_two_rules,
-    "prune_all_rules": lambda s, d: prune.chain(obs(s, d), chain_rules()),
+    "prune_stage": _hits(prune.outside_polygon(STAGE)),
+    "prune_spatial": _hits(prune.spatial_outliers(FRAME, 1.5)),
+    "prune_short": _hits(prune.short_share(LONG, 0.35), LONG),
+    "prune_audience": _hits(prune.audience(prune.Frame(WIDE, 250.0, FRAMES))),
+    "prune_late_span": _hits(prune.late_and_short(LONG), LONG, broken=True),
+    "prune_bbox_size": _hits(prune.size_outliers(FRAME, 0.98, 1.02)),
+    "prune_aspect": _hits(prune.wide_boxes(0.49)),
+    "prune_mirror": _hits(prune.mirrors(0.3, 0.0), edge=0.3),
+    "prune_chain": prune_chain,
+    "prune_all_rules": lambda s, d: prune.pruned(prune.facts(obs(s, d), FRAME), chain_rules()),
+    "prune_info": lambda s, d: rounded(prune.info(prune.facts(obs(s, d), FRAME), FRAME).withColumn("median_box", F.concat_ws(",", F.transform("median_box", lambda v: F.format_number(v, 1))))),
 }
 
 _SURVIVAL = """
 sv0 as (
-  select seq_id, track_id, count(*) as n_frames, min(frame_idx) as first_frame, max(frame_idx) - min(frame_idx) + 1 as span, median(h) as median_h,
-    greatest(stddev_pop(cx), stddev_pop(cy)) as movement_std from g group by all),
-sv as (
-  select *, n_frames >= greatest(least(30, 60 - first_frame), cast(floor((60 - first_frame) * 0.2::double) as bigint) + 1) and movement_std >= 0.02::double * median_h as survives from sv0)
+  select seq_id, track_id, count(*) as n_frames, min(frame_idx) as first_frame, max(frame_idx) - min(frame_idx) + 1 as span, sqrt(var_pop(cx) + var_pop(cy)) as movement_std,
+    {total} - min(frame_idx) > 0 and count(*) >= greatest(least(30, {total} - min(frame_idx)), cast(floor(({total} - min(frame_idx)) * 0.2::double) as bigint) + 1) as lasts from g group by all),
+sh as (select seq_id, median(h) as median_h from g join sv0 using (seq_id, track_id) where lasts and h > 0 group by seq_id),
+sv as (select sv0.*, median_h, lasts and coalesce(movement_std >= 0.02::double * median_h, false) as survives from sv0 left join sh using (seq_id))
 """
+
+
+def _facts(total: int = 60, early: int = 120, edge: float = 0.15) -> str:
+    """Facts of each track (fa) with the group's statistics besides (see ``prune.facts``)."""
+    return _SURVIVAL.format(total=total).strip() + f""",
+f0 as (
+  select *, row_number() over w as rn, count(*) over (partition by seq_id, track_id) as n, lag(cx) over w as bx, lag(frame_idx) over w as bf,
+    case when cx <= {edge} * 320 or cx >= {1 - edge} * 320 then 1.0 else 0.0 end as at_edge,
+    case when (cx <= 0.15 * 320 or cx >= 0.85 * 320) and (cy <= 0.2 * 320 or cy >= 0.8 * 320) then 1.0 else 0.0 end as at_corner
+  from g window w as (partition by seq_id, track_id order by frame_idx)),
+fa as (
+  select seq_id, track_id, any_value(f0.n) as n, min(frame_idx) as f0, max(frame_idx) as f1, median(cx) as mx, median(cy) as my, median(y2) as feet, median(h) filter (h > 0) as mh, median(w) filter (w > 0) as mw,
+    median(w / h) filter (h > 0) as wh, max(cx) filter (rn = 1) as first_x, max(cy) filter (rn = 1) as first_y, max(cx) filter (rn = least(f0.n, 15)) as later_x,
+    median(cx) filter (rn <= greatest(1, f0.n // 4)) as early_x, median(cy) filter (rn <= greatest(1, f0.n // 4)) as early_y,
+    median(cx) filter (rn > f0.n - greatest(1, f0.n // 4)) as late_x, median(cy) filter (rn > f0.n - greatest(1, f0.n // 4)) as late_y,
+    median(cx) filter (frame_idx < {early}) as start_x, median(cy) filter (frame_idx < {early}) as start_y, avg((cx - bx) / (frame_idx - bf)) as vx,
+    avg(at_edge) filter (bf is not null) as moving_edge, avg(at_edge) as edge, avg(at_corner) as corner, any_value(survives) as survives
+  from f0 join sv using (seq_id, track_id) group by seq_id, track_id)"""
+
+
+_GROUP = "count(*) over s as k, median(mx) over s as gx, median(my) over s as gy, greatest(stddev_pop(mx) over s, 16.0) as sx, greatest(stddev_pop(my) over s, 16.0) as sy, median(mh) over s as gh, median(vx) over s as gv"
+
+
+def _rules_sql(start: str, steps: list[tuple[str, str]]) -> str:
+    """A chain of rules over the facts in ``start``: each judges what the ones before have left (the last rest is c<number>)."""
+    parts = []
+    for i, (name, test) in enumerate(steps):
+        before = start if i == 0 else f"c{i - 1}"
+        parts.append(f"w{i} as (select *, {_GROUP} from {before} window s as (partition by seq_id))")
+        parts.append(f"r{i} as (select '{name}' as rule, seq_id, track_id from w{i} where {test})")
+        parts.append(f"c{i} as (select * exclude (k, gx, gy, sx, sy, gh, gv) from w{i} where not coalesce({test}, false))")
+    return ", ".join(parts)
+
+
+def _one_rule(test: str, facts: str, obs_sql: str = OBS_SQL) -> str:
+    return _with(obs_sql, _G, facts, _rules_sql("fa", [("x", test)])) + " select seq_id, track_id from r0"
+
+
 _INSIDE = " + ".join(
     f"case when ({ya} > feet) <> ({yb} > feet) and mx < ({xb}::double - {xa}) * (feet - {ya}) / ({yb}::double - {ya}) + {xa} then 1 else 0 end"
     for (xa, ya), (xb, yb) in zip(STAGE, STAGE[1:] + STAGE[:1], strict=True)
     if ya != yb
 )
+_AT_ENTRY = "(first_x <= 0.08 * 320 or first_x >= 320 - 0.08 * 320 or first_y <= 0.08 * 320 or first_y >= 320 - 0.08 * 320)"
+_AWAY = "sqrt(power({0}_x - gx, 2) + power({0}_y - gy, 2))"
+_TESTS = {
+    "duration": "not survives",
+    "stage": f"({_INSIDE}) % 2 = 0",
+    "spatial": f"""k >= 3 and greatest(abs(mx - gx) / sx, abs(my - gy) / sy) > case when my >= 0.65 * 320 then 1.5 * 1.25 else 1.5 end
+  and not (n >= 4 and {_AWAY.format('late')} < 0.7 * {_AWAY.format('early')})""",
+    "short": f"""n < {{least}} and not ({_AT_ENTRY} and (f1 >= {{end}} or ({{total}} - f0 > 0 and n >= greatest(30, floor(({{total}} - f0) * {{share}}::double))
+  and ((first_x <= 0.08 * 320 and later_x > first_x) or (first_x >= 320 - 0.08 * 320 and later_x < first_x)))))""",
+    "audience": "start_x >= 0.75 * 320 and start_y >= 0.70 * {tall}",
+    "late_span": f"f0 >= {{late}} and f1 - f0 + 1 < {{span}} and not {_AT_ENTRY}",
+    "bbox_size": "k >= 3 and (mh / gh < {low} or mh / gh > case when my >= 0.65 * 320 then {high} * 1.25::double else {high} end)",
+    "aspect": "k >= 3 and wh > {most}",
+    "mirror": "k >= 2 and vx * gv < 0 and moving_edge >= 0.3",
+}
 
 
-def _r(*names: str, places: int = 5) -> str:
-    return ", ".join(f"round({n}, {places}) + 0.0 as {n}" for n in names)
+def _half(value: str, places: int) -> str:
+    return f"round({value}, {places})"
 
 
 def _with(*parts: str) -> str:
     return "with " + ",".join(p.strip() for p in parts)
 
 
-_SPATIAL = """
-gr{n} as (
-  select seq_id, median(mx) as gx, median(my) as gy, count(*) as k, greatest(stddev_pop(mx), 16.0) as sx, greatest(stddev_pop(my), 16.0) as sy from m{n} group by all),
-so{n} as (select seq_id, track_id from m{n} join gr{n} using (seq_id) where k >= 3 and (abs(mx - gx) > 1.5 * sx or abs(my - gy) > 1.5 * sy))
-"""
+_CHAIN = [
+    ("duration", _TESTS["duration"]), ("stage", _TESTS["stage"]), ("spatial", _TESTS["spatial"]), ("short", _TESTS["short"].format(least=30, end=57, total=60, share=0.5)),
+    ("audience", _TESTS["audience"].format(tall=320)), ("late_span", _TESTS["late_span"].format(late=21, span=10)), ("bbox_size", _TESTS["bbox_size"].format(low=0.97, high=1.04)),
+    ("aspect", _TESTS["aspect"].format(most=0.492)), ("mirror", _TESTS["mirror"]),
+]
+
+
+def _chain_sql(names: list[str]) -> str:
+    steps = [x for x in _CHAIN if x[0] in names]
+    return _with(OBS_SQL, _G, _facts(), _rules_sql("fa", steps)) + " " + " union all ".join(f"select * from r{i}" for i in range(len(steps)))
+
 
 ORACLE_SQL: dict[str, str] = {
-    "sequence_scores": _with(OBS_SQL, _G, _SURVIVAL) + f" select seq_id, track_id, n_frames, first_frame, span, {_r('median_h', 'movement_std')}, survives from sv",
+    "sequence_scores": _with(OBS_SQL, _G, _SURVIVAL.format(total=60)) + f" select seq_id, track_id, n_frames, first_frame, span, {_r('movement_std')}, lasts, {_r('median_h')}, survives from sv",
     "observations": _with(OBS_SQL) + f" select seq_id, track_id, frame_idx, {_r('x1', 'y1', 'x2', 'y2', 'conf')} from obs",
     "track_quality": _with(OBS_SQL) + f""", p as (select seq_id, track_id, count(*) as n from obs group by all),
 q as (select seq_id, count(*) as n_tracks, sum(n)::bigint as n_obs, median(n) as median_len, quantile_cont(n, 0.1) as p10_len, quantile_cont(n, 0.9) as p90_len,
@@ -185,7 +253,7 @@ select p.seq_id, p.frame_idx::bigint as frame_idx, coalesce(n, 0)::bigint as n_t
 l as (select s.*, s.frame_idx - max(o.frame_idx) over (partition by s.seq_id, s.track_id order by s.frame_idx) as away from s left join obs o using (seq_id, track_id, frame_idx))
 select seq_id, track_id, frame_idx, case when away = 0 then 'ACTIVE' when away <= 3 then 'DORMANT' else 'LOST' end as state from l""",
     "track_medians": _with(OBS_SQL, _G, _MED) + f" select seq_id, track_id, {_r('mx', 'my', 'mh', 'mw')}, n from m",
-    "edge_share": _with(OBS_SQL, _G) + ", s as (select seq_id, track_id, avg(case when cx < 0.15 * 320 or cx > 0.85 * 320 then 1.0 else 0.0 end) as edge_share from g group by all) select seq_id, track_id, round(edge_share, 5) + 0.0 as edge_share from s",
+    "edge_share": _with(OBS_SQL, _G) + ", s as (select seq_id, track_id, avg(case when cx < 0.15 * 320 or cx > 0.85 * 320 then 1.0 else 0.0 end) as edge_share from g group by all) select seq_id, track_id, floor((edge_share)::double * 1e5 + 0.5) / 1e5 as edge_share from s",
     "frame_pairs": _with(OBS_SQL, _G, _PAIRS) + f""", d as (select *, iou - dist * dist / (far + 1e-7) as diou, inter / greatest(aa, 1e-6) as a_in_b, inter / greatest(ba, 1e-6) as b_in_a from pr)
 select seq_id, frame_idx, a, b, {_r('iou', 'diou', 'a_in_b', 'b_in_a', 'dist')} from d""",
     "overlap_runs": _with(OBS_SQL, _G, _PAIRS) + """, fr as (select distinct seq_id, frame_idx from obs), fp as (select *, row_number() over (partition by seq_id order by frame_idx) as place from fr),
@@ -211,20 +279,18 @@ select seq_id, a, b, {_r('dist')} from c anti join s using (seq_id, a, b) where
     "id_votes": _with(OBS_SQL, _G) + """, v as (select p.seq_id, q.track_id + 100000 as backward_id, p.track_id as forward_id, count(*) as votes from g p join g q on p.seq_id = q.seq_id and p.frame_idx = q.frame_idx and q.frame_idx >= 10
   and greatest(0.0, least(p.x2, q.x2) - greatest(p.x1, q.x1)) * greatest(0.0, least(p.y2, q.y2) - greatest(p.y1, q.y1)) >= 0.45 * (p.w * p.h + q.w * q.h - greatest(0.0, least(p.x2, q.x2) - greatest(p.x1, q.x1)) * greatest(0.0, least(p.y2, q.y2) - greatest(p.y1, q.y1))) group by all)
 select * from v where votes >= 4 qualify row_number() over (partition by seq_id, backward_id order by votes desc, forward_id) = 1""",
-    "merge_keep_first": _with(OBS_SQL) + f" select seq_id, track_id, frame_idx, {_r('x1', 'y1', 'x2', 'y2')}, round(case when frame_idx <= 30 then conf else 0.5 end, 5) + 0.0 as conf from obs",
-    "prune_stage": _with(OBS_SQL, _G, _MED) + f" select seq_id, track_id from m where ({_INSIDE}) % 2 = 0",
-    "prune_spatial": _with(OBS_SQL, _G, _MED, _SPATIAL.format(n="")) + " select * from so",
-    "prune_short": _with(OBS_SQL) + " select seq_id, track_id from obs group by all having count(*) < 0.35 * 120",
-    "prune_audience": _with(OBS_SQL, _G, _MED) + " select seq_id, track_id from m where mx >= 0.75 * 320 and my >= 0.70 * 250",
-    "prune_late_span": _with(_BROKEN, _G, _MED) + " select seq_id, track_id from m where f0 >= 0.35 * 120 and f1 - f0 + 1 < 0.17 * 120 and first_x between 0.08 * 320 and 0.92 * 320",
-    "prune_bbox_size": _with(OBS_SQL, _G, _MED) + ", q as (select seq_id, median(mh) as gh, count(*) as k from m group by all) select seq_id, track_id from m join q using (seq_id) where k >= 3 and (mh < 0.98 * gh or mh > 1.02 * gh)",
-    "prune_aspect": _with(OBS_SQL, _G, _MED) + " select seq_id, track_id from m where wh > 0.49",
-    "prune_mirror": _with(OBS_SQL, _G) + """, v as (select *, (cx - lag(cx) over w) / nullif(frame_idx - lag(frame_idx) over w, 0) as v from g window w as (partition by seq_id, track_id order by frame_idx)),
-s as (select seq_id, track_id, avg(v) as vx, avg(case when cx < 0.3 * 320 or cx > 0.7 * 320 then 1.0 else 0.0 end) as edge from v group by all),
-q as (select seq_id, median(vx) as gv, count(*) as k from s group by all) select seq_id, track_id from s join q using (seq_id) where k >= 2 and edge >= 0.3 and vx * gv < 0""",
-    "prune_chain": _with(OBS_SQL, _G, _SURVIVAL, _MED) + f""", r1 as (select seq_id, track_id from sv where not survives),
-m1 as (select * from m anti join r1 using (seq_id, track_id)), r2 as (select seq_id, track_id from m1 where ({_INSIDE}) % 2 = 0),
-m2 as (select * from m1 anti join r2 using (seq_id, track_id)), {_SPATIAL.format(n='2').strip()},
-m3 as (select * from m2 anti join so2 using (seq_id, track_id)), r4 as (select seq_id, track_id from m3 where mx >= 0.75 * 320 and my >= 0.70 * 320)
-select 'duration' as rule, * from r1 union all select 'stage', * from r2 union all select 'spatial', * from so2 union all select 'audience', * from r4""",
+    "merge_keep_first": _with(OBS_SQL) + f" select seq_id, track_id, frame_idx, {_r('x1', 'y1', 'x2', 'y2')}, floor((case when frame_idx <= 30 then conf else 0.5 end)::double * 1e5 + 0.5) / 1e5 as conf from obs",
+    "prune_stage": _one_rule(_TESTS["stage"], _facts()),
+    "prune_spatial": _one_rule(_TESTS["spatial"], _facts()),
+    "prune_short": _one_rule(_TESTS["short"].format(least=42, end=114, total=120, share=0.35), _facts(120)),
+    "prune_audience": _one_rule(_TESTS["audience"].format(tall=250), _facts()),
+    "prune_late_span": _one_rule(_TESTS["late_span"].format(late=42, span=20), _facts(120), _BROKEN),
+    "prune_bbox_size": _one_rule(_TESTS["bbox_size"].format(low=0.98, high=1.02), _facts()),
+    "prune_aspect": _one_rule(_TESTS["aspect"].format(most=0.49), _facts()),
+    "prune_mirror": _one_rule(_TESTS["mirror"], _facts(edge=0.3)),
+    "prune_chain": _chain_sql(["duration", "stage", "spatial", "audience"]),
+    "prune_all_rules": _chain_sql([x[0] for x in _CHAIN]),
+    "prune_info": _with(OBS_SQL, _G, _facts()) + f""" select seq_id, track_id, n as n_frames, f0 as first_frame, f1 as last_frame, {_half('mx', 1)} as median_x, {_half('my', 1)} as median_y, {_half('mh', 1)} as median_h, {_half('mw', 1)} as median_w,
+  {_half('mw / mh', 2)} as aspect_ratio, {_half('(f1 - f0) / 60', 4)} as frames_in_video, {_half('100 * mx / 320', 1)} as pos_x, {_half('100 * my / 320', 1)} as pos_y,
+  concat_ws(',', {', '.join(f"format('{{:.1f}}', {_half(v, 1)})" for v in ('mx - mw / 2', 'my - mh / 2', 'mx + mw / 2', 'my + mh / 2'))}) as median_box from fa""",
 }

@@ -1,7 +1,7 @@
 """Track and pose tables derived from the driver's events and embeddings, in Spark and as DuckDB SQL.
 
-``obs``: seq_id, track_id, frame_idx, box x1 y1 x2 y2 and conf, one row for each track and frame. ``keypoints``: track_id,
-frame_idx, joint j (0 to 16), x, y and score s. The values carry no physical meaning; they exercise the operators.
+``obs``: seq_id, track_id, frame_idx, box x1 y1 x2 y2 and conf, one row for each track and frame. ``keypoints``: seq_id,
+track_id, frame_idx, joint j (0 to 16), x, y and score s. The values carry no physical meaning; they exercise the operators.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ obs as (
 
 KEYPOINTS_SQL = """
 kp as (
-  select cast(vec_id % 20 as bigint) as track_id, cast(floor(vec_id / 20.0) as bigint) as frame_idx, cast(j as int) as j,
+  select cast(vec_id % 20 % 7 as bigint) as seq_id, cast(vec_id % 20 as bigint) as track_id, cast(floor(vec_id / 20.0) as bigint) as frame_idx, cast(j as int) as j,
     500 + 400 * cast(embedding[3 * j + 1] as double) as x, 300 + 400 * cast(embedding[3 * j + 2] as double) as y,
     least(1.0::double, 6 * abs(cast(embedding[3 * j + 3] as double))) as s
   from embeddings, range(0, 17) as t(j))
@@ -56,6 +56,6 @@ def keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     at = lambda k: F.get("embedding", 3 * F.col("j") + k).cast("double")
     return vectors.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(16)))).select(
-        (F.col("vec_id") % 20).cast("long").alias("track_id"), F.floor(F.col("vec_id") / 20.0).cast("long").alias("frame_idx"), "j",
+        (F.col("vec_id") % 20 % 7).cast("long").alias("seq_id"), (F.col("vec_id") % 20).cast("long").alias("track_id"), F.floor(F.col("vec_id") / 20.0).cast("long").alias("frame_idx"), "j",
         (500 + 400 * at(0)).alias("x"), (300 + 400 * at(1)).alias("y"), F.least(F.lit(1.0), 6 * F.abs(at(2))).alias("s"),
     )
