@@ -36,8 +36,8 @@ TOP = 3
 SHARD_BYTES, LEAST_SHARDS, MOST_SHARDS = 4 << 20, 64, 1 << 14
 #: Bytes of text in a block to score, and blocks that one task answers for a shard.
 BLOCK_BYTES, ANSWERED = 32 << 20, 1024
-#: Bytes of text whose positions are held at once, and distinct grams that a task holds before it hands them on.
-PIECE, HELD = 1 << 20, 1 << 21
+#: Bytes of text whose positions are held at once, distinct grams that are gathered before they are merged, and that a task holds before it hands them on.
+PIECE, GATHERED, HELD = 1 << 19, 1 << 19, 1 << 20
 #: Most frequent tokens that are summed in place (see ``dictionary``).
 HEAD = 1 << 18
 END = b"\n"
@@ -77,13 +77,13 @@ def one(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def placed_bytes(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each text: its gram as one number (the byte lowest, then its context backwards), and the text's place."""
+    """For each byte of each text: its gram as one number (the context backwards, nearest byte highest, then the byte itself), and the text's place."""
     parts = [b" " * depth + t for t in texts]
     sizes = np.array([len(p) for p in parts], np.int64)
     data = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
-    key = np.zeros(len(data), np.int64)
-    for j in range(depth + 1):
-        key[j:] |= data[: len(data) - j] << (8 * j)
+    key = data.copy()
+    for j in range(1, depth + 1):
+        key[j:] |= data[: len(data) - j] << (8 * (depth + 1 - j))
     owner = np.repeat(np.arange(len(texts)), sizes)
     inside = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= depth
     return key[inside], owner[inside]
@@ -119,7 +119,7 @@ class Grams:
         distinct, n = np.unique(keys, return_counts=True)
         self.parts.append((distinct, n * float(weight)))
         self.fresh += len(distinct)
-        if self.fresh > 4 * PIECE and self.fresh > len(self.parts[0][0]):
+        if self.fresh > max(GATHERED, len(self.parts[0][0]) // 2):
             self.merged()
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
@@ -137,20 +137,23 @@ def _shard_column(top: Column, shards: int) -> Column:
     return (F.shiftright(top * F.lit(0x9E3779B1), 12).bitwiseAND(F.lit(0xFFFFF)) % shards).cast("int")
 
 
-def _split(keys: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+def _split(keys: np.ndarray, depth: int, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """Order of sorted grams by shard, and (shard, begin, end) in it."""
-    shard = shard_of(keys >> 8 & ((1 << 8 * TOP) - 1), shards)
+    shard = shard_of(keys >> 8 * (depth - TOP + 1), shards)
     order = np.argsort(shard, kind="stable")
     present, starts = np.unique(shard[order], return_index=True)
     return order, list(zip(present.tolist(), starts.tolist(), [*starts.tolist(), len(keys)][1:], strict=True))
 
 
-def _packed(values: np.ndarray) -> bytes:
-    return zstandard.compress(values.tobytes(), 1)
+def packed(values: np.ndarray, sorted_: bool = False) -> bytes:
+    """Whole numbers, compressed byte by byte; of sorted ones the differences."""
+    values = np.diff(values, prepend=0) if sorted_ else values
+    return zstandard.compress(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
-def _unpacked(data: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), kind)
+def unpacked(data: bytes, sorted_: bool = False) -> np.ndarray:
+    values = np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+    return np.cumsum(values) if sorted_ else values
 
 
 class Subtree:
@@ -165,9 +168,9 @@ class Subtree:
         nodes, a, b = _summed(node, n * (1 - self.bit), n * self.bit)
         self.of_decision = np.searchsorted(nodes, node)
         self.levels = [(nodes, a, b, ln_kt(a, b), np.ones(len(nodes)), None)]
-        for d in range(depth - 1, TOP - 1, -1):
+        for _ in range(depth - TOP):
             nodes, a, b, weighted, _, _ = self.levels[-1]
-            above = (((nodes >> 8) & ((1 << (8 * d)) - 1)) << 8) | (nodes & 255)
+            above = nodes >> 16 << 8 | nodes & 255
             up, a, b, below = _summed(above, a, b, weighted)
             weighted, own = mixed_up(a, b, below)
             self.levels.append((up, a, b, weighted, own, np.searchsorted(up, above)))
@@ -199,9 +202,9 @@ def count_grams(rows: DataFrame, depth: int, shards: int) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             keys, n = held.merged()
-            order, spans = _split(keys, shards)
-            keys, n = keys[order], n[order].astype(np.int64)
-            columns = ([s for s, _, _ in spans], [blocks.pack_numbers(keys[a:b]) for _, a, b in spans], [_packed(n[a:b]) for _, a, b in spans])
+            order, spans = _split(keys, depth, shards)
+            keys, n = keys[order], n[order]
+            columns = ([s for s, _, _ in spans], [packed(keys[a:b], True) for _, a, b in spans], [packed(n[a:b]) for _, a, b in spans])
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "keys", "counts"])
 
         for batch in batches:
@@ -209,24 +212,23 @@ def count_grams(rows: DataFrame, depth: int, shards: int) -> DataFrame:
             for weight in (0, 1):
                 for _, texts in pieces(batch.column(0).filter(pa.array(weights == weight))):
                     held.add(placed_bytes(texts, depth)[0], weight)
-                    if held.fresh + len(held.parts[0][0]) >= HELD:
-                        if len(held.merged()[0]) >= HELD // 2:
-                            yield out()
-                            held = Grams()
+                    if held.fresh + len(held.parts[0][0]) >= HELD and len(held.merged()[0]) >= HELD // 2:
+                        yield out()
+                        held = Grams()
         yield out()
 
     def merge(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([blocks.unpack_numbers(x.as_py()) for x in table.column("keys")])
-        keys, n = _summed(keys, np.concatenate([_unpacked(x.as_py(), np.int64) for x in table.column("counts")]).astype(float))
-        return pa.table({"shard": table.column("shard")[:1], "keys": pa.array([blocks.pack_numbers(keys)], pa.binary()), "counts": pa.array([_packed(n.astype(np.int64))], pa.binary())})
+        keys = np.concatenate([unpacked(x.as_py(), True) for x in table.column("keys")])
+        keys, n = _summed(keys, np.concatenate([unpacked(x.as_py()) for x in table.column("counts")]).astype(float))
+        return pa.table({"shard": table.column("shard")[:1], "keys": pa.array([packed(keys, True)], pa.binary()), "counts": pa.array([packed(n)], pa.binary())})
 
     schema = "shard int, keys binary, counts binary"
     return rows.select("text", "weight").mapInArrow(run, schema).groupBy("shard").applyInArrow(merge, schema)
 
 
 def _tree(row: dict, depth: int) -> tuple[np.ndarray, Subtree]:
-    keys = blocks.unpack_numbers(row["keys"])
-    return keys, Subtree(keys, _unpacked(row["counts"], np.int64).astype(float), depth)
+    keys = unpacked(row["keys"], True)
+    return keys, Subtree(keys, unpacked(row["counts"]).astype(float), depth)
 
 
 def _table(names: str, *columns: np.ndarray) -> pa.RecordBatch:
@@ -247,17 +249,17 @@ def gram_scores(grams: DataFrame, depth: int, shards: int) -> DataFrame:
             yield _table("node a b w own", batch.column("node"), a, b, *mixed_up(a, b, w))
 
     schema = "node long, a double, b double, w double, own double"
-    above = lambda d: F.expr(f"((shiftright(node, 8) & {(1 << (8 * d)) - 1}) << 8) | (node & 255)")
+    above = F.expr("(shiftright(node, 16) << 8) | (node & 255)")
     levels = [written(grams.mapInArrow(up, schema))]
-    for d in range(TOP - 1, -1, -1):
-        sums = levels[-1].groupBy(above(d).alias("node")).agg(*[F.sum(c).alias(c) for c in "abw"])
+    for _ in range(TOP):
+        sums = levels[-1].groupBy(above.alias("node")).agg(*[F.sum(c).alias(c) for c in "abw"])
         levels.append(written(sums.mapInArrow(mixed, schema)))
     # From the root down: the probability of a one that the nodes above give, and the weight that they leave.
     p = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)
     path = levels[-1].select("node", F.lit(0.0).alias("mix"), F.lit(1.0).alias("rest"), (F.col("own") * p).alias("gives"), F.col("own"))
     for d in range(TOP):
         before = path.select(F.col("node").alias("parent"), (F.col("mix") + F.col("rest") * F.col("gives")).alias("mix"), (F.col("rest") * (1 - F.col("own"))).alias("rest"))
-        path = levels[TOP - 1 - d].withColumn("parent", above(d)).join(before, "parent").select("node", "mix", "rest", (F.col("own") * p).alias("gives"), "own")
+        path = levels[TOP - 1 - d].withColumn("parent", above).join(before, "parent").select("node", "mix", "rest", (F.col("own") * p).alias("gives"), "own")
     path = path.select("node", "mix", "rest", _shard_column(F.shiftright("node", 8), shards).alias("shard"))
 
     def down(table: pa.Table, given: pa.Table) -> pa.Table:
@@ -274,33 +276,28 @@ def text_scores(rows: DataFrame, scores: DataFrame, depth: int, shards: int, n_b
     dealt = blocks.in_blocks(rows, n_blocks, by=("doc_id", "text"))
     salts = -(-n_blocks // ANSWERED)
 
-    def distinct(table: pa.Table) -> np.ndarray:
-        held = Grams()
+    def offered(table: pa.Table) -> pa.Table:
+        held, block = Grams(), table.column("block")[0].as_py()
         for _, texts in pieces(table.column("text")):
             held.add(placed_bytes(texts, depth)[0], 0)
-        return held.merged()[0]
-
-    def offered(table: pa.Table) -> pa.Table:
-        keys, block = distinct(table), table.column("block")[0].as_py()
-        order, spans = _split(keys, shards)
+        keys = held.merged()[0]
+        order, spans = _split(keys, depth, shards)
         keys = keys[order]
-        columns = ([block] * len(spans), [s for s, _, _ in spans], [block % salts] * len(spans), [blocks.pack_numbers(keys[a:b]) for _, a, b in spans])
+        columns = ([block] * len(spans), [s for s, _, _ in spans], [block % salts] * len(spans), [packed(keys[a:b], True) for _, a, b in spans])
         return pa.table([pa.array(c, t) for c, t in zip(columns, (*[pa.int32()] * 3, pa.binary()), strict=True)], ["block", "shard", "salt", "keys"])
 
     def answered(asks: pa.Table, known: pa.Table) -> pa.Table:
         out: list[bytes] = []
         if known.num_rows and asks.num_rows:
-            keys, s = blocks.unpack_numbers(known.column("keys")[0].as_py()), np.frombuffer(known.column("scores")[0].as_py(), np.float32)
-            out = [s[np.searchsorted(keys, blocks.unpack_numbers(x.as_py()))].tobytes() for x in asks.column("keys")]
-        return pa.table({"block": asks.column("block"), "shard": asks.column("shard"), "scores": pa.array(out, pa.binary())})
+            keys, s = unpacked(known.column("keys")[0].as_py(), True), np.frombuffer(known.column("scores")[0].as_py(), np.float32)
+            out = [s[np.searchsorted(keys, unpacked(x.as_py(), True))].tobytes() for x in asks.column("keys")]
+        return pa.table({"block": asks.column("block"), "keys": asks.column("keys"), "scores": pa.array(out, pa.binary())})
 
     def added(table: pa.Table, answers: pa.Table) -> pa.Table:
-        keys = distinct(table)
-        order, spans = _split(keys, shards)
-        given = dict(zip(answers.column("shard").to_pylist(), answers.column("scores"), strict=True))
-        s = np.empty(len(keys))
-        for shard, a, b in spans:
-            s[order[a:b]] = np.frombuffer(given[shard].as_py(), np.float32)
+        keys = np.concatenate([np.zeros(0, np.int64), *(unpacked(x.as_py(), True) for x in answers.column("keys"))])
+        s = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x.as_py(), np.float32) for x in answers.column("scores"))])
+        order = np.argsort(keys)
+        keys, s = keys[order], s[order]
         total = np.zeros(table.num_rows)
         for first, texts in pieces(table.column("text")):
             key, owner = placed_bytes(texts, depth)
@@ -310,7 +307,7 @@ def text_scores(rows: DataFrame, scores: DataFrame, depth: int, shards: int, n_b
 
     offers = dealt.groupBy("block").applyInArrow(offered, "block int, shard int, salt int, keys binary")
     known = scores.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    answers = offers.groupBy("shard", "salt").cogroup(known.groupBy("shard", "salt")).applyInArrow(answered, "block int, shard int, scores binary")
+    answers = offers.groupBy("shard", "salt").cogroup(known.groupBy("shard", "salt")).applyInArrow(answered, "block int, keys binary, scores binary")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(added, f"{kept}, score double")
 

@@ -264,7 +264,7 @@ def test_context_trees(spark, monkeypatch):
     n, v = sum(train.values()), len(train)
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     for depth, piece, held, head in ((6, 1 << 20, 1 << 21, 100), (4, 8, 5, 0)):  # whole, then in small pieces
-        for name, value in (("PIECE", piece), ("HELD", held), ("ANSWERED", head or 1)):
+        for name, value in (("PIECE", piece), ("GATHERED", held), ("HELD", held), ("ANSWERED", head or 1)):
             monkeypatch.setattr(ctw, name, value)
         got = sorted(((r["doc_id"], r["n_tokens"], r["score"], r["base_score"], r["n_known"], r["train_tokens"]) for r in ctw.score(df, F.col("doc_id") != 3, depth=depth, head=head).collect()), key=key)
         brute = brute_running(learned, depth)
