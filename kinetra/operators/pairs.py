@@ -6,7 +6,7 @@ turns into a product of whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetra.functions import geometry as g
@@ -54,55 +54,99 @@ def overlap_clusters(obs: DataFrame, trigger: float) -> DataFrame:
 
 
 def coexisting(obs: DataFrame, frames: int = 5, near: float = 0.6, ratio: float = 1.6, overlap: float = 0.25) -> DataFrame:
-    """Pairs that share at least ``frames`` frames, are close in a share of ``near`` of them, of like height, and overlap."""
-    heights = obs.groupBy("seq_id", "track_id").agg(F.median(g.height()).alias("h"))
-    ha, hb = (heights.select("seq_id", F.col("track_id").alias(s), F.col("h").alias(f"h_{s}")) for s in "ab")
-    pairs = frame_pairs(obs).join(ha, ["seq_id", "a"]).join(hb, ["seq_id", "b"])
-    stats = pairs.groupBy("seq_id", "a", "b", "h_a", "h_b").agg(
-        F.count("*").alias("shared"), F.avg((F.col("dist") <= 0.5 * F.greatest("h_a", "h_b")).cast("double")).alias("close"), F.avg("iou").alias("mean_iou")
+    """Pairs that share at least ``frames`` frames, are closer than half the larger height in a share of ``near`` of them, of like height at the median, and overlap."""
+    side = {s: obs.select("seq_id", "frame_idx", F.col("track_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in BOX]) for s in "ab"}
+    pairs = side["a"].join(side["b"], ["seq_id", "frame_idx"]).where("a < b")
+    ha, hb = g.height("a_"), g.height("b_")
+    close = g.distance("a_", "b_") <= 0.5 * F.greatest(ha, hb, F.lit(1.0))
+    size = F.when((ha > 0) & (hb > 0), F.greatest(ha, hb) / F.least(ha, hb))
+    stats = pairs.groupBy("seq_id", "a", "b").agg(
+        F.count("*").alias("shared"), F.avg(close.cast("double")).alias("close"), F.median(size).alias("ratio"), F.avg(F.coalesce(g.iou("a_", "b_"), F.lit(0.0))).alias("mean_iou")
     )
-    size = F.greatest("h_a", "h_b") / F.least("h_a", "h_b")
-    return stats.where((F.col("shared") >= frames) & (F.col("close") >= near) & (size <= ratio) & (F.col("mean_iou") >= overlap)).select("seq_id", "a", "b", "shared", "close", "mean_iou")
+    return stats.where((F.col("shared") >= frames) & (F.col("close") >= near) & (F.col("ratio") <= ratio) & (F.col("mean_iou") >= overlap)).select("seq_id", "a", "b", "shared", "close", "mean_iou")
 
 
-def ends(obs: DataFrame) -> DataFrame:
-    """Per track: its first and last frame and the boxes there."""
-    box = F.struct(*BOX)
-    e = obs.groupBy("seq_id", "track_id").agg(F.min("frame_idx").alias("f0"), F.max("frame_idx").alias("f1"), F.min_by(box, "frame_idx").alias("b0"), F.max_by(box, "frame_idx").alias("b1"))
-    return e.select("seq_id", "track_id", "f0", "f1", *[F.col(f"{b}.{c}").alias(f"{b}_{c}") for b in ("b0", "b1") for c in BOX])
+def ends(obs: DataFrame, tail: int = 5) -> DataFrame:
+    """Per track: number of observations, first and last frame and box, and its velocity over the last ``tail`` and the last two (0 for one)."""
+    box, at = F.struct(*BOX), "frame_idx"
+    back = Window.partitionBy("seq_id", "track_id").orderBy(F.desc(at))
+    rows = obs.withColumn("back", F.row_number().over(back))
+    e = rows.groupBy("seq_id", "track_id").agg(
+        F.count("*").alias("n"), F.min(at).alias("f0"), F.max(at).alias("f1"), F.min_by(box, at).alias("b0"), F.max_by(box, at).alias("b1"),
+        *[F.min_by(F.when(F.col("back") <= k, F.struct(F.col(at).alias("f"), g.cx().alias("x"), g.cy().alias("y"))), F.when(F.col("back") <= k, F.col(at))).alias(f"t{k}") for k in (tail, 2)],
+    )
+    speed = lambda k, c: F.coalesce(((F.col(f"b1.{c}1") + F.col(f"b1.{c}2")) / 2 - F.col(f"t{k}.{c}")) / F.nullif(F.col("f1") - F.col(f"t{k}.f"), F.lit(0)), F.lit(0.0))
+    return e.select(
+        "seq_id", "track_id", "n", "f0", "f1", *[F.col(f"{b}.{c}").alias(f"{b}_{c}") for b in ("b0", "b1") for c in BOX],
+        speed(tail, "x").alias("vx"), speed(tail, "y").alias("vy"), speed(2, "x").alias("ux"), speed(2, "y").alias("uy"),
+    )
 
 
 def follow(tracks: DataFrame, least: int, most: int) -> DataFrame:
-    """Pairs of one sequence where b starts ``least`` to ``most`` frames after a's end.
+    """Pairs of one sequence where b starts ``least`` to ``most`` frames after a's end: a's last box (a_), b's first (b_), numbers and velocities of both.
 
     Both are put into buckets of ``most`` frames; a start lies in its end's bucket or the next.
     """
-    wide = max(1, most)
-    a = tracks.select("seq_id", F.col("track_id").alias("a"), F.col("f1").alias("a_end"), *[F.col(f"b1_{c}").alias(f"a_{c}") for c in BOX])
+    wide, facts = max(1, most), ("n", "vx", "vy", "ux", "uy")
+    a = tracks.select("seq_id", F.col("track_id").alias("a"), F.col("f1").alias("a_end"), *[F.col(f"b1_{c}").alias(f"a_{c}") for c in BOX], *[F.col(c).alias(f"a_{c}") for c in facts])
     a = a.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("a_end") + least) / wide), F.floor((F.col("a_end") + most) / wide))))
-    b = tracks.select("seq_id", F.col("track_id").alias("b"), F.col("f0").alias("b_start"), *[F.col(f"b0_{c}").alias(f"b_{c}") for c in BOX])
+    b = tracks.select("seq_id", F.col("track_id").alias("b"), F.col("f0").alias("b_start"), *[F.col(f"b0_{c}").alias(f"b_{c}") for c in BOX], *[F.col(c).alias(f"b_{c}") for c in facts])
     b = b.withColumn("bucket", F.floor(F.col("b_start") / wide))
     gap = F.col("b_start") - F.col("a_end")
     return a.join(b, ["seq_id", "bucket"]).where((F.col("a") != F.col("b")) & gap.between(least, most)).withColumn("gap", gap).drop("bucket")
 
 
-def stitch_candidates(obs: DataFrame, most: int = 60, radius: float = 1.0, ratio: float = 1.6) -> DataFrame:
-    """Broken tracks that may go on: near in time, within ``radius`` heights, of like height."""
-    p = follow(ends(obs), 1, most)
-    size = F.greatest(g.height("a_"), g.height("b_")) / F.least(g.height("a_"), g.height("b_"))
-    return p.withColumn("dist", g.distance("a_", "b_")).where((F.col("dist") <= radius * F.greatest(g.height("a_"), g.height("b_"))) & (size <= ratio)).select("seq_id", "a", "b", "gap", "dist")
+def _missed(vx: str, vy: str) -> Column:
+    """Distance of b's first centre from where a's velocity leads over the gap."""
+    dx, dy = g.cx("b_") - (g.cx("a_") + F.col(vx) * F.col("gap")), g.cy("b_") - (g.cy("a_") + F.col(vy) * F.col("gap"))
+    return F.sqrt(dx * dx + dy * dy)
 
 
-def dormant_candidates(obs: DataFrame, least: int = 90, most: int = 150) -> DataFrame:
-    """Tracks that may wake as another: more than ``least`` empty frames between, at most two diagonals away."""
-    p = follow(ends(obs), least + 2, most + 1)
-    diagonal = F.sqrt(F.pow(g.width("a_"), F.lit(2)) + F.pow(g.height("a_"), F.lit(2)))
-    return p.withColumn("dist", g.distance("a_", "b_")).where(F.col("dist") <= 2 * diagonal).select("seq_id", "a", "b", (F.col("gap") - 1).alias("gap"), "dist")
+def stitch_candidates(obs: DataFrame, total_frames: int, most: int = 60, near: float = 0.5, ahead: float = 0.75, radius: float = 120.0, short: int = 20, ratio: float = 1.6, speed: float = 0.25) -> DataFrame:
+    """Broken tracks that may go on: b starts near a's last place or where a's velocity leads.
+
+    Radii are shares of a's height (``near``, ``ahead``; all of it for a gap of at most ``short`` frames), but not under
+    a share of ``radius`` pixels. Heights are alike, the speed over the gap is possible, and after a longer gap
+    tracks that both move do not move against each other. Tracks that last to the end do not go on.
+    """
+    ha, hb, gap = g.height("a_"), g.height("b_"), F.col("gap")
+    moves = (F.col("a_vx") != 0) | (F.col("a_vy") != 0)
+    last = F.when(ha > 0, F.greatest(near * ha, F.lit(0.5 * radius))).otherwise(F.lit(radius))
+    led = F.when(moves & (ha > 0), F.greatest(ahead * ha, F.lit(0.75 * radius))).otherwise(last)
+    soon = gap <= short
+    at_last = F.when(soon & (ha > 0), F.greatest(ha, F.lit(radius))).otherwise(last)
+    at_led = F.when(soon, at_last).otherwise(led)
+    alike = F.coalesce(F.greatest(ha, hb) / F.when((ha > 0) & (hb > 0), F.least(ha, hb)) <= ratio, F.lit(True))
+    pace = lambda s: F.sqrt(F.pow(F.col(f"{s}_vx"), F.lit(2)) + F.pow(F.col(f"{s}_vy"), F.lit(2)))
+    against = ~soon & moves & (F.col("b_n") >= 3) & (pace("a") > 1) & (pace("b") > 1) & (F.col("a_vx") * F.col("b_vx") + F.col("a_vy") * F.col("b_vy") < 0)
+    p = follow(ends(obs), 1, most).withColumns({"dist": g.distance("a_", "b_"), "missed": _missed("a_vx", "a_vy")})
+    fits = ((F.col("dist") <= at_last) | (F.col("missed") <= at_led)) & (F.least("dist", "missed") < F.greatest(last, led) + 1.0)
+    possible = F.col("dist") / gap <= F.greatest(speed * ha, F.lit(30.0))
+    return p.where((F.col("a_end") < total_frames - 1) & fits & alike & possible & ~against).select("seq_id", "a", "b", "gap", "dist", "missed")
+
+
+def dormant_candidates(obs: DataFrame, least: int = 90, most: int = 150, sigma: float = 2.0, overlap: float = 0.2) -> DataFrame:
+    """Tracks that may wake as another: more than ``least`` empty frames between, and the last box, moved on by the last velocity, near b's first and over it.
+
+    Tracks with one observation have no velocity and do not wake; near is ``sigma`` diagonals of b's box.
+    """
+    p = follow(ends(obs), least + 2, most + 1).where("a_n >= 2").withColumn("missed", _missed("a_ux", "a_uy"))
+    for c in BOX:
+        p = p.withColumn(f"p_{c}", F.col(f"a_{c}") + F.col("a_ux" if c[0] == "x" else "a_uy") * F.col("gap"))
+    diagonal = F.greatest(F.sqrt(F.pow(g.width("b_"), F.lit(2)) + F.pow(g.height("b_"), F.lit(2))), F.lit(1.0))
+    both = F.coalesce(g.iou("p_", "b_"), F.lit(0.0))
+    return p.where((F.col("missed") <= sigma * diagonal) & (both >= overlap)).select("seq_id", "a", "b", (F.col("gap") - 1).alias("gap"), F.col("missed").alias("dist"), both.alias("iou"))
 
 
-def best_link(candidates: DataFrame) -> DataFrame:
-    """Per ended track the start with the smallest gap (then distance, then id)."""
-    return candidates.groupBy("seq_id", "a").agg(F.min_by(F.struct("b", "gap", "dist"), F.struct("gap", "dist", "b")).alias("m")).select("seq_id", "a", "m.b", "m.gap", "m.dist")
+def global_candidates(obs: DataFrame, most: int = 30, share: float = 0.35, size: tuple[float, float] = (1920.0, 1080.0)) -> DataFrame:
+    """Ended tracks and starts at most ``most`` empty frames later, nearer than a share of the picture's diagonal."""
+    p = follow(ends(obs), 1, most + 1).withColumn("dist", g.distance("a_", "b_"))
+    return p.where(F.col("dist") <= share * (size[0] ** 2 + size[1] ** 2) ** 0.5).select("seq_id", "a", "b", (F.col("gap") - 1).alias("gap"), "dist")
+
+
+def best_link(candidates: DataFrame, first: str = "gap") -> DataFrame:
+    """Per ended track the start with the smallest gap (or distance, if ``first`` says so), then the smaller id."""
+    return candidates.groupBy("seq_id", "a").agg(F.min_by(F.struct("b", "gap", "dist"), F.struct(first, "b")).alias("m")).select("seq_id", "a", "m.b", "m.gap", "m.dist")
 
 
 def complementary(obs: DataFrame, near: float) -> DataFrame:
@@ -130,3 +174,22 @@ def merge_keep_first(*passes: DataFrame) -> DataFrame:
         rows = rows.unionByName(p.withColumn("_pass", F.lit(k)))
     first = Window.partitionBy("seq_id", "track_id", "frame_idx").orderBy("_pass")
     return rows.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn", "_pass")
+
+
+def merged_passes(forward: DataFrame, backward: DataFrame, overlap: float = 0.45, least: int = 4) -> DataFrame:
+    """Both passes as one: a backward track takes the id of the forward track that it votes for and adds the frames that this lacks.
+
+    Backward tracks without one keep their observations under new ids, in order of theirs, after the largest forward id of
+    the sequence. Of two backward rows for one frame of a forward track the smaller backward id stays.
+    """
+    names = id_votes(forward, backward, overlap, least).select("seq_id", F.col("backward_id").alias("track_id"), F.col("forward_id").alias("named"))
+    back = backward.join(names, ["seq_id", "track_id"], "left")
+    lone = back.where("named is null").select("seq_id", "track_id").distinct()
+    top = forward.groupBy("seq_id").agg(F.max("track_id").alias("top"))
+    fresh = lone.withColumn("k", F.row_number().over(Window.partitionBy("seq_id").orderBy("track_id"))).join(top, "seq_id", "left")
+    fresh = fresh.select("seq_id", "track_id", (F.coalesce("top", F.lit(0)) + F.col("k")).alias("fresh"))
+    columns = ["seq_id", "track_id", "frame_idx", *BOX, "conf"]
+    added = back.join(fresh, ["seq_id", "track_id"], "left").withColumn("own", F.coalesce("named", "fresh"))
+    first = Window.partitionBy("seq_id", "own", "frame_idx").orderBy("track_id")
+    added = added.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("seq_id", F.col("own").alias("track_id"), *columns[2:])
+    return merge_keep_first(forward.select(*columns), added)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from kinetra.functions import geometry as g
 
-#: Joints (end, vertex, end) of each angle.
-ANGLES = {"left_elbow": (5, 7, 9), "right_elbow": (6, 8, 10), "left_knee": (11, 13, 15), "right_knee": (12, 14, 16), "left_hip": (5, 11, 13), "right_hip": (6, 12, 14)}
+#: Joints (end, vertex, end) of each angle; an end of two joints is the middle between them.
+HIPS = (11, 12)
+ANGLES = {"left_shoulder": (7, 5, HIPS), "right_shoulder": (8, 6, HIPS), "left_elbow": (5, 7, 9), "right_elbow": (6, 8, 10), "left_knee": (11, 13, 15), "right_knee": (12, 14, 16)}
 #: Spread of each joint in object keypoint similarity.
 SIGMAS = (0.026, 0.025, 0.025, 0.035, 0.035, 0.079, 0.079, 0.072, 0.072, 0.062, 0.062, 0.107, 0.107, 0.087, 0.087, 0.089, 0.089)
 LOWER, TORSO, SHOULDERS = (13, 14, 15, 16), (5, 6, 11, 12), (5, 6)
@@ -28,11 +29,13 @@ def _at(j: int, c: str) -> Column:
 
 
 def joint_angles(kp: DataFrame) -> DataFrame:
-    """(seq_id, track_id, frame_idx, joint, angle): null where one of the three joints scores under 0.3 or an arm has no length."""
+    """(seq_id, track_id, frame_idx, joint, angle): null where one of the joints scores under 0.3 or an arm has no length."""
+    place = lambda j, c: (_at(j[0], c) + _at(j[1], c)) / 2 if isinstance(j, tuple) else _at(j, c)
     angles = []
-    for name, (a, b, c) in ANGLES.items():
-        sure = F.least(*[_at(j, "s") for j in (a, b, c)]) >= LEAST_SCORE
-        value = g.angle(*[_at(j, v) for j in (a, b, c) for v in "xy"])
+    for name, ends in ANGLES.items():
+        joints = [k for j in ends for k in (j if isinstance(j, tuple) else (j,))]
+        sure = F.least(*[_at(j, "s") for j in joints]) >= LEAST_SCORE
+        value = g.angle(*[place(j, v) for j in ends for v in "xy"])
         angles.append(F.struct(F.lit(name).alias("joint"), F.when(sure, value).alias("angle")))
     return wide(kp).select(*POSE, F.explode(F.array(*angles)).alias("r")).select(*POSE, "r.joint", "r.angle")
 

@@ -18,9 +18,16 @@ def status(trials: DataFrame) -> DataFrame:
 
 
 def ranking(trials: DataFrame, descending: bool = True) -> DataFrame:
-    """Rank of each trial by value, nulls last in both directions, ties to the larger number."""
+    """Rank of each trial by value, nulls last in both directions, ties to the larger number.
+
+    Trials are dealt out by ranges of the value; a trial's place is its place in its range and the sizes of the ranges before.
+    """
     by = F.desc_nulls_last("value") if descending else F.asc_nulls_last("value")
-    return trials.select("number", "value", F.row_number().over(Window.orderBy(by, F.desc("number"))).alias("place"))
+    dealt = written(trials.select("number", "value").repartitionByRange(by, F.desc("number")).withColumn("part", F.spark_partition_id()))
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", F.coalesce("before", F.lit(0)).alias("before"))
+    inside = dealt.withColumn("rn", F.row_number().over(Window.partitionBy("part").orderBy(by, F.desc("number"))))
+    return inside.join(before, "part").select("number", "value", (F.col("before") + F.col("rn")).alias("place"))
 
 
 def running(trials: DataFrame, rows: int = 10) -> DataFrame:
@@ -41,12 +48,6 @@ def harmonic(scores: DataFrame) -> DataFrame:
     return scores.groupBy("grp").agg((F.sum("weight") / F.sum(F.col("weight") / F.greatest(F.col("score"), F.lit(1e-6)))).alias("harmonic"))
 
 
-def composite(metrics: DataFrame) -> DataFrame:
-    """0.45 HOTA + 0.25 recall + 0.20 (1 - id switches) + 0.10 (1 - fragmentation), each kept within 0 and 1."""
-    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c)))
-    return metrics.withColumn("score", 0.45 * unit("hota") + 0.25 * unit("recall") + 0.20 * (1 - unit("idsw")) + 0.10 * (1 - unit("frag")))
-
-
 def wins_and_losses(edges: DataFrame) -> DataFrame:
     """Per contestant: wins, losses and their difference (edges: w, l)."""
     rows = edges.select(F.col("w").alias("name"), F.lit(1).alias("won")).union(edges.select(F.col("l").alias("name"), F.lit(0).alias("won")))
@@ -65,12 +66,13 @@ def closure(edges: DataFrame) -> DataFrame:
     return known
 
 
-def variants(base: DataFrame, options: DataFrame) -> DataFrame:
+def variants(base: DataFrame, options: list[tuple[str, str]]) -> DataFrame:
     """One-option-at-a-time plan: each base's parameters with one of them replaced, without repeats of a plan.
 
-    ``options`` is a small table (param, value), broadcast: a plan multiplies by design.
+    ``options`` (list of param and value) are part of the plan itself: each row makes as many rows by design.
     """
-    made = base.crossJoin(F.broadcast(options)).withColumn("params", F.map_concat(F.map_filter("params", lambda k, _: k != F.col("param")), F.create_map("param", "value")))
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("param"), F.lit(v).alias("value")) for p, v in options]))
+    made = base.withColumn("o", each).select("*", "o.param", "o.value").withColumn("params", F.map_concat(F.map_filter("params", lambda k, _: k != F.col("param")), F.create_map("param", "value")))
     plan = F.to_json(F.array_sort(F.map_entries("params")))
     return made.select("base", "param", "value", plan.alias("plan")).dropDuplicates(["base", "plan"])
 

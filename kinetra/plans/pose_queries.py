@@ -67,15 +67,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pose_vote": lambda s, d: rounded(prune.tiers(_all_facts(s, d), VOTERS, FRAME)),
 }
 
-_ANGLE = """
-p{n} as (
-  select q.seq_id, q.track_id, q.frame_idx, '{n}' as joint, least(a.s, q.s, c.s) as sure, (a.x - q.x) * (c.x - q.x) + (a.y - q.y) * (c.y - q.y) as dot,
-    sqrt(power(a.x - q.x, 2) + power(a.y - q.y, 2)) * sqrt(power(c.x - q.x, 2) + power(c.y - q.y, 2)) as size
-  from kp q join kp a using (seq_id, track_id, frame_idx) join kp c using (seq_id, track_id, frame_idx) where q.j = {j[1]} and a.j = {j[0]} and c.j = {j[2]})
-"""
-_ANGLES = ",".join(_ANGLE.format(n=n, j=j).strip() for n, j in pose.ANGLES.items()) + ", an as (" + " union all ".join(
-    f"select seq_id, track_id, frame_idx, joint, case when sure >= 0.3 then degrees(acos(greatest(-1.0, least(1.0, dot / nullif(size, 0))))) end as angle from p{n}" for n in pose.ANGLES
-) + ")"
+
+
+def _place(j: int | tuple[int, int], c: str) -> str:
+    return f"((k[{j[0] + 1}].{c} + k[{j[1] + 1}].{c}) / 2)" if isinstance(j, tuple) else f"k[{j + 1}].{c}"
+
+
+def _angle(name: str, ends: tuple) -> str:
+    """SQL of one joint's angle over ``wide`` (poses with an array k of joints)."""
+    joints = [k for j in ends for k in (j if isinstance(j, tuple) else (j,))]
+    (ax, ay), (bx, by), (cx, cy) = ((_place(j, "x"), _place(j, "y")) for j in ends)
+    dot = f"({ax} - {bx}) * ({cx} - {bx}) + ({ay} - {by}) * ({cy} - {by})"
+    size = f"sqrt(power({ax} - {bx}, 2) + power({ay} - {by}, 2)) * sqrt(power({cx} - {bx}, 2) + power({cy} - {by}, 2))"
+    sure = f"least({', '.join(f'k[{j + 1}].s' for j in joints)}) >= 0.3"
+    return f"select seq_id, track_id, frame_idx, '{name}' as joint, case when {sure} then degrees(acos(greatest(-1.0, least(1.0, ({dot}) / nullif({size}, 0))))) end as angle from wide"
+
+
+_WIDE = "wide as (select seq_id, track_id, frame_idx, list({x: x, y: y, s: s, j: j} order by j) as k from kp group by all)"
+_ANGLES = f"{_WIDE}, an as (" + " union all ".join(_angle(n, e) for n, e in pose.ANGLES.items()) + ")"
 _TRUTH = """
 t0 as (
   select seq_id, frame_idx, joint, degrees(atan2(avg(sin(radians(angle * 2))), avg(cos(radians(angle * 2))))) / 2 as c, stddev_pop(angle) as ripple

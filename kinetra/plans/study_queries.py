@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.operators import study
+from kinetra.operators import evaluate, study
 from kinetra.plans.rounding import rounded
 
 
@@ -23,7 +23,7 @@ def _trials(spark: SparkSession, sf: str) -> DataFrame:
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
     n = spark.read.parquet(f"{sf}/nation.parquet")
-    return n.where("n_nationkey % 5 != 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("w"), F.concat(F.lit("n"), (F.col("n_nationkey") + 1 + F.col("n_regionkey")).cast("string")).alias("l"))
+    return n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("w"), F.concat(F.lit("n"), (F.col("n_nationkey") + 1 + F.col("n_regionkey")).cast("string")).alias("l"))
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,13 +33,18 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def _metrics(spark: SparkSession, sf: str) -> DataFrame:
     p = spark.read.parquet(f"{sf}/part.parquet")
-    return p.select("p_partkey", (F.col("p_size") / 50.0).alias("hota"), (F.col("p_retailprice") / 2000.0).alias("recall"), ((F.col("p_partkey") % 10) / 10.0).alias("idsw"), ((F.col("p_partkey") % 7) / 5.0).alias("frag"))
+    score = evaluate.composite(F.col("p_size") / 50.0, F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice") / 2000.0), F.when(F.col("p_partkey") % 3 != 0, F.lit(0.5)), F.col("p_partkey") % 10, F.col("p_partkey") % 7, F.col("p_size") * 2)
+    return p.select("p_partkey", score.alias("score"))
+
+
+def _blend(spark: SparkSession, sf: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return evaluate.blended(o.select(F.col("l_returnflag").alias("grp"), F.when(F.col("l_linenumber") != 3, F.col("l_discount") * 10).alias("score"), (F.col("l_quantity") - 10).alias("weight")))
 
 
 def _variants(spark: SparkSession, sf: str) -> DataFrame:
     base = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("base"), F.create_map(F.lit("x"), (F.col("s_suppkey") % 3).cast("string"), F.lit("y"), F.lit("1")).alias("params"))
-    options = spark.sql("select * from values ('x', '0'), ('x', '1'), ('y', '1'), ('y', '2') as t(param, value)")
-    return study.variants(base, options).select("base", "plan").distinct()
+    return study.variants(base, [("x", "0"), ("x", "1"), ("y", "1"), ("y", "2")]).select("base", "plan").distinct()
 
 
 def _reasons(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,7 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trial_running": lambda s, d: rounded(study.running(_trials(s, d))),
     "param_insights": lambda s, d: rounded(study.param_insights(_trials(s, d))),
     "harmonic_mean": lambda s, d: rounded(study.harmonic(_scores(s, d)), 6),
-    "composite_score": lambda s, d: rounded(study.composite(_metrics(s, d)).select("p_partkey", "score"), 6),
+    "composite_score": lambda s, d: rounded(_metrics(s, d), 6),
+    "objective_blend": lambda s, d: rounded(_blend(s, d), 6),
     "wins_losses": lambda s, d: study.wins_and_losses(_edges(s, d)),
     "tournament_closure": lambda s, d: study.closure(_edges(s, d)),
     "plan_variants": _variants,
@@ -72,20 +78,23 @@ with t as (
     case when o_orderkey % 11 <> 0 then o_totalprice end as value, (o_orderkey % 7)::double as a, (o_custkey % 13)::double as b from orders)
 """
 _E = """
-e as (select 'n' || n_nationkey as w, 'n' || (n_nationkey + 1 + n_regionkey) as l from nation where n_nationkey % 5 <> 0)
+e as (select 'n' || n_nationkey as w, 'n' || (n_nationkey + 1 + n_regionkey) as l from nation)
 """
 
 ORACLE_SQL: dict[str, str] = {
     "study_status": _T + """ select count(*) as n_trials, count_if(state = 'COMPLETE')::bigint as n_complete, count_if(state = 'FAIL')::bigint as n_failed, max(value) filter (state = 'COMPLETE') as best_value,
   (select number from t where state = 'COMPLETE' and value is not null order by value desc, number limit 1) as best_number from t""",
-    "trial_ranking": _T + " select number, value, row_number() over (order by value desc nulls last, number desc)::int as place from t",
+    "trial_ranking": _T + " select number, value, row_number() over (order by value desc nulls last, number desc)::bigint as place from t",
     "trial_running": _T + """ select study, number, floor((avg(value) over (partition by study order by number rows 9 preceding))::double * 1e5 + 0.5) / 1e5 as rolling_mean,
   floor((max(value) over (partition by study order by number))::double * 1e5 + 0.5) / 1e5 as best_so_far from t""",
     "param_insights": _T + """, h as (select *, ntile(2) over (partition by study order by value desc nulls last, number) as half from t), u as (select study, half, 'a' as param, a as v from h union all select study, half, 'b', b from h)
 select study, param, floor((avg(v) filter (half = 1))::double * 1e5 + 0.5) / 1e5 as mean_top, floor((avg(v) filter (half = 2))::double * 1e5 + 0.5) / 1e5 as mean_bottom, count(*) as n from u group by all""",
     "harmonic_mean": "select l_returnflag as grp, floor((sum(l_quantity) / sum(l_quantity / greatest(l_discount * 10, 1e-6)))::double * 1e6 + 0.5) / 1e6 as harmonic from lineitem group by all",
-    "composite_score": """select p_partkey, floor((0.45 * greatest(0.0::double, least(1.0::double, p_size / 50.0::double)) + 0.25 * greatest(0.0::double, least(1.0::double, p_retailprice / 2000.0::double)) + 0.20 * (1 - greatest(0.0::double, least(1.0::double, (p_partkey % 10) / 10.0::double)))
-  + 0.10 * (1 - greatest(0.0::double, least(1.0::double, (p_partkey % 7) / 5.0::double))))::double * 1e6 + 0.5) / 1e6 as score from part""",
+    "composite_score": """with m as (select p_partkey, p_size / 50.0::double as h, case when p_partkey % 5 <> 0 then p_retailprice / 2000.0::double end as r, case when p_partkey % 3 <> 0 then 0.5::double end as f, greatest(p_size * 2, 1) as n from part),
+c as (select p_partkey, 0.45::double * h + 0.25::double * coalesce(nullif(r, 0), f, h) + 0.20::double * (1 - least((p_partkey % 10) / greatest(n * 0.05::double, 1), 1)) + 0.10::double * (1 - least((p_partkey % 7) / greatest(n * 0.10::double, 1), 1)) as score from m)
+select p_partkey, floor(score * 1e6 + 0.5) / 1e6 as score from c""",
+    "objective_blend": """with p as (select l_returnflag as grp, l_discount * 10 as s, l_quantity - 10 as w from lineitem where l_linenumber <> 3 and l_quantity > 10),
+b as (select grp, sum(w * s) / sum(w) as objective, count(*) as n from p group by all) select grp, floor(objective::double * 1e6 + 0.5) / 1e6 as objective, n from b""",
     "wins_losses": f"with {_E}, u as (select w as name, 1 as won from e union all select l, 0 from e) select name, sum(won)::bigint as wins, sum(1 - won)::bigint as losses, (sum(won) - sum(1 - won))::bigint as margin from u group by all",
     "tournament_closure": f"with recursive {_E}, r(w, l) as (select w, l from e union select r.w, e.l from r join e on r.l = e.w) select w, l from r",
     "plan_variants": """with o(p, v) as (values ('x', '0'), ('x', '1'), ('y', '1'), ('y', '2')), b as (select s_suppkey as base, (s_suppkey % 3)::varchar as x, '1' as y from supplier)

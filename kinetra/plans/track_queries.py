@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.operators import pairs, prune, tracks
+from kinetra.operators import pairs, prune, relink, tracks
 from kinetra.plans.rounding import rounded
 from kinetra.plans.rounding import rounded_sql as _r
 from kinetra.sources.derived import FRAMES, OBS_SQL, obs
@@ -31,13 +31,21 @@ pr as (
   select *, inter / nullif(aa + ba - inter, 0) as iou, sqrt(power(acx - bcx, 2) + power(acy - bcy, 2)) as dist from pr0)
 """
 _ENDS = """
+tl as (select *, row_number() over (partition by seq_id, track_id order by frame_idx desc) as back from (select *, (x1 + x2) / 2 as cx, (y1 + y2) / 2 as cy from obs)),
+e0 as (
+  select seq_id, track_id, count(*) as n, min(frame_idx) as f0, max(frame_idx) as f1, min_by({x1: x1, y1: y1, x2: x2, y2: y2}, frame_idx) as b0, max_by({x1: x1, y1: y1, x2: x2, y2: y2}, frame_idx) as b1,
+    min(frame_idx) filter (back <= 5) as f5, min(frame_idx) filter (back <= 2) as f2, max_by(cx, frame_idx) as cx1, max_by(cy, frame_idx) as cy1,
+    min_by(cx, frame_idx) filter (back <= 5) as x5, min_by(cy, frame_idx) filter (back <= 5) as y5, min_by(cx, frame_idx) filter (back <= 2) as x2, min_by(cy, frame_idx) filter (back <= 2) as y2 from tl group by all),
 e as (
-  select seq_id, track_id, min(frame_idx) as f0, max(frame_idx) as f1, min_by(struct_pack(x1, y1, x2, y2), frame_idx) as b0,
-    max_by(struct_pack(x1, y1, x2, y2), frame_idx) as b1 from obs group by all),
+  select seq_id, track_id, n, f0, f1, b0, b1, coalesce((cx1 - x5) / nullif(f1 - f5, 0), 0) as vx, coalesce((cy1 - y5) / nullif(f1 - f5, 0), 0) as vy,
+    coalesce((cx1 - x2) / nullif(f1 - f2, 0), 0) as ux, coalesce((cy1 - y2) / nullif(f1 - f2, 0), 0) as uy from e0),
+fl0 as (
+  select a.seq_id, a.track_id as a, b.track_id as b, b.f0 - a.f1 as gap, a.f1 as a_end, a.n as an, b.n as bn, a.vx as avx, a.vy as avy, b.vx as bvx, b.vy as bvy, a.ux, a.uy, a.b1 as p, b.b0 as q,
+    a.b1.y2 - a.b1.y1 as ah, b.b0.y2 - b.b0.y1 as bh, (a.b1.x1 + a.b1.x2) / 2 as ax, (a.b1.y1 + a.b1.y2) / 2 as ay, (b.b0.x1 + b.b0.x2) / 2 as bx, (b.b0.y1 + b.b0.y2) / 2 as by_
+  from e a join e b on a.seq_id = b.seq_id and a.track_id <> b.track_id and b.f0 > a.f1),
 fl as (
-  select a.seq_id, a.track_id as a, b.track_id as b, b.f0 - a.f1 as gap, a.b1.y2 - a.b1.y1 as ah, b.b0.y2 - b.b0.y1 as bh, a.b1.x2 - a.b1.x1 as aw,
-    sqrt(power((a.b1.x1 + a.b1.x2) / 2 - (b.b0.x1 + b.b0.x2) / 2, 2) + power((a.b1.y1 + a.b1.y2) / 2 - (b.b0.y1 + b.b0.y2) / 2, 2)) as dist
-  from e a join e b on a.seq_id = b.seq_id and a.track_id <> b.track_id)
+  select *, sqrt(power(ax - bx, 2) + power(ay - by_, 2)) as dist, sqrt(power(bx - (ax + avx * gap), 2) + power(by_ - (ay + avy * gap), 2)) as missed,
+    sqrt(power(bx - (ax + ux * gap), 2) + power(by_ - (ay + uy * gap), 2)) as missed2 from fl0)
 """
 _MED = """
 m as (
@@ -94,6 +102,18 @@ def _id_votes(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.id_votes(o, back)
 
 
+def _stitches(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.stitch_candidates(_broken(spark, sf), FRAMES, near=0.05, ahead=0.1, radius=12.0, short=7, ratio=1.05, speed=0.02)
+
+
+def _merged_passes(spark: SparkSession, sf: str) -> DataFrame:
+    """A backward pass that has other ids, other frames and some tracks of its own."""
+    o = obs(spark, sf)
+    forward = o.where("frame_idx < 40 and track_id % 4 != 0")
+    back = o.where("frame_idx >= 10").withColumn("track_id", F.col("track_id") + 100000)
+    return rounded(pairs.merged_passes(forward, back))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sequence_scores": sequence_scores,
     "observations": lambda s, d: rounded(obs(s, d)),
@@ -115,9 +135,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "coalesced_tracks": lambda s, d: pairs.coalesced(obs(s, d), 0.30, 3),
     "overlap_clusters": lambda s, d: rounded(pairs.overlap_clusters(obs(s, d), 0.5)),
     "coexisting_fragments": lambda s, d: rounded(pairs.coexisting(obs(s, d))),
-    "stitch_candidates": lambda s, d: rounded(pairs.stitch_candidates(_broken(s, d))),
-    "dormant_candidates": lambda s, d: rounded(pairs.dormant_candidates(_broken(s, d), 20, 40)),
-    "best_link": lambda s, d: rounded(pairs.best_link(pairs.stitch_candidates(_broken(s, d)))),
+    "track_ends": lambda s, d: rounded(pairs.ends(_broken(s, d))),
+    "stitch_candidates": lambda s, d: rounded(_stitches(s, d)),
+    "dormant_candidates": lambda s, d: rounded(pairs.dormant_candidates(_broken(s, d), 5, 40)),
+    "global_candidates": lambda s, d: rounded(pairs.global_candidates(_broken(s, d), 30, 0.01)),
+    "best_link": lambda s, d: rounded(pairs.best_link(pairs.global_candidates(_broken(s, d), 30, 0.01))),
+    "stitched_tracks": lambda s, d: rounded(relink.renamed(_broken(s, d), relink.stitched_ids(_broken(s, d), FRAMES), 60)),
+    "dormant_tracks": lambda s, d: rounded(relink.renamed(_broken(s, d), relink.dormant_ids(_broken(s, d), FRAMES))),
+    "merged_passes": _merged_passes,
     "complementary_tracks": lambda s, d: rounded(pairs.complementary(_broken(s, d), 15.0)),
     "id_votes": _id_votes,
     "merge_keep_first": lambda s, d: rounded(pairs.merge_keep_first(_cut(obs(s, d), 0, 30), _cut(obs(s, d), 20, 59).withColumn("conf", F.lit(0.5)))),
@@ -265,14 +290,35 @@ r as (select distinct seq_id, a, b from (select seq_id, a, b from o group by seq
 select distinct r.seq_id, case when x.n >= y.n then b else a end as track_id from r join c x on x.seq_id = r.seq_id and x.track_id = a join c y on y.seq_id = r.seq_id and y.track_id = b""",
     "overlap_clusters": _with(OBS_SQL, _G, _PAIRS) + f""", h as (select seq_id, frame_idx, a as track_id from pr where iou >= 0.5 union select seq_id, frame_idx, b from pr where iou >= 0.5)
 select seq_id, track_id, frame_idx, {_r('x1', 'y1', 'x2', 'y2', 'conf')} from obs semi join h using (seq_id, frame_idx, track_id)""",
-    "coexisting_fragments": _with(OBS_SQL, _G, _MED, _PAIRS) + f""", s as (
-  select pr.seq_id, a, b, count(*) as shared, avg(case when dist <= 0.5 * greatest(x.mh, y.mh) then 1.0 else 0.0 end) as close, avg(iou) as mean_iou, any_value(greatest(x.mh, y.mh) / least(x.mh, y.mh)) as ratio
-  from pr join m x on x.seq_id = pr.seq_id and x.track_id = a join m y on y.seq_id = pr.seq_id and y.track_id = b group by pr.seq_id, a, b)
-select seq_id, a, b, shared, {_r('close', 'mean_iou')} from s where shared >= 5 and close >= 0.6 and ratio <= 1.6 and mean_iou >= 0.25""",
-    "stitch_candidates": _with(_BROKEN, _ENDS) + f" select seq_id, a, b, gap, {_r('dist')} from fl where gap between 1 and 60 and dist <= greatest(ah, bh) and greatest(ah, bh) / least(ah, bh) <= 1.6",
-    "dormant_candidates": _with(_BROKEN, _ENDS) + f" select seq_id, a, b, gap - 1 as gap, {_r('dist')} from fl where gap between 22 and 41 and dist <= 2 * sqrt(power(aw, 2) + power(ah, 2))",
-    "best_link": _with(_BROKEN, _ENDS) + f""" select seq_id, a, b, gap, {_r('dist')} from fl where gap between 1 and 60 and dist <= greatest(ah, bh) and greatest(ah, bh) / least(ah, bh) <= 1.6
-qualify row_number() over (partition by seq_id, a order by gap, fl.dist, b) = 1""",
+    "coexisting_fragments": _with(OBS_SQL, _G) + f""", s as (
+  select a.seq_id, a.track_id as a, b.track_id as b, sqrt(power(a.cx - b.cx, 2) + power(a.cy - b.cy, 2)) <= 0.5 * greatest(a.h, b.h, 1.0) as close, case when a.h > 0 and b.h > 0 then greatest(a.h, b.h) / least(a.h, b.h) end as ratio,
+    greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) as shared_area, a.w * a.h + b.w * b.h as areas
+  from g a join g b on a.seq_id = b.seq_id and a.frame_idx = b.frame_idx and a.track_id < b.track_id),
+t as (select seq_id, a, b, count(*) as shared, avg(case when close then 1.0 else 0.0 end) as close, median(ratio) as ratio, avg(coalesce(shared_area / nullif(areas - shared_area, 0), 0)) as mean_iou from s group by seq_id, a, b)
+select seq_id, a, b, shared, {_r('close', 'mean_iou')} from t where shared >= 5 and t.close >= 0.6 and ratio <= 1.6 and t.mean_iou >= 0.25""",
+    "track_ends": _with(_BROKEN, _ENDS) + f", r as (select seq_id, track_id, n, f0, f1, {', '.join(f'{b}.{c} as {b}_{c}' for b in ('b0', 'b1') for c in ('x1', 'y1', 'x2', 'y2'))}, vx, vy, ux, uy from e) select seq_id, track_id, n, f0, f1, {_r(*[f'{b}_{c}' for b in ('b0', 'b1') for c in ('x1', 'y1', 'x2', 'y2')], 'vx', 'vy', 'ux', 'uy')} from r",
+    "stitch_candidates": _with(_BROKEN, _ENDS) + f""", s as (
+  select *, avx <> 0 or avy <> 0 as moves, gap <= 7 as soon, greatest(0.05::double * ah, 6.0) as last from fl where gap between 1 and 60 and a_end < 59),
+s2 as (select *, case when moves then greatest(0.1::double * ah, 9.0) else last end as led, case when soon then greatest(ah, 12.0) else last end as at_last from s)
+select seq_id, a, b, gap, {_r('dist', 'missed')} from s2 where (s2.dist <= at_last or s2.missed <= case when soon then at_last else led end) and least(s2.dist, s2.missed) < greatest(last, led) + 1
+  and greatest(ah, bh) / least(ah, bh) <= 1.05 and s2.dist / gap <= greatest(0.02::double * ah, 30.0)
+  and not (not soon and moves and bn >= 3 and sqrt(avx * avx + avy * avy) > 1 and sqrt(bvx * bvx + bvy * bvy) > 1 and avx * bvx + avy * bvy < 0)""",
+    "dormant_candidates": _with(_BROKEN, _ENDS) + f""", d as (
+  select seq_id, a, b, gap - 1 as gap, missed2 as dist, greatest(0.0, least(p.x2 + ux * gap, q.x2) - greatest(p.x1 + ux * gap, q.x1)) * greatest(0.0, least(p.y2 + uy * gap, q.y2) - greatest(p.y1 + uy * gap, q.y1)) as shared_area,
+    (p.x2 - p.x1) * (p.y2 - p.y1) + (q.x2 - q.x1) * (q.y2 - q.y1) as areas, greatest(sqrt(power(q.x2 - q.x1, 2) + power(q.y2 - q.y1, 2)), 1.0) as diagonal from fl where gap between 7 and 41 and an >= 2),
+d2 as (select *, shared_area / (areas - shared_area) as iou from d) select seq_id, a, b, gap, {_r('dist', 'iou')} from d2 where d2.dist <= 2 * diagonal and d2.iou >= 0.2""",
+    "global_candidates": _with(_BROKEN, _ENDS) + f" select seq_id, a, b, gap - 1 as gap, {_r('dist')} from fl where fl.gap between 1 and 31 and fl.dist <= 0.01::double * sqrt(1920.0 * 1920 + 1080 * 1080)",
+    "best_link": _with(_BROKEN, _ENDS) + f""" select seq_id, a, b, gap - 1 as gap, {_r('dist')} from fl where fl.gap between 1 and 31 and fl.dist <= 0.01::double * sqrt(1920.0 * 1920 + 1080 * 1080)
+qualify row_number() over (partition by seq_id, a order by fl.gap, b) = 1""",
+    "merged_passes": _with(OBS_SQL, _G) + f""", fw as (select * from g where frame_idx < 40 and track_id % 4 <> 0), bk as (select * replace (track_id + 100000 as track_id) from g where frame_idx >= 10),
+v as (select p.seq_id, q.track_id as bid, p.track_id as fid, count(*) as votes from fw p join bk q on p.seq_id = q.seq_id and p.frame_idx = q.frame_idx
+  and greatest(0.0, least(p.x2, q.x2) - greatest(p.x1, q.x1)) * greatest(0.0, least(p.y2, q.y2) - greatest(p.y1, q.y1)) >= 0.45 * (p.w * p.h + q.w * q.h - greatest(0.0, least(p.x2, q.x2) - greatest(p.x1, q.x1)) * greatest(0.0, least(p.y2, q.y2) - greatest(p.y1, q.y1))) group by all having count(*) >= 4),
+b1 as (select * from v qualify row_number() over (partition by seq_id, bid order by votes desc, fid) = 1),
+ln as (select seq_id, track_id, row_number() over (partition by seq_id order by track_id) as k from (select distinct seq_id, track_id from bk anti join (select seq_id, bid as track_id from b1) using (seq_id, track_id))),
+ow as (select bk.*, coalesce(b1.fid, coalesce(t.top, 0) + ln.k) as own from bk left join b1 on b1.seq_id = bk.seq_id and b1.bid = bk.track_id left join ln on ln.seq_id = bk.seq_id and ln.track_id = bk.track_id
+  left join (select seq_id, max(track_id) as top from fw group by all) t on t.seq_id = bk.seq_id),
+al as (select seq_id, track_id, frame_idx, x1, y1, x2, y2, conf, 0 as ps, track_id as was from fw union all select seq_id, own, frame_idx, x1, y1, x2, y2, conf, 1, track_id from ow)
+select seq_id, track_id, frame_idx, {_r('x1', 'y1', 'x2', 'y2', 'conf')} from al qualify row_number() over (partition by seq_id, track_id, frame_idx order by ps, was) = 1""",
     "complementary_tracks": _with(_BROKEN, _G, _MED) + f""", c as (select x.seq_id, x.track_id as a, y.track_id as b, sqrt(power(x.mx - y.mx, 2) + power(x.my - y.my, 2)) as dist from m x join m y on x.seq_id = y.seq_id and x.track_id < y.track_id),
 s as (select distinct p.seq_id, p.track_id as a, q.track_id as b from obs p join obs q on p.seq_id = q.seq_id and p.frame_idx = q.frame_idx and p.track_id < q.track_id)
 select seq_id, a, b, {_r('dist')} from c anti join s using (seq_id, a, b) where dist <= 15""",
