@@ -35,9 +35,11 @@ TOP = 3
 #: Shards by the bytes of text: about one for each so many, within bounds (contexts of ``TOP`` bytes are some ten thousands).
 SHARD_BYTES, LEAST_SHARDS, MOST_SHARDS = 4 << 20, 64, 1 << 14
 #: Bytes of text in a block to score, and blocks that one task answers for a shard.
-BLOCK_BYTES, ANSWERED = 32 << 20, 1024
+BLOCK_BYTES, ANSWERED = 16 << 20, 1024
 #: Bytes of text whose positions are held at once, distinct grams that are gathered before they are merged, and that a task holds before it hands them on.
-PIECE, GATHERED, HELD = 1 << 19, 1 << 19, 1 << 20
+PIECE, GATHERED, HELD = 1 << 18, 1 << 19, 1 << 20
+#: Rows of a batch that are looked at together.
+ROWS = 512
 #: Most frequent tokens that are summed in place (see ``dictionary``).
 HEAD = 1 << 18
 END = b"\n"
@@ -207,10 +209,10 @@ def count_grams(rows: DataFrame, depth: int, shards: int) -> DataFrame:
             columns = ([s for s, _, _ in spans], [packed(keys[a:b], True) for _, a, b in spans], [packed(n[a:b]) for _, a, b in spans])
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "keys", "counts"])
 
-        for batch in batches:
-            weights = batch.column(1).to_numpy(zero_copy_only=False)
+        for part in (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS)):
+            weights = part.column(1).to_numpy(zero_copy_only=False)
             for weight in (0, 1):
-                for _, texts in pieces(batch.column(0).filter(pa.array(weights == weight))):
+                for _, texts in pieces(part.column(0).filter(pa.array(weights == weight))):
                     held.add(placed_bytes(texts, depth)[0], weight)
                     if held.fresh + len(held.parts[0][0]) >= HELD and len(held.merged()[0]) >= HELD // 2:
                         yield out()
