@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from kinetra.operators import evaluate, grouped, pose
 from kinetra.plans.rounding import rounded
-from kinetra.sources.derived import OBS_SQL, keypoints, obs
+from kinetra.plans.rounding import rounded_sql as _r
+from kinetra.sources.derived import KEYPOINTS_SQL, OBS_SQL, keypoints, obs
+
+
+#: What the pretended tracker sees, and the ids it gives.
+_SEEN = "(track_id + frame_idx) % 9 != 0"
+_NAMED_SQL = "case when track_id % 5 = 0 and frame_idx >= 30 then track_id + 5000 else track_id end"
 
 
 def _found(o: DataFrame) -> DataFrame:
     """A tracker's output to hold against ``o``: boxes moved, some missed, an id exchanged half way."""
-    moved = o.where((F.col("track_id") + F.col("frame_idx")) % 9 != 0)
-    renamed = F.when((F.col("track_id") % 5 == 0) & (F.col("frame_idx") >= 30), F.col("track_id") + 5000).otherwise(F.col("track_id"))
-    return moved.select("seq_id", renamed.alias("track_id"), "frame_idx", (F.col("x1") + 2).alias("x1"), "y1", (F.col("x2") + 2).alias("x2"), "y2", "conf")
+    return o.where(_SEEN).select("seq_id", F.expr(_NAMED_SQL).alias("track_id"), "frame_idx", (F.col("x1") + 2).alias("x1"), "y1", (F.col("x2") + 2).alias("x2"), "y2", "conf")
 
 
 def _clear(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,16 +34,45 @@ def _shape(spark: SparkSession, sf: str) -> DataFrame:
     return grouped.shape_and_timing(a, pose.consensus(a))
 
 
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    """Each track's first and last place as labelled events, held against a tracker's output."""
+    o = obs(spark, sf)
+    ids = o.where(_SEEN).select("seq_id", "frame_idx", F.col("track_id").alias("person"), F.expr(_NAMED_SQL).alias("id"))
+    ends = o.groupBy("seq_id", F.col("track_id").alias("person")).agg(F.min("frame_idx").alias("p"), F.max("frame_idx").alias("q"))
+    at = lambda e, side: ids.select("seq_id", "person", F.col("frame_idx").alias(e), F.col("id").alias(side))
+    return ends.join(at("p", "before_id"), ["seq_id", "person", "p"], "left").join(at("q", "after_id"), ["seq_id", "person", "q"], "left")
+
+
+def _joint_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return keypoints(spark, sf).select("seq_id", ((F.col("frame_idx") + F.col("j")) % 3 != 0).alias("visible"), F.when(F.col("j") % 5 != 0, F.col("s")).alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nms": lambda s, d: rounded(grouped.nms(obs(s, d), 0.5)),
     "diou_nms": lambda s, d: rounded(grouped.nms(obs(s, d), 0.4, distance=True)),
     "one_euro": lambda s, d: rounded(grouped.smooth_poses(keypoints(s, d))),
     "shape_and_timing": lambda s, d: rounded(_shape(s, d)),
     "clear_metrics": lambda s, d: rounded(_clear(s, d)),
+    "identity_metrics": lambda s, d: rounded(evaluate.identity(obs(s, d), _found(obs(s, d)))),
+    "hota_metrics": lambda s, d: rounded(evaluate.hota(obs(s, d), _found(obs(s, d)))),
+    "lift_smoothing": lambda s, d: rounded(grouped.smooth_lift(keypoints(s, d), 40)),
+    "reemergence": lambda s, d: rounded(evaluate.reemergence(_events(s, d))),
+    "honesty": lambda s, d: rounded(evaluate.honesty(_joint_labels(s, d))),
     "benchmark_metrics": lambda s, d: evaluate.benchmark(obs(s, d), 10),
 }
 
+_FOUND = """
+fd as (select seq_id, case when track_id % 5 = 0 and frame_idx >= 30 then track_id + 5000 else track_id end as track_id, frame_idx, x1 + 2 as x1, y1, x2 + 2 as x2, y2 from obs where (track_id + frame_idx) % 9 <> 0)
+"""
 ORACLE_SQL: dict[str, str] = {
+    "honesty": "with " + KEYPOINTS_SQL.strip() + f""", l as (select seq_id, (frame_idx + j) % 3 <> 0 as visible, case when j % 5 <> 0 then s end as score from kp),
+h as (select seq_id, count(*) as n_labels, count(score) / count(*) as coverage, count_if(not visible and score >= 0.35) / nullif(count_if(not visible and score is not null), 0) as wrong, avg(power(score - visible::int, 2)) as brier from l group by all),
+r as (select seq_id, n_labels, coverage, (1 - wrong) * coverage as visibility, (1 - brier) * coverage as calibration from h) select seq_id, n_labels, {_r('coverage', 'visibility', 'calibration')} from r""",
+    "reemergence": "with " + OBS_SQL.strip() + "," + _FOUND + f""", e as (select seq_id, track_id, min(frame_idx) as f0, max(frame_idx) as f1 from obs group by all),
+t as (select o.seq_id, o.track_id, o.frame_idx, case when (o.track_id + o.frame_idx) % 9 <> 0 then case when o.track_id % 5 = 0 and o.frame_idx >= 30 then o.track_id + 5000 else o.track_id end end as id from obs o),
+m as (select e.seq_id, p.id as b, q.id as a from e join t p on p.seq_id = e.seq_id and p.track_id = e.track_id and p.frame_idx = f0 join t q on q.seq_id = e.seq_id and q.track_id = e.track_id and q.frame_idx = f1),
+r as (select seq_id, count(*) as n_events, count_if(a is not null and b is not null)::bigint as resolvable, count_if(a = b)::bigint as matches, avg(case when a = b then 1.0 else 0.0 end) as accuracy from m group by all)
+select seq_id, n_events, resolvable, matches, {_r('accuracy')} from r""",
     "benchmark_metrics": "with " + OBS_SQL.strip() + """, r as (select *, max(frame_idx) over (partition by seq_id) as last, min(frame_idx) over (partition by seq_id, track_id) as first from obs),
 c as (select seq_id, max(n) as most_at_once from (select seq_id, frame_idx, count(*) as n from obs group by all) group by all)
 select seq_id, count(distinct track_id) filter (frame_idx < 10) as at_start, count(distinct track_id) filter (frame_idx > last - 10) as at_end, count(distinct track_id) as n_unique,
