@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Makes sure that a checkpoint folder is set; the cluster's own setting stands, tests get a new folder."""
+    """Makes sure that a checkpoint folder is set: the cluster's own setting stands; in local mode, as in tests, a new folder will do."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kinetra-checkpoint-"))
 
 
