@@ -2,8 +2,8 @@
 
 Subwords are the runs of one to four bytes of the lower-cased text; each is hashed to one of ``BUCKETS`` embeddings,
 whose average over the whole text goes through a linear softmax. Both layers are trained together by stochastic
-gradient descent in numpy on a bounded sample of labelled documents (``SAMPLE``, those with the smallest hash of their
-id). A part of the sample held back sets the softmax's temperature and the score under which a prediction is rejected.
+gradient descent in numpy on a bounded sample of labelled documents (see ``train``). A part of the sample held back sets
+the softmax's temperature and the score under which a prediction is rejected.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ import re
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS, DIM, SAMPLE = 1 << 13, 16, 2000
+BUCKETS, DIM = 1 << 13, 16
+#: Rows to learn from in all, for each language at least, and the longest text among them in bytes; languages that are broadcast at most.
+SAMPLE, LEAST, SAMPLE_BYTES, BROADCAST_LANGS = 2000, 50, 1 << 16, 10_000
 EPOCHS, BATCH, RATE, MOMENTUM = 30, 32, 2.0, 0.9
 #: Share of the held-back documents that rejection may cost, and the score above which nothing is rejected.
 COST, SURE = 0.001, 0.5
@@ -96,12 +98,23 @@ class Model:
 
 
 def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """A model from a sample of the rows with a text and a language; None if there are none."""
-    rows = labelled.select(F.xxhash64(F.col(f"`{doc_id}`")).alias("h"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("text is not null and lang is not null")
-    last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if last is None:
+    """A model from a sample of the rows with a text and a language; None if there are none.
+
+    Every language gets its part of ``sample`` rows (``LEAST`` at least, all that it has if they are fewer), those with the
+    smallest hash of their id, so that rare ones are learned, too. Texts of more than ``SAMPLE_BYTES`` are not learned from.
+    """
+    h = F.xxhash64(F.col(f"`{doc_id}`"), F.lit("sample"))
+    rows = labelled.select(h.alias("h"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    n_langs = sizes.count()
+    if not n_langs:
         return None
-    picked = rows.where(F.col("h") <= last).orderBy("h", "lang", "text").limit(sample).toArrow()
+    part = max(LEAST, sample // n_langs)
+    # Twice the part by chance first, so that few rows are ranked; small languages whole.
+    share = F.least(F.lit(1.0), (2.0 * part + 100) / F.col("n"))
+    drawn = rows.join(F.broadcast(sizes) if n_langs <= BROADCAST_LANGS else sizes, "lang").where(F.col("h") / float(1 << 63) <= 2 * share - 1)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    picked = drawn.withColumn("place", place).where(F.col("place") <= part).select("h", "text", "lang").orderBy("h", "lang", "text").toArrow()
     return Model(picked.column("text").to_pylist(), picked.column("lang").to_pylist())
 
 

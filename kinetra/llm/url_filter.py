@@ -31,7 +31,7 @@ def _tail(url: Column) -> Column:
 def host_of(url: Column) -> Column:
     """Up to the first of ``/?#``, with A-Z in lower case (other letters as they are)."""
     raw = F.regexp_extract(_tail(F.coalesce(url, F.lit(""))), r"(?s)^([^/?#]*)", 1)
-    return F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return _lowered(raw)
 
 
 def path_of(url: Column) -> Column:
@@ -39,6 +39,11 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(_tail(F.coalesce(url, F.lit(""))), r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
+def _lowered(host: Column) -> Column:
+    """A-Z in lower case, other letters as they are."""
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def _block(h: Column, n_blocks: int) -> Column:
     return F.pmod(h, F.lit(n_blocks))
 
@@ -51,7 +56,7 @@ def _bits(key: Column) -> list[Column]:
 
 def listed(rules: DataFrame, is_rule: bool = True) -> DataFrame:
     """Canonical keys of a list (host, path, action): one row for each key."""
-    r = rules.select(F.lower("host").alias("host"), F.col("path"), "action").where("host is not null and path is not null and host != ''")
+    r = rules.select(_lowered(F.col("host")).alias("host"), F.col("path"), "action").where("host is not null and path is not null and host != ''")
     return r.groupBy("host", "path").agg(F.max("action").alias("action")).select(
         "host", "path", "action", F.lit(is_rule).alias("is_rule"), F.concat("host", F.lit("\n"), "path").alias("key")
     )
@@ -108,4 +113,7 @@ def judge(pages: DataFrame, rules: DataFrame, blocked: DataFrame | None = None,
         F.bool_or(~F.col("is_rule")).alias("hit"),
     )
     verdict = F.coalesce("best.action", F.when(F.col("hit"), F.lit("block")), F.lit("allow"))
-    return base.join(best, ["host", "path"], "left").select(*columns, F.col("best.rule").alias("rule"), verdict.alias("verdict"))
+    # Pages without a host meet nothing: a key of their own each spreads them over the tasks.
+    spread = F.when(F.col("host") == "", F.concat(F.lit("\n"), F.xxhash64("_row").cast("string"))).otherwise(F.col("path"))
+    keyed = best.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "best", "hit")
+    return base.join(keyed, (F.col("host") == F.col("_host")) & (spread == F.col("_path")), "left").select(*columns, F.col("best.rule").alias("rule"), verdict.alias("verdict"))
