@@ -110,7 +110,21 @@ def test_probing_finds_all_within_the_radius():
         tables.append((order, np.searchsorted(sub[order], np.arange(1 << 16 | 1))))
     for q in range(0, 600, 37):
         near = np.flatnonzero(np.bitwise_count(index ^ index[q]).sum(axis=1) <= 9)
-        assert set(near) <= set(ann_mih.probe(tables, index[q], codes.shares(), 600))
+        found = [set(ann_mih.probe(t, v, s)) for t, v, s in zip(tables, index[q], codes.shares(), strict=True)]
+        assert set(near) <= set().union(*found)
+        assert all(f == set(np.flatnonzero(np.bitwise_count(sub ^ v) <= s)) for f, sub, v, s in zip(found, index.T, index[q], codes.shares(), strict=True))
+
+
+def test_vector_search_with_split_buckets(spark, monkeypatch):
+    """Buckets of many rows and queries are split; each pair is met once whatever the split."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([np.repeat(rng.normal(size=(1, 16)), 80, axis=0), rng.normal(size=(120, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, ann_mih.search(df, df.where("vec_id % 10 = 0"), k=7).collect()))
+    monkeypatch.setattr(ann_mih, "BLOCK", 16)
+    monkeypatch.setattr(ann_mih, "QUERIES", 3)
+    assert sorted(map(tuple, ann_mih.search(df, df.where("vec_id % 10 = 0"), k=7).collect())) == whole
+    assert len(whole) == 20 * 7 and len({(q, v) for q, _, v, _ in whole}) == len(whole)
 
 
 def test_packing_of_keys():
