@@ -81,3 +81,96 @@ def failure_reasons(runs: DataFrame, top: int = 8) -> DataFrame:
     """The most frequent reasons (a map from reason to count per run)."""
     long = runs.select(F.explode("reasons").alias("reason", "n"))
     return long.groupBy("reason").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "reason").limit(top)
+
+
+def ambiguous(edges: DataFrame, pool: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the pool (grp, name) that the closure of the edges does not order; contestants meet within a group only."""
+    known = closure(edges)
+    known = known.union(known.select("l", "w")).toDF("a", "b").distinct()
+    a, b = (pool.select("grp", F.col("name").alias(s)) for s in "ab")
+    return a.join(b, "grp").where("a < b").join(known, ["a", "b"], "left_anti").select("grp", "a", "b")
+
+
+def depths(runs: DataFrame) -> DataFrame:
+    """Per run (id, parent): its root and its depth below it; a parent that is no run counts as none.
+
+    Pointers double each round: after k rounds each run points 2^k steps up. Runs in a circle have no root and are left out.
+    """
+    known = runs.select(F.col("id").alias("parent")).distinct()
+    base = runs.select("id", "parent").join(known.withColumn("there", F.lit(True)), "parent", "left")
+    at = written(base.select("id", F.when(F.col("there"), F.col("parent")).alias("up"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth"), F.when(~F.coalesce("there", F.lit(False)), F.col("id")).alias("root")))
+    before = None
+    while (left := at.where("up is not null").count()) and left != before:
+        before = left
+        far = at.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("root").alias("top"))
+        at = written(at.join(far, "up", "left").select("id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("root", "top").alias("root")))
+    return at.where("root is not null").select("id", "root", "depth")
+
+
+def effective(runs: DataFrame, levels: int = 32) -> DataFrame:
+    """Per run (id, parent, fields: map): the fields of its chain of parents, up to ``levels`` runs, those of nearer runs over farther ones."""
+    out = written(runs.select("id", "parent", "fields"))
+    source = out.select(F.col("id").alias("p"), F.col("parent").alias("next"), F.col("fields").alias("above"))
+    for _ in range(levels - 1):
+        if out.where("parent is not null").isEmpty():
+            break
+        own = F.map_filter(F.coalesce("above", F.map_from_arrays(F.array(), F.array()).cast("map<string, string>")), lambda k, _: ~F.map_contains_key("fields", k))
+        out = written(out.join(source, F.col("parent") == F.col("p"), "left").select("id", F.col("next").alias("parent"), F.map_concat("fields", own).alias("fields")))
+    return out.select("id", "fields")
+
+
+def merged_runs(memory: DataFrame, disk: DataFrame) -> DataFrame:
+    """Rows of both (id, status, value); what memory has wins."""
+    m, d = memory.select("id", F.struct("status", "value").alias("m")), disk.select("id", F.struct("status", "value").alias("d"))
+    row = F.coalesce("m", "d")
+    return m.join(d, "id", "full").select("id", row["status"].alias("status"), row["value"].alias("value"), F.when(F.col("m").isNotNull(), "memory").otherwise("disk").alias("origin"))
+
+
+def rollup(runs: DataFrame) -> DataFrame:
+    """Per batch (batch, status, created): number of runs, of each status, and the latest."""
+    count = lambda s: F.count_if(F.col("status") == s)
+    return runs.groupBy("batch").agg(F.count("*").alias("n"), *[count(s).alias(n) for s, n in (("COMPLETE", "done"), ("FAIL", "failed"), ("RUNNING", "running"))], F.max("created").alias("latest"))
+
+
+def param_ranges(trials: DataFrame) -> DataFrame:
+    """Per study and parameter over its completed trials in order: range, means of all and of the last 40 %, drift and whether the range narrows.
+
+    ``trials``: study, number, params (map to numbers). Two values at least; the drift is stable within a tenth of the
+    spread, the range narrows if the recent one is under 55 % of it.
+    """
+    w, whole = Window.partitionBy("study").orderBy("number"), Window.partitionBy("study")
+    cut = F.greatest(F.lit(1), F.floor(F.count("*").over(whole) * 0.6))
+    late = trials.withColumn("late", F.row_number().over(w) > cut)
+    v, new = F.col("v"), F.col("late")
+    per = late.select("study", "late", F.explode("params").alias("param", "v")).where("v is not null").groupBy("study", "param").agg(
+        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"), F.avg(F.when(new, v)).alias("late_mean"), F.avg(F.when(~new, v)).alias("early_mean"),
+        F.count_if(new).alias("n_late"), (F.max(F.when(new, v)) - F.min(F.when(new, v))).alias("late_spread"),
+    )
+    spread, recent = F.col("high") - F.col("low"), F.coalesce("late_mean", "mean")
+    drift = recent - F.coalesce("early_mean", "mean")
+    narrow = F.when(F.col("n_late") > 1, F.col("late_spread")).otherwise(spread)
+    return per.where("n >= 2").select(
+        "study", "param", "low", "high", "mean", recent.alias("recent_mean"), ((spread > 0.001) & (narrow < spread * 0.55)).alias("converging"),
+        F.when(F.abs(drift) < spread * 0.1, "stable").when(drift > 0, "up").otherwise("down").alias("direction"),
+    )
+
+
+def latencies(frames: DataFrame) -> DataFrame:
+    """Per source (source, ms, n): mean, nearest-rank 50th and 95th percentile of the time, and of detections the total, mean and most."""
+    w = Window.partitionBy("source").orderBy("ms")
+    ranked = frames.withColumns({"rn": F.row_number().over(w), "k": F.count("*").over(Window.partitionBy("source"))})
+    at = lambda q: F.max(F.when(F.col("rn") == F.greatest(F.lit(1), F.least(F.col("k"), F.ceil(F.col("k") * q))), F.col("ms")))
+    return ranked.groupBy("source").agg(F.count("*").alias("frames"), F.avg("ms").alias("mean_ms"), at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"), F.sum("n").alias("total"), F.avg("n").alias("mean_n"), F.max("n").alias("most"))
+
+
+def phase_shares(timings: DataFrame, most: float = 0.55, seconds: float = 5.0) -> DataFrame:
+    """Per run and phase (run, phase, seconds, wall): its share of the wall time, and whether it is the one to look at: the longest, with a share of ``most`` and some seconds."""
+    first = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("seconds"), "phase")) == 1
+    share = F.col("seconds") / F.nullif(F.col("wall"), F.lit(0.0))
+    return timings.select("run", "phase", share.alias("share"), F.coalesce(first & (share >= most) & (F.col("seconds") >= seconds), F.lit(False)).alias("target"))
+
+
+def expectation(metrics: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """Per sequence: one less the share of expected figures (column to value) that are not met."""
+    failed = sum((F.when(F.col(c) == v, 0).otherwise(1) for c, v in expected.items()), F.lit(0))
+    return metrics.select("seq_id", failed.alias("failed"), (1 - failed / max(1, len(expected))).alias("expectation"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetra.operators import evaluate, study
-from kinetra.plans.rounding import rounded
+from kinetra.plans.rounding import half_up_sql, rounded
+from kinetra.plans.rounding import rounded_sql as _r
 
 
 def _trials(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,6 +58,37 @@ def _sequence_windows(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
 
 
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs in trees of three branches, each with a field of its own and one that its branch sets anew."""
+    s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("id"))
+    fields = F.create_map(F.concat(F.lit("f"), (F.col("id") % 4).cast("string")), F.col("id").cast("string"))
+    return s.select("id", F.when(F.col("id") > 3, F.floor(F.col("id") / 3)).alias("parent"), fields.alias("fields"))
+
+
+def _effective(spark: SparkSession, sf: str) -> DataFrame:
+    return study.effective(_runs(spark, sf)).select("id", F.array_join(F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("fields"))
+
+
+def _both_runs(spark: SparkSession, sf: str) -> DataFrame:
+    t = _trials(spark, sf).select(F.col("number").alias("id"), F.col("state").alias("status"), "value")
+    return study.merged_runs(t.where("value is null or value > 100000").withColumn("status", F.lit("RUNNING")), t.where("value is null or value <= 200000"))
+
+
+def _latencies(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return study.latencies(e.select(F.col("event_type").alias("source"), F.col("value").alias("ms"), (F.col("event_id") % 11).alias("n")))
+
+
+def _phases(spark: SparkSession, sf: str) -> DataFrame:
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("run"), F.col("l_returnflag").alias("phase")).agg(F.sum("l_quantity").alias("seconds"))
+    return study.phase_shares(li.withColumn("wall", F.sum("seconds").over(Window.partitionBy("run")) + 1.0))
+
+
+def _ambiguous(spark: SparkSession, sf: str) -> DataFrame:
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    return study.ambiguous(_edges(spark, sf), n.select(F.col("n_regionkey").alias("grp"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("name")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "study_status": lambda s, d: study.status(_trials(s, d)),
     "trial_ranking": lambda s, d: study.ranking(_trials(s, d)),
@@ -67,6 +99,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "objective_blend": lambda s, d: rounded(_blend(s, d), 6),
     "wins_losses": lambda s, d: study.wins_and_losses(_edges(s, d)),
     "tournament_closure": lambda s, d: study.closure(_edges(s, d)),
+    "tournament_ambiguous": _ambiguous,
+    "run_depths": lambda s, d: study.depths(_runs(s, d)),
+    "run_fields": _effective,
+    "merged_runs": lambda s, d: rounded(_both_runs(s, d), 2),
+    "batch_rollup": lambda s, d: rounded(study.rollup(_trials(s, d).select(F.col("study").alias("batch"), F.col("state").alias("status"), F.col("number").alias("created")))),
+    "param_ranges": lambda s, d: rounded(study.param_ranges(_trials(s, d).where("state = 'COMPLETE'"))),
+    "detector_latencies": lambda s, d: rounded(_latencies(s, d)),
+    "phase_shares": lambda s, d: rounded(_phases(s, d)),
     "plan_variants": _variants,
     "failure_reasons": _reasons,
     "event_windows": lambda s, d: rounded(_sequence_windows(s, d), 2),
@@ -81,6 +121,10 @@ _E = """
 e as (select 'n' || n_nationkey as w, 'n' || (n_nationkey + 1 + n_regionkey) as l from nation)
 """
 
+_R = """
+rn as (select s_suppkey as id, case when s_suppkey > 3 then s_suppkey // 3 end as parent, 'f' || (s_suppkey % 4) as k, s_suppkey::varchar as v from supplier)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "study_status": _T + """ select count(*) as n_trials, count_if(state = 'COMPLETE')::bigint as n_complete, count_if(state = 'FAIL')::bigint as n_failed, max(value) filter (state = 'COMPLETE') as best_value,
   (select number from t where state = 'COMPLETE' and value is not null order by value desc, number limit 1) as best_number from t""",
@@ -97,6 +141,25 @@ select p_partkey, floor(score * 1e6 + 0.5) / 1e6 as score from c""",
 b as (select grp, sum(w * s) / sum(w) as objective, count(*) as n from p group by all) select grp, floor(objective::double * 1e6 + 0.5) / 1e6 as objective, n from b""",
     "wins_losses": f"with {_E}, u as (select w as name, 1 as won from e union all select l, 0 from e) select name, sum(won)::bigint as wins, sum(1 - won)::bigint as losses, (sum(won) - sum(1 - won))::bigint as margin from u group by all",
     "tournament_closure": f"with recursive {_E}, r(w, l) as (select w, l from e union select r.w, e.l from r join e on r.l = e.w) select w, l from r",
+    "tournament_ambiguous": f"""with recursive {_E}, r(w, l) as (select w, l from e union select r.w, e.l from r join e on r.l = e.w), p as (select n_regionkey as grp, 'n' || n_nationkey as name from nation)
+select a.grp, a.name as a, b.name as b from p a join p b on a.grp = b.grp and a.name < b.name where not exists (select 1 from r where (w = a.name and l = b.name) or (w = b.name and l = a.name))""",
+    "run_depths": f"with recursive {_R}, d(id, root, depth) as (select id, id, 0::bigint from rn where parent is null union all select rn.id, d.root, d.depth + 1 from rn join d on rn.parent = d.id) select id, root, depth from d",
+    "run_fields": f"""with recursive {_R}, c(id, up, k, v, depth) as (select id, parent, k, v, 0 from rn union all select c.id, rn.parent, rn.k, rn.v, depth + 1 from c join rn on c.up = rn.id where depth < 31),
+m as (select id, k, min_by(v, depth) as v from c group by all) select id, string_agg(k || '=' || v, ',' order by k) as fields from m group by id""",
+    "merged_runs": _T + f""", m as (select number, 'RUNNING' as status, value from t where value is null or value > 100000), d as (select number, state as status, value from t where value is null or value <= 200000)
+select coalesce(m.number, d.number) as id, case when m.number is not null then m.status else d.status end as status, {half_up_sql('case when m.number is not null then m.value else d.value end', 2)} as value, case when m.number is not null then 'memory' else 'disk' end as origin
+from m full join d on m.number = d.number""",
+    "batch_rollup": _T + " select study as batch, count(*) as n, count_if(state = 'COMPLETE')::bigint as done, count_if(state = 'FAIL')::bigint as failed, count_if(state = 'RUNNING')::bigint as running, max(number) as latest from t group by all",
+    "param_ranges": _T + f""", c as (select *, row_number() over (partition by study order by number) > greatest(1, floor(count(*) over (partition by study) * 0.6::double)) as late from t where state = 'COMPLETE'),
+u as (select study, late, 'a' as param, a as v from c union all select study, late, 'b', b from c),
+p as (select study, param, count(*) as n, min(v) as low, max(v) as high, avg(v) as mean, coalesce(avg(v) filter (late), avg(v)) as recent_mean, coalesce(avg(v) filter (not late), avg(v)) as early, count_if(late) as nl, max(v) filter (late) - min(v) filter (late) as ls from u group by all having count(*) >= 2)
+select study, param, {_r('low', 'high', 'mean', 'recent_mean')}, high - low > 0.001 and case when nl > 1 then ls else high - low end < (high - low) * 0.55::double as converging,
+  case when abs(recent_mean - early) < (high - low) * 0.1::double then 'stable' when recent_mean - early > 0 then 'up' else 'down' end as direction from p""",
+    "detector_latencies": f"""with r as (select event_type as source, value as ms, event_id % 11 as n, row_number() over (partition by event_type order by value) as rn, count(*) over (partition by event_type) as k from events),
+p as (select source, count(*) as frames, avg(ms) as mean_ms, max(ms) filter (rn = greatest(1, least(k, ceil(k * 0.5::double)))) as p50_ms, max(ms) filter (rn = greatest(1, least(k, ceil(k * 0.95::double)))) as p95_ms, sum(n)::bigint as total, avg(n) as mean_n, max(n) as most from r group by all)
+select source, frames, {_r('mean_ms', 'p50_ms', 'p95_ms')}, total, {_r('mean_n')}, most from p""",
+    "phase_shares": f"""with p as (select l_orderkey as run, l_returnflag as phase, sum(l_quantity) as s from lineitem group by all), q as (select *, s / (sum(s) over (partition by run) + 1) as share, row_number() over (partition by run order by s desc, phase) as rn from p)
+select run, phase, {_r('share')}, rn = 1 and q.share >= 0.55 and s >= 5 as target from q""",
     "plan_variants": """with o(p, v) as (values ('x', '0'), ('x', '1'), ('y', '1'), ('y', '2')), b as (select s_suppkey as base, (s_suppkey % 3)::varchar as x, '1' as y from supplier)
 select distinct base, '[{"key":"x","value":"' || case when p = 'x' then v else x end || '"},{"key":"y","value":"' || case when p = 'y' then v else y end || '"}]' as plan from b, o""",
     "failure_reasons": "select l_returnflag || '-' || l_linestatus as reason, sum(l_linenumber)::bigint as total from lineitem group by all order by total desc, reason limit 8",
