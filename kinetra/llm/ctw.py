@@ -16,7 +16,7 @@ grams is collected or broadcast, whatever its size.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -273,8 +273,8 @@ def gram_scores(grams: DataFrame, depth: int, shards: int) -> DataFrame:
     return grams.groupBy("shard").cogroup(path.groupBy("shard")).applyInArrow(down, "shard int, keys binary, scores binary")
 
 
-def text_scores(rows: DataFrame, scores: DataFrame, depth: int, shards: int, n_blocks: int) -> DataFrame:
-    """``rows`` (with text) and score: log10 probability of each running text."""
+def text_scores(rows: DataFrame, scores: DataFrame, depth: int, shards: int, n_blocks: int, finish: Callable, schema: str) -> DataFrame:
+    """What ``finish(table, scores, block)`` makes, under ``schema``, of each block of ``rows`` (with doc_id and text) and the log10 probabilities of its running texts."""
     dealt = blocks.in_blocks(rows, n_blocks, by=("doc_id", "text"))
     salts = -(-n_blocks // ANSWERED)
 
@@ -305,13 +305,12 @@ def text_scores(rows: DataFrame, scores: DataFrame, depth: int, shards: int, n_b
             key, owner = placed_bytes(texts, depth)
             own, back = np.unique(key, return_inverse=True)
             total[first : first + len(texts)] = np.bincount(owner, s[np.searchsorted(keys, own)][back], len(texts))
-        return table.drop_columns("block").append_column("score", pa.array(total))
+        return finish(table, total, table.column("block")[0].as_py())
 
     offers = dealt.groupBy("block").applyInArrow(offered, "block int, shard int, salt int, keys binary")
     known = scores.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     answers = offers.groupBy("shard", "salt").cogroup(known.groupBy("shard", "salt")).applyInArrow(answered, "block int, keys binary, scores binary")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(added, f"{kept}, score double")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(added, schema)
 
 
 def score(docs: DataFrame, learn: Column, depth: int = DEPTH, doc_id: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
@@ -332,9 +331,18 @@ def score(docs: DataFrame, learn: Column, depth: int = DEPTH, doc_id: str = "doc
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     grams = written(count_grams(rows, depth, shards))
     scores = written(gram_scores(grams, depth, shards))
-    scored = text_scores(rows.drop("weight"), scores, depth, shards, n_blocks).select("doc_id", "n_bytes", "score", "text")
     table = written(counts.select("term", "n", F.log10(F.col("n") + 1.0).alias("plus"), (F.col("n") > 0).cast("double").alias("known")))
-    out = dictionary.sums(scored, table, tokens, ["plus", "known"], ["doc_id", "n_bytes", "score"], "binary", head)
+    keys, values = ["doc_id", "n_bytes", "score"], ["plus", "known"]
+    known = dictionary.head_of(table, values, head)
+
+    def finish(block: pa.Table, score: np.ndarray, number: int) -> pa.Table:
+        """Both sums of a block's texts by one worker: those of its bytes, and those of its tokens."""
+        keyed = block.select(keys[:2]).append_column("score", pa.array(score))
+        return pa.Table.from_batches(list(dictionary.spread(keyed, block.column("text"), tokens, known.value, number << 33, "binary")))
+
+    texts = rows.drop("weight")
+    schema = dictionary.spread_schema(texts.withColumn("score", F.lit(0.0)), keys, len(values), "binary")
+    out = dictionary.gathered(text_scores(texts, scores, depth, shards, n_blocks, finish, schema), table, values, keys)
     base = F.col("plus") - F.col("n_terms") * math.log10(total["n"] + total["v"] + 1)
     return out.select(
         "doc_id", F.col("n_terms").alias("n_tokens"), F.round("known").cast("long").alias("n_known"), F.lit(total["n"]).cast("long").alias("train_tokens"),
