@@ -64,7 +64,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _FOUND = """
 fd as (select seq_id, case when track_id % 5 = 0 and frame_idx >= 30 then track_id + 5000 else track_id end as track_id, frame_idx, x1 + 2 as x1, y1, x2 + 2 as x2, y2 from obs where (track_id + frame_idx) % 9 <> 0)
 """
+
+
+def _nms(threshold: float, distance: bool) -> str:
+    """Suppression by recursion: frame by frame the boxes from the highest score down, each kept if no kept one overlaps it by the threshold."""
+    both = "greatest(0.0, least(b.x2, o.x2) - greatest(b.x1, o.x1)) * greatest(0.0, least(b.y2, o.y2) - greatest(b.y1, o.y1))"
+    areas = "((b.x2 - b.x1) * (b.y2 - b.y1) + (o.x2 - o.x1) * (o.y2 - o.y1))"
+    measure = f"coalesce({both} / nullif({areas} - {both}, 0), 0)"
+    if distance:
+        near = "(power((b.x1 + b.x2 - o.x1 - o.x2) / 2, 2) + power((b.y1 + b.y2 - o.y1 - o.y2) / 2, 2))"
+        measure += f" - {near} / (power(greatest(b.x2, o.x2) - least(b.x1, o.x1), 2) + power(greatest(b.y2, o.y2) - least(b.y1, o.y1), 2) + 1e-7)"
+    box = "{track_id: track_id, x1: x1, y1: y1, x2: x2, y2: y2, conf: conf}"
+    return f"""with recursive {OBS_SQL.strip()}, o as (select *, row_number() over (partition by seq_id, frame_idx order by conf desc, track_id) as k, {box} as me from obs),
+r(seq_id, frame_idx, k, kept) as (select seq_id, frame_idx, k, [me] from o where k = 1
+  union all select o.seq_id, o.frame_idx, o.k, case when len(list_filter(r.kept, lambda b: {measure} >= {threshold})) = 0 then list_append(r.kept, me) else r.kept end from r join o on r.seq_id = o.seq_id and r.frame_idx = o.frame_idx and o.k = r.k + 1),
+y as (select seq_id, frame_idx, arg_max(kept, k) as kept from r group by all), z as (select seq_id, frame_idx, unnest(kept) as b from y), u as (select seq_id, b.track_id as track_id, frame_idx, b.x1 as x1, b.y1 as y1, b.x2 as x2, b.y2 as y2, b.conf as conf from z)
+select seq_id, track_id, frame_idx, {_r('x1', 'y1', 'x2', 'y2', 'conf')} from u"""
+
+
+def _one_euro() -> str:
+    """The filter by recursion over each axis of a track's joint: last output (l), slope (d) and the frame of the last sure sample (t)."""
+    rate = lambda c: f"(2 * pi() * {c} * dt / (2 * pi() * {c} * dt + 1))"
+    return f"""with recursive {KEYPOINTS_SQL.strip()}, o as (
+  select seq_id, track_id, frame_idx, j, a, v, s, row_number() over (partition by seq_id, track_id, j, a order by frame_idx) as k from (select *, 'x' as a, x as v from kp union all select *, 'y', y from kp)),
+r(seq_id, track_id, j, a, k, frame_idx, l, d, t, out) as (
+  select seq_id, track_id, j, a, k, frame_idx, case when s >= 0.3 then v end, 0.0::double, case when s >= 0.3 then frame_idx end, v from o where k = 1
+  union all select seq_id, track_id, j, a, k, frame_idx, l3, d2, t2, coalesce(l3, v) from (
+    select *, case when not sure then l when l is null then v else {rate('(1 + 0.7::double * abs(d2))')} * v + (1 - {rate('(1 + 0.7::double * abs(d2))')}) * l end as l3 from (
+      select *, case when sure and l is not null then {rate('1')} * (v - l) / dt + (1 - {rate('1')}) * d else d end as d2 from (
+        select o.seq_id, o.track_id, o.j, o.a, o.k, o.frame_idx, o.v, o.s >= 0.3 as sure, r.l, r.d, (o.frame_idx - r.t) / 30.0::double as dt, case when o.s >= 0.3 then o.frame_idx else r.t end as t2
+        from r join o on o.seq_id = r.seq_id and o.track_id = r.track_id and o.j = r.j and o.a = r.a and o.k = r.k + 1)))),
+w as (select seq_id, track_id, frame_idx, j, max(out) filter (a = 'x') as x, max(out) filter (a = 'y') as y from r group by all), q as (select w.*, kp.s from w join kp using (seq_id, track_id, frame_idx, j))
+select seq_id, track_id, frame_idx, j, {_r('x', 'y', 's')} from q"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "nms": _nms(0.5, False),
+    "diou_nms": _nms(0.4, True),
+    "one_euro": _one_euro(),
     "honesty": "with " + KEYPOINTS_SQL.strip() + f""", l as (select seq_id, (frame_idx + j) % 3 <> 0 as visible, case when j % 5 <> 0 then s end as score from kp),
 h as (select seq_id, count(*) as n_labels, count(score) / count(*) as coverage, count_if(not visible and score >= 0.35) / nullif(count_if(not visible and score is not null), 0) as wrong, avg(power(score - visible::int, 2)) as brier from l group by all),
 r as (select seq_id, n_labels, coverage, (1 - wrong) * coverage as visibility, (1 - brier) * coverage as calibration from h) select seq_id, n_labels, {_r('coverage', 'visibility', 'calibration')} from r""",

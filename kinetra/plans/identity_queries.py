@@ -68,7 +68,7 @@ def _rates(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gallery_signals": lambda s, d: rounded(_gallery_pairs(s, d)),
-    "gallery_match": lambda s, d: rounded(_fused(s, d)),
+    "gallery_match": lambda s, d: rounded(_fused(s, d).na.fill({"person_id": -1})),
     "bank_match": lambda s, d: rounded(_bank(s, d)),
     "pair_costs": lambda s, d: rounded(_costs(s, d)),
     "gallery_rates": lambda s, d: rounded(_rates(s, d)),
@@ -92,7 +92,7 @@ gs as (
 ORACLE_SQL: dict[str, str] = {
     "gallery_signals": f"with {_E} select seq_id, query_id, person_id, {_r('cosine', 'hellinger', 'prior')} from gs",
     "gallery_match": f"""with {_E}, f as (select seq_id, query_id, person_id, (case when query_id % 5 <> 0 then 0.4::double * cosine else 0 end + 0.3::double * (1 - hellinger) + 0.1::double * prior) / (case when query_id % 5 <> 0 then 0.8::double else 0.4::double end) as score from gs),
-b as (select * from f qualify row_number() over (partition by seq_id, query_id order by score desc, person_id) = 1) select seq_id, query_id, case when b.score >= 0.5 then person_id end as person_id, {_r('score')} from b""",
+b as (select * from f qualify row_number() over (partition by seq_id, query_id order by score desc, person_id) = 1) select seq_id, query_id, case when b.score >= 0.5 then person_id else -1 end as person_id, {_r('score')} from b""",
     "bank_match": f"""with {_E}, x as (select *, vec_id % 20 as track_id, vec_id // 20 as f from em), l as (select *, row_number() over (partition by seq_id, track_id order by f desc) as rn, max(f) over (partition by seq_id, track_id) as last from x where f < track_id),
 s as (select q.seq_id, q.vec_id as query_id, l.track_id, avg(list_inner_product(q.e, l.e)) as score from x q join l on q.seq_id = l.seq_id and q.f >= q.track_id and rn <= 5 and q.f - last between 1 and 30 group by all having avg(list_inner_product(q.e, l.e)) > 0.02),
 b as (select * from s qualify row_number() over (partition by seq_id, query_id order by score desc, track_id) = 1) select seq_id, query_id, track_id, {_r('score')} from b""",
