@@ -32,6 +32,31 @@ def overlay(pruned: DataFrame, obs: DataFrame) -> DataFrame:
     return frames.join(obs, ["seq_id", "track_id", "frame_idx"]).select("rule", "seq_id", "track_id", "frame_idx", *BOX)
 
 
+def pruned_boxes(log: DataFrame, posed: DataFrame, raw: DataFrame, after: DataFrame) -> DataFrame:
+    """Boxes of pruned tracks for review: of those pruned after posing (``after``) from the posed frames, of those in the log that were never posed from the raw tracks.
+
+    ``log``: seq_id, track_id, rule; a track's last entry names its rule, else it is ``post_pose``.
+    """
+    key = ["seq_id", "track_id"]
+    rule = log.groupBy(*key).agg(F.max_by("rule", "place").alias("rule"))
+    late = posed.join(after.select(*key), key, "left_semi").join(rule, key, "left")
+    early = raw.join(rule, key).join(posed.select(*key).distinct(), key, "left_anti").join(posed.select("seq_id", "frame_idx").distinct(), ["seq_id", "frame_idx"], "left_semi")
+    columns = [*key, "frame_idx", *BOX]
+    return late.select(*columns, F.coalesce("rule", F.lit("post_pose")).alias("rule")).unionByName(early.select(*columns, "rule"))
+
+
+def between_keyframes(frames: DataFrame, keyframes: DataFrame) -> DataFrame:
+    """Value at each frame (seq_id, frame_idx) from keyframes (seq_id, frame_idx, value): linear between, held before the first and after the last."""
+    rows = frames.select("seq_id", "frame_idx", F.lit(None).cast("double").alias("value"), F.lit(True).alias("asked")).unionByName(keyframes.select("seq_id", "frame_idx", "value", F.lit(False).alias("asked")))
+    w = Window.partitionBy("seq_id").orderBy("frame_idx")
+    before, after = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
+    at = F.when(~F.col("asked"), F.struct(F.col("frame_idx").alias("f"), "value"))
+    found = rows.withColumns({"lo": F.last(at, ignorenulls=True).over(before), "hi": F.first(at, ignorenulls=True).over(after)}).where("asked")
+    share = (F.col("frame_idx") - F.col("lo.f")) / F.nullif(F.col("hi.f") - F.col("lo.f"), F.lit(0))
+    mixed = F.col("lo.value") + F.coalesce(share, F.lit(0.0)) * (F.col("hi.value") - F.col("lo.value"))
+    return found.select("seq_id", "frame_idx", F.coalesce(mixed, "lo.value", "hi.value").alias("value"))
+
+
 def dropped(before: DataFrame, between: DataFrame, after: DataFrame) -> DataFrame:
     """Observations that went between three stages, with the step that took them."""
     key = ["seq_id", "track_id", "frame_idx"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetra.sources.shared import written
@@ -174,3 +174,24 @@ def expectation(metrics: DataFrame, expected: dict[str, int]) -> DataFrame:
     """Per sequence: one less the share of expected figures (column to value) that are not met."""
     failed = sum((F.when(F.col(c) == v, 0).otherwise(1) for c, v in expected.items()), F.lit(0))
     return metrics.select("seq_id", failed.alias("failed"), (1 - failed / max(1, len(expected))).alias("expectation"))
+
+
+def coerced(text: Column, kind: str) -> Column:
+    """A field's text as its kind (bool, int, float or string); null where it does not fit. True is 1, true, yes or on in any case."""
+    plain = F.nullif(F.trim(text), F.lit(""))
+    if kind == "bool":
+        return F.when(plain.isNotNull(), F.lower(plain).isin("1", "true", "yes", "on"))
+    return plain.try_cast({"int": "bigint", "float": "double", "string": "string"}[kind])
+
+
+def fingerprint(text: Column, n: int = 16) -> Column:
+    """First characters of the hexadecimal SHA-256."""
+    return F.substring(F.sha2(text, 256), 1, n)
+
+
+def key_differences(docs: DataFrame, schema: list[str]) -> DataFrame:
+    """Per document (id, fields: map): its keys that the schema lacks, and the schema's that it lacks, sorted and joined by commas."""
+    known = F.array(*[F.lit(k) for k in schema])
+    join = lambda a: F.array_join(F.array_sort(a), ",")
+    keys = F.map_keys("fields")
+    return docs.select("id", join(F.array_except(keys, known)).alias("unknown"), join(F.array_except(known, keys)).alias("missing"))

@@ -122,6 +122,32 @@ def lifecycle(obs: DataFrame, total_frames: int, lost: int) -> DataFrame:
     return seen.withColumn("away", away).select(*TRACK, "frame_idx", F.when(F.col("away") == 0, "ACTIVE").when(F.col("away") <= lost, "DORMANT").otherwise("LOST").alias("state"))
 
 
+def gates(states: DataFrame) -> DataFrame:
+    """Which steps run for a track in its state: pose and critique when seen at all, the gallery only when fully."""
+    seen = F.col("state").isin("ACTIVE", "PARTIAL")
+    return states.select(*TRACK, "frame_idx", seen.alias("run_pose"), (F.col("state") == "ACTIVE").alias("update_gallery"), seen.alias("run_critique"))
+
+
+def absences(states: DataFrame) -> DataFrame:
+    """Runs of frames in which a track is away (DORMANT or LOST): first and last frame, length and the last state."""
+    away = states.where(F.col("state").isin("DORMANT", "LOST"))
+    run = F.col("frame_idx") - F.row_number().over(_by_frame())
+    out = away.withColumn("run", run).groupBy(*TRACK, "run").agg(F.min("frame_idx").alias("gap_start"), F.max("frame_idx").alias("gap_end"), F.count("*").alias("gap_len"), F.max_by("state", "frame_idx").alias("state"))
+    return out.drop("run")
+
+
+def tail_frames(obs: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` frames of each sequence, by number."""
+    last = obs.groupBy("seq_id").agg(F.max("frame_idx").alias("last"))
+    return obs.join(last, "seq_id").where(F.col("frame_idx") > F.col("last") - n).drop("last")
+
+
+def one_each(rows: DataFrame) -> DataFrame:
+    """One row for each track and frame: the one with the highest confidence, then the leftmost."""
+    best = F.max_by(F.struct("x1", "y1", "x2", "y2", "conf"), F.struct("conf", -F.col("x1"))).alias("m")
+    return rows.groupBy(*TRACK, "frame_idx").agg(best).select(*TRACK, "frame_idx", "m.*")
+
+
 def medians(obs: DataFrame) -> DataFrame:
     """Per track: axis-wise median centre, height and width."""
     return obs.groupBy(*TRACK).agg(F.median(g.cx()).alias("mx"), F.median(g.cy()).alias("my"), F.median(g.height()).alias("mh"), F.median(g.width()).alias("mw"), F.count("*").alias("n"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.operators import evaluate, grouped, pose
+from kinetra.operators import evaluate, grouped, pose, review
 from kinetra.plans.rounding import rounded
 from kinetra.plans.rounding import rounded_sql as _r
 from kinetra.sources.derived import KEYPOINTS_SQL, OBS_SQL, keypoints, obs
@@ -58,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lift_smoothing": lambda s, d: rounded(grouped.smooth_lift(keypoints(s, d), 40)),
     "reemergence": lambda s, d: rounded(evaluate.reemergence(_events(s, d))),
     "honesty": lambda s, d: rounded(evaluate.honesty(_joint_labels(s, d))),
+    "bones_kept": lambda s, d: rounded(grouped.keep_bones(keypoints(s, d), review.bone_lengths(keypoints(s, d))), 3),
     "benchmark_metrics": lambda s, d: evaluate.benchmark(obs(s, d), 10),
 }
 

@@ -29,10 +29,24 @@ def _dropped(spark: SparkSession, sf: str) -> DataFrame:
     return review.dropped(o, o.where("frame_idx % 5 != 0"), o.where("frame_idx % 5 != 0 and track_id % 3 != 0"))
 
 
+def _pruned_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    o = obs(spark, sf)
+    log = o.select("seq_id", "track_id").distinct().where("track_id % 3 != 1").select("seq_id", "track_id", F.explode(F.array(F.struct(F.lit(0).alias("place"), F.lit("first").alias("rule")), F.struct(F.lit(1).alias("place"), F.concat(F.lit("rule"), F.col("track_id") % 2).alias("rule")))).alias("e"))
+    posed = o.where("track_id % 3 != 2 and frame_idx % 4 != 0")
+    return review.pruned_boxes(log.select("seq_id", "track_id", "e.place", "e.rule"), posed, o, o.where("track_id % 2 = 0"))
+
+
+def _keyframes(spark: SparkSession, sf: str) -> DataFrame:
+    o = obs(spark, sf).groupBy("seq_id", "frame_idx").agg(F.min("x1").alias("value"))
+    return review.between_keyframes(o, o.where("frame_idx % 7 = 3"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "anchor_tracks": lambda s, d: review.anchor_tracks(obs(s, d), _anchors(s, d), 40.0).na.fill({"track_id": -1, "inside": False}),
     "prune_overlay": lambda s, d: rounded(review.overlay(_pruned(s, d), obs(s, d))),
     "dropped_overlay": _dropped,
+    "pruned_boxes": lambda s, d: rounded(_pruned_boxes(s, d)),
+    "between_keyframes": lambda s, d: rounded(_keyframes(s, d)),
     "acceleration_flags": lambda s, d: rounded(review.acceleration_flags(obs(s, d), 0.05)),
     "enrolment_frame": lambda s, d: rounded(review.enrolment_frame(obs(s, d), 3, 300, 1.0)),
     "visibility": lambda s, d: rounded(review.visibility(obs(s, d))),
@@ -57,6 +71,11 @@ b as (select * from m where inside or dist <= 40 qualify row_number() over (part
 select an.anchor_id, coalesce(b.track_id, -1) as track_id, coalesce(b.inside, false) as inside from an left join b using (anchor_id)""",
     "prune_overlay": f"""{_O}, p as (select seq_id, track_id, min(frame_idx) as f from obs group by all) select 'first_ten' as rule, seq_id, track_id, frame_idx, {_r('x1', 'y1', 'x2', 'y2')} from obs join p using (seq_id, track_id) where frame_idx between f and f + 9""",
     "dropped_overlay": f"{_O} select seq_id, track_id, frame_idx, case when frame_idx % 5 = 0 then 1 else 2 end as step from obs where frame_idx % 5 = 0 or track_id % 3 = 0",
+    "pruned_boxes": f"""{_O}, p as (select * from obs where track_id % 3 <> 2 and frame_idx % 4 <> 0), r as (select *, case when track_id % 3 = 1 then 'post_pose' else 'rule' || track_id % 2 end as rule from p where track_id % 2 = 0
+  union all select *, 'rule' || track_id % 2 from obs where track_id % 3 <> 1 and (seq_id, track_id) not in (select (seq_id, track_id) from p) and (seq_id, frame_idx) in (select (seq_id, frame_idx) from p)) select seq_id, track_id, frame_idx, {_r('x1', 'y1', 'x2', 'y2')}, rule from r""",
+    "between_keyframes": f"""{_O}, o as (select seq_id, frame_idx, min(x1) as v from obs group by all), k as (select * from o where frame_idx % 7 = 3),
+lo as (select o.seq_id, o.frame_idx, k.frame_idx as f0, k.v as v0 from o asof left join k on o.seq_id = k.seq_id and o.frame_idx >= k.frame_idx), hi as (select lo.*, k.frame_idx as f1, k.v as v1 from lo asof left join k on lo.seq_id = k.seq_id and lo.frame_idx <= k.frame_idx),
+r as (select seq_id, frame_idx, case when f0 is null then v1 when f1 is null or f1 = f0 then v0 else v0 + (frame_idx - f0) / (f1 - f0) * (v1 - v0) end as value from hi) select seq_id, frame_idx, {_r('value')} from r""",
     "acceleration_flags": f"""{_O},{_G}, l as (select *, sqrt(power(cx - lag(cx) over w, 2) + power(cy - lag(cy) over w, 2)) as moved, frame_idx - lag(frame_idx) over w as step from g window w as (partition by seq_id, track_id order by frame_idx))
 select seq_id, track_id, frame_idx, {_r('moved')} from l where step <= 2 and l.moved > 0.05 * h""",
     "enrolment_frame": f"""{_O},{_G},{_PAIRS}, d as (select seq_id, frame_idx, min(dist) as d from pr where frame_idx % 3 = 0 and frame_idx < 300 group by all), n as (select seq_id, frame_idx, count(*) as n from obs group by all),

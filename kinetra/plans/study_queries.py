@@ -89,6 +89,17 @@ def _ambiguous(spark: SparkSession, sf: str) -> DataFrame:
     return study.ambiguous(_edges(spark, sf), n.select(F.col("n_regionkey").alias("grp"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("name")))
 
 
+def _coerced(spark: SparkSession, sf: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    n = F.col("o_orderkey")
+    text = F.when(n % 5 == 0, F.lit(" Yes ")).when(n % 5 == 1, F.lit("off")).when(n % 5 == 2, F.lit("")).when(n % 5 == 3, n.cast("string")).otherwise(F.lit("2.5"))
+    return o.select("o_orderkey", study.coerced(text, "bool").alias("flag"), study.coerced(text, "float").alias("number"), study.fingerprint(text).alias("print"))
+
+
+def _key_differences(spark: SparkSession, sf: str) -> DataFrame:
+    return study.key_differences(_runs(spark, sf), ["f0", "f1", "g"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "study_status": lambda s, d: study.status(_trials(s, d)),
     "trial_ranking": lambda s, d: study.ranking(_trials(s, d)),
@@ -107,6 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "param_ranges": lambda s, d: rounded(study.param_ranges(_trials(s, d).where("state = 'COMPLETE'"))),
     "detector_latencies": lambda s, d: rounded(_latencies(s, d)),
     "phase_shares": lambda s, d: rounded(_phases(s, d)),
+    "coerced_fields": lambda s, d: rounded(_coerced(s, d)),
+    "key_differences": _key_differences,
     "plan_variants": _variants,
     "failure_reasons": _reasons,
     "event_windows": lambda s, d: rounded(_sequence_windows(s, d), 2),
@@ -160,6 +173,9 @@ p as (select source, count(*) as frames, avg(ms) as mean_ms, max(ms) filter (rn
 select source, frames, {_r('mean_ms', 'p50_ms', 'p95_ms')}, total, {_r('mean_n')}, most from p""",
     "phase_shares": f"""with p as (select l_orderkey as run, l_returnflag as phase, sum(l_quantity) as s from lineitem group by all), q as (select *, s / (sum(s) over (partition by run) + 1) as share, row_number() over (partition by run order by s desc, phase) as rn from p)
 select run, phase, {_r('share')}, rn = 1 and q.share >= 0.55 and s >= 5 as target from q""",
+    "coerced_fields": f"""with t as (select o_orderkey, case o_orderkey % 5 when 0 then ' Yes ' when 1 then 'off' when 2 then '' when 3 then o_orderkey::varchar else '2.5' end as t from orders)
+select o_orderkey, case when trim(t) <> '' then lower(trim(t)) in ('1', 'true', 'yes', 'on') end as flag, {half_up_sql('try_cast(trim(t) as double)', 5)} as number, sha256(t)[1:16] as print from t""",
+    "key_differences": "select s_suppkey as id, case when s_suppkey % 4 > 1 then 'f' || s_suppkey % 4 else '' end as unknown, case s_suppkey % 4 when 0 then 'f1,g' when 1 then 'f0,g' else 'f0,f1,g' end as missing from supplier",
     "plan_variants": """with o(p, v) as (values ('x', '0'), ('x', '1'), ('y', '1'), ('y', '2')), b as (select s_suppkey as base, (s_suppkey % 3)::varchar as x, '1' as y from supplier)
 select distinct base, '[{"key":"x","value":"' || case when p = 'x' then v else x end || '"},{"key":"y","value":"' || case when p = 'y' then v else y end || '"}]' as plan from b, o""",
     "failure_reasons": "select l_returnflag || '-' || l_linestatus as reason, sum(l_linenumber)::bigint as total from lineitem group by all order by total desc, reason limit 8",

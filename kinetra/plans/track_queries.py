@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.operators import pairs, prune, relink, tracks
+from kinetra.operators import graph, pairs, prune, relink, tracks
 from kinetra.plans.rounding import rounded
 from kinetra.plans.rounding import rounded_sql as _r
 from kinetra.sources.derived import FRAMES, OBS_SQL, obs
@@ -128,6 +128,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "reverse_remap": lambda s, d: rounded(tracks.reverse(obs(s, d), FRAMES)),
     "swap_interval": lambda s, d: rounded(tracks.swap_interval(obs(s, d), 1, 2, 5, 20)),
     "track_lifecycle": lambda s, d: tracks.lifecycle(obs(s, d), FRAMES, 3),
+    "state_gates": lambda s, d: tracks.gates(tracks.lifecycle(obs(s, d), FRAMES, 3)),
+    "absences": lambda s, d: tracks.absences(tracks.lifecycle(obs(s, d), FRAMES, 3)),
+    "tail_frames": lambda s, d: rounded(tracks.tail_frames(obs(s, d), 10)),
+    "one_row_each": lambda s, d: rounded(tracks.one_each(obs(s, d).unionByName(obs(s, d).withColumn("conf", F.lit(0.5))))),
+    "stitch_groups": lambda s, d: graph.groups(_stitches(s, d).select("seq_id", "a", "b")),
     "track_medians": lambda s, d: rounded(tracks.medians(obs(s, d))),
     "edge_share": lambda s, d: rounded(tracks.edge_share(obs(s, d), WIDE)),
     "frame_pairs": lambda s, d: rounded(pairs.frame_pairs(obs(s, d))),
@@ -246,6 +251,20 @@ def _chain_sql(names: list[str]) -> str:
     return _with(OBS_SQL, _G, _facts(), _rules_sql("fa", steps)) + " " + " union all ".join(f"select * from r{i}" for i in range(len(steps)))
 
 
+_LIFE = """
+s as (select seq_id, track_id, unnest(range(min(frame_idx), 60)) as frame_idx from obs group by seq_id, track_id),
+l as (select s.*, s.frame_idx - max(o.frame_idx) over (partition by s.seq_id, s.track_id order by s.frame_idx) as away from s left join obs o using (seq_id, track_id, frame_idx))
+""".strip()
+_STITCH = """
+s as (
+  select *, avx <> 0 or avy <> 0 as moves, gap <= 7 as soon, greatest(0.05::double * ah, 6.0) as last from fl where gap between 1 and 60 and a_end < 59),
+s2 as (select *, case when moves then greatest(0.1::double * ah, 9.0) else last end as led, case when soon then greatest(ah, 12.0) else last end as at_last from s),
+s3 as (
+  select * from s2 where (s2.dist <= at_last or s2.missed <= case when soon then at_last else led end) and least(s2.dist, s2.missed) < greatest(last, led) + 1
+    and greatest(ah, bh) / least(ah, bh) <= 1.05 and s2.dist / gap <= greatest(0.02::double * ah, 30.0)
+    and not (not soon and moves and bn >= 3 and sqrt(avx * avx + avy * avy) > 1 and sqrt(bvx * bvx + bvy * bvy) > 1 and avx * bvx + avy * bvy < 0))
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "sequence_scores": _with(OBS_SQL, _G, _SURVIVAL.format(total=60)) + f" select seq_id, track_id, n_frames, first_frame, span, {_r('movement_std')}, lasts, {_r('median_h')}, survives from sv",
     "observations": _with(OBS_SQL) + f" select seq_id, track_id, frame_idx, {_r('x1', 'y1', 'x2', 'y2', 'conf')} from obs",
@@ -277,6 +296,13 @@ select p.seq_id, p.frame_idx::bigint as frame_idx, coalesce(n, 0)::bigint as n_t
     "track_lifecycle": _with(OBS_SQL) + """, s as (select seq_id, track_id, unnest(range(min(frame_idx), 60)) as frame_idx from obs group by seq_id, track_id),
 l as (select s.*, s.frame_idx - max(o.frame_idx) over (partition by s.seq_id, s.track_id order by s.frame_idx) as away from s left join obs o using (seq_id, track_id, frame_idx))
 select seq_id, track_id, frame_idx, case when away = 0 then 'ACTIVE' when away <= 3 then 'DORMANT' else 'LOST' end as state from l""",
+    "state_gates": _with(OBS_SQL) + f", {_LIFE} select seq_id, track_id, frame_idx, away = 0 as run_pose, away = 0 as update_gallery, away = 0 as run_critique from l",
+    "absences": _with(OBS_SQL) + f""", {_LIFE}, r as (select *, frame_idx - row_number() over (partition by seq_id, track_id order by frame_idx) as run from l where away > 0)
+select seq_id, track_id, min(frame_idx) as gap_start, max(frame_idx) as gap_end, count(*) as gap_len, case when max(away) <= 3 then 'DORMANT' else 'LOST' end as state from r group by seq_id, track_id, run""",
+    "tail_frames": _with(OBS_SQL) + f", m as (select seq_id, max(frame_idx) as last from obs group by all) select seq_id, track_id, frame_idx, {_r('x1', 'y1', 'x2', 'y2', 'conf')} from obs join m using (seq_id) where frame_idx > last - 10",
+    "one_row_each": _with(OBS_SQL) + f", m as (select * replace (greatest(conf, 0.5) as conf) from obs) select seq_id, track_id, frame_idx, {_r('x1', 'y1', 'x2', 'y2', 'conf')} from m",
+    "stitch_groups": "with recursive " + ",".join(p.strip() for p in (_BROKEN, _ENDS, _STITCH)) + """, u as (select seq_id, a, b from s3 union select seq_id, b, a from s3), r(seq_id, node, reach) as (select seq_id, a, b from u union select r.seq_id, r.node, u.b from r join u on u.seq_id = r.seq_id and u.a = r.reach)
+select seq_id, node, least(node, min(reach)) as root from r group by seq_id, node""",
     "track_medians": _with(OBS_SQL, _G, _MED) + f" select seq_id, track_id, {_r('mx', 'my', 'mh', 'mw')}, n from m",
     "edge_share": _with(OBS_SQL, _G) + ", s as (select seq_id, track_id, avg(case when cx < 0.15 * 320 or cx > 0.85 * 320 then 1.0 else 0.0 end) as edge_share from g group by all) select seq_id, track_id, floor((edge_share)::double * 1e5 + 0.5) / 1e5 as edge_share from s",
     "frame_pairs": _with(OBS_SQL, _G, _PAIRS) + f""", d as (select *, iou - dist * dist / (far + 1e-7) as diou, inter / greatest(aa, 1e-6) as a_in_b, inter / greatest(ba, 1e-6) as b_in_a from pr)
@@ -297,12 +323,7 @@ select seq_id, track_id, frame_idx, {_r('x1', 'y1', 'x2', 'y2', 'conf')} from ob
 t as (select seq_id, a, b, count(*) as shared, avg(case when close then 1.0 else 0.0 end) as close, median(ratio) as ratio, avg(coalesce(shared_area / nullif(areas - shared_area, 0), 0)) as mean_iou from s group by seq_id, a, b)
 select seq_id, a, b, shared, {_r('close', 'mean_iou')} from t where shared >= 5 and t.close >= 0.6 and ratio <= 1.6 and t.mean_iou >= 0.25""",
     "track_ends": _with(_BROKEN, _ENDS) + f", r as (select seq_id, track_id, n, f0, f1, {', '.join(f'{b}.{c} as {b}_{c}' for b in ('b0', 'b1') for c in ('x1', 'y1', 'x2', 'y2'))}, vx, vy, ux, uy from e) select seq_id, track_id, n, f0, f1, {_r(*[f'{b}_{c}' for b in ('b0', 'b1') for c in ('x1', 'y1', 'x2', 'y2')], 'vx', 'vy', 'ux', 'uy')} from r",
-    "stitch_candidates": _with(_BROKEN, _ENDS) + f""", s as (
-  select *, avx <> 0 or avy <> 0 as moves, gap <= 7 as soon, greatest(0.05::double * ah, 6.0) as last from fl where gap between 1 and 60 and a_end < 59),
-s2 as (select *, case when moves then greatest(0.1::double * ah, 9.0) else last end as led, case when soon then greatest(ah, 12.0) else last end as at_last from s)
-select seq_id, a, b, gap, {_r('dist', 'missed')} from s2 where (s2.dist <= at_last or s2.missed <= case when soon then at_last else led end) and least(s2.dist, s2.missed) < greatest(last, led) + 1
-  and greatest(ah, bh) / least(ah, bh) <= 1.05 and s2.dist / gap <= greatest(0.02::double * ah, 30.0)
-  and not (not soon and moves and bn >= 3 and sqrt(avx * avx + avy * avy) > 1 and sqrt(bvx * bvx + bvy * bvy) > 1 and avx * bvx + avy * bvy < 0)""",
+    "stitch_candidates": _with(_BROKEN, _ENDS, _STITCH) + f" select seq_id, a, b, gap, {_r('dist', 'missed')} from s3",
     "dormant_candidates": _with(_BROKEN, _ENDS) + f""", d as (
   select seq_id, a, b, gap - 1 as gap, missed2 as dist, greatest(0.0, least(p.x2 + ux * gap, q.x2) - greatest(p.x1 + ux * gap, q.x1)) * greatest(0.0, least(p.y2 + uy * gap, q.y2) - greatest(p.y1 + uy * gap, q.y1)) as shared_area,
     (p.x2 - p.x1) * (p.y2 - p.y1) + (q.x2 - q.x1) * (q.y2 - q.y1) as areas, greatest(sqrt(power(q.x2 - q.x1, 2) + power(q.y2 - q.y1, 2)), 1.0) as diagonal from fl where gap between 7 and 41 and an >= 2),
