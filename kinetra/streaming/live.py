@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,6 +49,48 @@ def lifecycle(stream: DataFrame, lost: int) -> DataFrame:
     )
 
 
+class OneEuro(StatefulProcessor):
+    """Per track and joint: the One-Euro filter of x and y; a sample under ``least`` gives the last output and leaves the state alone.
+
+    State is the last output and slope of both axes and the frame of the last sure sample. Rows of a key are taken in
+    order of frames within a batch; a sure sample of a frame that was already passed gives the last output.
+    """
+
+    def __init__(self, least: float, cutoff: float, beta: float, fps: float) -> None:
+        self.least, self.cutoff, self.beta, self.fps = least, cutoff, beta, fps
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "frame long, x double, y double, dx double, dy double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        share = lambda dt, c: (r := 2 * math.pi * c * dt) / (r + 1)
+        at, x, y, dx, dy = self.held.get() if self.held.exists() else (None, None, None, 0.0, 0.0)
+        out = []
+        for row in pd.concat(list(rows)).sort_values("frame_idx").itertuples(index=False):
+            if row.s >= self.least and at is None:
+                at, x, y = int(row.frame_idx), float(row.x), float(row.y)
+            elif row.s >= self.least and row.frame_idx > at:
+                dt = (row.frame_idx - at) / self.fps
+                a = share(dt, 1.0)
+                dx, dy = (a * (v - o) / dt + (1 - a) * d for v, o, d in ((row.x, x, dx), (row.y, y, dy)))
+                x, y = (share(dt, self.cutoff + self.beta * abs(d)) * (v - o) + o for v, o, d in ((row.x, x, dx), (row.y, y, dy)))
+                at = int(row.frame_idx)
+            out.append((*key, int(row.frame_idx), float(row.x) if x is None else x, float(row.y) if y is None else y, float(row.s)))
+        if at is not None:
+            self.held.update((at, float(x), float(y), float(dx), float(dy)))
+        yield pd.DataFrame(out, columns=["seq_id", "track_id", "j", "frame_idx", "x", "y", "s"])
+
+    def close(self) -> None:
+        pass
+
+
+def smoothed(stream: DataFrame, least: float = 0.3, cutoff: float = 1.0, beta: float = 0.7, fps: float = 30.0) -> DataFrame:
+    """Keypoints (seq_id, track_id, frame_idx, j, x, y, s) smoothed as they come."""
+    return stream.groupBy("seq_id", "track_id", "j").transformWithStateInPandas(
+        statefulProcessor=OneEuro(least, cutoff, beta, fps), outputStructType="seq_id long, track_id long, j int, frame_idx long, x double, y double, s double", outputMode="Append", timeMode="None"
+    )
+
+
 def counts(events: DataFrame, size: str = "1 day", late: str = "2 days") -> DataFrame:
     """Events and values by tumbling window and type; late ones count up to the watermark."""
     timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)

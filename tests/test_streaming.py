@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kinetra.operators import grouped
 from kinetra.streaming import live
 
 
@@ -28,3 +29,23 @@ def test_windows_of_a_stream_equal_the_batch(spark):
     run(live.counts(stream), "windows", "complete")
     key = lambda r: (str(r["w"][0]), r["event_type"], r["n"])
     assert sorted(map(key, spark.table("windows").collect())) == sorted(map(key, live.counts(batch).collect()))
+
+
+def test_smoothing_stream_equals_the_batch(spark, tmp_path):
+    schema = "seq_id long, track_id long, frame_idx long, j int, x double, y double, s double"
+    rows = [(0, t, f, j, 10.0 * t + (f * 7 + j) % 5, 3.0 * f, 0.2 if (f + j) % 4 == 1 else 0.9) for t in (1, 2) for j in (0, 5) for f in range(12) if f != 7]
+    kp = spark.createDataFrame(rows, schema)
+    for k in range(3):  # three files, three batches
+        kp.where(f"frame_idx div 4 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    run(live.smoothed(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))), "smoothed", "append")
+    key = lambda r: (r["track_id"], r["j"], r["frame_idx"], round(r["x"], 9), round(r["y"], 9))
+    assert sorted(map(key, spark.table("smoothed").collect())) == sorted(map(key, grouped.smooth_poses(kp).collect()))
+
+
+def test_chunks_and_sessions(spark):
+    obs = spark.createDataFrame([(0, f, t) for f in (0, 1, 300) for t in range(6 if f == 1 else 2)], "seq_id long, frame_idx long, track_id long")
+    got = sorted(tuple(r) for r in live.chunk_peaks(obs).collect())
+    assert got == [(0, 0, 6, True), (0, 1, 2, False)]
+    events = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 10:00:00"), (1, "2024-01-03 00:00:00"), (2, "2024-01-01 05:00:00")], "user_id long, ts string")
+    assert sorted((r["user_id"], r["n"]) for r in live.sessions(events).collect()) == [(1, 1), (1, 2), (2, 1)]

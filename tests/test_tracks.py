@@ -266,3 +266,19 @@ def test_warping_and_lag():
     assert grouped.warping(a, a) == 0
     assert grouped.best_lag(np.roll(a, 2), a) == 2
     assert grouped.best_lag(np.ones(5), a[:5]) == 0
+
+
+def test_bones_come_to_their_lengths():
+    rng = np.random.default_rng(3)
+    pose_, bones = rng.normal(size=(17, 2)) * 50, [(5, 7), (7, 9), (11, 13), (13, 15), (5, 6)]
+    fixed = grouped.bone_lengths(pose_, bones, np.array([30.0, 25.0, 40.0, 35.0, 20.0]), 200)
+    assert [float(np.linalg.norm(fixed[i] - fixed[j])) for i, j in bones] == pytest.approx([30.0, 25.0, 40.0, 35.0, 20.0], abs=1e-3)
+    assert np.allclose((fixed[11] + fixed[12]) / 2, (pose_[11] + pose_[12]) / 2)
+
+
+def test_groups_reach_along_chains(spark):
+    from kinetra.operators import graph
+
+    links = spark.createDataFrame([(0, k, k + 1) for k in range(20)] + [(0, 40, 30), (1, 5, 4), (1, 7, 7)], "seq_id long, a long, b long")
+    got = rows(graph.groups(links), "seq_id", "node", "root")
+    assert got == [(0, k, 0) for k in range(21)] + [(0, 30, 30), (0, 40, 30), (1, 4, 4), (1, 5, 4)]
