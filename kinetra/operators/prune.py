@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,16 @@ class Frame:
     total: int
 
 
+def _rule(make: Callable[..., Rule]) -> Callable[..., Rule]:
+    """A rule's columns are made when it is applied, so that rules can be named without a session."""
+
+    @wraps(make)
+    def named(*args: object, **options: object) -> Rule:
+        return lambda alive: make(*args, **options)(alive)
+
+    return named
+
+
 def facts(obs: DataFrame, frame: Frame, early: int = 120, mirror_edge: float = MIRROR_EDGE) -> DataFrame:
     """Per track: counts, first place, medians (whole, first and last quarter, before frame ``early``), velocity and edge shares, survival."""
     ordered, whole = Window.partitionBy(*KEY).orderBy("frame_idx"), Window.partitionBy(*KEY)
@@ -69,11 +80,13 @@ def _count(alive: Column, value: Column | None = None) -> Column:
     return _group(alive, F.lit(1) if value is None else value, F.count)
 
 
+@_rule
 def short_lived() -> Rule:
     """Does not last or does not move (see ``tracks.survival``)."""
     return lambda alive: ~F.col("survives")
 
 
+@_rule
 def outside_polygon(corners: list[tuple[float, float]]) -> Rule:
     """Median feet (middle of the box's bottom) outside the stage."""
     return lambda alive: ~g.in_polygon(F.col("mx"), F.col("feet"), corners)
@@ -92,6 +105,7 @@ def _approaches(alive: Column) -> Column:
     return (F.col("n") >= 4) & (away("late") < 0.7 * away("early"))
 
 
+@_rule
 def spatial_outliers(frame: Frame, factor: float = 2.0) -> Rule:
     """Farther from the group than ``factor`` deviations (more in front), unless it comes nearer; three tracks at least."""
     most = F.when(F.col("my") >= FRONT * frame.height, factor * FRONT_FACTOR).otherwise(F.lit(factor))
@@ -103,6 +117,7 @@ def _enters_at_edge(frame: Frame) -> Column:
     return (x <= ENTRY_EDGE * frame.width) | (x >= frame.width - ENTRY_EDGE * frame.width) | (y <= ENTRY_EDGE * frame.height) | (y >= frame.height - ENTRY_EDGE * frame.height)
 
 
+@_rule
 def short_share(frame: Frame, share: float = 0.15, floor: int = 30) -> Rule:
     """Fewer frames than int(share * all); one that enters at an edge may stay if it is cut off by the end, or lasts for its time and moves inwards."""
     possible, n = F.lit(frame.total) - F.col("f0"), F.col("n")
@@ -113,17 +128,20 @@ def short_share(frame: Frame, share: float = 0.15, floor: int = 30) -> Rule:
     return lambda alive: (n < int(frame.total * share)) & ~stays
 
 
+@_rule
 def audience(frame: Frame) -> Rule:
     """Median centre of the early observations in the lower right corner."""
     return lambda alive: F.coalesce((F.col("start_x") >= 0.75 * frame.width) & (F.col("start_y") >= 0.70 * frame.height), F.lit(False))
 
 
+@_rule
 def late_and_short(frame: Frame) -> Rule:
     """Starts after 35 % of the frames, spans under 17 %, and does not enter from the outer 8 % on any side."""
     late = (F.col("f0") >= int(frame.total * 0.35)) & (F.col("f1") - F.col("f0") + 1 < int(frame.total * 0.17))
     return lambda alive: late & ~_enters_at_edge(frame)
 
 
+@_rule
 def size_outliers(frame: Frame, low: float = 0.4, high: float = 2.0) -> Rule:
     """Median height beyond ``low`` to ``high`` times the group's median (more in front); three tracks at least."""
     most = F.when(F.col("my") >= FRONT * frame.height, high * FRONT_FACTOR).otherwise(F.lit(high))
@@ -135,6 +153,7 @@ def size_outliers(frame: Frame, low: float = 0.4, high: float = 2.0) -> Rule:
     return test
 
 
+@_rule
 def wide_boxes(most: float = 2.5) -> Rule:
     """Median width over height above ``most``; three tracks at least."""
     return lambda alive: (_count(alive) >= 3) & F.coalesce(F.col("wh") > most, F.lit(False))
@@ -146,26 +165,31 @@ def _against(alive: Column, least: float) -> Column:
     return (_count(alive) >= 2) & F.coalesce((F.abs(group) >= least) & (F.col("vx") * group < 0), F.lit(False))
 
 
+@_rule
 def mirrors(share: float = 0.30, least: float = 1.0) -> Rule:
     """Often at an edge while it moves, and moving against the group."""
     return lambda alive: _against(alive, least) & F.coalesce(F.col("moving_edge") >= share, F.lit(False))
 
 
+@_rule
 def smart_mirrors(share: float = 0.30, least: float = 1.0, lower: float = 0.3) -> Rule:
     """A mirror whose lower body is hardly seen (``lower_mean`` of the pose facts; none counts as 0)."""
     return lambda alive: mirrors(share, least)(alive) & (F.coalesce("lower_mean", F.lit(0.0)) < lower)
 
 
+@_rule
 def low_confidence(least: float = 0.45) -> Rule:
     """75th percentile of the frames' mean keypoint scores under ``least``; three tracks at least."""
     return lambda alive: (_count(alive) >= 3) & F.coalesce(F.col("score_p75") < least, F.lit(False))
 
 
+@_rule
 def jitter(most: float = 0.10) -> Rule:
     """Mean movement of a joint over the median height above ``most``; three tracks at least."""
     return lambda alive: (_count(alive) >= 3) & F.coalesce(F.col("mean_move") / F.col("mh") > most, F.lit(False))
 
 
+@_rule
 def completeness(low: float = 0.35, shoulders: float = 0.35, corner_low: float = 0.45, corner_shoulders: float = 0.25) -> Rule:
     """Shoulders that are seen over a lower body that never is; other limits for tracks mostly in a corner."""
     corner = F.col("corner") >= 0.5
@@ -173,6 +197,7 @@ def completeness(low: float = 0.35, shoulders: float = 0.35, corner_low: float =
     return lambda alive: F.coalesce(hit, F.lit(False))
 
 
+@_rule
 def head_only(frame: Frame, size: float = 0.4, share: float = 0.9, far: float = 2.0) -> Rule:
     """Small, its lower body unseen in nearly all frames, and in a corner or far from the group; three tracks at least."""
 
@@ -184,6 +209,7 @@ def head_only(frame: Frame, size: float = 0.4, share: float = 0.9, far: float =
     return test
 
 
+@_rule
 def low_sync(frame: Frame, least: float = 0.10) -> Rule:
     """No joint's angle goes with the group's (``best_r``; none counts as 0), but for late entrants with under 100 frames; three tracks at least."""
     late = (F.col("f0") >= 0.25 * frame.total) & (F.col("n") < 100)

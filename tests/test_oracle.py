@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -32,6 +34,11 @@ def test_query_equals_sql(spark, duck, name):
     assert content(catalog.QUERIES[name](spark, SF).toPandas()) == content(duck.sql(catalog.ORACLE_SQL[name]).df())
 
 
+def test_entry_is_imported_without_a_session():
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=os.path.dirname(entry.__file__), capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+
+
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
