@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.llm import ann_mih, bpe_tree, ctw, jaccard_join, lang_id, rule_ledger, substring_dedup, token_counts, url_filter, vector_packing
+from kinetra.llm import ann_mih, bpe_tree, ctw, jaccard_join, lang_id, line_runs, rule_ledger, substring_dedup, token_counts, url_filter, vector_packing
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -97,6 +97,11 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_runs.dedup(_table(spark, sf_dir, "documents", "doc_id", "text"), least=3, least_chars=20)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_rlz": op1_substring_rlz,
     "op2_ann_mih": op2_ann_mih,
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_vertical": op8_jaccard_vertical,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_vector_packing": op10_vector_packing,
+    "op11_line_runs": op11_line_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -154,5 +160,18 @@ f as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & 3) <> 0 as base_failed,
   (bits & 123) = 0 as kept, bits::bigint as failed_rules
 from f
+""",
+    "op11_line_runs": r"""
+with l as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as at from documents),
+k as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+s as (
+  select key, max(doc_id) as last from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+g as (
+  select k.*, coalesce(doc_id < last, false) as gone from k left join s using (key))
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by at) filter (not gone), '')) as kept_sha256
+from g group by doc_id
 """,
 }
