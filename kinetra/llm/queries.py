@@ -163,7 +163,7 @@ from f
 """,
     "op11_line_runs": r"""
 with l as (
-  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as at from documents),
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
 k as (
   select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
 s as (
@@ -171,7 +171,7 @@ s as (
 g as (
   select k.*, coalesce(doc_id < last, false) as gone from k left join s using (key))
 select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) order by at) filter (not gone), '')) as kept_sha256
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
 from g group by doc_id
 """,
 }
