@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.llm import ann_mih, bpe_tree, ctw, jaccard_join, lang_id, line_runs, rule_ledger, substring_dedup, token_counts, url_filter, vector_packing
+from kinetra.llm import ann_mih, bpe_tree, ctw, jaccard_join, lang_id, line_runs, rule_ledger, substring_dedup, token_counts, url_filter, vector_packing, whitening
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -102,6 +102,10 @@ def op11_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_welford_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), components=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_rlz": op1_substring_rlz,
     "op2_ann_mih": op2_ann_mih,
@@ -114,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_tree": op9_bpe_tree,
     "op10_vector_packing": op10_vector_packing,
     "op11_line_runs": op11_line_runs,
+    "op13_welford_whitening": op13_welford_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
