@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.llm import ann_mih, bpe_tree, ctw, jaccard_join, lang_id, line_runs, rule_ledger, substring_dedup, token_counts, url_filter, vector_packing, whitening
+from kinetra.llm import ann_mih, bpe_tree, ctw, jaccard_join, lang_id, line_runs, merkle, rule_ledger, substring_dedup, token_counts, url_filter, vector_packing, whitening
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -102,6 +102,12 @@ def op11_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_merkle_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", *merkle.FIELDS)
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return merkle.Manifest(docs, tampered).proofs().withColumnRenamed("proof", "proof_sha256")
+
+
 def op13_welford_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), components=8)
 
@@ -118,9 +124,67 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_tree": op9_bpe_tree,
     "op10_vector_packing": op10_vector_packing,
     "op11_line_runs": op11_line_runs,
+    "op12_merkle_range": op12_merkle_range,
     "op13_welford_whitening": op13_welford_whitening,
 }
 
+#: Levels of the SQL's trees: enough for 16^6 leaves.
+MERKLE_LEVELS = 6
+
+
+def _merkle_sql() -> str:
+    """Levels of the trees one after another: a run's digests left and right of each node by windows; then paths are joined upwards."""
+
+    def field(c: str) -> str:
+        return f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def levels(name: str) -> list[str]:
+        parts = []
+        for k in range(MERKLE_LEVELS):
+            run = "partition by tree, spot // 16 order by spot rows between"
+            parts.append(f"""{name}{k}p as (
+  select tree, spot, h, n, case when n > 1 then coalesce(string_agg(h, '') over ({run} unbounded preceding and 1 preceding), '') else '' end as l,
+    case when n > 1 then coalesce(string_agg(h, '') over ({run} 1 following and unbounded following), '') else '' end as r from {name}{k})""")
+            parts.append(f"""{name}{k + 1} as (
+  select tree, spot // 16 as spot, case when any_value(n) > 1 then sha256(string_agg(h, '' order by spot)) else any_value(h) end as h, (any_value(n) + 15) // 16 as n from {name}{k} group by tree, spot // 16)""")
+        return parts
+
+    def climb(name: str, start: str, spot: str, on: str) -> list[str]:
+        parts = []
+        for k in range(MERKLE_LEVELS):
+            parts.append(f"""{name}f{k + 1} as (
+  select f.* replace (f.proof || p.l || p.r as proof, case when p.n > 1 then sha256(p.l || f.fold || p.r) else f.fold end as fold, f.{spot} // 16 as {spot})
+  from {start if k == 0 else f"{name}f{k}"} f join {name}{k}p p on p.tree = f.{on} and p.spot = f.{spot})""")
+        return parts
+
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    # DuckDB has no crc32: its table is made by rule, and the digits of the id are taken in one by one.
+    crc = """bits(i, k, v) as (select i, 0, i from range(256) t(i) union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),
+crct as (select list(v order by i) as t from bits where k = 8),
+crc as (
+  select doc_id, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+    lambda a, c: xor(a >> 8, t[(xor(a, c) & 255) + 1])), 4294967295) as crc from documents, crct)"""
+    parts = [
+        crc,
+        f"""d as (
+  select doc_id, coalesce('1' || source, '0') as tree, {leaf("text")} as leaf,
+    case when crc % 5 = 0 then {leaf(f"translate(text, '{upper}', '{lower}')")} else {leaf("text")} end as claim from documents left join crc using (doc_id))""",
+        "a0 as (select tree, row_number() over (partition by tree order by doc_id) - 1 as spot, leaf as h, count(*) over (partition by tree) as n, doc_id, claim from d)",
+        *levels("a"),
+        f"b0 as (select '' as tree, row_number() over (order by tree) - 1 as spot, h, count(*) over () as n, tree as source from a{MERKLE_LEVELS})",
+        *levels("b"),
+        "s as (select doc_id, tree as source, '' as top, spot, h as leaf, claim as fold, '' as proof from a0)",
+        *climb("a", "s", "spot", "source"),
+        f"u as (select f.* replace (b0.spot as spot), b0.h as subroot from af{MERKLE_LEVELS} f join b0 using (source))",
+        *climb("b", "u", "spot", "top"),
+    ]
+    return f"""with recursive {", ".join(parts)}
+select doc_id, leaf, subroot, r.h as root, sha256(proof) as proof_sha256, fold as folded_root, fold = r.h as verified from bf{MERKLE_LEVELS}, b{MERKLE_LEVELS} r"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op4_url_filter": r"""
 with p as (
@@ -179,4 +243,5 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
 from g group by doc_id
 """,
+    "op12_merkle_range": _merkle_sql(),
 }
