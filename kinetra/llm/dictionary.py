@@ -1,7 +1,7 @@
 """Sums over the terms of documents against a table of terms, without a row for each occurrence.
 
-Term frequencies differ by orders of magnitude, so the table is split: its ``HEAD`` most frequent terms (a fixed
-bound) go to all tasks, which sum them in place; only occurrences of the remaining terms become rows (document, term,
+Term frequencies differ by orders of magnitude, so the table is split: its ``HEAD`` most frequent terms (bounded in
+number and bytes) go to all tasks, which sum them in place; only occurrences of the remaining terms become rows (document, term,
 frequency), which a plain join meets with the rest of the table. Both parts together cover every term.
 """
 
@@ -16,8 +16,8 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Terms that are broadcast at most: with terms of some ten bytes, tens of MB.
-HEAD = 1 << 19
+#: Terms that are broadcast at most, and their longest in bytes: 32 MB. Longer ones always meet the table in the join.
+HEAD, LONGEST = 1 << 19, 64
 #: Distinct terms a task counts before it hands its counts on.
 FLUSH = 1 << 19
 #: Documents whose rows are handed back at once.
@@ -55,16 +55,17 @@ def term_counts(docs: DataFrame, split: Splitter, term_type: str = "string", cla
 
 
 def frequent(table: DataFrame, head: int) -> DataFrame:
-    """The most frequent terms, ``head`` at most: all from a power of 2^(1/8) on, so that no task has to sort them."""
+    """The most frequent terms of up to ``LONGEST`` bytes, ``head`` at most: all from a power of 2^(1/8) on, so that no task has to sort them."""
+    table = table.where((F.col("n") > 0) & (F.octet_length("term") <= LONGEST))
     power = F.floor(8 * F.log2("n"))
-    sizes = table.where("n > 0").groupBy(power.alias("power")).count().orderBy(F.desc("power")).collect()
+    sizes = table.groupBy(power.alias("power")).count().orderBy(F.desc("power")).collect()
     least, total = None, 0
     for row in sizes:
         total += row["count"]
         if total > head:
             break
         least = row["power"]
-    return table.where((F.col("n") > 0) & (power >= least)) if least is not None else table.limit(0)
+    return table.where(power >= least) if least is not None else table.limit(0)
 
 
 def head_of(table: DataFrame, values: list[str], head: int) -> Broadcast:

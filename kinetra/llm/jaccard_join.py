@@ -144,7 +144,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "do
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), node (64-bit hash of the text).
 
     Two documents link if 100 * overlap >= percent * union of their n-gram sets. A null text or one without words has an
-    empty set and links with nothing; one with fewer words than ``size`` has its whole sequence as the one n-gram;
+    empty set and links with nothing, also not with its like: the own id is its component; one with fewer words than ``size`` has its whole sequence as the one n-gram;
     copies link; rows of one doc_id are judged by their texts; rows with a null doc_id link with nothing and have a
     null component; an empty table gives no rows; other columns are not read. Texts are equal if 64 bits of their hash are.
     """
@@ -162,4 +162,4 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "do
     joined = joined.join(joined.groupBy("root").agg(F.min("rep").alias("component")), "root").select("node", "component")
     # Written, so that both sides of the last join are dealt anew and a node with many copies can be split.
     out = written(sets.select("node", "n").join(joined, "node", "left"))
-    return named.join(out, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"), "node")
+    return named.join(out, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"), "node")

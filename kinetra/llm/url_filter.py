@@ -1,7 +1,7 @@
 """URL filter: a blocked Bloom filter of listed canonical URLs in front of an exact hash join.
 
-A list row is a canonical host and path prefix with an action. A page is looked up under each of its host's
-suffixes (whole labels) with each listed length of path prefix. The Bloom filter (blocks of four 64-bit words,
+A list row is a canonical host and path prefix with an action. A page is looked up under those of its host's
+suffixes (whole labels) that have as many labels as a listed host, with each listed length of path prefix. The Bloom filter (blocks of four 64-bit words,
 one bit in each word) lets through possible hits only; the join on the key itself removes false positives.
 DataFrame functions only.
 
@@ -80,7 +80,8 @@ def judge(pages: DataFrame, rules: DataFrame, blocked: DataFrame | None = None,
     keys = listed(rules)
     if blocked is not None:
         keys = keys.union(listed(blocked.select("host", "path", F.lit("block").alias("action")), False))
-    sizes = keys.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.length("path"))).alias("lengths")).first()
+    labels = F.size(F.split("host", r"\."))
+    sizes = keys.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.length("path"))).alias("lengths"), F.sort_array(F.collect_set(labels)).alias("labels")).first()
     carried = [c for c in pages.columns if c not in new]
     base = pages.select(
         F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_row"),
@@ -93,8 +94,8 @@ def judge(pages: DataFrame, rules: DataFrame, blocked: DataFrame | None = None,
     filt, n_blocks = bloom(keys, sizes["n"])
     if n_blocks <= BROADCAST_BLOCKS:
         filt = F.broadcast(filt)
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # Only suffixes of as many labels as a listed host has, so that a host of very many labels costs no more than its length.
+    suffixes = F.transform(F.filter(F.array(*[F.lit(x) for x in sizes["labels"]]), lambda k: k <= labels), lambda k: F.call_function("substring_index", F.col("host"), F.lit("."), -k))
     lengths = F.filter(F.array(*[F.lit(x) for x in sizes["lengths"]]), lambda k: k <= F.length("path"))
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(lengths, lambda k: F.concat(s, F.lit("\n"), F.substr(F.col("path"), F.lit(1), k)))))
     tries = base.where("host != ''").select("host", "path", F.explode(pairs).alias("key"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kinetra.llm import ann_mih, blocks, components, url_filter
@@ -42,6 +44,34 @@ def test_urls(spark):
     assert {x["verdict"] for x in url_filter.judge(pages, r.limit(0)).collect()} == {"allow"}
 
 
+def test_hosts_of_very_many_labels(spark):
+    """A host of a megabyte costs no more than its length, whether labels or one letter; it still meets the rule."""
+    hosts = ["a." * 500_000 + "com", "b" * 1_000_000 + ".com", "." * 300_000 + "net"]
+    pages = spark.createDataFrame([(k, f"http://{h}/en/") for k, h in enumerate(hosts)], "page_id long, url string")
+    rules = spark.createDataFrame([("com", "/", "block"), ("x.com", "/en/", "allow"), ("a.b.c.net", "/", "block")], "host string, path string, action string")
+    url_filter.judge(pages.limit(0), rules).count()
+    began = time.perf_counter()
+    got = {r["page_id"]: (len(r["host"]), r["rule"], r["verdict"]) for r in url_filter.judge(pages, rules).collect()}
+    assert got == {0: (1_000_003, "com/", "block"), 1: (1_000_004, "com/", "block"), 2: (300_003, None, "allow")}
+    assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("bound", [0, 1 << 18])
+def test_lists_beyond_the_broadcast(spark, monkeypatch, bound):
+    """The filter and the list are joined by shuffles where they are too large to be sent; blocks are many."""
+    monkeypatch.setattr(url_filter, "BROADCAST_BLOCKS", bound)
+    monkeypatch.setattr(url_filter, "BROADCAST_KEYS", bound)
+    rng = random.Random(6)
+    rules = [(f"h{k % 300}.{rng.choice(['com', 'net'])}", rng.choice(["/", "/en/", "/en/x"]), rng.choice(["allow", "block"])) for k in range(400)]
+    rules = list({r[:2]: r for r in rules}.values())
+    urls = [f"http://{rng.choice(['', 'www.', 'a.b.'])}h{rng.randrange(600)}.{rng.choice(['com', 'net', 'org'])}{rng.choice(['/', '/en/', '/en/xy', ''])}" for _ in range(500)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = url_filter.judge(pages, spark.createDataFrame(rules, "host string, path string, action string")).collect()
+    assert len(found) == 500
+    for row in found:
+        assert (row["host"], row["path"], row["rule"], row["verdict"]) == brute_verdict(row["url"], rules, [])
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = url_filter.listed(spark.range(500).select(F.concat(F.lit("h"), "id").alias("host"), F.lit("/").alias("path"), F.lit("block").alias("action")))
     filt, n = url_filter.bloom(keys, 500)

@@ -14,7 +14,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kinetra.llm import bpe_tree, ctw, jaccard_join, lang_id, rule_ledger, substring_dedup, token_counts, vector_packing
+import corpus_pipeline
+from kinetra.llm import bpe_tree, ctw, dictionary, jaccard_join, lang_id, rule_ledger, substring_dedup, token_counts, vector_packing
 from kinetra.llm.text import vocabulary
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -131,6 +132,28 @@ def test_jaccard_defined_cases(spark):
     assert jaccard_join.classes(df.limit(0)).count() == 0
 
 
+def test_documents_without_words_link_with_nothing(spark):
+    """Not with their like either: two of each kind, in the operator, in the query's terms and in the stage, which keeps all."""
+    rows = [(1, None), (2, None), (3, ""), (4, ""), (5, " \n"), (6, " \n"), (7, "a b c"), (8, "a b c"), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size, percent in ((4, 85), (5, 80)):
+        got = sorted(((r["doc_id"] or 0), r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(df, size, percent).collect())
+        assert got == [(0, 0, None), (0, 0, None), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 0, 6), (7, 1, 7), (8, 1, 7)]
+    docs = df.select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    assert sorted(r["doc_id"] or 0 for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 0, 1, 2, 3, 4, 5, 6, 7]
+
+
+def test_long_terms_are_not_broadcast(spark):
+    """Terms beyond the bound in bytes meet the table in the join, and the sums stay right."""
+    rng = random.Random(1)
+    rows = [(k, " ".join(["x" * 400_000 + str(k % 3), "word", *rng.choices(["a", "bb", "c" * 65], k=5)])) for k in range(12)] + [(99, "y" * 5_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(df, TOKENIZER).collect()} == {k: len(LIBRARY.encode(t, add_special_tokens=False).ids) for k, t in rows}
+    table = dictionary.term_counts(df.select("text", F.lit(0).alias("label")), lambda t: t.split())
+    known = dictionary.head_of(table, ["n"], 1 << 19).value[0]
+    assert set(known) == {"word", "a", "bb"}
+
+
 def test_counts_codes_and_packing(spark, docs):
     rows, df = docs
     ids = {i: LIBRARY.encode(t or "", add_special_tokens=False).ids for i, t, *_ in rows}
