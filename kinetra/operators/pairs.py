@@ -6,6 +6,8 @@ turns into a product of whole tables.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,20 +68,35 @@ def coexisting(obs: DataFrame, frames: int = 5, near: float = 0.6, ratio: float
     return stats.where((F.col("shared") >= frames) & (F.col("close") >= near) & (F.col("ratio") <= ratio) & (F.col("mean_iou") >= overlap)).select("seq_id", "a", "b", "shared", "close", "mean_iou")
 
 
-def ends(obs: DataFrame, tail: int = 5) -> DataFrame:
-    """Per track: number of observations, first and last frame and box, and its velocity over the last ``tail`` and the last two (0 for one)."""
+TAIL = 5
+
+
+def facts(obs: DataFrame) -> DataFrame:
+    """Per track: number of observations, first and last frame and box, and the centres of its last ``TAIL`` places, the latest last."""
     box, at = F.struct(*BOX), "frame_idx"
-    back = Window.partitionBy("seq_id", "track_id").orderBy(F.desc(at))
-    rows = obs.withColumn("back", F.row_number().over(back))
-    e = rows.groupBy("seq_id", "track_id").agg(
+    back = F.row_number().over(Window.partitionBy("seq_id", "track_id").orderBy(F.desc(at)))
+    place = F.struct(F.col(at).alias("f"), g.cx().alias("x"), g.cy().alias("y"))
+    e = obs.withColumn("back", back).groupBy("seq_id", "track_id").agg(
         F.count("*").alias("n"), F.min(at).alias("f0"), F.max(at).alias("f1"), F.min_by(box, at).alias("b0"), F.max_by(box, at).alias("b1"),
-        *[F.min_by(F.when(F.col("back") <= k, F.struct(F.col(at).alias("f"), g.cx().alias("x"), g.cy().alias("y"))), F.when(F.col("back") <= k, F.col(at))).alias(f"t{k}") for k in (tail, 2)],
-    )
-    speed = lambda k, c: F.coalesce(((F.col(f"b1.{c}1") + F.col(f"b1.{c}2")) / 2 - F.col(f"t{k}.{c}")) / F.nullif(F.col("f1") - F.col(f"t{k}.f"), F.lit(0)), F.lit(0.0))
-    return e.select(
-        "seq_id", "track_id", "n", "f0", "f1", *[F.col(f"{b}.{c}").alias(f"{b}_{c}") for b in ("b0", "b1") for c in BOX],
-        speed(tail, "x").alias("vx"), speed(tail, "y").alias("vy"), speed(2, "x").alias("ux"), speed(2, "y").alias("uy"),
+        F.array_sort(F.collect_list(F.when(F.col("back") <= TAIL, place))).alias("tail"),
     )
+    return e.select("seq_id", "track_id", "n", "f0", "f1", *[F.col(f"{b}.{c}").alias(f"{b}_{c}") for b in ("b0", "b1") for c in BOX], "tail")
+
+
+def with_speed(tracks: DataFrame, tail: int = TAIL) -> DataFrame:
+    """Facts with the velocity over the last ``tail`` places (vx, vy) and the last two (ux, uy); 0 for one place."""
+    last = F.element_at("tail", -1)
+
+    def speed(k: int, c: str) -> Column:
+        first = F.get("tail", F.greatest(F.size("tail") - k, F.lit(0)))
+        return F.coalesce((last[c] - first[c]) / F.nullif(last["f"] - first["f"], F.lit(0)), F.lit(0.0))
+
+    return tracks.select("*", speed(tail, "x").alias("vx"), speed(tail, "y").alias("vy"), speed(2, "x").alias("ux"), speed(2, "y").alias("uy"))
+
+
+def ends(obs: DataFrame) -> DataFrame:
+    """Facts of each track with its velocities."""
+    return with_speed(facts(obs)).drop("tail")
 
 
 def follow(tracks: DataFrame, least: int, most: int) -> DataFrame:
@@ -102,40 +119,78 @@ def _missed(vx: str, vy: str) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def stitch_candidates(obs: DataFrame, total_frames: int, most: int = 60, near: float = 0.5, ahead: float = 0.75, radius: float = 120.0, short: int = 20, ratio: float = 1.6, speed: float = 0.25) -> DataFrame:
-    """Broken tracks that may go on: b starts near a's last place or where a's velocity leads.
+@dataclass(frozen=True)
+class Stitching:
+    """When a broken track goes on as another: the other starts near its last place or where its velocity leads.
 
     Radii are shares of a's height (``near``, ``ahead``; all of it for a gap of at most ``short`` frames), but not under
     a share of ``radius`` pixels. Heights are alike, the speed over the gap is possible, and after a longer gap
     tracks that both move do not move against each other. Tracks that last to the end do not go on.
     """
-    ha, hb, gap = g.height("a_"), g.height("b_"), F.col("gap")
-    moves = (F.col("a_vx") != 0) | (F.col("a_vy") != 0)
-    last = F.when(ha > 0, F.greatest(near * ha, F.lit(0.5 * radius))).otherwise(F.lit(radius))
-    led = F.when(moves & (ha > 0), F.greatest(ahead * ha, F.lit(0.75 * radius))).otherwise(last)
-    soon = gap <= short
-    at_last = F.when(soon & (ha > 0), F.greatest(ha, F.lit(radius))).otherwise(last)
-    at_led = F.when(soon, at_last).otherwise(led)
-    alike = F.coalesce(F.greatest(ha, hb) / F.when((ha > 0) & (hb > 0), F.least(ha, hb)) <= ratio, F.lit(True))
-    pace = lambda s: F.sqrt(F.pow(F.col(f"{s}_vx"), F.lit(2)) + F.pow(F.col(f"{s}_vy"), F.lit(2)))
-    against = ~soon & moves & (F.col("b_n") >= 3) & (pace("a") > 1) & (pace("b") > 1) & (F.col("a_vx") * F.col("b_vx") + F.col("a_vy") * F.col("b_vy") < 0)
-    p = follow(ends(obs), 1, most).withColumns({"dist": g.distance("a_", "b_"), "missed": _missed("a_vx", "a_vy")})
-    fits = ((F.col("dist") <= at_last) | (F.col("missed") <= at_led)) & (F.least("dist", "missed") < F.greatest(last, led) + 1.0)
-    possible = F.col("dist") / gap <= F.greatest(speed * ha, F.lit(30.0))
-    return p.where((F.col("a_end") < total_frames - 1) & fits & alike & possible & ~against).select("seq_id", "a", "b", "gap", "dist", "missed")
 
-
-def dormant_candidates(obs: DataFrame, least: int = 90, most: int = 150, sigma: float = 2.0, overlap: float = 0.2) -> DataFrame:
-    """Tracks that may wake as another: more than ``least`` empty frames between, and the last box, moved on by the last velocity, near b's first and over it.
+    total_frames: int
+    most: int = 60
+    near: float = 0.5
+    ahead: float = 0.75
+    radius: float = 120.0
+    short: int = 20
+    ratio: float = 1.6
+    speed: float = 0.25
+
+    def links(self, tracks: DataFrame, loose: bool = False) -> DataFrame:
+        """(seq_id, a, b, gap, dist, missed) of tracks with velocities.
+
+        With ``loose`` also those that only other velocities rule out, as merging may change these: of a if it has fewer
+        places than a velocity takes, of b always.
+        """
+        ha, hb, gap = g.height("a_"), g.height("b_"), F.col("gap")
+        moves = (F.col("a_vx") != 0) | (F.col("a_vy") != 0)
+        last = F.when(ha > 0, F.greatest(self.near * ha, F.lit(0.5 * self.radius))).otherwise(F.lit(self.radius))
+        led = F.when(moves & (ha > 0), F.greatest(self.ahead * ha, F.lit(0.75 * self.radius))).otherwise(last)
+        soon = gap <= self.short
+        at_last = F.when(soon & (ha > 0), F.greatest(ha, F.lit(self.radius))).otherwise(last)
+        at_led = F.when(soon, at_last).otherwise(led)
+        alike = F.coalesce(F.greatest(ha, hb) / F.when((ha > 0) & (hb > 0), F.least(ha, hb)) <= self.ratio, F.lit(True))
+        pace = lambda s: F.sqrt(F.pow(F.col(f"{s}_vx"), F.lit(2)) + F.pow(F.col(f"{s}_vy"), F.lit(2)))
+        against = ~soon & moves & (F.col("b_n") >= 3) & (pace("a") > 1) & (pace("b") > 1) & (F.col("a_vx") * F.col("b_vx") + F.col("a_vy") * F.col("b_vy") < 0)
+        p = follow(tracks, 1, self.most).withColumns({"dist": g.distance("a_", "b_"), "missed": _missed("a_vx", "a_vy")})
+        fits = ((F.col("dist") <= at_last) | (F.col("missed") <= at_led)) & (F.least("dist", "missed") < F.greatest(last, led) + 1.0)
+        possible = F.try_divide("dist", gap) <= F.greatest(self.speed * ha, F.lit(30.0))
+        by_speed = (fits | (F.col("a_n") < TAIL)) if loose else fits & ~against
+        return p.where((F.col("a_end") < self.total_frames - 1) & alike & possible & by_speed).select("seq_id", "a", "b", "gap", "dist", "missed")
+
+
+@dataclass(frozen=True)
+class Waking:
+    """When a track wakes as another: more than ``least`` empty frames between, and the last box, moved on by the last velocity, near b's first and over it.
 
     Tracks with one observation have no velocity and do not wake; near is ``sigma`` diagonals of b's box.
     """
-    p = follow(ends(obs), least + 2, most + 1).where("a_n >= 2").withColumn("missed", _missed("a_ux", "a_uy"))
-    for c in BOX:
-        p = p.withColumn(f"p_{c}", F.col(f"a_{c}") + F.col("a_ux" if c[0] == "x" else "a_uy") * F.col("gap"))
-    diagonal = F.greatest(F.sqrt(F.pow(g.width("b_"), F.lit(2)) + F.pow(g.height("b_"), F.lit(2))), F.lit(1.0))
-    both = F.coalesce(g.iou("p_", "b_"), F.lit(0.0))
-    return p.where((F.col("missed") <= sigma * diagonal) & (both >= overlap)).select("seq_id", "a", "b", (F.col("gap") - 1).alias("gap"), F.col("missed").alias("dist"), both.alias("iou"))
+
+    least: int = 90
+    most: int = 150
+    sigma: float = 2.0
+    overlap: float = 0.2
+
+    def links(self, tracks: DataFrame, loose: bool = False) -> DataFrame:
+        """(seq_id, a, b, gap of empty frames, dist, iou); with ``loose`` also any in time of a track with one observation."""
+        p = follow(tracks, self.least + 2, self.most + 1).withColumn("missed", _missed("a_ux", "a_uy"))
+        for c in BOX:
+            p = p.withColumn(f"p_{c}", F.col(f"a_{c}") + F.col("a_ux" if c[0] == "x" else "a_uy") * F.col("gap"))
+        diagonal = F.greatest(F.sqrt(F.pow(g.width("b_"), F.lit(2)) + F.pow(g.height("b_"), F.lit(2))), F.lit(1.0))
+        both = F.coalesce(g.iou("p_", "b_"), F.lit(0.0))
+        fits = (F.col("a_n") >= 2) & (F.col("missed") <= self.sigma * diagonal) & (both >= self.overlap)
+        return p.where(fits | (F.col("a_n") < 2) if loose else fits).select("seq_id", "a", "b", (F.col("gap") - 1).alias("gap"), F.col("missed").alias("dist"), both.alias("iou"))
+
+
+def stitch_candidates(obs: DataFrame, total_frames: int, **rule: float) -> DataFrame:
+    """Broken tracks that may go on (see ``Stitching``)."""
+    return Stitching(total_frames, **rule).links(ends(obs))
+
+
+def dormant_candidates(obs: DataFrame, least: int = 90, most: int = 150, sigma: float = 2.0, overlap: float = 0.2) -> DataFrame:
+    """Tracks that may wake as another (see ``Waking``)."""
+    return Waking(least, most, sigma, overlap).links(ends(obs))
 
 
 def global_candidates(obs: DataFrame, most: int = 30, share: float = 0.35, size: tuple[float, float] = (1920.0, 1080.0)) -> DataFrame:

@@ -1,152 +1,91 @@
-"""Merging broken tracks one after another, where each merge changes what may merge next.
+"""Merging of broken tracks in rounds, where each merge changes what may merge next.
 
-A sequence's tracks reach a task as one row each: first and last box and at most five last places, however long they are.
+Which tracks go on as which is told by the joins of ``pairs``. Tracks that could ever meet, through others or with other
+velocities, form a cluster; clusters do not touch each other. In a round each cluster merges once: its first track that has
+a successor takes the best one, and the merged track's facts are made from both (a row for a track, with five last
+places). Rounds go on until no cluster has anything to merge; so there are as many as merges in the busiest cluster.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetra.operators.pairs import BOX
+from kinetra.operators import graph, pairs
 from kinetra.operators.tracks import fill_gaps
-
-TAIL = 5
-
-
-@dataclass
-class Track:
-    """What merging needs of a track; ``tail`` has its last places (frame, box), the latest last."""
-
-    name: int
-    n: int
-    start: int
-    first: np.ndarray
-    tail: list[tuple[int, np.ndarray]]
-    parts: list[int] = field(default_factory=list)
-
-    @property
-    def end(self) -> int:
-        return self.tail[-1][0]
-
-    @property
-    def last(self) -> np.ndarray:
-        return self.tail[-1][1]
-
-    def velocity(self, places: int = TAIL) -> np.ndarray:
-        (f0, a), (f1, b) = self.tail[-places:][0], self.tail[-1]
-        return (centre(b) - centre(a)) / (f1 - f0) if f1 > f0 else np.zeros(2)
-
-    def absorb(self, other: Track, fill: bool) -> None:
-        """Goes on with another track; with ``fill`` the frames between count as observed on a straight line."""
-        gap = other.start - self.end
-        between = [(self.end + k, self.last + (other.first - self.last) * k / gap) for k in range(max(1, gap - TAIL), gap)] if fill else []
-        self.n += other.n + (gap - 1 if fill else 0)
-        self.tail = [*self.tail, *between, *other.tail][-TAIL:]
-        self.parts += [other.name, *other.parts]
-
-
-def centre(box: np.ndarray) -> np.ndarray:
-    return (box[:2] + box[2:]) / 2
-
-
-def height(box: np.ndarray) -> float:
-    return float(box[3] - box[1])
-
-
-def stitch_choice(a: Track, tracks: list[Track], total: int, most: int = 60, near: float = 0.5, ahead: float = 0.75, radius: float = 120.0, short: int = 20, ratio: float = 1.6, speed: float = 0.25) -> Track | None:
-    """The track that goes on with ``a``: of those that fit (see ``pairs.stitch_candidates``) the nearest."""
-    if a.end >= total - 1:
-        return None
-    h, v, best = height(a.last), a.velocity(), None
-    last = max(near * h, radius / 2) if h > 0 else radius
-    led = max(ahead * h, 0.75 * radius) if v.any() and h > 0 else last
-    least = max(last, led) + 1.0
-    for b in tracks:
-        gap = b.start - a.end
-        if b is a or not 0 < gap <= most:
-            continue
-        other = height(b.first)
-        if h > 0 and other > 0 and max(h, other) / min(h, other) > ratio:
-            continue
-        soon = gap <= short
-        at_last = max(h, radius) if soon and h > 0 else last
-        far, missed = (float(np.hypot(*(centre(b.first) - p))) for p in (centre(a.last), centre(a.last) + v * gap))
-        if (far > at_last and missed > (at_last if soon else led)) or far / gap > max(h * speed, 30.0):
-            continue
-        w = b.velocity()
-        if not soon and v.any() and b.n >= 3 and np.hypot(*v) > 1 and np.hypot(*w) > 1 and v @ w < 0:
-            continue
-        if min(far, missed) < least:
-            least, best = min(far, missed), b
-    return best
-
-
-def dormant_choice(a: Track, tracks: list[Track], total: int, least: int = 90, most: int = 150, sigma: float = 2.0, overlap: float = 0.2) -> Track | None:
-    """The earliest track that ``a`` wakes as (see ``pairs.dormant_candidates``)."""
-    if len(a.tail) < 2:
-        return None
-    v = a.velocity(2)
-    for b in tracks:
-        gap = b.start - a.end - 1
-        if b is a or not least < gap <= most:
-            continue
-        there = a.last + np.tile(v * (gap + 1), 2)
-        size = b.first[2:] - b.first[:2]
-        both = np.prod(np.clip(np.minimum(there[2:], b.first[2:]) - np.maximum(there[:2], b.first[:2]), 0, None))
-        union = np.prod(np.clip(there[2:] - there[:2], 0, None)) + np.prod(np.clip(size, 0, None)) - both
-        if np.hypot(*(centre(there) - centre(b.first))) <= sigma * max(1.0, float(np.hypot(*size))) and both / (union + 1e-9) >= overlap:
-            return b
-    return None
-
-
-def merge_all(tracks: list[Track], choice: Callable[..., Track | None], total: int, fill: bool) -> list[Track]:
-    """Merges the first track that has a successor with it, and begins anew, until none has."""
-    at = 0
-    while at < len(tracks):
-        found = choice(tracks[at], tracks, total)
-        if found is None:
-            at += 1
-            continue
-        tracks[at].absorb(found, fill)
-        tracks.remove(found)
-        at = 0
-    return tracks
-
-
-def _links(obs: DataFrame, choice: Callable[..., Track | None], total_frames: int, fill: bool, by_start: bool) -> DataFrame:
-    """(seq_id, track_id, merged_id): which track each ends up in."""
-    back = Window.partitionBy("seq_id", "track_id").orderBy(F.desc("frame_idx"))
-    box = F.array(*BOX)
-    last = F.when(F.col("rn") <= TAIL, F.struct("frame_idx", box.alias("box")))
-    rows = obs.withColumn("rn", F.row_number().over(back)).groupBy("seq_id", "track_id").agg(
-        F.count("*").alias("n"), F.min("frame_idx").alias("start"), F.min_by(box, "frame_idx").alias("first"), F.sort_array(F.collect_list(last)).alias("tail")
-    )
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["start", "track_id"] if by_start else ["track_id"])
-        tracks = [Track(int(r.track_id), int(r.n), int(r.start), np.array(r.first, float), [(int(p["frame_idx"]), np.array(p["box"], float)) for p in r.tail]) for r in group.itertuples()]
-        merged = merge_all(tracks, choice, total_frames, fill)
-        out = [(int(group["seq_id"].iloc[0]), part, t.name) for t in merged for part in (t.name, *t.parts)]
-        return pd.DataFrame(out, columns=["seq_id", "track_id", "merged_id"])
-
-    return rows.groupBy("seq_id").applyInPandas(run, "seq_id long, track_id long, merged_id long")
-
-
-def stitched_ids(obs: DataFrame, total_frames: int) -> DataFrame:
-    return _links(obs, stitch_choice, total_frames, True, False)
-
-
-def dormant_ids(obs: DataFrame, total_frames: int) -> DataFrame:
-    return _links(obs, dormant_choice, total_frames, False, True)
+from kinetra.sources.shared import stored
+
+TRACK = ["seq_id", "track_id"]
+
+
+def _between(end: Column, start: Column) -> Column:
+    """Places on the line from ``end`` to ``start``, the last ones that a tail can hold."""
+    gap = start["f"] - end["f"]
+    frames = F.sequence(F.greatest(start["f"] - pairs.TAIL, end["f"] + 1), start["f"] - 1)
+    at = lambda f, c: end[c] + (start[c] - end[c]) * ((f - end["f"]) / gap)
+    line = F.transform(frames, lambda f: F.struct(f.alias("f"), at(f, "x").alias("x"), at(f, "y").alias("y")))
+    return F.when(gap > 1, line).otherwise(F.array().cast("array<struct<f:bigint,x:double,y:double>>"))
+
+
+def _joined(tracks: DataFrame, merges: DataFrame, fill: bool) -> DataFrame:
+    """``tracks`` after ``merges`` (seq_id, a, b): b goes, and a goes on with it; with ``fill`` the frames between count as observed."""
+    b = tracks.select("seq_id", F.col("track_id").alias("b"), F.struct(*[c for c in tracks.columns if c not in TRACK]).alias("then"))
+    grown = merges.join(b, ["seq_id", "b"]).select("seq_id", F.col("a").alias("track_id"), "then")
+    left = tracks.join(merges.select("seq_id", F.col("b").alias("track_id")), TRACK, "left_anti").join(grown, TRACK, "left")
+    then, merged = F.col("then"), F.col("then").isNotNull()
+    first = F.struct(F.col("then.f0").alias("f"), ((then["b0_x1"] + then["b0_x2"]) / 2).alias("x"), ((then["b0_y1"] + then["b0_y2"]) / 2).alias("y"))
+    filled = [_between(F.element_at("tail", -1), first)] if fill else []
+    tail = F.slice(F.concat("tail", *filled, then["tail"]), F.greatest(F.size("tail") + F.size(then["tail"]) + (F.size(filled[0]) if fill else 0) - pairs.TAIL, F.lit(0)) + 1, pairs.TAIL)
+    n = F.col("n") + then["n"] + (then["f0"] - F.col("f1") - 1 if fill else 0)
+    new = {"n": n, "f1": then["f1"], "tail": tail} | {c: then[c] for c in tracks.columns if c.startswith("b1_")}
+    return left.select(*[F.when(merged, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in tracks.columns])
+
+
+def merged_ids(obs: DataFrame, rule: pairs.Stitching | pairs.Waking, order: list[str], best: list[str], fill: bool) -> DataFrame:
+    """(seq_id, track_id, merged_id): which track each ends up in.
+
+    ``order`` are facts that say which track of a cluster is first, ``best`` columns of a link or facts of b (``b_f0``) that
+    say which successor it takes; ties go to the smaller id.
+    """
+    tracks = pairs.facts(obs)
+    clusters = graph.groups(rule.links(pairs.with_speed(tracks), loose=True).select("seq_id", "a", "b"))
+    tracks = stored(tracks.join(clusters.select("seq_id", F.col("node").alias("track_id"), F.col("root").alias("cluster")), TRACK))
+    merges = []
+    while True:
+        start = tracks.select("seq_id", "cluster", F.col("track_id").alias("a"), F.struct(*order, "track_id").alias("rank"))
+        f0 = tracks.select("seq_id", F.col("track_id").alias("b"), F.col("f0").alias("b_f0"))
+        links = rule.links(pairs.with_speed(tracks)).join(start, ["seq_id", "a"])
+        links = links.join(f0, ["seq_id", "b"]) if "b_f0" in best else links
+        if "near" in best:
+            links = links.withColumn("near", F.least("dist", "missed"))
+        found = stored(links.groupBy("seq_id", "cluster").agg(F.min_by(F.struct("a", "b"), F.struct("rank", *best, "b")).alias("m")).select("seq_id", "m.a", "m.b"))
+        if found.isEmpty():
+            break
+        merges.append(found)
+        tracks = stored(_joined(tracks, found, fill))
+    ids = obs.select(*TRACK).distinct()
+    if not merges:
+        return ids.withColumn("merged_id", F.col("track_id"))
+    all_merges = merges[0]
+    for found in merges[1:]:
+        all_merges = all_merges.unionByName(found)
+    roots = graph.groups(all_merges).select("seq_id", F.col("node").alias("track_id"), "root")
+    owners = roots.join(all_merges.select("seq_id", F.col("b").alias("track_id")), TRACK, "left_anti").select("seq_id", "root", F.col("track_id").alias("owner"))
+    named = roots.join(owners, ["seq_id", "root"]).select(*TRACK, "owner")
+    return ids.join(named, TRACK, "left").select(*TRACK, F.coalesce("owner", "track_id").alias("merged_id"))
+
+
+def stitched_ids(obs: DataFrame, total_frames: int, **rule: float) -> DataFrame:
+    """Tracks in order of their ids take the successor that is nearest to where they were or were led; gaps count as observed."""
+    return merged_ids(obs, pairs.Stitching(total_frames, **rule), [], ["near"], True)
+
+
+def dormant_ids(obs: DataFrame, **rule: float) -> DataFrame:
+    """Tracks in order of their starts take the earliest track that they wake as."""
+    return merged_ids(obs, pairs.Waking(**rule), ["f0"], ["b_f0"], False)
 
 
 def renamed(obs: DataFrame, ids: DataFrame, longest: int = 0) -> DataFrame:
     """Observations under their merged ids; gaps of up to ``longest`` frames are filled on a straight line."""
-    out = obs.join(ids, ["seq_id", "track_id"]).withColumn("track_id", F.col("merged_id")).drop("merged_id")
+    out = obs.join(ids, TRACK).withColumn("track_id", F.col("merged_id")).drop("merged_id")
     return out.unionByName(fill_gaps(out, longest)) if longest else out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetra.operators import graph, pairs, prune, relink, tracks
@@ -30,7 +30,7 @@ pr0 as (
 pr as (
   select *, inter / nullif(aa + ba - inter, 0) as iou, sqrt(power(acx - bcx, 2) + power(acy - bcy, 2)) as dist from pr0)
 """
-_ENDS = """
+_ENDS_ONLY = """
 tl as (select *, row_number() over (partition by seq_id, track_id order by frame_idx desc) as back from (select *, (x1 + x2) / 2 as cx, (y1 + y2) / 2 as cy from obs)),
 e0 as (
   select seq_id, track_id, count(*) as n, min(frame_idx) as f0, max(frame_idx) as f1, min_by({x1: x1, y1: y1, x2: x2, y2: y2}, frame_idx) as b0, max_by({x1: x1, y1: y1, x2: x2, y2: y2}, frame_idx) as b1,
@@ -38,15 +38,18 @@ e0 as (
     min_by(cx, frame_idx) filter (back <= 5) as x5, min_by(cy, frame_idx) filter (back <= 5) as y5, min_by(cx, frame_idx) filter (back <= 2) as x2, min_by(cy, frame_idx) filter (back <= 2) as y2 from tl group by all),
 e as (
   select seq_id, track_id, n, f0, f1, b0, b1, coalesce((cx1 - x5) / nullif(f1 - f5, 0), 0) as vx, coalesce((cy1 - y5) / nullif(f1 - f5, 0), 0) as vy,
-    coalesce((cx1 - x2) / nullif(f1 - f2, 0), 0) as ux, coalesce((cy1 - y2) / nullif(f1 - f2, 0), 0) as uy from e0),
+    coalesce((cx1 - x2) / nullif(f1 - f2, 0), 0) as ux, coalesce((cy1 - y2) / nullif(f1 - f2, 0), 0) as uy from e0)
+"""
+_FOLLOW = """
 fl0 as (
-  select a.seq_id, a.track_id as a, b.track_id as b, b.f0 - a.f1 as gap, a.f1 as a_end, a.n as an, b.n as bn, a.vx as avx, a.vy as avy, b.vx as bvx, b.vy as bvy, a.ux, a.uy, a.b1 as p, b.b0 as q,
+  select a.seq_id, a.track_id as a, b.track_id as b, b.f0 - a.f1 as gap, a.f1 as a_end, a.f0 as a_start, b.f0 as b_start, a.n as an, b.n as bn, a.vx as avx, a.vy as avy, b.vx as bvx, b.vy as bvy, a.ux, a.uy, a.b1 as p, b.b0 as q,
     a.b1.y2 - a.b1.y1 as ah, b.b0.y2 - b.b0.y1 as bh, (a.b1.x1 + a.b1.x2) / 2 as ax, (a.b1.y1 + a.b1.y2) / 2 as ay, (b.b0.x1 + b.b0.x2) / 2 as bx, (b.b0.y1 + b.b0.y2) / 2 as by_
   from e a join e b on a.seq_id = b.seq_id and a.track_id <> b.track_id and b.f0 > a.f1),
 fl as (
   select *, sqrt(power(ax - bx, 2) + power(ay - by_, 2)) as dist, sqrt(power(bx - (ax + avx * gap), 2) + power(by_ - (ay + avy * gap), 2)) as missed,
     sqrt(power(bx - (ax + ux * gap), 2) + power(by_ - (ay + uy * gap), 2)) as missed2 from fl0)
 """
+_ENDS = _ENDS_ONLY.rstrip() + "," + _FOLLOW
 _MED = """
 m as (
   select seq_id, track_id, median(cx) as mx, median(cy) as my, median(h) as mh, median(w) as mw, count(*) as n, median(y2) as feet,
@@ -59,14 +62,17 @@ def _cut(df: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def _broken(spark: SparkSession, sf: str) -> DataFrame:
-    """Each track cut in two after every 20 frames, so that there is something to relink."""
-    part = F.floor(F.col("frame_idx") / 20)
-    return obs(spark, sf).where(F.col("frame_idx") % 20 < 14).withColumn("track_id", F.col("track_id") * 10 + part)
+    """Each track under a new id after a gap of more than three frames, so that there is something to relink; all rows stay."""
+    own = Window.partitionBy("track_id").orderBy("frame_idx")
+    again = (F.col("frame_idx") - F.lag("frame_idx").over(own) > 3).cast("long")
+    return obs(spark, sf).withColumn("_again", F.coalesce(again, F.lit(0))).withColumn("track_id", F.col("track_id") * 100 + F.sum("_again").over(own)).drop("_again")
 
 
 _BROKEN = OBS_SQL.replace("\nobs as (", "\nobs_whole as (") + """,
-obs as (select * replace (track_id * 10 + frame_idx // 20 as track_id) from obs_whole where frame_idx % 20 < 14)
+obs_gaps as (select *, coalesce(cast(frame_idx - lag(frame_idx) over (partition by track_id order by frame_idx) > 3 as int), 0) as again from obs_whole),
+obs as (select * exclude (again) replace (cast(track_id * 100 + sum(again) over (partition by track_id order by frame_idx) as bigint) as track_id) from obs_gaps)
 """
+_RULE = {"near": 0.05, "ahead": 0.1, "radius": 12.0, "short": 7, "ratio": 1.05, "speed": 0.02}
 
 
 def sequence_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,22 +102,14 @@ def prune_chain(spark: SparkSession, sf: str) -> DataFrame:
     return prune.pruned(prune.facts(obs(spark, sf), FRAME), {k: rules[k] for k in ("duration", "stage", "spatial", "audience")})
 
 
-def _id_votes(spark: SparkSession, sf: str) -> DataFrame:
-    o = obs(spark, sf)
-    back = o.where("frame_idx >= 10").withColumn("track_id", F.col("track_id") + 100000)
-    return pairs.id_votes(o, back)
+def _back(spark: SparkSession, sf: str) -> DataFrame:
+    """A backward pass over all frames with other ids; every fourth track is elsewhere, so that nothing forward overlaps it."""
+    aside = F.when(F.col("track_id") % 4 == 0, 2000.0).otherwise(0.0)
+    return obs(spark, sf).withColumns({"x1": F.col("x1") + aside, "x2": F.col("x2") + aside, "track_id": F.col("track_id") + 100000})
 
 
 def _stitches(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs.stitch_candidates(_broken(spark, sf), FRAMES, near=0.05, ahead=0.1, radius=12.0, short=7, ratio=1.05, speed=0.02)
-
-
-def _merged_passes(spark: SparkSession, sf: str) -> DataFrame:
-    """A backward pass that has other ids, other frames and some tracks of its own."""
-    o = obs(spark, sf)
-    forward = o.where("frame_idx < 40 and track_id % 4 != 0")
-    back = o.where("frame_idx >= 10").withColumn("track_id", F.col("track_id") + 100000)
-    return rounded(pairs.merged_passes(forward, back))
+    return pairs.stitch_candidates(_broken(spark, sf), FRAMES, **_RULE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -145,11 +143,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dormant_candidates": lambda s, d: rounded(pairs.dormant_candidates(_broken(s, d), 5, 40)),
     "global_candidates": lambda s, d: rounded(pairs.global_candidates(_broken(s, d), 30, 0.01)),
     "best_link": lambda s, d: rounded(pairs.best_link(pairs.global_candidates(_broken(s, d), 30, 0.01))),
-    "stitched_tracks": lambda s, d: rounded(relink.renamed(_broken(s, d), relink.stitched_ids(_broken(s, d), FRAMES), 60)),
-    "dormant_tracks": lambda s, d: rounded(relink.renamed(_broken(s, d), relink.dormant_ids(_broken(s, d), FRAMES))),
-    "merged_passes": _merged_passes,
+    "stitched_tracks": lambda s, d: rounded(relink.renamed(_broken(s, d), relink.stitched_ids(_broken(s, d), FRAMES, **_RULE), 60)),
+    "dormant_tracks": lambda s, d: rounded(relink.renamed(_broken(s, d), relink.dormant_ids(_broken(s, d), least=3, most=40))),
+    "merged_passes": lambda s, d: rounded(pairs.merged_passes(obs(s, d), _back(s, d))),
     "complementary_tracks": lambda s, d: rounded(pairs.complementary(_broken(s, d), 15.0)),
-    "id_votes": _id_votes,
+    "id_votes": lambda s, d: pairs.id_votes(obs(s, d), _back(s, d)),
     "merge_keep_first": lambda s, d: rounded(pairs.merge_keep_first(_cut(obs(s, d), 0, 30), _cut(obs(s, d), 20, 59).withColumn("conf", F.lit(0.5)))),
     "prune_stage": _hits(prune.outside_polygon(STAGE)),
     "prune_spatial": _hits(prune.spatial_outliers(FRAME, 1.5)),
@@ -265,6 +263,43 @@ s3 as (
     and not (not soon and moves and bn >= 3 and sqrt(avx * avx + avy * avy) > 1 and sqrt(bvx * bvx + bvy * bvy) > 1 and avx * bvx + avy * bvy < 0))
 """
 
+
+
+def _merged_sql(links: str, order: str, fill: bool) -> str:
+    """One merge for each sequence in a step: the first link by ``order`` of the tracks as they are; the last step has who ended up where.
+
+    A step carries all tracks of the sequences that still merge.
+    """
+    line = "list_transform(range(greatest(q.f0 - 5, p.f1 + 1), q.f0), lambda f: {f: f, x: p.z.x + (q.tail0.x - p.z.x) * ((f - p.f1)::double / (q.f0 - p.f1)), y: p.z.y + (q.tail0.y - p.z.y) * ((f - p.f1)::double / (q.f0 - p.f1))})"
+    tail = f"list_concat(list_concat(p.tail, {line}), q.tail)" if fill else "list_concat(p.tail, q.tail)"
+    return "with recursive " + _BROKEN.strip() + f""",
+tt as (
+  select *, {{f: frame_idx, x: (x1 + x2) / 2, y: (y1 + y2) / 2}} as place, {{x1: x1, y1: y1, x2: x2, y2: y2}} as box, row_number() over (partition by seq_id, track_id order by frame_idx desc) as back from obs),
+st(step, seq_id, id, n, f0, f1, b0, b1, tail, parts) as (
+  select 0, seq_id, track_id, count(*), min(frame_idx), max(frame_idx), min_by(box, frame_idx), max_by(box, frame_idx), list(place order by frame_idx) filter (back <= 5), [track_id] from tt group by seq_id, track_id
+  union all
+  select * from (
+    with sp as (
+      select *, tail[-1] as z, tail[1] as y5, tail[greatest(len(tail) - 1, 1)] as y2, {{x: (b0.x1 + b0.x2) / 2, y: (b0.y1 + b0.y2) / 2}} as tail0 from st),
+    e as (
+      select *, id as track_id, coalesce((z.x - y5.x) / nullif(z.f - y5.f, 0), 0) as vx, coalesce((z.y - y5.y) / nullif(z.f - y5.f, 0), 0) as vy,
+        coalesce((z.x - y2.x) / nullif(z.f - y2.f, 0), 0) as ux, coalesce((z.y - y2.y) / nullif(z.f - y2.f, 0), 0) as uy from sp),
+    {_FOLLOW.strip()},
+    {links},
+    pick as (select seq_id, a, b from lk qualify row_number() over (partition by seq_id order by {order}) = 1)
+    select p.step + 1, p.seq_id, p.id, case when q.id is null then p.n else p.n + q.n + {"q.f0 - p.f1 - 1" if fill else "0"} end, p.f0, coalesce(q.f1, p.f1), p.b0, coalesce(q.b1, p.b1),
+      case when q.id is null then p.tail else list_slice({tail}, -5, -1) end, case when q.id is null then p.parts else list_concat(p.parts, q.parts) end
+    from e p join pick on pick.seq_id = p.seq_id and pick.b <> p.id left join e q on pick.a = p.id and q.seq_id = p.seq_id and q.id = pick.b)),
+ids as (
+  select seq_id, id as merged_id, unnest(parts) as track_id from (select * from st qualify step = max(step) over (partition by seq_id))),
+rn as (select o.* replace (merged_id as track_id) from obs o join ids using (seq_id, track_id))"""
+
+
+_WAKES = """d as (
+      select *, missed2 as far, greatest(0.0, least(p.x2 + ux * gap, q.x2) - greatest(p.x1 + ux * gap, q.x1)) * greatest(0.0, least(p.y2 + uy * gap, q.y2) - greatest(p.y1 + uy * gap, q.y1)) as shared_area,
+        (p.x2 - p.x1) * (p.y2 - p.y1) + (q.x2 - q.x1) * (q.y2 - q.y1) as areas, greatest(sqrt(power(q.x2 - q.x1, 2) + power(q.y2 - q.y1, 2)), 1.0) as diagonal from fl where gap between 5 and 41 and an >= 2),
+    lk as (select * from d where far <= 2 * diagonal and shared_area / (areas - shared_area) >= 0.2)"""
+
 ORACLE_SQL: dict[str, str] = {
     "sequence_scores": _with(OBS_SQL, _G, _SURVIVAL.format(total=60)) + f" select seq_id, track_id, n_frames, first_frame, span, {_r('movement_std')}, lasts, {_r('median_h')}, survives from sv",
     "observations": _with(OBS_SQL) + f" select seq_id, track_id, frame_idx, {_r('x1', 'y1', 'x2', 'y2', 'conf')} from obs",
@@ -324,6 +359,16 @@ t as (select seq_id, a, b, count(*) as shared, avg(case when close then 1.0 else
 select seq_id, a, b, shared, {_r('close', 'mean_iou')} from t where shared >= 5 and t.close >= 0.6 and ratio <= 1.6 and t.mean_iou >= 0.25""",
     "track_ends": _with(_BROKEN, _ENDS) + f", r as (select seq_id, track_id, n, f0, f1, {', '.join(f'{b}.{c} as {b}_{c}' for b in ('b0', 'b1') for c in ('x1', 'y1', 'x2', 'y2'))}, vx, vy, ux, uy from e) select seq_id, track_id, n, f0, f1, {_r(*[f'{b}_{c}' for b in ('b0', 'b1') for c in ('x1', 'y1', 'x2', 'y2')], 'vx', 'vy', 'ux', 'uy')} from r",
     "stitch_candidates": _with(_BROKEN, _ENDS, _STITCH) + f" select seq_id, a, b, gap, {_r('dist', 'missed')} from s3",
+    "stitched_tracks": _merged_sql(_STITCH.strip() + ", lk as (select * from s3)", "a, least(dist, missed), b", True) + f""",
+nx as (select *, lead(frame_idx) over w as nf, lead(x1) over w as nx1, lead(y1) over w as ny1, lead(x2) over w as nx2, lead(y2) over w as ny2 from rn window w as (partition by seq_id, track_id order by frame_idx)),
+fi as (
+  select seq_id, track_id, unnest(range(frame_idx + 1, nf)) as at_frame, * exclude (seq_id, track_id) from nx where nf - frame_idx between 2 and 60),
+al as (
+  select seq_id, track_id, frame_idx, x1, y1, x2, y2, conf from rn union all
+  select seq_id, track_id, at_frame, x1 + (at_frame - frame_idx)::double / (nf - frame_idx) * (nx1 - x1), y1 + (at_frame - frame_idx)::double / (nf - frame_idx) * (ny1 - y1),
+    x2 + (at_frame - frame_idx)::double / (nf - frame_idx) * (nx2 - x2), y2 + (at_frame - frame_idx)::double / (nf - frame_idx) * (ny2 - y2), 0.5 from fi)
+select seq_id, track_id, frame_idx, {_r('x1', 'y1', 'x2', 'y2', 'conf')} from al""",
+    "dormant_tracks": _merged_sql(_WAKES, "a_start, a, b_start, b", False) + f" select seq_id, track_id, frame_idx, {_r('x1', 'y1', 'x2', 'y2', 'conf')} from rn",
     "dormant_candidates": _with(_BROKEN, _ENDS) + f""", d as (
   select seq_id, a, b, gap - 1 as gap, missed2 as dist, greatest(0.0, least(p.x2 + ux * gap, q.x2) - greatest(p.x1 + ux * gap, q.x1)) * greatest(0.0, least(p.y2 + uy * gap, q.y2) - greatest(p.y1 + uy * gap, q.y1)) as shared_area,
     (p.x2 - p.x1) * (p.y2 - p.y1) + (q.x2 - q.x1) * (q.y2 - q.y1) as areas, greatest(sqrt(power(q.x2 - q.x1, 2) + power(q.y2 - q.y1, 2)), 1.0) as diagonal from fl where gap between 7 and 41 and an >= 2),
@@ -331,7 +376,7 @@ d2 as (select *, shared_area / (areas - shared_area) as iou from d) select seq_i
     "global_candidates": _with(_BROKEN, _ENDS) + f" select seq_id, a, b, gap - 1 as gap, {_r('dist')} from fl where fl.gap between 1 and 31 and fl.dist <= 0.01::double * sqrt(1920.0 * 1920 + 1080 * 1080)",
     "best_link": _with(_BROKEN, _ENDS) + f""" select seq_id, a, b, gap - 1 as gap, {_r('dist')} from fl where fl.gap between 1 and 31 and fl.dist <= 0.01::double * sqrt(1920.0 * 1920 + 1080 * 1080)
 qualify row_number() over (partition by seq_id, a order by fl.gap, b) = 1""",
-    "merged_passes": _with(OBS_SQL, _G) + f""", fw as (select * from g where frame_idx < 40 and track_id % 4 <> 0), bk as (select * replace (track_id + 100000 as track_id) from g where frame_idx >= 10),
+    "merged_passes": _with(OBS_SQL, _G) + f""", fw as (select * from g), bk as (select * replace (track_id + 100000 as track_id, x1 + case when track_id % 4 = 0 then 2000.0 else 0.0 end as x1, x2 + case when track_id % 4 = 0 then 2000.0 else 0.0 end as x2) from g),
 v as (select p.seq_id, q.track_id as bid, p.track_id as fid, count(*) as votes from fw p join bk q on p.seq_id = q.seq_id and p.frame_idx = q.frame_idx
   and greatest(0.0, least(p.x2, q.x2) - greatest(p.x1, q.x1)) * greatest(0.0, least(p.y2, q.y2) - greatest(p.y1, q.y1)) >= 0.45 * (p.w * p.h + q.w * q.h - greatest(0.0, least(p.x2, q.x2) - greatest(p.x1, q.x1)) * greatest(0.0, least(p.y2, q.y2) - greatest(p.y1, q.y1))) group by all having count(*) >= 4),
 b1 as (select * from v qualify row_number() over (partition by seq_id, bid order by votes desc, fid) = 1),
@@ -343,7 +388,7 @@ select seq_id, track_id, frame_idx, {_r('x1', 'y1', 'x2', 'y2', 'conf')} from al
     "complementary_tracks": _with(_BROKEN, _G, _MED) + f""", c as (select x.seq_id, x.track_id as a, y.track_id as b, sqrt(power(x.mx - y.mx, 2) + power(x.my - y.my, 2)) as dist from m x join m y on x.seq_id = y.seq_id and x.track_id < y.track_id),
 s as (select distinct p.seq_id, p.track_id as a, q.track_id as b from obs p join obs q on p.seq_id = q.seq_id and p.frame_idx = q.frame_idx and p.track_id < q.track_id)
 select seq_id, a, b, {_r('dist')} from c anti join s using (seq_id, a, b) where dist <= 15""",
-    "id_votes": _with(OBS_SQL, _G) + """, v as (select p.seq_id, q.track_id + 100000 as backward_id, p.track_id as forward_id, count(*) as votes from g p join g q on p.seq_id = q.seq_id and p.frame_idx = q.frame_idx and q.frame_idx >= 10
+    "id_votes": _with(OBS_SQL, _G) + """, v as (select p.seq_id, q.track_id + 100000 as backward_id, p.track_id as forward_id, count(*) as votes from g p join g q on p.seq_id = q.seq_id and p.frame_idx = q.frame_idx and q.track_id % 4 <> 0
   and greatest(0.0, least(p.x2, q.x2) - greatest(p.x1, q.x1)) * greatest(0.0, least(p.y2, q.y2) - greatest(p.y1, q.y1)) >= 0.45 * (p.w * p.h + q.w * q.h - greatest(0.0, least(p.x2, q.x2) - greatest(p.x1, q.x1)) * greatest(0.0, least(p.y2, q.y2) - greatest(p.y1, q.y1))) group by all)
 select * from v where votes >= 4 qualify row_number() over (partition by seq_id, backward_id order by votes desc, forward_id) = 1""",
     "merge_keep_first": _with(OBS_SQL) + f" select seq_id, track_id, frame_idx, {_r('x1', 'y1', 'x2', 'y2')}, floor((case when frame_idx <= 30 then conf else 0.5 end)::double * 1e5 + 0.5) / 1e5 as conf from obs",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,11 @@ def written(df: DataFrame) -> DataFrame:
     """The same rows, computed now and read from the shared folder from here on."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the shared folder; unlike a checkpoint it forgets what the plan knew, so that plans of many rounds don't grow."""
+    shared_folder(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

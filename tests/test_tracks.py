@@ -116,7 +116,7 @@ def test_dormant_relink(spark):
     # 0.1 pixels a frame for 92 frames: the box is met where the velocity leads, not where it was last seen.
     moving = spark.createDataFrame([box(1, 9, x=0.0), box(1, 10, x=1.0), box(2, 102, x=93.0), box(3, 102, x=1.0)], SCHEMA)
     assert rows(pairs.dormant_candidates(moving), "a", "b") == [(1, 2)]
-    assert rows(relink.dormant_ids(moving, 200), "track_id", "merged_id") == [(1, 1), (2, 1), (3, 3)]
+    assert rows(relink.dormant_ids(moving), "track_id", "merged_id") == [(1, 1), (2, 1), (3, 3)]
 
 
 def test_stitching_follows_the_velocity_and_goes_on(spark):
