@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetra.functions import geometry as g
+from kinetra.operators import choice
+from kinetra.sources.shared import stored
 
 #: Joints (end, vertex, end) of each angle; an end of two joints is the middle between them.
 HIPS = (11, 12)
@@ -115,3 +119,72 @@ def low_sync(angles: DataFrame, truth: DataFrame, least: int = 15) -> DataFrame:
     both = angles.join(truth.select("seq_id", "frame_idx", "joint", "truth"), ["seq_id", "frame_idx", "joint"]).where("angle is not null")
     per = both.groupBy(*TRACK, "joint").agg(F.count("*").alias("n"), F.corr("angle", "truth").alias("r"), F.stddev_pop("angle").alias("sd"), F.stddev_pop("truth").alias("sd_truth"))
     return per.where((F.col("n") >= least) & (F.col("sd") >= 1e-6) & (F.col("sd_truth") >= 1e-6)).groupBy(*TRACK).agg(F.max(F.abs("r")).alias("best_r"))
+
+
+@dataclass(frozen=True)
+class Duplicates:
+    """When two poses of a frame are one person twice. Distances are shares of the taller box's height (a pixel at least)."""
+
+    joints: float = 0.26
+    centres: float = 0.5
+    overlap: float = 0.12
+    tight: float = 0.20
+    torso: float = 0.24
+    oks: float = 0.68
+
+    def conflicts(self, kp: DataFrame, boxes: DataFrame, protected: DataFrame | None = None, counts: bool = True) -> DataFrame:
+        """(seq_id, frame_idx, a, b, loser) of duplicates, a < b.
+
+        Boxes do not contain each other (0.7: two people at different depths), median joint and torso distances are small,
+        the poses alike, and boxes overlap or joints are tight; centres are near unless joints are tight. The track with fewer
+        observations loses, of equals the larger id; with ``counts`` off the lower mean score loses. ``protected``
+        (seq_id, track_id) tracks lose only to what is clearly the same, and not by joints alone against a track of thrice their length.
+        Poses with fewer than 17 joints are not compared.
+        """
+        box = boxes.select(*POSE, *[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")])
+        n = boxes.groupBy(*TRACK).agg(F.count("*").alias("n"))
+        rows = wide(kp).where(F.size("kp") >= 17).join(box, [*POSE]).join(n, [*TRACK])
+        known = protected.select(*TRACK, F.lit(True).alias("safe")).distinct() if protected is not None else None
+        rows = rows.join(known, [*TRACK], "left").withColumn("safe", F.coalesce("safe", F.lit(False))) if known is not None else rows.withColumn("safe", F.lit(False))
+        a, b = (rows.select("seq_id", "frame_idx", F.col("track_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("kp", "n", "safe", "x1", "y1", "x2", "y2")]) for s in "ab")
+        p = a.join(b, ["seq_id", "frame_idx"]).where("a < b")
+        # Boxes first: what they rule out needs no joints.
+        near = F.greatest(g.containment("a_", "b_"), g.containment("b_", "a_")) <= 0.7
+        p = p.where(near).withColumns({"iou": F.coalesce(g.iou("a_", "b_"), F.lit(0.0)), "tall": F.greatest(g.height("a_"), g.height("b_"), F.lit(1.0)), "apart": g.distance("a_", "b_")})
+        far2 = F.zip_with("a_kp", "b_kp", lambda x, y: (x["x"] - y["x"]) * (x["x"] - y["x"]) + (x["y"] - y["y"]) * (x["y"] - y["y"]))
+        p = p.withColumn("far2", far2).withColumn("far", F.array_sort(F.transform("far2", F.sqrt)))
+        p = p.withColumn("joints", F.element_at("far", 9)).where(F.col("joints") <= self.joints * F.col("tall"))
+        torso = F.array_sort(F.array(*[F.sqrt(F.get("far2", j)) for j in TORSO]))
+        scale = F.greatest((F.greatest(g.area("a_"), F.lit(1.0)) + F.greatest(g.area("b_"), F.lit(1.0))) / 2, F.lit(1.0))
+        seen = F.zip_with("a_kp", "b_kp", lambda x, y: (x["s"] > 0.01) & (y["s"] > 0.01))
+        like = F.zip_with("far2", F.array(*[F.lit(x * x) for x in SIGMAS]), lambda d, v: F.exp(-d / (2 * scale * v + 1e-9)))
+        alike = F.aggregate(F.zip_with(like, seen, lambda k, v: F.when(v, k).otherwise(0.0)), F.lit(0.0), lambda t, k: t + k)
+        tight, taller = F.col("joints") < self.tight * F.col("tall"), F.col("tall")
+        p = p.where(
+            ((F.col("iou") >= self.overlap) | tight) & ((torso[1] + torso[2]) / 2 <= self.torso * taller) & (tight | (F.col("apart") <= self.centres * taller))
+            & (F.coalesce(alike / F.nullif(F.size(F.filter(seen, lambda v: v)), F.lit(0)), F.lit(0.0)) >= self.oks)
+        )
+        strict, loose = (F.col("iou") > 0.5) & (F.col("joints") < 0.25 * taller), F.col("joints") < 0.12 * taller
+        safe = F.col("a_safe") | F.col("b_safe")
+        outlasted = (F.col("a_safe") & (F.col("b_n") >= 3 * F.col("a_n"))) | (F.col("b_safe") & (F.col("a_n") >= 3 * F.col("b_n")))
+        p = p.where(~(safe & ~strict & ~loose))
+        p = p.where(~(loose & ~strict & outlasted)) if counts else p
+        mean = lambda side: F.aggregate(f"{side}_kp", F.lit(0.0), lambda t, k: t + k["s"]) / 17
+        by_length = F.when(F.col("a_n") < F.col("b_n"), F.col("a")).otherwise(F.col("b"))
+        by_score = F.when((F.abs(mean("a") - mean("b")) < 1e-5) | (mean("a") >= mean("b")), F.col("b")).otherwise(F.col("a"))
+        return p.select("seq_id", "frame_idx", "a", "b", (by_length if counts else by_score).alias("loser"))
+
+
+def suppressed_duplicates(conflicts: DataFrame) -> DataFrame:
+    """(seq_id, frame_idx, track_id) that go: tracks take their turns in order of their ids.
+
+    A track whose turn comes while it is still there takes out each later one that loses to it, and goes itself if it loses to a later
+    one that is still there; it ends its turn all the same.
+    """
+    keys = ["seq_id", "frame_idx"]
+    ahead = stored(conflicts.where("loser = b").select(*keys, F.col("a").alias("first"), F.col("b").alias("then")))
+    early = stored(choice.suppressed(ahead, keys))  # gone before their own turn
+    turn = ahead.join(early.withColumnRenamed("node", "first"), [*keys, "first"], "left_anti").groupBy(*keys, F.col("then").alias("b")).agg(F.min("first").alias("turn"))
+    back = conflicts.where("loser = a").join(early.withColumnRenamed("node", "a"), [*keys, "a"], "left_anti")
+    late = back.join(turn, [*keys, "b"], "left").where("turn is null or turn > a").select(*keys, F.col("a").alias("node"))
+    return early.unionByName(late).distinct().withColumnRenamed("node", "track_id")

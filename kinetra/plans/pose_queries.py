@@ -34,6 +34,25 @@ def _all_facts(spark: SparkSession, sf: str) -> DataFrame:
     return boxes.join(poses, prune.KEY, "left").join(_best_r(spark, sf), prune.KEY, "left")
 
 
+def _crowd(spark: SparkSession, sf: str) -> DataFrame:
+    """All poses in two sequences, drawn together around four places, so that poses of a frame are near copies."""
+    kp = keypoints(spark, sf)
+    return kp.withColumns({"seq_id": F.col("track_id") % 2, "x": 100.0 * (F.col("track_id") % 4) + 3.0 * F.floor(F.col("track_id") / 4) + 0.3 * (F.col("x") - 500), "y": 300.0 + 5.0 * F.floor(F.col("track_id") / 4) + 0.5 * (F.col("y") - 300)})
+
+
+def _extents(kp: DataFrame) -> DataFrame:
+    return kp.groupBy(*pose.POSE).agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"))
+
+
+DUPLICATES = pose.Duplicates(joints=0.4, centres=0.25, overlap=0.3, tight=0.3, torso=0.4, oks=0.02)
+
+
+def _duplicates(spark: SparkSession, sf: str, counts: bool) -> DataFrame:
+    kp = _crowd(spark, sf)
+    protected = kp.where("track_id in (2, 11)").select("seq_id", "track_id").distinct()
+    return pose.suppressed_duplicates(DUPLICATES.conflicts(kp, _extents(kp), protected, counts))
+
+
 #: The six rules of the vote, with limits at which these tables' random poses give hits of each.
 VOTERS = {
     "low_sync": prune.low_sync(FRAME, 0.6),
@@ -64,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pose_no_skeleton": lambda s, d: _all_facts(s, d).where(prune.no_skeleton(0.3)).select(*prune.KEY),
     "pose_smoothing": lambda s, d: rounded(pose.smoothed(keypoints(s, d))),
     "pose_similarity": lambda s, d: rounded(pose.similarity(keypoints(s, d), obs(s, d))),
+    "duplicate_poses": lambda s, d: _duplicates(s, d, True),
+    "duplicate_poses_by_score": lambda s, d: _duplicates(s, d, False),
     "pose_vote": lambda s, d: rounded(prune.tiers(_all_facts(s, d), VOTERS, FRAME)),
 }
 
@@ -133,6 +154,40 @@ _HITS = [f"coalesce({_VOTER[name]}, false)" for name in VOTERS]
 _VOTED = " + ".join(f"case when {h} then {prune.VOTE_WEIGHTS[n]} else 0 end" for n, h in zip(VOTERS, _HITS, strict=True))
 _NAMED = ", ".join(f"case when {h} then '{n}' end" for n, h in zip(VOTERS, _HITS, strict=True))
 
+
+def _duplicates_sql(counts: bool) -> str:
+    """Turns one after another: a step is the next track of each frame, with the list of those gone so far."""
+    area = lambda s: f"greatest(({s}.x2 - {s}.x1) * ({s}.y2 - {s}.y1), 1.0)"
+    both = "greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
+    loser = "case when an < bn then a else b end" if counts else "case when abs(aconf - bconf) < 1e-5 or aconf >= bconf then b else a end"
+    outlasted = "joints < 0.12::double * tall and not (iou > 0.5 and joints < 0.25::double * tall) and ((asafe and bn >= 3 * an) or (bsafe and an >= 3 * bn))" if counts else "false"
+    return f"""{_HEAD.replace("with ", "with recursive ", 1)},
+cr as (select * replace (track_id % 2 as seq_id, 100.0::double * (track_id % 4) + 3.0 * (track_id // 4) + 0.3::double * (x - 500) as x, 300.0::double + 5.0 * (track_id // 4) + 0.5::double * (y - 300) as y) from kp),
+po as (
+  select seq_id, track_id, frame_idx, list({{x: x, y: y, s: s}} order by j) as k, min(x) as x1, min(y) as y1, max(x) as x2, max(y) as y2, list_sum(list(s order by j)) / 17 as conf,
+    track_id in (2, 11) as safe, count(*) over (partition by seq_id, track_id) as n from cr group by seq_id, track_id, frame_idx),
+pp as (
+  select a.seq_id, a.frame_idx, a.track_id as a, b.track_id as b, a.n as an, b.n as bn, a.safe as asafe, b.safe as bsafe, a.conf as aconf, b.conf as bconf, a.k as ak, b.k as bk,
+    coalesce({both} / nullif((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {both}, 0), 0) as iou, greatest(a.y2 - a.y1, b.y2 - b.y1, 1.0) as tall,
+    greatest({both} / greatest((a.x2 - a.x1) * (a.y2 - a.y1), 1e-6), {both} / greatest((b.x2 - b.x1) * (b.y2 - b.y1), 1e-6)) as inside, ({area("a")} + {area("b")}) / 2 as scale,
+    sqrt(power((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2, 2) + power((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2, 2)) as apart
+  from po a join po b on a.seq_id = b.seq_id and a.frame_idx = b.frame_idx and a.track_id < b.track_id),
+fa as (select *, list_transform(range(1, 18), lambda i: power(ak[i].x - bk[i].x, 2) + power(ak[i].y - bk[i].y, 2)) as d2, list_filter(range(1, 18), lambda i: ak[i].s > 0.01 and bk[i].s > 0.01) as seen from pp),
+ga as (
+  select *, sqrt(list_median(d2)) as joints, list_median([sqrt(d2[6]), sqrt(d2[7]), sqrt(d2[12]), sqrt(d2[13])]) as torso,
+    coalesce(list_sum(list_transform(seen, lambda i: exp(-d2[i] / (2 * scale * power({_SIGMA}[i], 2) + 1e-9)))) / nullif(len(seen), 0), 0) as oks from fa),
+ed as (
+  select *, {loser} as loser from ga where inside <= 0.7 and joints <= 0.4::double * tall and (iou >= 0.3 or joints < 0.3::double * tall) and torso <= 0.4::double * tall and oks >= 0.02
+    and (joints < 0.3::double * tall or apart <= 0.25::double * tall) and not ((asafe or bsafe) and not (iou > 0.5 and joints < 0.25::double * tall) and not joints < 0.12::double * tall) and not ({outlasted})),
+el as (select seq_id, frame_idx, a, list({{b: b, loser: loser}} order by b) as es, row_number() over (partition by seq_id, frame_idx order by a) as turn from ed group by seq_id, frame_idx, a),
+go(seq_id, frame_idx, turn, gone) as (
+  select seq_id, frame_idx, 0::bigint, []::bigint[] from el group by seq_id, frame_idx
+  union all
+  select go.seq_id, go.frame_idx, el.turn, case when list_contains(gone, el.a) then gone else list_concat(gone, list_transform(list_filter(es, lambda e: not list_contains(gone, e.b)), lambda e: e.loser)) end
+  from go join el on el.seq_id = go.seq_id and el.frame_idx = go.frame_idx and el.turn = go.turn + 1)
+select distinct seq_id, frame_idx, unnest(gone) as track_id from go qualify turn = max(turn) over (partition by seq_id, frame_idx)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "keypoints": f"{_HEAD} select seq_id, track_id, frame_idx, j, {_r('x', 'y', 's')} from kp",
     "joint_angles": f"{_HEAD}, {_ANGLES} select seq_id, track_id, frame_idx, joint, {_r('angle')} from an",
@@ -161,4 +216,6 @@ o as (select a.seq_id, a.frame_idx, a.track_id as a, b.track_id as b, avg(exp(-(
 v as (select seq_id, track_id, torso_share >= 0.4 and (last_pose - first_pose) / 60 >= 0.1 and edge <= 0.2 as sure, round({_VOTED}, 4)::double as votes, concat_ws(',', {_NAMED}) as hits from w),
 o as (select seq_id, track_id, case when sure then 'A' when votes > 0.65 then 'B' end as tier, hits, votes from v union all select seq_id, track_id, 'C', '', 0.0 from al where coalesce(unsure_share >= 0.8, true))
 select seq_id, track_id, tier, coalesce(tier in ('B', 'C'), false) as goes, hits, {_r('votes')} from o""",
+    "duplicate_poses": _duplicates_sql(True),
+    "duplicate_poses_by_score": _duplicates_sql(False),
 }
