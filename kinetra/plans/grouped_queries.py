@@ -26,7 +26,7 @@ def _found(o: DataFrame) -> DataFrame:
 def _clear(spark: SparkSession, sf: str) -> DataFrame:
     o = obs(spark, sf)
     f = _found(o)
-    return evaluate.clear(o, f, grouped.match_frames(o, f))
+    return evaluate.clear(o, f, evaluate.carried_matches(o, f))
 
 
 def _shape(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kinetra.operators import choice, links, pose
+from kinetra.operators import choice, evaluate, links, pose
 
 
 def graphs(seed):
@@ -79,3 +79,44 @@ def test_chains_take_the_first_name(spark):
     obs = spark.createDataFrame([(0, t, f, 0.0) for t, f in ((7, 0), (7, 1), (3, 2), (3, 3), (5, 3), (5, 4), (9, 0))], "seq_id long, track_id long, frame_idx long, x1 double")
     chain = spark.createDataFrame([(0, 3, 5), (0, 7, 3)], "seq_id long, a long, b long")
     assert sorted((r["track_id"], r["frame_idx"]) for r in links.linked_tracks(obs, chain).collect()) == [(7, 0), (7, 1), (7, 2), (7, 3), (7, 4), (9, 0)]
+
+
+BOXES = "seq_id long, track_id long, frame_idx long, x1 double, y1 double, x2 double, y2 double"
+
+
+def test_the_earlier_match_beats_the_larger_overlap(spark):
+    """In frame 0 track 11 is alone on the box; in frame 1 track 12 overlaps it more, in frame 3 after a gap it wins."""
+    at = lambda t, f, x: (0, t, f, float(x), 0.0, x + 100.0, 100.0)
+    reference = spark.createDataFrame([at(1, f, 0) for f in (0, 1, 3)], BOXES)
+    found = spark.createDataFrame([at(11, 0, 20), at(11, 1, 20), at(12, 1, 5), at(11, 3, 20), at(12, 3, 5)], BOXES)
+    got = sorted((r["frame_idx"], r["ref_id"], r["found_id"]) for r in evaluate.carried_matches(reference, found).collect())
+    assert got == [(0, 1, 11), (1, 1, 11), (3, 1, 12)]
+    r = evaluate.clear(reference, found, evaluate.carried_matches(reference, found)).first()
+    assert (r["tp"], r["fp"], r["fn"], r["id_switches"], r["fragments"]) == (3, 2, 0, 1, 1)
+
+
+def test_matches_are_carried_like_frame_by_frame(spark):
+    rng = random.Random(9)
+    boxes = {name: [(s, t + shift, f, x, 0.0, x + 60.0, 50.0) for s in (0, 1) for f in range(25) for t in range(4) if rng.random() < 0.85 for x in [15.0 * t + rng.uniform(-12, 12)]] for name, shift in (("ref", 0), ("found", 10))}
+    got = {}
+    for r in evaluate.carried_matches(*(spark.createDataFrame(boxes[k], BOXES).repartition(3) for k in ("ref", "found")), 0.4).collect():
+        got.setdefault((r["seq_id"], r["frame_idx"]), set()).add((r["ref_id"], r["found_id"]))
+
+    def iou(a, b):
+        both = max(0.0, min(a[5], b[5]) - max(a[3], b[3])) * 50
+        return both / (6000 - both)
+
+    for s in (0, 1):
+        last = set()
+        for f in range(25):
+            refs, founds = ([b for b in boxes[k] if (b[0], b[2]) == (s, f)] for k in ("ref", "found"))
+            fit = {(a[1], b[1]): iou(a, b) for a in refs for b in founds if iou(a, b) >= 0.4}
+            best, chosen = -1.0, set()
+            for k in range(len(fit) + 1 if len(fit) < 5 else 5):
+                for some in itertools.combinations(fit, k):
+                    if len({a for a, _ in some}) == len({b for _, b in some}) == k:
+                        worth = sum(fit[p] + 1000 * (p in last) for p in some)
+                        if worth > best:
+                            best, chosen = worth, set(some)
+            assert got.get((s, f), set()) == chosen
+            last = chosen
