@@ -56,16 +56,21 @@ def overlap_clusters(obs: DataFrame, trigger: float) -> DataFrame:
 
 
 def coexisting(obs: DataFrame, frames: int = 5, near: float = 0.6, ratio: float = 1.6, overlap: float = 0.25) -> DataFrame:
-    """Pairs that share at least ``frames`` frames, are closer than half the larger height in a share of ``near`` of them, of like height at the median, and overlap."""
+    """Pairs that share at least ``frames`` frames, are closer than half the larger height in a share of ``near`` of them, of like height at the median, and overlap.
+
+    Sums, which add up before the shuffle, choose the pairs first; the median, which has to keep its values, is for those alone.
+    """
     side = {s: obs.select("seq_id", "frame_idx", F.col("track_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in BOX]) for s in "ab"}
     pairs = side["a"].join(side["b"], ["seq_id", "frame_idx"]).where("a < b")
     ha, hb = g.height("a_"), g.height("b_")
     close = g.distance("a_", "b_") <= 0.5 * F.greatest(ha, hb, F.lit(1.0))
-    size = F.when((ha > 0) & (hb > 0), F.greatest(ha, hb) / F.least(ha, hb))
-    stats = pairs.groupBy("seq_id", "a", "b").agg(
-        F.count("*").alias("shared"), F.avg(close.cast("double")).alias("close"), F.median(size).alias("ratio"), F.avg(F.coalesce(g.iou("a_", "b_"), F.lit(0.0))).alias("mean_iou")
-    )
-    return stats.where((F.col("shared") >= frames) & (F.col("close") >= near) & (F.col("ratio") <= ratio) & (F.col("mean_iou") >= overlap)).select("seq_id", "a", "b", "shared", "close", "mean_iou")
+    stats = pairs.groupBy("seq_id", "a", "b").agg(F.count("*").alias("shared"), F.avg(close.cast("double")).alias("close"), F.avg(F.coalesce(g.iou("a_", "b_"), F.lit(0.0))).alias("mean_iou"))
+    chosen = stats.where((F.col("shared") >= frames) & (F.col("close") >= near) & (F.col("mean_iou") >= overlap))
+    tall = {s: obs.select("seq_id", "frame_idx", F.col("track_id").alias(s), g.height().alias(f"h{s}")) for s in "ab"}
+    size = F.when((F.col("ha") > 0) & (F.col("hb") > 0), F.greatest("ha", "hb") / F.least("ha", "hb"))
+    both = chosen.join(tall["a"], ["seq_id", "a"]).join(tall["b"], ["seq_id", "b", "frame_idx"])
+    alike = both.groupBy("seq_id", "a", "b").agg(*[F.any_value(c).alias(c) for c in ("shared", "close", "mean_iou")], F.median(size).alias("ratio"))
+    return alike.where(F.col("ratio") <= ratio).select("seq_id", "a", "b", "shared", "close", "mean_iou")
 
 
 TAIL = 5

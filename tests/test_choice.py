@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kinetra.operators import choice, evaluate, links, pose
+from kinetra.operators import choice, evaluate, links, masks, merging, pose
 
 
 def graphs(seed):
@@ -120,3 +120,51 @@ def test_matches_are_carried_like_frame_by_frame(spark):
                             best, chosen = worth, set(some)
             assert got.get((s, f), set()) == chosen
             last = chosen
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_merging_apart_is_that_of_link_after_link(spark, seed):
+    rng = random.Random(seed)
+    nodes = [(s, n) for s in (0, 1) for n in range(12)]
+    links_ = [(s, a, b, rng.randint(1, 9) / 4) for s in (0, 1) for a, b in itertools.permutations(range(12), 2) if rng.random() < 0.25]
+    apart = [(s, a, b) for s in (0, 1) for a, b in itertools.combinations(range(12), 2) if rng.random() < 0.12]
+    want = {n: n for n in nodes}
+    walls = {(s, *p) for s, a, b in apart for p in ((a, b), (b, a))}
+    for s, a, b, _ in sorted(links_, key=lambda e: (-e[3], e[1], e[2])):
+        x, y = want[s, a], want[s, b]
+        one, two = ([n for n in nodes if want[n] == g] for g in (x, y))
+        if x != y and not any((s, p[1], q[1]) in walls for p in one for q in two):
+            for n in one + two:
+                want[n] = min(x, y)
+    got = merging.merged_apart(spark.createDataFrame(nodes, "seq_id long, node long"), spark.createDataFrame(links_, "seq_id long, a long, b long, weight double"), spark.createDataFrame(apart, "seq_id long, a long, b long"))
+    assert {(r["seq_id"], r["node"]): (r["seq_id"], r["root"]) for r in got.collect()} == want
+
+
+def test_layers_with_a_circle(spark):
+    edges = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (0, 3, 1), (0, 3, 4), (0, 1, 4), (1, 5, 6), (1, 5, 7), (1, 6, 7)], "seq_id long, a long, b long")
+    nodes = spark.createDataFrame([(0, n) for n in (1, 2, 3, 4)] + [(1, n) for n in (5, 6, 7, 8)], "seq_id long, node long")
+    got = {(r["seq_id"], r["node"]): r["layer"] for r in merging.layers(edges, nodes).collect()}
+    # 1 and 3 win one more than they lose: the smaller one opens the circle.
+    assert got == {(0, 1): 0, (0, 2): 1, (0, 3): 2, (0, 4): 3, (1, 5): 0, (1, 6): 1, (1, 7): 2, (1, 8): 0}
+
+
+def test_masks_by_pixels(spark):
+    rng = random.Random(5)
+    runs = [(0, f, t, y, x, x + rng.randint(0, 6)) for f in (0, 1) for t in range(4) for y in range(6) for x in [rng.randint(0, 10) for _ in range(3)]]
+    df = masks.tidy(spark.createDataFrame(runs, "seq_id long, frame_idx long, track_id long, y long, x0 long, x1 long"))
+    pixels = {}
+    for _, f, t, y, a, b in runs:
+        pixels.setdefault((f, t), set()).update((y, x) for x in range(a, b))
+    for r in masks.boxes(df, 2).collect():
+        p = pixels[r["frame_idx"], r["track_id"]]
+        ys, xs = [y for y, _ in p], [x for _, x in p]
+        assert (r["x1"], r["y1"], r["x2"], r["y2"], r["area"]) == (max(0, min(xs) - 2), max(0, min(ys) - 2), max(xs) + 3, max(ys) + 3, len(p))
+    got = {(r["frame_idx"], r["a"], r["b"]): (r["shared"], r["iou"], r["a_in_b"]) for r in masks.overlaps(df).collect()}
+    for f in (0, 1):
+        for a, b in itertools.combinations(range(4), 2):
+            p, q = pixels[f, a], pixels[f, b]
+            assert got.get((f, a, b), (0, 0, 0)) == pytest.approx((len(p & q), len(p & q) / len(p | q), len(p & q) / len(p)))
+    larger = {}
+    for r in masks.resized(df, F.lit(1.5), F.lit(2.0)).collect():
+        larger.setdefault((r["frame_idx"], r["track_id"]), set()).update((r["y"], x) for x in range(r["x0"], r["x1"]))
+    assert larger == {k: {(y, x) for y in range(12) for x in range(30) if (y // 2, int(x / 1.5)) in p} for k, p in pixels.items()}

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kinetra.operators import evaluate, grouped, motion, pairs, pose, prune, relink, review, tracks
-from kinetra.sources import mot
+from kinetra.sources import documents, mot
 
 SCHEMA = "seq_id long, track_id long, frame_idx long, x1 double, y1 double, x2 double, y2 double, conf double"
 
@@ -130,6 +130,24 @@ def test_stitching_follows_the_velocity_and_goes_on(spark):
     assert [f for t, f in whole if t == 1] == list(range(70))
 
 
+def test_documents_are_written_in_parts_and_read_by_sequence(spark, tmp_path):
+    schema = "seq_id long, track_id long, frame_idx long, x1 double, y1 double, x2 double, y2 double, conf double"
+    rows_ = [(s, t, f, 1.5 * f, 0.0, 1.5 * f + 10, float("inf") if (s, t, f) == (3, 1, 7) else 20.0, float("nan") if f == 2 else 0.5) for s in (3, 4) for t in (1, 2) for f in (0, 2, 7, 9)]
+    docs = documents.documents(spark.createDataFrame(rows_, schema), 10, part=4)
+    documents.write_documents(docs, str(tmp_path / "d"))
+    back = documents.read_documents(spark, str(tmp_path / "d"))
+    assert back.count() == 6
+    one = documents.parsed(back.where("seq_id = 3"), "seq_id")
+    assert "PartitionFilters: [isnotnull(seq_id" in one._jdf.queryExecution().executedPlan().toString()
+    assert rows(one, "frame_idx") == [(f,) for f in range(10)]
+    got = rows(documents.observations(one, "seq_id"), "track_id", "frame_idx", "conf")
+    assert got == [(t, f, 1.0 if f == 2 else 0.5) for t in (1, 2) for f in (0, 2, 7, 9) if (t, f) != (1, 7)]
+    # A part whose arrays do not fit its counts gives nothing.
+    parts = documents.packed(spark.createDataFrame(rows_, schema), 10, 4)
+    assert documents.unpacked(parts).count() == 16
+    assert documents.unpacked(parts.withColumn("ids", F.when(F.col("part") == 0, F.array(F.lit(1).cast("long"))).otherwise(F.col("ids")))).count() == 8
+
+
 def test_passes_are_merged(spark):
     forward = spark.createDataFrame([box(1, f) for f in range(6)], SCHEMA)
     back = spark.createDataFrame([box(9, f, conf=0.4) for f in range(2, 9)] + [box(7, f, x=500.0) for f in range(2)], SCHEMA)
