@@ -140,26 +140,45 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     return roots.join(joined, "root", "full").select(F.coalesce("node", "root").alias("node"), F.coalesce("last", "root").alias("root"))
 
 
+def text_hashes(text: Column) -> tuple[Column, Column]:
+    """128 bits of a text in two numbers."""
+    return F.xxhash64(text), F.xxhash64(F.lit("second"), text)
+
+
+def _noded(rows: DataFrame) -> DataFrame:
+    """``rows`` (h1, h2 and others) with ``node``, a number for each distinct (h1, h2): h1, or where different texts have it a hash of both."""
+    met = written(rows.groupBy("h1").agg(F.min("h2").alias("lo"), F.max("h2").alias("hi")).where("lo != hi").select(F.col("h1").alias("_met")))
+    if met.isEmpty():
+        return rows.withColumn("node", F.col("h1"))
+    met = F.broadcast(met) if met.count() <= BROADCAST_IDS else met
+    return rows.join(met, F.col("h1") == F.col("_met"), "left").withColumn("node", F.when(F.col("_met").isNotNull(), F.xxhash64("h1", "h2")).otherwise(F.col("h1"))).drop("_met")
+
+
 def classes(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), node (64-bit hash of the text).
+    """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), h1 and h2 (see ``text_hashes``).
 
     Two documents link if 100 * overlap >= percent * union of their n-gram sets. A null text or one without words has an
     empty set and links with nothing, also not with its like: the own id is its component; one with fewer words than ``size`` has its whole sequence as the one n-gram;
     copies link; rows of one doc_id are judged by their texts; rows with a null doc_id link with nothing and have a
-    null component; an empty table gives no rows; other columns are not read. Texts are equal if 64 bits of their hash are.
+    null component; an empty table gives no rows; other columns are not read; ids that are no numbers fail the job. Texts are equal if 128 bits of
+    their hashes are.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("node"))
-    ids = rows.select("doc_id", "node")
+    h1, h2 = text_hashes(F.col("text"))
+    plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumns({"h1": h1, "h2": h2})
+    ids = written(_noded(plain.select("doc_id", "h1", "h2")))
     named = written(ids.join(ids.groupBy("node").agg(F.min("doc_id").alias("rep")), "node"))
     # Of equal texts the one with the smallest id goes on; its node links if it has an id.
-    copies = named.where(~F.col("doc_id").eqNullSafe(F.col("rep"))).select(F.col("doc_id").alias("copy"), F.col("node").alias("of")).distinct()
+    firsts = named.where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "h1", "h2", "node").distinct()
+    copies = named.where(~F.col("doc_id").eqNullSafe(F.col("rep"))).select(F.col("doc_id").alias("copy"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
     copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
-    firsts = rows.join(copies, F.col("doc_id").eqNullSafe(F.col("copy")) & (F.col("node") == F.col("of")), "left_anti")
-    sets = written(_sets(firsts.select("node", "text", F.col("doc_id").isNotNull().alias("links")), size, percent))
+    rows = plain.join(copies, F.col("doc_id").eqNullSafe(F.col("copy")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left_anti")
+    rows = rows.withColumn("node", F.col("h1")) if firsts.where("node != h1").isEmpty() else rows.join(firsts.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "node").distinct(), (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
+    sets = written(_sets(rows.select("node", "text", F.col("doc_id").isNotNull().alias("links")), size, percent))
     roots = links(sets, percent)
-    reps = named.where("doc_id = rep").select("node", "rep").distinct()
+    reps = firsts.where("doc_id is not null").select("node", F.col("doc_id").alias("rep"))
     joined = roots.join(reps, "node")
     joined = joined.join(joined.groupBy("root").agg(F.min("rep").alias("component")), "root").select("node", "component")
     # Written, so that both sides of the last join are dealt anew and a node with many copies can be split.
     out = written(sets.select("node", "n").join(joined, "node", "left"))
-    return named.join(out, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"), "node")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
+    return named.join(out, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "h1", "h2")

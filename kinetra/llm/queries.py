@@ -83,7 +83,7 @@ def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.classes(_table(spark, sf_dir, "documents", "doc_id", "text"), size=4, percent=85).drop("node")
+    return jaccard_join.classes(_table(spark, sf_dir, "documents", "doc_id", "text"), size=4, percent=85).drop("h1", "h2")
 
 
 def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,6 +143,20 @@ def test_documents_without_words_link_with_nothing(spark):
     assert sorted(r["doc_id"] or 0 for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 0, 1, 2, 3, 4, 5, 6, 7]
 
 
+def test_texts_of_one_hash_stay_apart(spark, docs, monkeypatch):
+    """64 bits that collide at every turn: the other 64 tell the texts apart, in the classes and in the stage."""
+    rows, df = docs
+    monkeypatch.setattr(jaccard_join, "text_hashes", lambda t: (F.coalesce(F.octet_length(t), F.lit(0)).cast("long") % 3, F.xxhash64(t)))
+    extra = [(5000, None), (5001, None), (5002, ""), (5003, "only here"), (5004, "only here"), (5005, "only HERE")]
+    pairs = [(r[0], r[1]) for r in rows] + extra
+    table = df.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    want = brute_classes(pairs, 4, 85)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(table, 4, 85).collect()} == want
+    full = table.select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, full, "").collect())
+    assert kept == sorted({c for _, c in brute_classes(pairs, corpus_pipeline.SHINGLE, corpus_pipeline.PERCENT).values()})
+
+
 def test_long_terms_are_not_broadcast(spark):
     """Terms beyond the bound in bytes meet the table in the join, and the sums stay right."""
     rng = random.Random(1)
