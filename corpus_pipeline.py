@@ -48,15 +48,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     without an id in none; both stay.
     """
     found = written(jaccard_join.classes(docs, SHINGLE, PERCENT).withColumn("copy", F.col("component_id") != F.col("doc_id")))
-    copies = written(found.where("copy").select(F.col("doc_id").alias("gone"), "node").distinct())
+    h1, h2 = jaccard_join.text_hashes(F.col("text"))
+    copies = written(found.where("copy").select(F.col("doc_id").alias("gone"), "h1", "h2").distinct())
     rows = docs.select(*COLUMNS)
-    same = (F.col("doc_id") == F.col("gone")) & (F.xxhash64("text") == F.col("node"))
+    same = (F.col("doc_id") == F.col("gone")) & (h1 == F.col("h1")) & (h2 == F.col("h2"))
     kept = rows.join(F.broadcast(copies) if copies.count() <= jaccard_join.BROADCAST_IDS else copies, same, "left_anti")
-    repeated = found.where("not copy").groupBy(F.col("doc_id").alias("twice")).agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+    own = F.struct("h1", "h2")
+    repeated = found.where("not copy").groupBy(F.col("doc_id").alias("twice")).agg(F.min(own).alias("first"), F.count("*").alias("n")).where("n > 1")
     repeated = written(repeated)
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated, (F.col("doc_id") == F.col("twice")) & (F.xxhash64("text") == F.col("first"))).select(*COLUMNS).dropDuplicates(["doc_id"])
+    first = (F.col("doc_id") == F.col("twice")) & (h1 == F.col("first.h1")) & (h2 == F.col("first.h2"))
+    again = kept.join(repeated, first).select(*COLUMNS).dropDuplicates(["doc_id"])
     return kept.join(repeated, F.col("doc_id") == F.col("twice"), "left_anti").unionByName(again)
 
 
