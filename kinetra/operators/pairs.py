@@ -209,13 +209,40 @@ def best_link(candidates: DataFrame, first: str = "gap") -> DataFrame:
     return candidates.groupBy("seq_id", "a").agg(F.min_by(F.struct("b", "gap", "dist"), F.struct(first, "b")).alias("m")).select("seq_id", "a", "m.b", "m.gap", "m.dist")
 
 
-def complementary(obs: DataFrame, near: float) -> DataFrame:
-    """Pairs of tracks that never share a frame and whose median centres are at most ``near`` apart."""
-    m = obs.groupBy("seq_id", "track_id").agg(F.median(g.cx()).alias("mx"), F.median(g.cy()).alias("my"))
-    a, b = (m.select("seq_id", F.col("track_id").alias(s), F.col("mx").alias(f"x_{s}"), F.col("my").alias(f"y_{s}")) for s in "ab")
-    dist = F.sqrt(F.pow(F.col("x_a") - F.col("x_b"), F.lit(2)) + F.pow(F.col("y_a") - F.col("y_b"), F.lit(2)))
-    pairs = a.join(b, "seq_id").where("a < b").withColumn("dist", dist).where(F.col("dist") <= near)
-    return pairs.join(frame_pairs(obs).select("seq_id", "a", "b").distinct(), ["seq_id", "a", "b"], "left_anti").select("seq_id", "a", "b", "dist")
+def complementary(obs: DataFrame, near: float = 0.5, speed: float = 0.25, ratio: float = 1.6) -> DataFrame:
+    """(seq_id, a, b, boundaries, farthest): pairs of tracks (a < b) that never share a frame and are near wherever one takes over from the other.
+
+    At each boundary of their union in time heights are alike by ``ratio`` (up to 2), centres no farther apart than ``near`` times the larger height, and the speed
+    over the gap is possible. Boxes without height take over from none.
+
+    Who comes second starts near the place where the first was last seen, in a gap of it: starts and the ends before gaps meet in cells of a
+    pyramid, as wide as the radius of boxes of about this height; only pairs that do are held against each other frame by frame.
+    """
+    own = Window.partitionBy("seq_id", "track_id").orderBy("frame_idx")
+    place = [g.cx().alias("x"), g.cy().alias("y"), g.height().alias("h")]
+    rows = obs.withColumns({"_next": F.lead("frame_idx").over(own), "_before": F.lag("frame_idx").over(own)}).where("y2 > y1")
+    level, wide = F.ceil(F.log2("h")), near * ratio * F.pow(F.lit(2.0), F.col("level"))
+    cell = lambda c, by: (F.floor(F.col(c) / wide) + by).alias(f"c{c}")
+    gaps = rows.where("_next is null or _next > frame_idx + 1").select("seq_id", F.col("track_id").alias("p"), F.col("frame_idx").alias("f"), "_next", *place)
+    gaps = gaps.withColumn("level", F.explode(F.array(level - 1, level, level + 1))).select("*", cell("x", 0), cell("y", 0))
+    starts = rows.where("_before is null").select("seq_id", F.col("track_id").alias("q"), F.col("frame_idx").alias("g"), *[c.alias(f"{n}_q") for c, n in zip((g.cx(), g.cy(), g.height()), "xyh", strict=True)])
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    starts = starts.withColumn("level", F.ceil(F.log2("h_q"))).withColumn("d", F.explode(around)).select("*", (F.floor(F.col("x_q") / wide) + F.col("d.i")).alias("cx"), (F.floor(F.col("y_q") / wide) + F.col("d.j")).alias("cy"))
+    taller, apart = F.greatest("h", "h_q", F.lit(1.0)), F.sqrt(F.pow(F.col("x") - F.col("x_q"), F.lit(2)) + F.pow(F.col("y") - F.col("y_q"), F.lit(2)))
+    met = gaps.join(starts, ["seq_id", "level", "cx", "cy"]).where("p != q and f < g and (_next is null or g < _next)").where(apart <= near * taller)
+    pairs = met.select("seq_id", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    of = obs.select("seq_id", "track_id", "frame_idx", *place)
+    both = pairs.join(of.withColumnRenamed("track_id", "a"), ["seq_id", "a"]).select("seq_id", "a", "b", "frame_idx", F.lit(0).alias("who"), "x", "y", "h")
+    both = both.unionByName(pairs.join(of.withColumnRenamed("track_id", "b"), ["seq_id", "b"]).select("seq_id", "a", "b", "frame_idx", F.lit(1).alias("who"), "x", "y", "h"))
+    w = Window.partitionBy("seq_id", "a", "b").orderBy("frame_idx", "who")
+    both = both.withColumns({f"was_{c}": F.lag(c).over(w) for c in ("who", "frame_idx", "x", "y", "h")}).where("was_who is not null")
+    turn, tall = F.col("who") != F.col("was_who"), F.greatest("h", "was_h", F.lit(1.0))
+    far = F.sqrt(F.pow(F.col("x") - F.col("was_x"), F.lit(2)) + F.pow(F.col("y") - F.col("was_y"), F.lit(2)))
+    pace = far / F.greatest(F.col("frame_idx") - F.col("was_frame_idx"), F.lit(1))
+    fits = (F.col("h") > 0) & (F.col("was_h") > 0) & (F.greatest("h", "was_h") <= ratio * F.least("h", "was_h")) & (far <= near * tall) & (pace <= F.greatest(speed * tall, F.lit(30.0)))
+    shared = F.col("frame_idx") == F.col("was_frame_idx")
+    told = both.groupBy("seq_id", "a", "b").agg(F.bool_and(~shared & (~turn | fits)).alias("fit"), F.count_if(turn).alias("boundaries"), F.max(F.when(turn, far)).alias("farthest"))
+    return told.where("fit and boundaries > 0").drop("fit")
 
 
 def id_votes(forward: DataFrame, backward: DataFrame, overlap: float = 0.45, least: int = 4) -> DataFrame:

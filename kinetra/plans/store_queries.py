@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.operators import masks, merging, pairs
+from kinetra.operators import masks, merging, pairs, tracks
 from kinetra.plans.rounding import rounded
 from kinetra.plans.rounding import rounded_sql as _r
+from kinetra.plans import track_queries
 from kinetra.plans.track_queries import _BROKEN, _ENDS, _broken
-from kinetra.sources import documents
+from kinetra.sources import documents, stages
 from kinetra.sources.derived import FRAMES, KEYPOINTS_SQL, OBS_SQL, keypoints, obs
+from kinetra.sources.shared import new_place
 
 PART = 16
 
@@ -47,6 +49,16 @@ def _layers(spark: SparkSession, sf: str) -> DataFrame:
     return merging.layers(pairs.global_candidates(o, 30, 0.01), o.select("seq_id", F.col("track_id").alias("node")))
 
 
+def _resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """Track quality by way of stages, run a second time: nothing is built then."""
+    inputs, folder = stages.files_of(spark.read.parquet(f"{sf}/events.parquet")), new_place(spark)
+    for _ in range(2):
+        chain = stages.Stages(spark, folder, inputs)
+        o = chain.run("observations", lambda: obs(spark, sf), needs=("seq_id", "track_id", "frame_idx"))
+        found = chain.run("quality", lambda o=o: rounded(tracks.quality(o)), places=5)
+    return found.withColumn("n_built", F.lit(len(chain.built)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "packed_detections": _packed,
     "unpacked_detections": lambda s, d: rounded(documents.unpacked(documents.packed(obs(s, d), FRAMES, PART))),
@@ -57,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mask_overlaps": lambda s, d: rounded(masks.overlaps(masks.tidy(mask_runs(s, d)))),
     "merged_apart": _merged_apart,
     "track_layers": _layers,
+    "resumed_quality": _resumed,
 }
 
 _FRAMES = f"""
@@ -104,4 +117,5 @@ en as (select seq_id, unnest(map_entries(ro)) as e from (select * from st qualif
     "track_layers": _sql(_BROKEN, _ENDS, _LINKS, """
 dp(seq_id, node, layer) as (select distinct seq_id, track_id, 0 from obs union select dp.seq_id, lk.b, layer + 1 from dp join lk on lk.seq_id = dp.seq_id and lk.a = dp.node)""")
     + " select seq_id, node, max(layer) as layer from dp group by all",
+    "resumed_quality": f"select *, 0 as n_built from ({track_queries.ORACLE_SQL['track_quality']})",
 }

@@ -146,7 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stitched_tracks": lambda s, d: rounded(relink.renamed(_broken(s, d), relink.stitched_ids(_broken(s, d), FRAMES, **_RULE), 60)),
     "dormant_tracks": lambda s, d: rounded(relink.renamed(_broken(s, d), relink.dormant_ids(_broken(s, d), least=3, most=40))),
     "merged_passes": lambda s, d: rounded(pairs.merged_passes(obs(s, d), _back(s, d))),
-    "complementary_tracks": lambda s, d: rounded(pairs.complementary(_broken(s, d), 15.0)),
+    "complementary_tracks": lambda s, d: rounded(pairs.complementary(_broken(s, d), 0.1, 0.25, 1.05)),
     "id_votes": lambda s, d: pairs.id_votes(obs(s, d), _back(s, d)),
     "merge_keep_first": lambda s, d: rounded(pairs.merge_keep_first(_cut(obs(s, d), 0, 30), _cut(obs(s, d), 20, 59).withColumn("conf", F.lit(0.5)))),
     "prune_stage": _hits(prune.outside_polygon(STAGE)),
@@ -385,9 +385,15 @@ ow as (select bk.*, coalesce(b1.fid, coalesce(t.top, 0) + ln.k) as own from bk l
   left join (select seq_id, max(track_id) as top from fw group by all) t on t.seq_id = bk.seq_id),
 al as (select seq_id, track_id, frame_idx, x1, y1, x2, y2, conf, 0 as ps, track_id as was from fw union all select seq_id, own, frame_idx, x1, y1, x2, y2, conf, 1, track_id from ow)
 select seq_id, track_id, frame_idx, {_r('x1', 'y1', 'x2', 'y2', 'conf')} from al qualify row_number() over (partition by seq_id, track_id, frame_idx order by ps, was) = 1""",
-    "complementary_tracks": _with(_BROKEN, _G, _MED) + f""", c as (select x.seq_id, x.track_id as a, y.track_id as b, sqrt(power(x.mx - y.mx, 2) + power(x.my - y.my, 2)) as dist from m x join m y on x.seq_id = y.seq_id and x.track_id < y.track_id),
-s as (select distinct p.seq_id, p.track_id as a, q.track_id as b from obs p join obs q on p.seq_id = q.seq_id and p.frame_idx = q.frame_idx and p.track_id < q.track_id)
-select seq_id, a, b, {_r('dist')} from c anti join s using (seq_id, a, b) where dist <= 15""",
+    "complementary_tracks": _with(_BROKEN, _G) + f""", t as (select distinct seq_id, track_id from g),
+u as (
+  select x.seq_id, x.track_id as a, y.track_id as b, g.frame_idx, g.track_id, g.cx, g.cy, g.h, lag(g.track_id) over w as wt, lag(frame_idx) over w as wf, lag(cx) over w as wx, lag(cy) over w as wy, lag(h) over w as wh
+  from t x join t y on x.seq_id = y.seq_id and x.track_id < y.track_id join g on g.seq_id = x.seq_id and g.track_id in (x.track_id, y.track_id) window w as (partition by x.seq_id, x.track_id, y.track_id order by frame_idx, g.track_id)),
+v as (select *, track_id <> wt as turn, sqrt(power(cx - wx, 2) + power(cy - wy, 2)) as far from u where wt is not null),
+c as (
+  select seq_id, a, b, count(*) filter (turn) as boundaries, max(far) filter (turn) as farthest from v group by all
+  having bool_and(frame_idx <> wf and (not turn or (greatest(h, wh) <= 1.05::double * least(h, wh) and far <= 0.1::double * greatest(h, wh, 1.0) and far / greatest(frame_idx - wf, 1) <= greatest(0.25 * greatest(h, wh, 1.0), 30.0)))))
+select seq_id, a, b, boundaries, {_r('farthest')} from c where boundaries > 0""",
     "id_votes": _with(OBS_SQL, _G) + """, v as (select p.seq_id, q.track_id + 100000 as backward_id, p.track_id as forward_id, count(*) as votes from g p join g q on p.seq_id = q.seq_id and p.frame_idx = q.frame_idx and q.track_id % 4 <> 0
   and greatest(0.0, least(p.x2, q.x2) - greatest(p.x1, q.x1)) * greatest(0.0, least(p.y2, q.y2) - greatest(p.y1, q.y1)) >= 0.45 * (p.w * p.h + q.w * q.h - greatest(0.0, least(p.x2, q.x2) - greatest(p.x1, q.x1)) * greatest(0.0, least(p.y2, q.y2) - greatest(p.y1, q.y1))) group by all)
 select * from v where votes >= 4 qualify row_number() over (partition by seq_id, backward_id order by votes desc, forward_id) = 1""",

@@ -25,9 +25,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_place(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has yet."""
+    shared_folder(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The same rows from a table in the shared folder; unlike a checkpoint it forgets what the plan knew, so that plans of many rounds don't grow."""
-    shared_folder(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid4().hex}.parquet"
+    path = new_place(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
