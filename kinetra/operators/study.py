@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetra.sources.shared import written
+from kinetra.sources.shared import stored, written
 
 
 def status(trials: DataFrame) -> DataFrame:
@@ -66,6 +66,29 @@ def closure(edges: DataFrame) -> DataFrame:
     return known
 
 
+def peel(edges: DataFrame, pool: DataFrame) -> DataFrame:
+    """(grp, name, place, forced): each group of the pool (grp, name) from best to worst by its edges (w, l).
+
+    One goes after another: of those that nobody left beats, the one with the most wins less losses, then the smaller name; where
+    everybody is beaten, one of all by the same order, which is ``forced``. A round picks one in each group, so there are as many as the largest group has names.
+    """
+    margins = wins_and_losses(edges).select("name", "margin")
+    left = stored(pool.select("grp", "name").distinct().join(margins, "name", "left").na.fill(0, ["margin"]))
+    within = stored(edges.join(left.select("grp", F.col("name").alias("w")), "w").join(left.select("grp", F.col("name").alias("l")), ["grp", "l"]).where("w != l").select("grp", "w", "l"))
+    found, place = None, 0
+    while not left.isEmpty():
+        beaten = within.select("grp", F.col("l").alias("name")).distinct().withColumn("beaten", F.lit(1))
+        rank = F.struct(F.coalesce("beaten", F.lit(0)).alias("beaten"), -F.col("margin"), "name")
+        out = left.join(beaten, ["grp", "name"], "left").groupBy("grp").agg(F.min(rank).alias("m"))
+        out = stored(out.select("grp", "m.name", F.lit(place).alias("place"), (F.col("m.beaten") == 1).alias("forced")))
+        found = out if found is None else found.unionByName(out)
+        left = stored(left.join(out, ["grp", "name"], "left_anti"))
+        gone = out.select("grp", "name")
+        within = stored(within.join(gone.withColumnRenamed("name", "w"), ["grp", "w"], "left_anti").join(gone.withColumnRenamed("name", "l"), ["grp", "l"], "left_anti"))
+        place += 1
+    return found if found is not None else left.select("grp", "name", F.lit(0).alias("place"), F.lit(False).alias("forced"))
+
+
 def variants(base: DataFrame, options: list[tuple[str, str]]) -> DataFrame:
     """One-option-at-a-time plan: each base's parameters with one of them replaced, without repeats of a plan.
 

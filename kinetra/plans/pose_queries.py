@@ -154,6 +154,9 @@ _HITS = [f"coalesce({_VOTER[name]}, false)" for name in VOTERS]
 _VOTED = " + ".join(f"case when {h} then {prune.VOTE_WEIGHTS[n]} else 0 end" for n, h in zip(VOTERS, _HITS, strict=True))
 _NAMED = ", ".join(f"case when {h} then '{n}' end" for n, h in zip(VOTERS, _HITS, strict=True))
 
+#: The crowd of ``_crowd`` in SQL.
+_CROWD = """cr as (select * replace (track_id % 2 as seq_id, 100.0::double * (track_id % 4) + 3.0 * (track_id // 4) + 0.3::double * (x - 500) as x, 300.0::double + 5.0 * (track_id // 4) + 0.5::double * (y - 300) as y) from kp)"""
+
 
 def _duplicates_sql(counts: bool) -> str:
     """Turns one after another: a step is the next track of each frame, with the list of those gone so far."""
@@ -162,7 +165,7 @@ def _duplicates_sql(counts: bool) -> str:
     loser = "case when an < bn then a else b end" if counts else "case when abs(aconf - bconf) < 1e-5 or aconf >= bconf then b else a end"
     outlasted = "joints < 0.12::double * tall and not (iou > 0.5 and joints < 0.25::double * tall) and ((asafe and bn >= 3 * an) or (bsafe and an >= 3 * bn))" if counts else "false"
     return f"""{_HEAD.replace("with ", "with recursive ", 1)},
-cr as (select * replace (track_id % 2 as seq_id, 100.0::double * (track_id % 4) + 3.0 * (track_id // 4) + 0.3::double * (x - 500) as x, 300.0::double + 5.0 * (track_id // 4) + 0.5::double * (y - 300) as y) from kp),
+{_CROWD},
 po as (
   select seq_id, track_id, frame_idx, list({{x: x, y: y, s: s}} order by j) as k, min(x) as x1, min(y) as y1, max(x) as x2, max(y) as y2, list_sum(list(s order by j)) / 17 as conf,
     track_id in (2, 11) as safe, count(*) over (partition by seq_id, track_id) as n from cr group by seq_id, track_id, frame_idx),

@@ -89,6 +89,14 @@ def _ambiguous(spark: SparkSession, sf: str) -> DataFrame:
     return study.ambiguous(_edges(spark, sf), n.select(F.col("n_regionkey").alias("grp"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("name")))
 
 
+def _order(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers of a nation against those a few places on, and some the other way round, so that there are circles."""
+    rows = spark.read.parquet(f"{sf}/supplier.parquet").select((F.col("s_nationkey") % 5).alias("grp"), F.col("s_suppkey").alias("w"))
+    edges = rows.select("w", F.explode(F.array(F.col("w") + 5, F.col("w") + 10, F.col("w") - 15)).alias("l"))
+    edges = edges.where("l % 3 != 0 or w % 2 = 0")
+    return study.peel(edges, rows.select("grp", F.col("w").alias("name")))
+
+
 def _coerced(spark: SparkSession, sf: str) -> DataFrame:
     o = spark.read.parquet(f"{sf}/orders.parquet")
     n = F.col("o_orderkey")
@@ -111,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "wins_losses": lambda s, d: study.wins_and_losses(_edges(s, d)),
     "tournament_closure": lambda s, d: study.closure(_edges(s, d)),
     "tournament_ambiguous": _ambiguous,
+    "tournament_order": _order,
     "run_depths": lambda s, d: study.depths(_runs(s, d)),
     "run_fields": _effective,
     "merged_runs": lambda s, d: rounded(_both_runs(s, d), 2),
@@ -156,6 +165,19 @@ b as (select grp, sum(w * s) / sum(w) as objective, count(*) as n from p group b
     "tournament_closure": f"with recursive {_E}, r(w, l) as (select w, l from e union select r.w, e.l from r join e on r.l = e.w) select w, l from r",
     "tournament_ambiguous": f"""with recursive {_E}, r(w, l) as (select w, l from e union select r.w, e.l from r join e on r.l = e.w), p as (select n_regionkey as grp, 'n' || n_nationkey as name from nation)
 select a.grp, a.name as a, b.name as b from p a join p b on a.grp = b.grp and a.name < b.name where not exists (select 1 from r where (w = a.name and l = b.name) or (w = b.name and l = a.name))""",
+    "tournament_order": """with recursive
+po as (select s_nationkey % 5 as grp, s_suppkey as name from supplier),
+e0 as (select name as w, unnest([name + 5, name + 10, name - 15]) as l from po),
+e as (select * from e0 where l % 3 <> 0 or w % 2 = 0),
+mg as (select name, sum(v) as margin from (select w as name, 1 as v from e union all select l, -1 from e) group by name),
+ed as (select a.grp, list({w: e.w, l: e.l}) as es from e join po a on a.name = e.w join po b on b.name = e.l and b.grp = a.grp group by a.grp),
+pl as (select grp, list({m: -coalesce(margin, 0), name: po.name} order by -coalesce(margin, 0), po.name) as left_ from po left join mg on mg.name = po.name group by grp),
+st(grp, place, name, forced, left_, es) as (
+  select pl.grp, -1, null::bigint, false, left_, coalesce(es, []) from pl left join ed using (grp)
+  union all
+  select grp, place + 1, pick.name, k is null, list_filter(left_, lambda x: x.name <> pick.name), list_filter(es, lambda x: x.w <> pick.name and x.l <> pick.name)
+  from (select *, coalesce(k, left_[1]) as pick from (select *, list_filter(left_, lambda x: not list_contains(list_transform(es, lambda y: y.l), x.name))[1] as k from st where len(left_) > 0)))
+select grp, name, place, forced from st where place >= 0""",
     "run_depths": f"with recursive {_R}, d(id, root, depth) as (select id, id, 0::bigint from rn where parent is null union all select rn.id, d.root, d.depth + 1 from rn join d on rn.parent = d.id) select id, root, depth from d",
     "run_fields": f"""with recursive {_R}, c(id, up, k, v, depth) as (select id, parent, k, v, 0 from rn union all select c.id, rn.parent, rn.k, rn.v, depth + 1 from c join rn on c.up = rn.id where depth < 31),
 m as (select id, k, min_by(v, depth) as v from c group by all) select id, string_agg(k || '=' || v, ',' order by k) as fields from m group by id""",
