@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.operators import masks, merging, pairs, tracks
+from kinetra.operators import features, masks, merging, pairs, tracks
 from kinetra.plans.rounding import rounded
 from kinetra.plans.rounding import rounded_sql as _r
 from kinetra.plans import track_queries
@@ -59,6 +59,12 @@ def _resumed(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("n_built", F.lit(len(chain.built)))
 
 
+def _pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Broken tracks, and the pairs that share a frame or follow each other within 30 frames."""
+    o = _broken(spark, sf)
+    return o, merging.kept_apart(o).unionByName(pairs.global_candidates(o, 30, 0.02).select("seq_id", "a", "b"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "packed_detections": _packed,
     "unpacked_detections": lambda s, d: rounded(documents.unpacked(documents.packed(obs(s, d), FRAMES, PART))),
@@ -70,6 +76,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merged_apart": _merged_apart,
     "track_layers": _layers,
     "resumed_quality": _resumed,
+    "track_features": lambda s, d: rounded(features.node_features(obs(s, d), FRAMES)),
+    "pair_features": lambda s, d: rounded(features.pair_features(_pairs(s, d)[0], FRAMES, _pairs(s, d)[1])),
+    "merged_by_prior": lambda s, d: features.merged_by_prior(_pairs(s, d)[0], FRAMES, _pairs(s, d)[1]),
+    "stride_filled": lambda s, d: rounded(features.stride_filled(keypoints(s, d), obs(s, d), 4)),
 }
 
 _FRAMES = f"""
@@ -86,6 +96,36 @@ def _sql(*parts: str) -> str:
     return "with recursive " + ",".join(p.strip() for p in parts)
 
 
+#: Features and prior of the pairs of ``_pairs``.
+_FEATURES = """
+wp as (
+  select distinct p.seq_id, p.track_id as a, q.track_id as b from obs p join obs q on p.seq_id = q.seq_id and p.frame_idx = q.frame_idx and p.track_id < q.track_id union
+  select seq_id, a, b from fl where fl.gap between 1 and 31 and fl.dist <= 0.02::double * sqrt(1920.0 * 1920 + 1080 * 1080)),
+gb as (select *, (x1 + x2) / 2 as cx, (y1 + y2) / 2 as cy, y2 - y1 as h, (x2 - x1) * (y2 - y1) as ar from obs),
+fc as (select seq_id, track_id, count(*) as n, min(frame_idx) as f0, max(frame_idx) as f1, median(h) as mh from gb group by all),
+bx as (
+  select w.seq_id, w.a, w.b, p.frame_idx = q.frame_idx as same, sqrt(power(p.cx - q.cx, 2) + power(p.cy - q.cy, 2)) as d, greatest(p.h, q.h, 1.0) as th, p.ar + q.ar as ars,
+    greatest(0.0, least(p.x2, q.x2) - greatest(p.x1, q.x1)) * greatest(0.0, least(p.y2, q.y2) - greatest(p.y1, q.y1)) as inter
+  from wp w join gb p on p.seq_id = w.seq_id and p.track_id = a join gb q on q.seq_id = w.seq_id and q.track_id = b),
+bp as (select seq_id, a, b, count(*) filter (same) as k, coalesce(max(inter / nullif(ars - inter, 0)) filter (same), 0) as max_iou, avg(d / th) filter (same) as far, min(d) as near from bx group by all),
+pf0 as (
+  select bp.seq_id, bp.a, bp.b, case when k > 0 then 0 when x.f1 < y.f0 then y.f0 - x.f1 when y.f1 < x.f0 then x.f0 - y.f1 else 0 end / 60.0::double as gap, max_iou,
+    coalesce(far, near / greatest(x.mh, y.mh, 1.0)) / 5 as distance, case when k > 0 then 0.0 else 1.0 end::double as apart, least(x.n, y.n)::double / greatest(x.n, y.n) as lengths, k::double / least(x.n, y.n) as shared
+  from bp join fc x on x.seq_id = bp.seq_id and x.track_id = a join fc y on y.seq_id = bp.seq_id and y.track_id = b),
+pf as (select *, 4.2::double * max_iou - 2.8::double * distance - 12.8::double * gap + 0.9::double * shared + 0.35::double * lengths - 0.4::double * apart * (1 - max_iou) as prior from pf0)"""
+#: Links of ``lk`` taken heaviest first, two groups that share a frame never joined.
+_APART = """
+wl as (select seq_id, list(distinct {a: a, b: b}) as ws from (select distinct p.seq_id, p.track_id as a, q.track_id as b from obs p join obs q on p.seq_id = q.seq_id and p.frame_idx = q.frame_idx and p.track_id <> q.track_id) group by seq_id),
+ls as (select seq_id, list({a: a, b: b} order by weight desc, a, b) as ls from lk group by seq_id),
+nd as (select seq_id, map_from_entries(list((track_id, track_id))) as ro from (select distinct seq_id, track_id from obs) group by seq_id),
+st(seq_id, k, ro) as (
+  select seq_id, 0, ro from nd
+  union all
+  select seq_id, k + 1, case when g <> h and len(list_filter(ws, lambda w: ro[w.a] = g and ro[w.b] = h)) = 0
+      then map_from_entries(list_transform(map_entries(ro), lambda e: (e.key, case when e.value in (g, h) then least(g, h) else e.value end))) else ro end
+  from (select st.*, ws, ro[ls[k + 1].a] as g, ro[ls[k + 1].b] as h from st join ls using (seq_id) join wl using (seq_id) where k < len(ls))),
+en as (select seq_id, unnest(map_entries(ro)) as e from (select * from st qualify k = max(k) over (partition by seq_id)))"""
+
 ORACLE_SQL: dict[str, str] = {
     "packed_detections": _sql(OBS_SQL, _FRAMES, f"""
 c as (select fr.seq_id, fr.frame_idx, count(track_id) as n, string_agg(track_id::varchar, ',' order by track_id) as ids from fr left join obs using (seq_id, frame_idx) group by all),
@@ -103,17 +143,29 @@ o as (
   select b.*, shared::double / (x.area + y.area - shared) as iou, shared::double / x.area as a_in_b, shared::double / y.area as b_in_a
   from b join ar x on x.seq_id = b.seq_id and x.frame_idx = b.frame_idx and x.track_id = a join ar y on y.seq_id = b.seq_id and y.frame_idx = b.frame_idx and y.track_id = b.b)""")
     + f" select seq_id, frame_idx, a, b, shared, {_r('iou', 'a_in_b', 'b_in_a')} from o",
-    "merged_apart": _sql(_BROKEN, _ENDS, _LINKS, """
-wl as (select seq_id, list(distinct {a: a, b: b}) as ws from (select distinct p.seq_id, p.track_id as a, q.track_id as b from obs p join obs q on p.seq_id = q.seq_id and p.frame_idx = q.frame_idx and p.track_id <> q.track_id) group by seq_id),
-ls as (select seq_id, list({a: a, b: b} order by weight desc, a, b) as ls from lk group by seq_id),
-nd as (select seq_id, map_from_entries(list((track_id, track_id))) as ro from (select distinct seq_id, track_id from obs) group by seq_id),
-st(seq_id, k, ro) as (
-  select seq_id, 0, ro from nd
-  union all
-  select seq_id, k + 1, case when g <> h and len(list_filter(ws, lambda w: ro[w.a] = g and ro[w.b] = h)) = 0
-      then map_from_entries(list_transform(map_entries(ro), lambda e: (e.key, case when e.value in (g, h) then least(g, h) else e.value end))) else ro end
-  from (select st.*, ws, ro[ls[k + 1].a] as g, ro[ls[k + 1].b] as h from st join ls using (seq_id) join wl using (seq_id) where k < len(ls))),
-en as (select seq_id, unnest(map_entries(ro)) as e from (select * from st qualify k = max(k) over (partition by seq_id)))""") + " select seq_id, e.key as node, e.value as root from en",
+    "merged_apart": _sql(_BROKEN, _ENDS, _LINKS, _APART) + " select seq_id, e.key as node, e.value as root from en",
+    "merged_by_prior": _sql(_BROKEN, _ENDS, _FEATURES, "lk as (select seq_id, a, b, prior as weight from pf where apart = 1 and 1 / (1 + exp(-prior)) >= 0.55::double)", _APART) + " select seq_id, e.key as node, e.value as root from en",
+    "pair_features": _sql(_BROKEN, _ENDS, _FEATURES) + f" select seq_id, a, b, {_r('gap', 'max_iou', 'distance', 'apart', 'lengths', 'shared', 'prior')} from pf",
+    "track_features": _sql(OBS_SQL, """
+nf as (
+  select *, (x1 + x2) / 2 as cx, (y1 + y2) / 2 as cy, greatest(x2 - x1, 1e-3) as w, greatest(y2 - y1, 1e-3) as h from obs),
+ns as (select *, sqrt(power(cx - lag(cx) over u, 2) + power(cy - lag(cy) over u, 2)) as step from nf window u as (partition by seq_id, track_id order by frame_idx)),
+na as (
+  select seq_id, track_id, count(*) as n, min(frame_idx) as f0, max(frame_idx) as f1, greatest(median(h), 1.0) as sc, median(h) / median(w) as shape, avg(cx) as ax, avg(cy) as ay, avg(w) as aw, avg(h) as ah, avg(conf) as ac,
+    coalesce(avg(step), 0) as ap, stddev_pop(cx) as dx, stddev_pop(cy) as dy, stddev_pop(h) as dh, stddev_pop(conf) as dc, coalesce(stddev_pop(step), 0) as dp from ns group by all),
+nt as (
+  select seq_id, track_id, f0 / 60.0::double as first, f1 / 60.0::double as last, (f1 - f0 + 1) / 60.0::double as span, ln(1 + n) / 6 as length, ax / (sc * 20) as x, ay / (sc * 20) as y, dx / sc as sd_x, dy / sc as sd_y, aw / sc as w, ah / sc as h, dh / sc as sd_h,
+    ac as conf, dc as sd_conf, ap / sc as speed, dp / sc as sd_speed, shape from na)""") + f" select seq_id, track_id, {_r('first', 'last', 'span', 'length', 'x', 'y', 'sd_x', 'sd_y', 'w', 'h', 'sd_h', 'conf', 'sd_conf', 'speed', 'sd_speed', 'shape')} from nt",
+    "stride_filled": _sql(OBS_SQL, KEYPOINTS_SQL, """
+lo as (select * from kp where frame_idx % 4 = 0),
+mt as (
+  select o.seq_id, o.track_id, o.frame_idx, j.j::int as j, (o.frame_idx % 4) / 4.0::double as t, p.x as x0, p.y as y0, p.s as s0, q.x as x1, q.y as y1, q.s as s1
+  from obs o join range(17) j(j) on o.frame_idx % 4 <> 0 left join lo p on p.seq_id = o.seq_id and p.track_id = o.track_id and p.j = j.j and p.frame_idx = o.frame_idx // 4 * 4
+    left join lo q on q.seq_id = o.seq_id and q.track_id = o.track_id and q.j = j.j and q.frame_idx = o.frame_idx // 4 * 4 + 4
+  where p.x is not null or q.x is not null),
+sf as (
+  select seq_id, track_id, frame_idx, j, x, y, s from lo semi join obs using (seq_id, track_id, frame_idx) union all
+  select seq_id, track_id, frame_idx, j, coalesce((1 - t) * x0 + t * x1, x0, x1), coalesce((1 - t) * y0 + t * y1, y0, y1), coalesce((1 - t) * s0 + t * s1, s0, s1) from mt)""") + f" select seq_id, track_id, frame_idx, j, {_r('x', 'y', 's')} from sf",
     "track_layers": _sql(_BROKEN, _ENDS, _LINKS, """
 dp(seq_id, node, layer) as (select distinct seq_id, track_id, 0 from obs union select dp.seq_id, lk.b, layer + 1 from dp join lk on lk.seq_id = dp.seq_id and lk.a = dp.node)""")
     + " select seq_id, node, max(layer) as layer from dp group by all",
