@@ -44,6 +44,37 @@ def fused(signals: dict[str, tuple[Column, float]]) -> Column:
     return total / F.nullif(weight, F.lit(0.0))
 
 
+#: Weights of the six signals, and the fewest poses that a gait is told from.
+SIGNALS = {"part": 0.30, "overlap": 0.15, "gait": 0.20, "face": 0.20, "colour": 0.10, "place": 0.05}
+GAIT_POSES = 30
+
+
+def region_distance(a: Column, b: Column) -> Column:
+    """Mean distance of the histograms that two maps by region share with equal lengths; 1 if there are none, null if a map is missing or empty."""
+    shared = F.filter(F.map_keys(a), lambda k: F.coalesce(F.size(F.try_element_at(a, k)) == F.size(F.try_element_at(b, k)), F.lit(False)))
+    total = F.aggregate(F.transform(shared, lambda k: hellinger(F.try_element_at(a, k), F.try_element_at(b, k))), F.lit(0.0), lambda t, v: t + v)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.coalesce(total / F.nullif(F.size(shared), F.lit(0)), F.lit(1.0)))
+
+
+def six_signals(q: str, p: str) -> dict[str, tuple[Column, float]]:
+    """Signals and weights for struct columns ``q`` (asked: look, crowded_look, gait, face, colours, x, y, crowded, n_poses, frame) and ``p`` (person: the same, last place and frame).
+
+    A signal that one of both lacks is null; the look of an overlapped person counts only if it is ``crowded``, a gait only over enough poses;
+    the place always counts.
+    """
+    of = lambda c: (F.col(f"{q}.{c}"), F.col(f"{p}.{c}"))
+    dx, dy = (of(c)[0] - of(c)[1] for c in "xy")
+    found = {
+        "part": dot(*of("look")),
+        "overlap": F.when(F.col(f"{q}.crowded"), dot(F.col(f"{q}.crowded_look"), F.col(f"{p}.look"))),
+        "gait": F.when(F.col(f"{q}.n_poses") >= GAIT_POSES, dot(*of("gait"))),
+        "face": dot(*of("face")),
+        "colour": 1.0 - region_distance(*of("colours")),
+        "place": spatial_prior(F.sqrt(dx * dx + dy * dy), of("frame")[0] - of("frame")[1]),
+    }
+    return {c: (v, SIGNALS[c]) for c, v in found.items()}
+
+
 def best_match(pairs: DataFrame, least: float) -> DataFrame:
     """Per query (seq_id, query_id, person_id, score): the person with the highest score (ties to the smaller id), null where it is under ``least``."""
     top = pairs.where("score is not null").groupBy("seq_id", "query_id").agg(F.max(F.struct("score", -F.col("person_id"))).alias("m"))

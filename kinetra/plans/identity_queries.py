@@ -45,6 +45,22 @@ def _fused(spark: SparkSession, sf: str) -> DataFrame:
     return identity.best_match(p.select("seq_id", "query_id", "person_id", identity.fused(signals).alias("score")), 0.5)
 
 
+def _six(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector as a person with looks, gait, face and colours from its parts; the first frame's are the gallery."""
+    e = F.col("embedding")
+    part = lambda a, n: F.slice(e, a, n)
+    shares = lambda v: F.transform(v, lambda x: F.abs(x) / F.aggregate(v, F.lit(0.0), lambda t, y: t + F.abs(y)))
+    regions = F.map_from_arrays(F.when(e[56] > 0, F.array(F.lit("top"), F.lit("low"))).otherwise(F.array(F.lit("top"))), F.when(e[56] > 0, F.array(shares(part(49, 8)), shares(part(57, 8)))).otherwise(F.array(shares(part(49, 8)))))
+    all_ = _embeddings(spark, sf).select(
+        "seq_id", "vec_id", F.struct(
+            part(1, 16).alias("look"), part(17, 16).alias("crowded_look"), part(33, 8).alias("gait"), F.when(e[40] > 0, part(41, 8)).alias("face"), regions.alias("colours"),
+            e[0].alias("x"), e[1].alias("y"), (e[16] > 0).alias("crowded"), (20 + F.col("vec_id") % 20).alias("n_poses"), F.floor(F.col("vec_id") / PERSON).alias("frame"),
+        ).alias("v"))
+    people = all_.where("v.frame = 0").select("seq_id", F.col("vec_id").alias("person_id"), F.col("v").alias("p"))
+    pairs = all_.where("v.frame > 0").select("seq_id", F.col("vec_id").alias("query_id"), F.col("v").alias("q")).join(people, "seq_id")
+    return identity.best_match(pairs.select("seq_id", "query_id", "person_id", identity.fused(identity.six_signals("q", "p")).alias("score")), 0.13).na.fill({"person_id": -1})
+
+
 def _bank(spark: SparkSession, sf: str) -> DataFrame:
     e = _embeddings(spark, sf).withColumns({"track_id": F.col("vec_id") % 20, "frame_idx": F.floor(F.col("vec_id") / 20)})
     lost = e.where(F.col("frame_idx") < F.col("track_id"))
@@ -69,6 +85,7 @@ def _rates(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gallery_signals": lambda s, d: rounded(_gallery_pairs(s, d)),
     "gallery_match": lambda s, d: rounded(_fused(s, d).na.fill({"person_id": -1})),
+    "fused_match": lambda s, d: rounded(_six(s, d)),
     "bank_match": lambda s, d: rounded(_bank(s, d)),
     "pair_costs": lambda s, d: rounded(_costs(s, d)),
     "gallery_rates": lambda s, d: rounded(_rates(s, d)),
@@ -93,6 +110,20 @@ ORACLE_SQL: dict[str, str] = {
     "gallery_signals": f"with {_E} select seq_id, query_id, person_id, {_r('cosine', 'hellinger', 'prior')} from gs",
     "gallery_match": f"""with {_E}, f as (select seq_id, query_id, person_id, (case when query_id % 5 <> 0 then 0.4::double * cosine else 0 end + 0.3::double * (1 - hellinger) + 0.1::double * prior) / (case when query_id % 5 <> 0 then 0.8::double else 0.4::double end) as score from gs),
 b as (select * from f qualify row_number() over (partition by seq_id, query_id order by score desc, person_id) = 1) select seq_id, query_id, case when b.score >= 0.5 then person_id else -1 end as person_id, {_r('score')} from b""",
+    "fused_match": f"""with em as (select vec_id, vec_id % 7 as seq_id, vec_id // {PERSON} as f, embedding::double[] as e from embeddings),
+sg as (
+  select q.seq_id, q.vec_id as query_id, p.vec_id as person_id, list_inner_product(q.e[1:16], p.e[1:16]) as part, case when q.e[17] > 0 then list_inner_product(q.e[17:32], p.e[1:16]) end as crowd,
+    case when 20 + q.vec_id % 20 >= 30 then list_inner_product(q.e[33:40], p.e[33:40]) end as gait, case when q.e[41] > 0 and p.e[41] > 0 then list_inner_product(q.e[41:48], p.e[41:48]) end as face,
+    list_transform([q.e[49:56], p.e[49:56], q.e[57:64], p.e[57:64]], lambda v: list_transform(v, lambda x: sqrt(abs(x) / list_sum(list_transform(v, lambda y: abs(y)))))) as h, q.e[57] > 0 and p.e[57] > 0 as low,
+    greatest(0.0, 1 - sqrt(power(q.e[1] - p.e[1], 2) + power(q.e[2] - p.e[2], 2))) * exp(-0.01::double * greatest(q.f - p.f, 1)) as place
+  from em q join em p on q.seq_id = p.seq_id and q.f > 0 and p.f = 0),
+hd as (
+  select *, sqrt(list_sum(list_transform(range(1, 9), lambda i: power(h[1][i] - h[2][i], 2)))) / sqrt(2) as top_far, sqrt(list_sum(list_transform(range(1, 9), lambda i: power(h[3][i] - h[4][i], 2)))) / sqrt(2) as low_far from sg),
+sc as (
+  select seq_id, query_id, person_id, (0.3::double * part + 0.15::double * coalesce(crowd, 0) + 0.2::double * coalesce(gait, 0) + 0.2::double * coalesce(face, 0) + 0.1::double * (1 - case when low then (top_far + low_far) / 2 else top_far end) + 0.05::double * place)
+    / (0.45::double + case when crowd is null then 0 else 0.15 end + case when gait is null then 0 else 0.2 end + case when face is null then 0 else 0.2 end) as score from hd),
+b as (select * from sc qualify row_number() over (partition by seq_id, query_id order by score desc, person_id) = 1)
+select seq_id, query_id, case when b.score >= 0.13 then person_id else -1 end as person_id, {_r('score')} from b""",
     "bank_match": f"""with {_E}, x as (select *, vec_id % 20 as track_id, vec_id // 20 as f from em), l as (select *, row_number() over (partition by seq_id, track_id order by f desc) as rn, max(f) over (partition by seq_id, track_id) as last from x where f < track_id),
 s as (select q.seq_id, q.vec_id as query_id, l.track_id, avg(list_inner_product(q.e, l.e)) as score from x q join l on q.seq_id = l.seq_id and q.f >= q.track_id and rn <= 5 and q.f - last between 1 and 30 group by all having avg(list_inner_product(q.e, l.e)) > 0.02),
 b as (select * from s qualify row_number() over (partition by seq_id, query_id order by score desc, track_id) = 1) select seq_id, query_id, track_id, {_r('score')} from b""",

@@ -22,6 +22,18 @@ def _trials(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _hints(spark: SparkSession, sf: str) -> DataFrame:
+    """Trials whose parameters lean on their values, one of them a word."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    number, price = F.col("o_orderkey"), F.col("o_totalprice")
+    params = F.create_map(
+        F.lit("a"), (number % 7 + F.floor(price / 100000)).cast("string"), F.lit("b"), (F.col("o_custkey") % 13).cast("string"),
+        F.lit("c"), F.when((price > 180000) | (number % 4 == 0), "fast").otherwise("slow"), F.lit("d"), F.when(number % 3 != 0, F.substring("o_orderpriority", 1, 1)).otherwise("x"),
+    )
+    trials = o.select(number.alias("number"), (F.col("o_custkey") % 50).alias("study"), F.when(number % 11 != 0, price).alias("value"), params.alias("params"))
+    return study.param_hints(trials)
+
+
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
     n = spark.read.parquet(f"{sf}/nation.parquet")
     return n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("w"), F.concat(F.lit("n"), (F.col("n_nationkey") + 1 + F.col("n_regionkey")).cast("string")).alias("l"))
@@ -113,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trial_ranking": lambda s, d: study.ranking(_trials(s, d)),
     "trial_running": lambda s, d: rounded(study.running(_trials(s, d))),
     "param_insights": lambda s, d: rounded(study.param_insights(_trials(s, d))),
+    "param_hints": lambda s, d: rounded(_hints(s, d)),
     "harmonic_mean": lambda s, d: rounded(study.harmonic(_scores(s, d)), 6),
     "composite_score": lambda s, d: rounded(_metrics(s, d), 6),
     "objective_blend": lambda s, d: rounded(_blend(s, d), 6),
@@ -155,6 +168,18 @@ ORACLE_SQL: dict[str, str] = {
   floor((max(value) over (partition by study order by number))::double * 1e5 + 0.5) / 1e5 as best_so_far from t""",
     "param_insights": _T + """, h as (select *, ntile(2) over (partition by study order by value desc nulls last, number) as half from t), u as (select study, half, 'a' as param, a as v from h union all select study, half, 'b', b from h)
 select study, param, floor((avg(v) filter (half = 1))::double * 1e5 + 0.5) / 1e5 as mean_top, floor((avg(v) filter (half = 2))::double * 1e5 + 0.5) / 1e5 as mean_bottom, count(*) as n from u group by all""",
+    "param_hints": f"""with t as (
+  select o_orderkey as number, o_custkey % 50 as study, o_totalprice as value, (o_orderkey % 7 + cast(floor(o_totalprice / 100000) as bigint))::varchar as a, (o_custkey % 13)::varchar as b,
+    case when o_totalprice > 180000 or o_orderkey % 4 = 0 then 'fast' else 'slow' end as c, case when o_orderkey % 3 <> 0 then substr(o_orderpriority, 1, 1) else 'x' end as d from orders where o_orderkey % 11 <> 0),
+h as (select *, ntile(2) over (partition by study order by value desc, number) as half from t),
+u as (select study, half, unnest(['a', 'b', 'c', 'd']) as param, unnest([a, b, c, d]) as v from h),
+m as (select study, param, bool_and(try_cast(v as double) is not null) as plain, avg(try_cast(v as double)) filter (half = 1) as top, avg(try_cast(v as double)) filter (half = 2) as bottom, count(*) filter (half = 1) as n1, count(*) filter (half = 2) as n2 from u group by all having count(distinct half) = 2),
+k as (select study, param, v, count(*) filter (half = 1) as k1, count(*) filter (half = 2) as k2 from u group by study, param, v qualify row_number() over (partition by study, param order by count(*) filter (half = 1) desc, v) = 1),
+r as (
+  select study, param, case when top > bottom then 'higher' else 'lower' end as direction, abs(top - bottom) / greatest(top, bottom, 0.001) > 0.15 as strong, null as value, top, bottom from m where plain and abs(top - bottom) / greatest(top, bottom, 0.001) >= 0.04::double
+  union all
+  select study, param, 'categorical', k1::double / n1 - k2::double / n2 > 0.5, v, k1::double / n1, k2::double / n2 from m join k using (study, param) where not plain and k1::double / n1 - k2::double / n2 >= 0.25)
+select study, param, direction, strong, value, {half_up_sql('top', 5)} as top, {half_up_sql('bottom', 5)} as bottom from r""",
     "harmonic_mean": "select l_returnflag as grp, floor((sum(l_quantity) / sum(l_quantity / greatest(l_discount * 10, 1e-6)))::double * 1e6 + 0.5) / 1e6 as harmonic from lineitem group by all",
     "composite_score": """with m as (select p_partkey, p_size / 50.0::double as h, case when p_partkey % 5 <> 0 then p_retailprice / 2000.0::double end as r, case when p_partkey % 3 <> 0 then 0.5::double end as f, greatest(p_size * 2, 1) as n from part),
 c as (select p_partkey, 0.45::double * h + 0.25::double * coalesce(nullif(r, 0), f, h) + 0.20::double * (1 - least((p_partkey % 10) / greatest(n * 0.05::double, 1), 1)) + 0.10::double * (1 - least((p_partkey % 7) / greatest(n * 0.10::double, 1), 1)) as score from m)
