@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.operators import evaluate, grouped, pose, review
+from kinetra.operators import evaluate, grouped, kalman, pose, review
 from kinetra.plans.rounding import rounded
 from kinetra.plans.rounding import rounded_sql as _r
 from kinetra.sources.derived import KEYPOINTS_SQL, OBS_SQL, keypoints, obs
@@ -59,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "reemergence": lambda s, d: rounded(evaluate.reemergence(_events(s, d))),
     "honesty": lambda s, d: rounded(evaluate.honesty(_joint_labels(s, d))),
     "bones_kept": lambda s, d: rounded(grouped.keep_bones(keypoints(s, d), review.bone_lengths(keypoints(s, d))), 3),
+    "kalman_filtered": lambda s, d: rounded(kalman.filtered(obs(s, d))),
     "benchmark_metrics": lambda s, d: evaluate.benchmark(obs(s, d), 10),
 }
 
@@ -83,6 +84,30 @@ y as (select seq_id, frame_idx, arg_max(kept, k) as kept from r group by all), z
 select seq_id, track_id, frame_idx, {_r('x1', 'y1', 'x2', 'y2', 'conf')} from u"""
 
 
+def _kalman() -> str:
+    """The filter by recursion over each track's frames: places x, velocities v, variances a, c and covariance b of four axes, the noise's scale q and the last centres m."""
+    each = lambda e: f"list_transform(range(1, 5), lambda i: {e})"
+    return f"""with recursive {OBS_SQL.strip()},
+z as (select seq_id, track_id, frame_idx as f, [(x1 + x2) / 2, (y1 + y2) / 2, x2 - x1, y2 - y1] as z, lead(frame_idx) over (partition by seq_id, track_id order by frame_idx) as nf, row_number() over (partition by seq_id, track_id order by frame_idx) as k from obs),
+last_seen as (select seq_id, track_id, max(frame_idx) as last from obs group by all),
+r(seq_id, track_id, f, seen, p, x, v, a, b, c, q, m) as (
+  select seq_id, track_id, f, true, z, z, [0.0, 0, 0, 0]::double[], [100.0, 100, 100, 100]::double[], [0.0, 0, 0, 0]::double[], [100.0, 100, 100, 100]::double[], 1.0::double, [{{x: z[1], y: z[2]}}] from z where k = 1
+  union all
+  select seq_id, track_id, g, z is not null, x1, case when z is null then x1 else {each("x1[i] + a1[i] / (a1[i] + 10) * (z[i] - x1[i])")} end, case when z is null then v else {each("v[i] + b1[i] / (a1[i] + 10) * (z[i] - x1[i])")} end,
+    case when z is null then a1 else {each("(1 - a1[i] / (a1[i] + 10)) * a1[i]")} end, case when z is null then b1 else {each("(1 - a1[i] / (a1[i] + 10)) * b1[i]")} end,
+    case when z is null then c1 else {each("c1[i] - b1[i] / (a1[i] + 10) * b1[i]")} end,
+    case when len(m) < 3 then q when dx > 2 or dy > 2 then least(1 + sqrt(dx * dx + dy * dy) / 2, 10.0) else 1.0 end, case when z is null then m else list_slice(list_append(m, {{x: z[1], y: z[2]}}), -10, -1) end
+  from (
+    select *, abs(x1[1] - list_avg(list_transform(m, lambda e: e.x))) / (list_aggregate(list_transform(m, lambda e: e.x), 'stddev_pop') + 1e-6) as dx,
+      abs(x1[2] - list_avg(list_transform(m, lambda e: e.y))) / (list_aggregate(list_transform(m, lambda e: e.y), 'stddev_pop') + 1e-6) as dy from (
+      select r.* exclude (f, p, seen), r.f + 1 as g, o.z, {each("x[i] + v[i]")} as x1, {each("a[i] + 2 * b[i] + c[i] + 10 * q")} as a1, {each("b[i] + c[i]")} as b1, {each("c[i] + case when i <= 2 then 25 else 10 end * q")} as c1
+      from r join last_seen l using (seq_id, track_id) left join z o on o.seq_id = r.seq_id and o.track_id = r.track_id and o.f = r.f + 1 where r.f < l.last))),
+t as (
+  select seq_id, track_id, f as frame_idx, p[1] - greatest(p[3], 1.0) / 2 as x1, p[2] - greatest(p[4], 1.0) / 2 as y1, p[1] + greatest(p[3], 1.0) / 2 as x2, p[2] + greatest(p[4], 1.0) / 2 as y2,
+    x[1] as cx, x[2] as cy, x[3] as w, x[4] as h, v[1] as vx, v[2] as vy, q as scale from r where seen)
+select seq_id, track_id, frame_idx, {_r('x1', 'y1', 'x2', 'y2', 'cx', 'cy', 'w', 'h', 'vx', 'vy', 'scale')} from t"""
+
+
 def _one_euro() -> str:
     """The filter by recursion over each axis of a track's joint: last output (l), slope (d) and the frame of the last sure sample (t)."""
     rate = lambda c: f"(2 * pi() * {c} * dt / (2 * pi() * {c} * dt + 1))"
@@ -103,6 +128,7 @@ ORACLE_SQL: dict[str, str] = {
     "nms": _nms(0.5, False),
     "diou_nms": _nms(0.4, True),
     "one_euro": _one_euro(),
+    "kalman_filtered": _kalman(),
     "honesty": "with " + KEYPOINTS_SQL.strip() + f""", l as (select seq_id, (frame_idx + j) % 3 <> 0 as visible, case when j % 5 <> 0 then s end as score from kp),
 h as (select seq_id, count(*) as n_labels, count(score) / count(*) as coverage, count_if(not visible and score >= 0.35) / nullif(count_if(not visible and score is not null), 0) as wrong, avg(power(score - visible::int, 2)) as brier from l group by all),
 r as (select seq_id, n_labels, coverage, (1 - wrong) * coverage as visibility, (1 - brier) * coverage as calibration from h) select seq_id, n_labels, {_r('coverage', 'visibility', 'calibration')} from r""",

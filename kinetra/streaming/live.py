@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from kinetra.operators import kalman
 from kinetra.operators.events import Thresholds
 from kinetra.operators.grouped import box_iou
 
@@ -106,6 +107,28 @@ def pair_events(stream: DataFrame, at: Thresholds) -> DataFrame:
     )
 
 
+class Kalman(StatefulProcessor):
+    """Per track: the filter of ``kalman``. State is its numbers, last centres and frame."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "frame long, state array<double>, centres array<array<double>>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = kalman.Filter(*self.held.get()) if self.held.exists() else None
+        after, out = kalman.run_on(before, pd.concat(list(rows)).sort_values("frame_idx"))
+        if after is not None:
+            self.held.update((after.frame, after.state(), after.centres))
+        yield pd.DataFrame([(*key, *o) for o in out], columns=[c.split()[0] for c in kalman.OUT.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def filtered(stream: DataFrame) -> DataFrame:
+    """``kalman.filtered`` of observations as they come."""
+    return stream.groupBy("seq_id", "track_id").transformWithStateInPandas(statefulProcessor=Kalman(), outputStructType=kalman.OUT, outputMode="Append", timeMode="None")
+
+
 class Absences(StatefulProcessor):
     """Per track: DORMANT when it was away for more than ``dormant`` frames and LOST for more than ``lost``, told when it happens, by timers on the time of the stream.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from kinetra.operators import events, grouped, pairs
+from kinetra.operators import events, grouped, kalman, pairs
 from kinetra.streaming import live
 
 
@@ -98,3 +98,14 @@ def test_a_bank_wakes_and_forgets(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.table("bank").collect())
     # 50 wakes track 1; 51 finds nobody asleep; 52 wakes track 2; at frame 400 track 1 is forgotten.
     assert [r[:4] for r in got] == [(0, 12, 50, 1), (0, 25, 52, 2)] and abs(got[0][4] - 0.8) < 1e-9
+
+
+def test_filter_of_a_stream_equals_the_batch(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(0, t, f, x, 5.0 * t, x + 20 + rng.random(), 5.0 * t + 40) for t in (1, 2, 3) for f in range(40) if rng.random() < 0.8 for x in [3.0 * f + (60 if f > 25 and t == 2 else 0) + rng.random()]]
+    obs = spark.createDataFrame(rows, "seq_id long, track_id long, frame_idx long, x1 double, y1 double, x2 double, y2 double")
+    spark.conf.set(*ROCKS)
+    run(live.filtered(in_files(obs, str(tmp_path / "in"), "frame_idx div 7", 6)), "filtered", "append")
+    key = lambda r: tuple(round(v, 9) for v in r)
+    batch = sorted(map(key, kalman.filtered(obs).collect()))
+    assert sorted(map(key, spark.table("filtered").collect())) == batch and max(r[-1] for r in batch) > 1.5
