@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,6 +109,31 @@ t as (
 select seq_id, track_id, frame_idx, {_r('x1', 'y1', 'x2', 'y2', 'cx', 'cy', 'w', 'h', 'vx', 'vy', 'scale')} from t"""
 
 
+def _lift(total: int = 40, window: int = 11, order: int = 3) -> str:
+    """Series filled on straight lines to every frame; a value is a row of the fitted polynomial's matrix times its window, at the ends the first or last window."""
+    at = np.arange(window) - window // 2
+    fit = np.vander(at, order + 1, increasing=True)
+    rows = "[" + ", ".join("[" + ", ".join(f"{v!r}" for v in row) + "]" for row in (fit @ np.linalg.pinv(fit)).tolist()) + "]::double[][]"
+    half = window // 2
+    return f"""with {KEYPOINTS_SQL.strip()},
+l as (select seq_id, track_id, j, max(frame_idx) as last, count(*) as k from kp group by all),
+sp as (select seq_id, track_id, j, k, unnest(range(0, greatest({total}, last + 1))) as f from l),
+fi as (
+  select sp.*, kp.frame_idx is not null as here, kp.s, x, y, max(kp.frame_idx) over w as lo, min(kp.frame_idx) over v as hi, last_value(x ignore nulls) over w as lx, first_value(x ignore nulls) over v as hx, last_value(y ignore nulls) over w as ly, first_value(y ignore nulls) over v as hy
+  from sp left join kp on kp.seq_id = sp.seq_id and kp.track_id = sp.track_id and kp.j = sp.j and kp.frame_idx = f
+  window w as (partition by sp.seq_id, sp.track_id, sp.j order by f rows between unbounded preceding and current row), v as (partition by sp.seq_id, sp.track_id, sp.j order by f rows between current row and unbounded following)),
+ln as (
+  select *, case when lo is null then hx when hi is null or hi = lo then lx else lx + (hx - lx) * (f - lo) / (hi - lo)::double end as fx, case when lo is null then hy when hi is null or hi = lo then ly else ly + (hy - ly) * (f - lo) / (hi - lo)::double end as fy from fi),
+se as (select seq_id, track_id, j, list(fx order by f) as xs, list(fy order by f) as ys, {rows} as m from ln group by all),
+r as (
+  select ln.*, xs, ys, m, case when f < {half} then 0 when f >= len(xs) - {half} then len(xs) - {window} else f - {half} end as a, case when f < {half} then f + 1 when f >= len(xs) - {half} then {window} - (len(xs) - f) + 1 else {half + 1} end as i
+  from ln join se using (seq_id, track_id, j) where here),
+o as (
+  select seq_id, track_id, f as frame_idx, j, case when k < {window} then x else list_sum(list_transform(range(1, {window + 1}), lambda c: m[i][c] * xs[a + c])) end as x,
+    case when k < {window} then y else list_sum(list_transform(range(1, {window + 1}), lambda c: m[i][c] * ys[a + c])) end as y, s from r)
+select seq_id, track_id, frame_idx, j, {_r('x', 'y', 's')} from o"""
+
+
 def _one_euro() -> str:
     """The filter by recursion over each axis of a track's joint: last output (l), slope (d) and the frame of the last sure sample (t)."""
     rate = lambda c: f"(2 * pi() * {c} * dt / (2 * pi() * {c} * dt + 1))"
@@ -124,11 +150,41 @@ w as (select seq_id, track_id, frame_idx, j, max(out) filter (a = 'x') as x, max
 select seq_id, track_id, frame_idx, j, {_r('x', 'y', 's')} from q"""
 
 
+#: Each reference box with the moved one that was made of it: at the sizes that the SQL is held against, no other matching of a frame is better.
+_OWN = """
+fo as (
+  select seq_id, track_id as person, case when track_id % 5 = 0 and frame_idx >= 30 then track_id + 5000 else track_id end as id, frame_idx, x1 + 2 as x1, y1, x2 + 2 as x2, y2 from obs where (track_id + frame_idx) % 9 <> 0),
+mo as (
+  select o.seq_id, o.frame_idx, o.track_id as ref, f.id, greatest(0.0, least(o.x2, f.x2) - greatest(o.x1, f.x1)) * greatest(0.0, least(o.y2, f.y2) - greatest(o.y1, f.y1)) as inter, (o.x2 - o.x1) * (o.y2 - o.y1) + (f.x2 - f.x1) * (f.y2 - f.y1) as areas
+  from obs o join fo f on f.seq_id = o.seq_id and f.frame_idx = o.frame_idx and f.person = o.track_id),
+mt as (select *, inter / (areas - inter) as iou, lag(id) over w as before, frame_idx - lag(frame_idx) over w as gap from mo window w as (partition by seq_id, ref order by frame_idx)),
+nr as (select seq_id, count(*) as n_ref from obs group by all),
+nf as (select seq_id, count(*) as n_found from fo group by all)"""
+
 ORACLE_SQL: dict[str, str] = {
     "nms": _nms(0.5, False),
     "diou_nms": _nms(0.4, True),
     "one_euro": _one_euro(),
     "kalman_filtered": _kalman(),
+    "lift_smoothing": _lift(),
+    "clear_metrics": "with " + OBS_SQL.strip() + "," + _OWN + f""", c as (
+  select seq_id, count(*) as tp, sum(iou) as s, count_if(before <> id)::bigint as id_switches, count_if(gap > 1)::bigint as fragments from mt group by all),
+m as (
+  select seq_id, tp, n_ref - tp as fn, n_found - tp as fp, id_switches, fragments, 1 - (n_ref - tp + n_found - tp + id_switches) / n_ref::double as mota, s / tp as motp, tp::double / n_ref as recall, tp::double / n_found as precision from c join nr using (seq_id) join nf using (seq_id))
+select seq_id, tp, fn, fp, id_switches, fragments, {_r('mota', 'motp', 'recall', 'precision')} from m""",
+    "identity_metrics": "with " + OBS_SQL.strip() + "," + _OWN + f""", k as (select seq_id, ref, id, count(*) as n from mt group by all),
+b as (select seq_id, cast(sum(n) as bigint) as idtp from (select seq_id, ref, max(n) as n from k group by all) group by all),
+m as (
+  select seq_id, idtp, n_ref - idtp as idfn, n_found - idtp as idfp, 2 * idtp / (n_ref + n_found)::double as idf1, idtp / n_found::double as idp, idtp / n_ref::double as idr from b join nr using (seq_id) join nf using (seq_id))
+select seq_id, idtp, idfn, idfp, {_r('idf1', 'idp', 'idr')} from m""",
+    "hota_metrics": "with " + OBS_SQL.strip() + "," + _OWN + f""", al as (select k / 20.0::double as alpha from range(1, 20) r(k)),
+sr as (select seq_id, track_id as ref, count(*) as n_r from obs group by all), si as (select seq_id, id, count(*) as n_i from fo group by all),
+pr as (select seq_id, alpha, ref, id, n_r, n_i, count(*) as c from mt join al on iou >= alpha - 1e-12 join sr using (seq_id, ref) join si using (seq_id, id) group by all),
+pa as (select seq_id, alpha, sum(c) as tp, sum(c * c / (n_r + n_i - c)::double) as a from pr group by all),
+da as (
+  select seq_id, coalesce(tp, 0) / (n_ref + n_found - coalesce(tp, 0))::double as det, coalesce(a / tp, 0) as ass from nr join nf using (seq_id) cross join al left join pa using (seq_id, alpha)),
+m as (select seq_id, avg(sqrt(det * ass)) as hota, avg(det) as det_a, avg(ass) as ass_a from da group by all)
+select seq_id, {_r('hota', 'det_a', 'ass_a')} from m""",
     "honesty": "with " + KEYPOINTS_SQL.strip() + f""", l as (select seq_id, (frame_idx + j) % 3 <> 0 as visible, case when j % 5 <> 0 then s end as score from kp),
 h as (select seq_id, count(*) as n_labels, count(score) / count(*) as coverage, count_if(not visible and score >= 0.35) / nullif(count_if(not visible and score is not null), 0) as wrong, avg(power(score - visible::int, 2)) as brier from l group by all),
 r as (select seq_id, n_labels, coverage, (1 - wrong) * coverage as visibility, (1 - brier) * coverage as calibration from h) select seq_id, n_labels, {_r('coverage', 'visibility', 'calibration')} from r""",
