@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetra.operators import evaluate, grouped, kalman, pose, review
+from kinetra.plans.pose_queries import _ANGLES, _HEAD, _TRUTH
+from kinetra.plans.review_queries import _BONES
 from kinetra.plans.rounding import rounded
 from kinetra.plans.rounding import rounded_sql as _r
 from kinetra.sources.derived import KEYPOINTS_SQL, OBS_SQL, keypoints, obs
@@ -134,6 +136,50 @@ o as (
 select seq_id, track_id, frame_idx, j, {_r('x', 'y', 's')} from o"""
 
 
+def _warped(frames: int = 30, band: int = 3) -> str:
+    """Warping cell by cell: a step is the next cell of the band (``o`` from its left end), with the row before (``up``) and the one at hand (``row``); lags by all shifts."""
+    wide, none = 2 * band + 1, "1e300::double"
+    start = "[" + ", ".join("0.0" if k == band else "1e300" for k in range(wide)) + "]::double[]"
+    return f"""{_HEAD.replace("with ", "with recursive ", 1)}, {_ANGLES}, {_TRUTH.strip()},
+bo as (select an.seq_id, an.track_id, an.joint, an.frame_idx, an.angle, tr.truth, row_number() over (partition by an.seq_id, an.track_id, an.joint order by an.frame_idx desc) as back from an join tr on tr.seq_id = an.seq_id and tr.frame_idx = an.frame_idx and tr.joint = an.joint where angle is not null),
+se as (select seq_id, track_id, joint, list(angle order by frame_idx) as a, list(truth order by frame_idx) as b, count(*) as n from bo where back <= {frames} group by all),
+st(seq_id, track_id, joint, k, up, row) as (
+  select seq_id, track_id, joint, 0::bigint, {start}, []::double[] from se
+  union all
+  select seq_id, track_id, joint, k + 1, case when o = {wide - 1} then list_append(row, c) else up end, case when o = {wide - 1} then []::double[] else list_append(row, c) end
+  from (
+    select *, case when j < 1 or j > n then {none} else abs(a[i] - b[j]) + least(case when o < {wide - 1} then up[o + 2] else {none} end, up[o + 1], case when o > 0 then row[o] else {none} end) end as c
+    from (select st.*, se.a, se.b, se.n, st.k % {wide} as o, st.k // {wide} + 1 as i, st.k // {wide} + 1 - {band} + st.k % {wide} as j from st join se using (seq_id, track_id, joint) where st.k < se.n * {wide}))),
+wc as (select st.seq_id, st.track_id, st.joint, up[{band + 1}] / se.n as shape_error from st join se using (seq_id, track_id, joint) where st.k = se.n * {wide}),
+ce as (select *, list_transform(a, lambda v: v - list_avg(a)) as p, list_transform(b, lambda v: v - list_avg(b)) as q, list_aggregate(a, 'stddev_pop') = 0 or list_aggregate(b, 'stddev_pop') = 0 as flat from se),
+la as (select seq_id, track_id, joint, flat, unnest(range(1 - n, n)) as lag, p, q, n from ce),
+co as (select seq_id, track_id, joint, flat, lag, list_sum(list_transform(range(greatest(1, 1 - lag), least(n, n - lag) + 1), lambda t: p[t + lag] * q[t])) as v from la),
+be as (select * from co qualify row_number() over (partition by seq_id, track_id, joint order by v desc, lag) = 1)
+select seq_id, track_id, joint, {_r('shape_error')}, case when flat then 0 else lag end as timing_lag from wc join be using (seq_id, track_id, joint)"""
+
+
+def _kept_bones(rounds: int = 28) -> str:
+    """Bone after bone: a step moves both ends of the next one; at last the middle of the hips goes back."""
+    moved = lambda c: f"list_transform(range(1, 18), lambda i: {c}[i] + case when i = p + 1 then m{c} when i = q + 1 then -m{c} else 0 end)"
+    return f"""{_HEAD.replace("with ", "with recursive ", 1)}, b(p, q) as (values {_BONES}),
+bl as (select a.seq_id, a.track_id, b.p, b.q, median(sqrt(power(a.x - c.x, 2) + power(a.y - c.y, 2))) as length from b join kp a on a.j = b.p join kp c on c.j = b.q and c.track_id = a.track_id and c.frame_idx = a.frame_idx group by all),
+sp as (select seq_id, track_id, list({{p: p, q: q, length: length}} order by p, q) as bs from bl group by all),
+po as (select seq_id, track_id, frame_idx, list(x order by j) as x, list(y order by j) as y, list(s order by j) as s from kp group by all),
+st(seq_id, track_id, frame_idx, k, x, y) as (
+  select seq_id, track_id, frame_idx, 0, x, y from po
+  union all
+  select seq_id, track_id, frame_idx, k + 1, {moved("x")}, {moved("y")}
+  from (
+    select *, dx * (1 - length / sqrt(dx * dx + dy * dy)) / 2 as mx, dy * (1 - length / sqrt(dx * dx + dy * dy)) / 2 as my
+    from (select st.*, o.p, o.q, o.length, x[o.q + 1] - x[o.p + 1] as dx, y[o.q + 1] - y[o.p + 1] as dy
+      from (select st.*, bs[k % len(bs) + 1] as o from st join sp using (seq_id, track_id) where k < {rounds} * len(bs)) st))),
+en as (
+  select e.seq_id, e.track_id, e.frame_idx, unnest(range(0, 17)) as j, e.x, e.y, po.x as x0, po.y as y0, po.s from (select * from st qualify k = max(k) over (partition by seq_id, track_id, frame_idx)) e join po using (seq_id, track_id, frame_idx)),
+o as (
+  select seq_id, track_id, frame_idx, j::int as j, x[j + 1] + (x0[12] + x0[13] - x[12] - x[13]) / 2 as x, y[j + 1] + (y0[12] + y0[13] - y[12] - y[13]) / 2 as y, s[j + 1] as s from en)
+select seq_id, track_id, frame_idx, j, {_r('x', 'y', 's', places=3)} from o"""
+
+
 def _one_euro() -> str:
     """The filter by recursion over each axis of a track's joint: last output (l), slope (d) and the frame of the last sure sample (t)."""
     rate = lambda c: f"(2 * pi() * {c} * dt / (2 * pi() * {c} * dt + 1))"
@@ -166,6 +212,8 @@ ORACLE_SQL: dict[str, str] = {
     "diou_nms": _nms(0.4, True),
     "one_euro": _one_euro(),
     "kalman_filtered": _kalman(),
+    "shape_and_timing": _warped(),
+    "bones_kept": _kept_bones(),
     "lift_smoothing": _lift(),
     "clear_metrics": "with " + OBS_SQL.strip() + "," + _OWN + f""", c as (
   select seq_id, count(*) as tp, sum(iou) as s, count_if(before <> id)::bigint as id_switches, count_if(gap > 1)::bigint as fragments from mt group by all),
