@@ -91,7 +91,9 @@ def bank_matches(entries: DataFrame, queries: DataFrame, most: int = 1000, least
     back = Window.partitionBy("seq_id", "track_id").orderBy(F.desc("frame_idx"))
     tail = entries.withColumn("rn", F.row_number().over(back)).withColumn("end", F.max("frame_idx").over(Window.partitionBy("seq_id", "track_id"))).where(F.col("rn") <= last)
     q = queries.select("seq_id", "query_id", F.col("frame_idx").alias("now"), F.col("embedding").alias("asked"))
-    met = q.join(tail, "seq_id").where((F.col("now") - F.col("end")).between(1, most))
+    # Both lie in buckets of ``most`` frames: a query in its own, a track in those of the frames in which it is searched.
+    tail = tail.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("end") + 1) / most), F.floor((F.col("end") + most) / most))))
+    met = q.withColumn("bucket", F.floor(F.col("now") / most)).join(tail, ["seq_id", "bucket"]).where((F.col("now") - F.col("end")).between(1, most))
     sims = met.groupBy("seq_id", "query_id", "track_id").agg(F.avg(dot(F.col("asked"), F.col("embedding"))).alias("score"))
     return sims.where(F.col("score") > least).groupBy("seq_id", "query_id").agg(F.max_by("track_id", F.struct("score", -F.col("track_id"))).alias("track_id"), F.max("score").alias("score"))
 

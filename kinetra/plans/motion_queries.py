@@ -111,7 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "expanded_boxes": lambda s, d: rounded(_boxes(s, d)),
     "pair_measures": lambda s, d: rounded(_pair_measures(s, d)),
     "gap_fill_smooth": lambda s, d: rounded(motion.fill_gaps_gsi(obs(s, d), 10)),
-    "dense_keypoints": lambda s, d: rounded(motion.dense_keypoints(keypoints(s, d).where("(track_id + frame_idx) % 4 != 1"), 40)),
+    "dense_keypoints": lambda s, d: rounded(motion.dense_keypoints(keypoints(s, d).withColumn("frame_idx", 2 * F.col("frame_idx")), 80)),
     "pose_jerk": lambda s, d: rounded(motion.jerk(keypoints(s, d))),
     "group_sync": lambda s, d: rounded(motion.group_sync(keypoints(s, d))),
     "sanitised_poses": lambda s, d: rounded(motion.sanitised(keypoints(s, d).withColumn("x", F.col("x") - 380).withColumn("y", F.col("y") - 140), obs(s, d))),
@@ -224,7 +224,7 @@ f as (select *, unnest(range(frame_idx + 1, n_frame_idx)) as f from l where n_fr
 k as (select *, {_GSI.format('((f - frame_idx) / (n_frame_idx - frame_idx))')} as k0, {_GSI.format('((f - frame_idx) / (n_frame_idx - frame_idx) - 1)')} as k1 from f),
 w as (select *, (k0 * (1 + 1e-6) - k1 * {_FAR}) / (power(1 + 1e-6, 2) - power({_FAR}, 2)) as wa, (k1 * (1 + 1e-6) - k0 * {_FAR}) / (power(1 + 1e-6, 2) - power({_FAR}, 2)) as wb from k),
 o as (select seq_id, track_id, f as frame_idx, {', '.join(f'wa * {c} + wb * n_{c} as {c}' for c in motion.BOX)}, 0.5::double as conf from w) select seq_id, track_id, frame_idx, {_r(*motion.BOX, 'conf')} from o""",
-    "dense_keypoints": f"""{_HEAD}, t as (select * from kp where (track_id + frame_idx) % 4 <> 1), b as (select seq_id, track_id, j, least(0, min(frame_idx)) as f0, greatest(39, max(frame_idx)) as f1 from t group by all),
+    "dense_keypoints": f"""{_HEAD}, t as (select * replace (2 * frame_idx as frame_idx) from kp), b as (select seq_id, track_id, j, least(0, min(frame_idx)) as f0, greatest(79, max(frame_idx)) as f1 from t group by all),
 s as (select seq_id, track_id, j, unnest(range(f0, f1 + 1))::bigint as f from b), lo as (select s.*, t.frame_idx as fa, t.x as xa, t.y as ya, t.s as sa from s asof left join t on s.seq_id = t.seq_id and s.track_id = t.track_id and s.j = t.j and s.f >= t.frame_idx),
 hi as (select lo.*, t.frame_idx as fb, t.x as xb, t.y as yb from lo asof left join t on lo.seq_id = t.seq_id and lo.track_id = t.track_id and lo.j = t.j and lo.f <= t.frame_idx),
 o as (select seq_id, track_id, f as frame_idx, j, case when fa is null then xb when fb is null or fa = fb then xa else xa + (f - fa) / (fb - fa) * (xb - xa) end as x, case when fa is null then yb when fb is null or fa = fb then ya else ya + (f - fa) / (fb - fa) * (yb - ya) end as y,

@@ -15,7 +15,7 @@ from kinetra.sources.derived import KEYPOINTS_SQL, OBS_SQL, keypoints, obs
 
 
 def _anchors(spark: SparkSession, sf: str) -> DataFrame:
-    o = obs(spark, sf).where("frame_idx % 7 = 0")
+    o = obs(spark, sf)
     return o.select((F.col("track_id") * 100 + F.col("frame_idx")).alias("anchor_id"), "seq_id", "frame_idx", (F.col("x1") - 3).alias("x"), (F.col("y1") + 5).alias("y"))
 
 
@@ -65,7 +65,7 @@ _BONES = ", ".join(f"({a}, {b})" for a, b in review.BONES)
 _MOVED = """mv as (select *, sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)) as moved from kp window w as (partition by seq_id, track_id, j order by frame_idx))"""
 
 ORACLE_SQL: dict[str, str] = {
-    "anchor_tracks": f"""{_O},{_G}, an as (select track_id * 100 + frame_idx as anchor_id, seq_id, frame_idx, x1 - 3 as x, y1 + 5 as y from obs where frame_idx % 7 = 0),
+    "anchor_tracks": f"""{_O},{_G}, an as (select track_id * 100 + frame_idx as anchor_id, seq_id, frame_idx, x1 - 3 as x, y1 + 5 as y from obs),
 m as (select anchor_id, track_id, x between x1 and x2 and y between y1 and y2 as inside, w * h as area, sqrt(power(cx - x, 2) + power(cy - y, 2)) as dist from an join g using (seq_id, frame_idx)),
 b as (select * from m where inside or dist <= 40 qualify row_number() over (partition by anchor_id order by inside desc, case when inside then area else dist end, track_id) = 1)
 select an.anchor_id, coalesce(b.track_id, -1) as track_id, coalesce(b.inside, false) as inside from an left join b using (anchor_id)""",

@@ -75,6 +75,13 @@ def test_assignment_is_the_cheapest_of_the_largest(spark, seed):
         assert (len(pairs), pytest.approx(-sum(r["cost"] for r in pairs))) == best
 
 
+def test_the_sum_alone_may_count(spark):
+    """One link worth 10 beats two worth 1 each."""
+    rows = [(0, 1, 11, -10.0), (0, 1, 12, -1.0), (0, 2, 11, -1.0)]
+    got = links.assigned(spark.createDataFrame(rows, "seq_id long, a long, b long, cost double"), 0.0, 0.0).collect()
+    assert [(r["a"], r["b"]) for r in got] == [(1, 11)]
+
+
 def test_chains_take_the_first_name(spark):
     obs = spark.createDataFrame([(0, t, f, 0.0) for t, f in ((7, 0), (7, 1), (3, 2), (3, 3), (5, 3), (5, 4), (9, 0))], "seq_id long, track_id long, frame_idx long, x1 double")
     chain = spark.createDataFrame([(0, 3, 5), (0, 7, 3)], "seq_id long, a long, b long")
