@@ -104,15 +104,15 @@ def ends(obs: DataFrame) -> DataFrame:
     return with_speed(facts(obs)).drop("tail")
 
 
-def follow(tracks: DataFrame, least: int, most: int) -> DataFrame:
-    """Pairs of one sequence where b starts ``least`` to ``most`` frames after a's end: a's last box (a_), b's first (b_), numbers and velocities of both.
+def follow(tracks: DataFrame, least: int, most: int, starts: DataFrame | None = None, more_a: tuple[str, ...] = (), more_b: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of one sequence where b (of ``starts``, else of ``tracks``) starts ``least`` to ``most`` frames after a's end: a's last box (a_), b's first (b_), numbers and velocities of both.
 
-    Both are put into buckets of ``most`` frames; a start lies in its end's bucket or the next.
+    Both are put into buckets of ``most`` frames; a start lies in its end's bucket or the next. ``more_a`` and ``more_b`` are further columns of each.
     """
     wide, facts = max(1, most), ("n", "vx", "vy", "ux", "uy")
-    a = tracks.select("seq_id", F.col("track_id").alias("a"), F.col("f1").alias("a_end"), *[F.col(f"b1_{c}").alias(f"a_{c}") for c in BOX], *[F.col(c).alias(f"a_{c}") for c in facts])
+    a = tracks.select("seq_id", F.col("track_id").alias("a"), F.col("f1").alias("a_end"), *[F.col(f"b1_{c}").alias(f"a_{c}") for c in BOX], *[F.col(c).alias(f"a_{c}") for c in (*facts, *more_a)])
     a = a.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("a_end") + least) / wide), F.floor((F.col("a_end") + most) / wide))))
-    b = tracks.select("seq_id", F.col("track_id").alias("b"), F.col("f0").alias("b_start"), *[F.col(f"b0_{c}").alias(f"b_{c}") for c in BOX], *[F.col(c).alias(f"b_{c}") for c in facts])
+    b = (tracks if starts is None else starts).select("seq_id", F.col("track_id").alias("b"), F.col("f0").alias("b_start"), *[F.col(f"b0_{c}").alias(f"b_{c}") for c in BOX], *[F.col(c).alias(f"b_{c}") for c in (*facts, *more_b)])
     b = b.withColumn("bucket", F.floor(F.col("b_start") / wide))
     gap = F.col("b_start") - F.col("a_end")
     return a.join(b, ["seq_id", "bucket"]).where((F.col("a") != F.col("b")) & gap.between(least, most)).withColumn("gap", gap).drop("bucket")
@@ -148,21 +148,22 @@ class Stitching:
         With ``loose`` also those that only other velocities rule out, as merging may change these: of a if it has fewer
         places than a velocity takes, of b always.
         """
-        ha, hb, gap = g.height("a_"), g.height("b_"), F.col("gap")
-        moves = (F.col("a_vx") != 0) | (F.col("a_vy") != 0)
-        last = F.when(ha > 0, F.greatest(self.near * ha, F.lit(0.5 * self.radius))).otherwise(F.lit(self.radius))
-        led = F.when(moves & (ha > 0), F.greatest(self.ahead * ha, F.lit(0.75 * self.radius))).otherwise(last)
-        soon = gap <= self.short
-        at_last = F.when(soon & (ha > 0), F.greatest(ha, F.lit(self.radius))).otherwise(last)
-        at_led = F.when(soon, at_last).otherwise(led)
-        alike = F.coalesce(F.greatest(ha, hb) / F.when((ha > 0) & (hb > 0), F.least(ha, hb)) <= self.ratio, F.lit(True))
-        pace = lambda s: F.sqrt(F.pow(F.col(f"{s}_vx"), F.lit(2)) + F.pow(F.col(f"{s}_vy"), F.lit(2)))
-        against = ~soon & moves & (F.col("b_n") >= 3) & (pace("a") > 1) & (pace("b") > 1) & (F.col("a_vx") * F.col("b_vx") + F.col("a_vy") * F.col("b_vy") < 0)
-        p = follow(tracks, 1, self.most).withColumns({"dist": g.distance("a_", "b_"), "missed": _missed("a_vx", "a_vy")})
-        fits = ((F.col("dist") <= at_last) | (F.col("missed") <= at_led)) & (F.least("dist", "missed") < F.greatest(last, led) + 1.0)
-        possible = F.try_divide("dist", gap) <= F.greatest(self.speed * ha, F.lit(30.0))
+        # What one track tells alone is told before tracks meet, so that a pair takes few steps.
+        moves, h = (F.col("vx") != 0) | (F.col("vy") != 0), F.col("h")
+        sides = tracks.withColumns({"h": g.height("b1_"), "x": g.cx("b1_"), "y": g.cy("b1_"), "h0": g.height("b0_"), "x0": g.cx("b0_"), "y0": g.cy("b0_"), "pace": F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))})
+        sides = sides.withColumn("last", F.when(h > 0, F.greatest(self.near * h, F.lit(0.5 * self.radius))).otherwise(F.lit(self.radius)))
+        sides = sides.withColumns({"led": F.when(moves & (h > 0), F.greatest(self.ahead * h, F.lit(0.75 * self.radius))).otherwise(F.col("last")), "soon": F.when(h > 0, F.greatest(h, F.lit(self.radius))).otherwise(F.col("last")), "fastest": F.greatest(self.speed * h, F.lit(30.0)), "moves": moves})
+        p = follow(sides.where(F.col("f1") < self.total_frames - 1), 1, self.most, sides, ("h", "x", "y", "last", "led", "soon", "fastest", "moves", "pace"), ("h0", "x0", "y0", "pace"))
+        gap, soon, ha, hb = F.col("gap"), F.col("gap") <= self.short, F.col("a_h"), F.col("b_h0")
+        p = p.where((ha <= 0) | (hb <= 0) | (F.greatest(ha, hb) / F.nullif(F.least(ha, hb), F.lit(0.0)) <= self.ratio))
+        dx, dy = F.col("b_x0") - F.col("a_x"), F.col("b_y0") - F.col("a_y")
+        mx, my = F.col("b_x0") - (F.col("a_x") + F.col("a_vx") * gap), F.col("b_y0") - (F.col("a_y") + F.col("a_vy") * gap)
+        p = p.withColumns({"dist": F.sqrt(dx * dx + dy * dy), "missed": F.sqrt(mx * mx + my * my)}).where(F.try_divide("dist", gap) <= F.col("a_fastest"))
+        fits = (F.col("dist") <= F.when(soon, F.col("a_soon")).otherwise(F.col("a_last"))) | (F.col("missed") <= F.when(soon, F.col("a_soon")).otherwise(F.col("a_led")))
+        fits = fits & (F.least("dist", "missed") < F.greatest("a_last", "a_led") + 1.0)
+        against = ~soon & F.col("a_moves") & (F.col("b_n") >= 3) & (F.col("a_pace") > 1) & (F.col("b_pace") > 1) & (F.col("a_vx") * F.col("b_vx") + F.col("a_vy") * F.col("b_vy") < 0)
         by_speed = (fits | (F.col("a_n") < TAIL)) if loose else fits & ~against
-        return p.where((F.col("a_end") < self.total_frames - 1) & alike & possible & by_speed).select("seq_id", "a", "b", "gap", "dist", "missed")
+        return p.where(by_speed).select("seq_id", "a", "b", "gap", "dist", "missed")
 
 
 @dataclass(frozen=True)
