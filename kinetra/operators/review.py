@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,8 +159,3 @@ def formation_error(kp: DataFrame, first: int) -> DataFrame:
     home = rel.where(F.col("frame_idx") < first).groupBy(*TRACK).agg(F.avg("rx").alias("hx"), F.avg("ry").alias("hy"))
     d = F.sqrt(F.pow(F.col("rx") - F.col("hx"), F.lit(2)) + F.pow(F.col("ry") - F.col("hy"), F.lit(2)))
     return rel.join(home, [*TRACK]).groupBy(*TRACK).agg(F.avg(d).alias("error"))
-
-
-def field_of_view(width: float, degrees: float) -> float:
-    """Focal length in pixels of a pinhole camera from its field of view."""
-    return width / (2 * math.tan(math.radians(degrees) / 2))
