@@ -79,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "track_features": lambda s, d: rounded(features.node_features(obs(s, d), FRAMES)),
     "pair_features": lambda s, d: rounded(features.pair_features(_pairs(s, d)[0], FRAMES, _pairs(s, d)[1])),
     "merged_by_prior": lambda s, d: features.merged_by_prior(_pairs(s, d)[0], FRAMES, _pairs(s, d)[1]),
+    "gait": lambda s, d: rounded(features.gait(keypoints(s, d)).select("seq_id", "track_id", "n_poses", F.posexplode("gait").alias("place", "value"))),
+    "spacing_error": lambda s, d: rounded(features.spacing_error(obs(s, d), 4, 50.0)),
     "stride_filled": lambda s, d: rounded(features.stride_filled(keypoints(s, d), obs(s, d), 4)),
 }
 
@@ -156,6 +158,29 @@ na as (
 nt as (
   select seq_id, track_id, f0 / 60.0::double as first, f1 / 60.0::double as last, (f1 - f0 + 1) / 60.0::double as span, ln(1 + n) / 6 as length, ax / (sc * 20) as x, ay / (sc * 20) as y, dx / sc as sd_x, dy / sc as sd_y, aw / sc as w, ah / sc as h, dh / sc as sd_h,
     ac as conf, dc as sd_conf, ap / sc as speed, dp / sc as sd_speed, shape from na)""") + f" select seq_id, track_id, {_r('first', 'last', 'span', 'length', 'x', 'y', 'sd_x', 'sd_y', 'w', 'h', 'sd_h', 'conf', 'sd_conf', 'speed', 'sd_speed', 'shape')} from nt",
+    "gait": _sql(KEYPOINTS_SQL, f"""
+bo(k, a, b) as (values {", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(features.GAIT_BONES))}, (50, 5, 6), (51, 11, 12)),
+hp as (
+  select a.seq_id, a.track_id, a.frame_idx, (a.x + b.x) / 2 as hx, (a.y + b.y) / 2 as hy, sqrt(power((c.x + d.x) / 2 - (a.x + b.x) / 2, 2) + power((c.y + d.y) / 2 - (a.y + b.y) / 2, 2)) as t
+  from kp a join kp b using (seq_id, track_id, frame_idx) join kp c using (seq_id, track_id, frame_idx) join kp d using (seq_id, track_id, frame_idx) where a.j = 11 and b.j = 12 and c.j = 5 and d.j = 6),
+no as (select kp.seq_id, kp.track_id, kp.frame_idx, j, (x - hx) / case when t > 0.01 then t else 1 end as x, (y - hy) / case when t > 0.01 then t else 1 end as y from kp join hp using (seq_id, track_id, frame_idx)),
+le as (select a.seq_id, a.track_id, case when k < 50 then 2 * k else 100 + 2 * (k - 50) end as place, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) as v from bo join no a on a.j = bo.a join no b on b.j = bo.b and b.seq_id = a.seq_id and b.track_id = a.track_id and b.frame_idx = a.frame_idx),
+d1 as (select *, x - lag(x) over w as dx, y - lag(y) over w as dy from no window w as (partition by seq_id, track_id, j order by frame_idx)),
+d2 as (select *, dx - lag(dx) over w as ex, dy - lag(dy) over w as ey from d1 window w as (partition by seq_id, track_id, j order by frame_idx)),
+al as (
+  select seq_id, track_id, place, v from le union all select seq_id, track_id, 32 + 2 * j, sqrt(dx * dx + dy * dy) from d2 union all select seq_id, track_id, 66 + 2 * j, sqrt(ex * ex + ey * ey) from d2),
+ms as (select seq_id, track_id, place, coalesce(avg(v), 0) as m, coalesce(stddev_pop(v), 0) as s from al group by all),
+vs as (select seq_id, track_id, place, m as v from ms union all select seq_id, track_id, place + 1, s from ms),
+nr as (select seq_id, track_id, sqrt(sum(v * v)) + 1e-8 as norm from vs group by all),
+np as (select seq_id, track_id, count(distinct frame_idx) as n_poses from kp group by all),
+ga as (select nr.seq_id, nr.track_id, n_poses, p.place::int as place, coalesce(v / norm, 0) as value from nr join np using (seq_id, track_id) join range({features.GAIT_LENGTH}) p(place) on true left join vs on vs.seq_id = nr.seq_id and vs.track_id = nr.track_id and vs.place = p.place)""")
+    + f" select seq_id, track_id, n_poses, place, {_r('value')} from ga",
+    "spacing_error": _sql(OBS_SQL, """
+rk as (select seq_id, frame_idx, (x1 + x2) / 2 as x, (y1 + y2) / 2 as y, row_number() over (partition by seq_id, frame_idx order by track_id) - 1 as i from obs),
+er as (
+  select a.seq_id, a.frame_idx, avg(abs(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) - 50 * (abs(a.i // 4 - b.i // 4) + abs(a.i % 4 - b.i % 4)))) as e
+  from rk a join rk b on a.seq_id = b.seq_id and a.frame_idx = b.frame_idx and a.i < b.i group by all),
+fe as (select f.seq_id, f.frame_idx, coalesce(e, 0) as error from (select distinct seq_id, frame_idx from obs) f left join er using (seq_id, frame_idx))""") + f" select seq_id, frame_idx, {_r('error')} from fe",
     "stride_filled": _sql(OBS_SQL, KEYPOINTS_SQL, """
 lo as (select * from kp where frame_idx % 4 = 0),
 mt as (
