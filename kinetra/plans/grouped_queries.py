@@ -50,6 +50,10 @@ def _joint_labels(spark: SparkSession, sf: str) -> DataFrame:
     return keypoints(spark, sf).select("seq_id", ((F.col("frame_idx") + F.col("j")) % 3 != 0).alias("visible"), F.when(F.col("j") % 5 != 0, F.col("s")).alias("score"))
 
 
+#: What is known of each sequence.
+EXPECTED = {"most_at_once": 20, "at_start": 21, "at_end": 22, "n_unique": 21, "late": 0}
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nms": lambda s, d: rounded(grouped.nms(obs(s, d), 0.5)),
     "diou_nms": lambda s, d: rounded(grouped.nms(obs(s, d), 0.4, distance=True)),
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "honesty": lambda s, d: rounded(evaluate.honesty(_joint_labels(s, d))),
     "bones_kept": lambda s, d: rounded(grouped.keep_bones(keypoints(s, d), review.bone_lengths(keypoints(s, d))), 3),
     "kalman_filtered": lambda s, d: rounded(kalman.filtered(obs(s, d))),
+    "ground_truth_checks": lambda s, d: evaluate.checks(obs(s, d), EXPECTED, (320.0, 240.0), 10),
     "benchmark_metrics": lambda s, d: evaluate.benchmark(obs(s, d), 10),
 }
 
@@ -212,6 +217,16 @@ ORACLE_SQL: dict[str, str] = {
     "diou_nms": _nms(0.4, True),
     "one_euro": _one_euro(),
     "kalman_filtered": _kalman(),
+    "ground_truth_checks": "with " + OBS_SQL.strip() + f""",
+t as (
+  select seq_id, track_id, min(frame_idx) as f0, max(frame_idx) as f1, bool_or((x1 + x2) / 2 >= 240 and (y1 + y2) / 2 >= 168 and frame_idx < 120) as corner, bool_or(frame_idx < 10) as early from obs group by all),
+e as (select seq_id, max(frame_idx) - 10 as bound from obs group by all),
+f as (
+  select seq_id, (select max(n) from (select count(*) as n from obs o where o.seq_id = t.seq_id group by frame_idx)) as most_at_once, count_if(early) as at_start, count_if(f1 > bound) as at_end, count(*) as n_unique, count_if(f0 >= 10) as late, count_if(corner) as in_corner,
+    string_agg(track_id::varchar, ',' order by track_id) as ids, coalesce(string_agg(track_id::varchar, ',' order by track_id) filter (f0 >= 10), '') as late_ids, coalesce(string_agg(track_id::varchar, ',' order by track_id) filter (corner), '') as corner_ids from t join e using (seq_id) group by all),
+u as (
+  {" union all ".join(f"select seq_id, '{c}' as name, {c}::bigint as actual, {v}::bigint as expected, {c} {'<=' if c == 'most_at_once' else '='} {v} as ok, {dict(late='late_ids', in_corner='corner_ids').get(c, 'ids')} as ids from f" for c, v in {**EXPECTED, "in_corner": 0}.items())})
+select seq_id, name, actual, expected, ok, case when ok then '' else ids end as ids from u""",
     "shape_and_timing": _warped(),
     "bones_kept": _kept_bones(),
     "lift_smoothing": _lift(),
