@@ -63,7 +63,7 @@ def poses(frames: DataFrame, *carry: str) -> DataFrame:
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
-    """One line for each part, in the folder of its sequence; a job that fails leaves what was there before."""
+    """One line for each part, in the folder of its sequence, in place of what was there; a job that fails leaves no document half written."""
     docs.repartition("seq_id", "part").sortWithinPartitions("seq_id", "part").select("seq_id", "value").write.mode("overwrite").partitionBy("seq_id").text(path)
 
 
