@@ -267,13 +267,18 @@ def tiers(facts: DataFrame, rules: dict[str, Rule], frame: Frame, limit: float =
     return gone.unionByName(rest)
 
 
+def _half_up(value: Column, places: int) -> Column:
+    """Rounded as the double times a power of ten, half away from zero; Spark's ``round`` to places goes by the shortest decimal text, whose last 5 the double may not reach."""
+    return F.round(value * float(10**places)) / float(10**places)
+
+
 def info(facts: DataFrame, frame: Frame) -> DataFrame:
     """A record of each track for the prune log: counts, range, median box, position in percent, share of the video."""
     x, y, w, h = F.col("mx"), F.col("my"), F.coalesce("mw", F.lit(0.0)), F.coalesce("mh", F.lit(0.0))
     whole = (w > 0) & (h > 0)
-    box = F.when(whole, F.array(F.round(x - w / 2, 1), F.round(y - h / 2, 1), F.round(x + w / 2, 1), F.round(y + h / 2, 1)))
+    box = F.when(whole, F.array(_half_up(x - w / 2, 1), _half_up(y - h / 2, 1), _half_up(x + w / 2, 1), _half_up(y + h / 2, 1)))
     return facts.select(
-        *KEY, F.col("n").alias("n_frames"), F.col("f0").alias("first_frame"), F.col("f1").alias("last_frame"), F.round(x, 1).alias("median_x"), F.round(y, 1).alias("median_y"),
-        F.round(h, 1).alias("median_h"), F.round(w, 1).alias("median_w"), F.when(h > 0, F.round(w / h, 2)).alias("aspect_ratio"), box.alias("median_box"),
-        F.round((F.col("f1") - F.col("f0")) / frame.total, 4).alias("frames_in_video"), F.round(100 * x / frame.width, 1).alias("pos_x"), F.round(100 * y / frame.height, 1).alias("pos_y"),
+        *KEY, F.col("n").alias("n_frames"), F.col("f0").alias("first_frame"), F.col("f1").alias("last_frame"), _half_up(x, 1).alias("median_x"), _half_up(y, 1).alias("median_y"),
+        _half_up(h, 1).alias("median_h"), _half_up(w, 1).alias("median_w"), F.when(h > 0, _half_up(w / h, 2)).alias("aspect_ratio"), box.alias("median_box"),
+        _half_up((F.col("f1") - F.col("f0")) / frame.total, 4).alias("frames_in_video"), _half_up(100 * x / frame.width, 1).alias("pos_x"), _half_up(100 * y / frame.height, 1).alias("pos_y"),
     )

@@ -300,3 +300,8 @@ def test_groups_reach_along_chains(spark):
     links = spark.createDataFrame([(0, k, k + 1) for k in range(20)] + [(0, 40, 30), (1, 5, 4), (1, 7, 7)], "seq_id long, a long, b long")
     got = rows(graph.groups(links), "seq_id", "node", "root")
     assert got == [(0, k, 0) for k in range(21)] + [(0, 30, 30), (0, 40, 30), (1, 4, 4), (1, 5, 4)]
+
+
+def test_info_rounds_the_double_not_its_text(spark):
+    facts = spark.createDataFrame([(1, 2, 3, 0, 9, 50.0, 60.0, 10.0, 224.95 - 100.0)], "seq_id long, track_id long, n long, f0 long, f1 long, mx double, my double, mw double, mh double")
+    assert prune.info(facts, prune.Frame(320.0, 320.0, 60)).first().median_h == 125.0
