@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from kinetra.operators import events, pairs, tiles
+from kinetra.operators import events, features, links, pairs, review, tiles
 
 
 @pytest.fixture
@@ -37,3 +37,76 @@ def test_no_pair_is_shuffled(spark, boxes):
     """A join of boxes with boxes by frame would make a row for each pair."""
     plan = events.box_events(boxes, events.COLLISION)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInPandas" in plan and "< b#" not in plan
+
+
+def both_ways(met):
+    return met.withColumn("track_id", F.explode(F.array("a", "b"))).drop("a", "b")
+
+
+def test_coalesced_by_tiles(spark, boxes):
+    sizes = boxes.groupBy("seq_id", "track_id").agg(F.count("*").alias("n"))
+    met = pairs.overlap_runs(boxes, 0.35, 2).select("seq_id", "a", "b").distinct()
+    met = met.join(sizes.withColumnsRenamed({"track_id": "a", "n": "n_a"}), ["seq_id", "a"]).join(sizes.withColumnsRenamed({"track_id": "b", "n": "n_b"}), ["seq_id", "b"])
+    same(pairs.coalesced(boxes, 0.35, 2), met.select("seq_id", F.when(F.col("n_a") >= F.col("n_b"), F.col("b")).otherwise(F.col("a")).alias("track_id")).distinct())
+
+
+def test_votes_by_tiles(spark, boxes):
+    back = boxes.withColumns({"track_id": F.col("track_id") + 100, "x1": F.col("x1") + 1.5})
+    side = lambda df, s: df.select("seq_id", "frame_idx", F.col("track_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in tiles.BOX])
+    met = side(boxes, "a").join(side(back, "b"), ["seq_id", "frame_idx"]).where(pairs.g.iou("a_", "b_") >= 0.5)
+    n = met.groupBy("seq_id", F.col("b").alias("backward_id"), "a").agg(F.count("*").alias("n")).where("n >= 4")
+    best = n.groupBy("seq_id", "backward_id").agg(F.min(F.struct(-F.col("n"), "a")).alias("m"))
+    same(pairs.id_votes(boxes, back, 0.5, 4), best.select("seq_id", "backward_id", F.col("m.a").alias("forward_id"), (-F.col("m.col1")).alias("votes")))
+
+
+def test_coexisting_by_tiles(spark, boxes):
+    size = F.when((pairs.g.height("a_") > 0) & (pairs.g.height("b_") > 0), F.greatest(pairs.g.height("a_"), pairs.g.height("b_")) / F.least(pairs.g.height("a_"), pairs.g.height("b_")))
+    taller = boxes.withColumn("y2", F.col("y2") + F.col("v") * 8)
+    side = lambda s: taller.select("seq_id", "frame_idx", F.col("track_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in tiles.BOX])
+    close = pairs.g.distance("a_", "b_") <= 0.5 * F.greatest(pairs.g.height("a_"), pairs.g.height("b_"), F.lit(1.0))
+    met = side("a").join(side("b"), ["seq_id", "frame_idx"]).where("a < b").groupBy("seq_id", "a", "b")
+    told = met.agg(F.count("*").alias("shared"), F.avg(close.cast("double")).alias("close"), F.avg(F.coalesce(pairs.g.iou("a_", "b_"), F.lit(0.0))).alias("m"), F.median(size).alias("r"))
+    told = told.where("shared >= 8 and close >= 0.6 and m >= 0.35 and r <= 1.3").select("seq_id", "a", "b", "shared", "close", F.round("m", 6).alias("mean_iou"))
+    same(pairs.coexisting(taller, 8, 0.6, 1.3, 0.35).withColumn("mean_iou", F.round("mean_iou", 6)), told)
+
+
+@pytest.mark.parametrize("tried", [1, 16])
+def test_clusters_and_isolated(spark, boxes, monkeypatch, tried):
+    monkeypatch.setattr(tiles, "NEIGHBOURS", tried)
+    monkeypatch.setattr(tiles, "STRIPE", 3)
+    met = both_ways(pairs.frame_pairs(boxes).select("seq_id", "frame_idx", "a", "b", "iou", "dist"))
+    keys = ["seq_id", "frame_idx", "track_id"]
+    same(pairs.overlap_clusters(boxes, 0.6), boxes.join(met.where("iou >= 0.6"), keys, "left_semi").select(*boxes.columns))
+    near = boxes.join(met.groupBy(*keys).agg(F.min("dist").alias("d")), keys, "left").where("d is null or d > 0.2 * (y2 - y1)")
+    same(review.isolated(boxes, 0.2), near.select("seq_id", "track_id", "frame_idx", "d"))
+    one = boxes.where("track_id = 1")
+    same(review.isolated(one, 0.2), one.select("seq_id", "track_id", "frame_idx", F.lit(None).cast("double").alias("d")))
+
+
+def test_anchors_by_stripes(spark, boxes, monkeypatch):
+    monkeypatch.setattr(tiles, "STRIPE", 3)
+    anchors = boxes.select(F.concat_ws("-", "seq_id", "track_id", "frame_idx").alias("anchor_id"), "seq_id", "frame_idx", (F.col("x1") * 4).alias("x"), (F.col("y1") * 5).alias("y"))
+    anchors = anchors.unionByName(anchors.limit(1).withColumns({"anchor_id": F.lit("none"), "frame_idx": F.lit(999).cast("long")})).cache()
+    inside = F.expr("x between x1 and x2 and y between y1 and y2")
+    dist = F.expr("sqrt(pow((x1 + x2) / 2 - x, 2) + pow((y1 + y2) / 2 - y, 2))")
+    best = F.struct((~inside).alias("out"), F.when(inside, F.expr("(x2 - x1) * (y2 - y1)")).otherwise(dist).alias("size"), "track_id")
+    found = anchors.join(boxes, ["seq_id", "frame_idx"]).where(inside | (dist <= 7)).groupBy("anchor_id").agg(F.min(best).alias("m"))
+    same(review.anchor_tracks(boxes, anchors, 7.0), anchors.join(found, "anchor_id", "left").select("anchor_id", "m.track_id", (~F.col("m.out")).alias("inside")))
+
+
+def test_followed_one_after_another(spark, boxes, monkeypatch):
+    monkeypatch.setattr(tiles, "STRIPE", 3)
+    was = boxes.select("seq_id", (F.col("frame_idx") + 1).alias("frame_idx"), F.col("track_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in tiles.BOX])
+    met = boxes.select("seq_id", "frame_idx", F.col("track_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in tiles.BOX]).join(was, ["seq_id", "frame_idx"])
+    met = met.select("seq_id", "frame_idx", "a", "b", pairs.g.iou("a_", "b_").alias("iou")).where("iou >= 0.3")
+    taken, told = set(), []
+    for r in sorted(met.collect(), key=lambda r: (r.seq_id, r.frame_idx, r.a, -r.iou, r.b)):
+        if not {(r.seq_id, r.frame_idx, "a", r.a), (r.seq_id, r.frame_idx, "b", r.b)} & taken:
+            taken |= {(r.seq_id, r.frame_idx, "a", r.a), (r.seq_id, r.frame_idx, "b", r.b)}
+            told.append(r)
+    assert sorted(map(repr, links.followed_boxes(boxes).select(*met.columns).collect())) == sorted(map(repr, told)) != []
+
+
+def test_frames_make_no_pairs(spark, boxes):
+    for df in (pairs.overlap_clusters(boxes, 0.6), review.isolated(boxes, 0.2), features.spacing_error(boxes, 3, 2.0)):
+        assert "PandasGroup" in (plan := df._jdf.queryExecution().optimizedPlan().toString()).replace("FlatMapGroupsInPandas", "PandasGroup") and "Join Inner" not in plan
