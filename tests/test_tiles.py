@@ -110,3 +110,12 @@ def test_followed_one_after_another(spark, boxes, monkeypatch):
 def test_frames_make_no_pairs(spark, boxes):
     for df in (pairs.overlap_clusters(boxes, 0.6), review.isolated(boxes, 0.2), features.spacing_error(boxes, 3, 2.0)):
         assert "PandasGroup" in (plan := df._jdf.queryExecution().optimizedPlan().toString()).replace("FlatMapGroupsInPandas", "PandasGroup") and "Join Inner" not in plan
+
+
+def test_groups_from_few_links(spark, boxes):
+    at = events.Thresholds(0.4, 0.35, 2)
+    few = events.box_events(boxes, at, linked=True)
+    same(events.coalescence_groups(few), events.coalescence_groups(events.box_events(boxes, at)))
+    one = boxes.withColumns({"x1": F.lit(0.0), "y1": F.lit(0.0), "x2": F.lit(9.0), "y2": F.lit(9.0)}).where("track_id < 4 and seq_id = 0 and frame_idx < 2").withColumn("frame_idx", F.lit(1)).dropDuplicates(["track_id"])
+    n = one.count()
+    assert events.box_events(one, events.COLLISION, linked=True).count() == n - 1 < events.box_events(one, events.COLLISION).count() == n * (n - 1) // 2
