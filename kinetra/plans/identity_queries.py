@@ -24,25 +24,13 @@ def _embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("vec_id", (F.col("vec_id") % 7).cast("long").alias("seq_id"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
-def _gallery_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    e = _embeddings(spark, sf)
-    size = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + F.abs(v))
-    e = e.withColumn("histogram", F.transform("embedding", lambda v: F.abs(v) / size))
-    who = F.col("vec_id") % PERSON == 0
-    people = e.where(who).select("seq_id", F.col("vec_id").alias("person_id"), F.col("embedding").alias("p"), F.col("histogram").alias("ph"))
-    asked = e.where(~who).select("seq_id", F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("histogram").alias("qh"))
-    pairs = asked.join(people, "seq_id")
-    far = F.abs(F.col("q")[0] - F.col("p")[0])
-    return pairs.select(
-        "seq_id", "query_id", "person_id", identity.cosine(F.col("q"), F.col("p")).alias("cosine"), identity.hellinger(F.col("qh"), F.col("ph")).alias("hellinger"),
-        identity.spatial_prior(F.when(F.col("query_id") % 3 != 0, far), F.abs(F.col("query_id") - F.col("person_id"))).alias("prior"),
-    )
-
-
-def _fused(spark: SparkSession, sf: str) -> DataFrame:
-    p = _gallery_pairs(spark, sf)
-    signals = {"look": (F.when(F.col("query_id") % 5 != 0, F.col("cosine")), 0.4), "colour": (1 - F.col("hellinger"), 0.3), "place": (F.col("prior"), 0.1)}
-    return identity.best_match(p.select("seq_id", "query_id", "person_id", identity.fused(signals).alias("score")), 0.5)
+def _gallery(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Asked vectors, of which a third has no known place and a fifth no look, and people."""
+    e, v = _embeddings(spark, sf), F.col("vec_id")
+    who = v % PERSON == 0
+    people = e.where(who).select("seq_id", v.alias("person_id"), v.alias("frame"), F.col("embedding")[0].alias("place"), F.col("embedding").alias("vector"))
+    asked = e.where(~who).select("seq_id", v.alias("query_id"), v.alias("frame"), F.when(v % 3 != 0, F.col("embedding")[0]).alias("place"), F.col("embedding").alias("vector"), (v % 5 != 0).alias("shown"))
+    return asked, people
 
 
 def _six(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,7 +57,7 @@ def _bank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _costs(spark: SparkSession, sf: str) -> DataFrame:
-    p = _gallery_pairs(spark, sf)
+    p = identity.gallery_signals(*_gallery(spark, sf))
     cost = identity.pair_cost(F.col("cosine"), F.abs(F.col("query_id") - F.col("person_id")).cast("double"), F.col("query_id") - F.col("person_id"), 100.0, 200.0)
     return p.select("seq_id", "query_id", "person_id", cost.alias("cost"))
 
@@ -83,8 +71,8 @@ def _rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "gallery_signals": lambda s, d: rounded(_gallery_pairs(s, d)),
-    "gallery_match": lambda s, d: rounded(_fused(s, d).na.fill({"person_id": -1})),
+    "gallery_signals": lambda s, d: rounded(identity.gallery_signals(*_gallery(s, d))),
+    "gallery_match": lambda s, d: rounded(identity.gallery_match(*_gallery(s, d), (0.4, 0.3, 0.1), 0.5).na.fill({"person_id": -1})),
     "fused_match": lambda s, d: rounded(_six(s, d)),
     "bank_match": lambda s, d: rounded(_bank(s, d)),
     "pair_costs": lambda s, d: rounded(_costs(s, d)),
