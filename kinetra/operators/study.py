@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetra.sources.shared import stored, written
+from kinetra.sources.shared import written
 
 
 def status(trials: DataFrame) -> DataFrame:
@@ -93,23 +96,39 @@ def peel(edges: DataFrame, pool: DataFrame) -> DataFrame:
     """(grp, name, place, forced): each group of the pool (grp, name) from best to worst by its edges (w, l).
 
     One goes after another: of those that nobody left beats, the one with the most wins less losses, then the smaller name; where
-    everybody is beaten, one of all by the same order, which is ``forced``. A round picks one in each group, so there are as many as the largest group has names.
+    everybody is beaten, one of all by the same order, which is ``forced``. A task takes one group with the edges within it, each of which it looks at once.
     """
     margins = wins_and_losses(edges).select("name", "margin")
-    left = stored(pool.select("grp", "name").distinct().join(margins, "name", "left").na.fill(0, ["margin"]))
-    within = stored(edges.join(left.select("grp", F.col("name").alias("w")), "w").join(left.select("grp", F.col("name").alias("l")), ["grp", "l"]).where("w != l").select("grp", "w", "l"))
-    found, place = None, 0
-    while not left.isEmpty():
-        beaten = within.select("grp", F.col("l").alias("name")).distinct().withColumn("beaten", F.lit(1))
-        rank = F.struct(F.coalesce("beaten", F.lit(0)).alias("beaten"), -F.col("margin"), "name")
-        out = left.join(beaten, ["grp", "name"], "left").groupBy("grp").agg(F.min(rank).alias("m"))
-        out = stored(out.select("grp", "m.name", F.lit(place).alias("place"), (F.col("m.beaten") == 1).alias("forced")))
-        found = out if found is None else found.unionByName(out)
-        left = stored(left.join(out, ["grp", "name"], "left_anti"))
-        gone = out.select("grp", "name")
-        within = stored(within.join(gone.withColumnRenamed("name", "w"), ["grp", "w"], "left_anti").join(gone.withColumnRenamed("name", "l"), ["grp", "l"], "left_anti"))
-        place += 1
-    return found if found is not None else left.select("grp", "name", F.lit(0).alias("place"), F.lit(False).alias("forced"))
+    left = pool.where("name is not null").select("grp", "name").distinct().join(margins, "name", "left").na.fill(0, ["margin"])
+    of = lambda c: pool.select("grp", F.col("name").alias(c)).distinct()
+    within = edges.select("w", "l").distinct().join(of("w"), "w").join(of("l"), ["grp", "l"]).where("w != l").select("grp", "w", "l")
+
+    def run(names: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        rank = dict(zip(names["name"], zip(-names["margin"], names["name"], strict=True), strict=True))
+        beats, beaten = {}, dict.fromkeys(rank, 0)
+        for w, l in zip(met["w"], met["l"], strict=True):
+            beats.setdefault(w, []).append(l)
+            beaten[l] += 1
+        free, rest, order, gone = [rank[n] for n, k in beaten.items() if not k], list(rank.values()), [], set()
+        heapq.heapify(free)
+        heapq.heapify(rest)
+        while rest:
+            forced = not free
+            name = heapq.heappop(rest if forced else free)[1]
+            if name in gone:
+                continue
+            gone.add(name)
+            order.append((name, forced))
+            for l in beats.get(name, ()):
+                beaten[l] -= 1
+                if not beaten[l] and l not in gone:
+                    heapq.heappush(free, rank[l])
+            while rest and rest[0][1] in gone:
+                heapq.heappop(rest)
+        return pd.DataFrame({"grp": names["grp"].iloc[:1].repeat(len(order)).to_numpy(), "name": [n for n, _ in order], "place": range(len(order)), "forced": [f for _, f in order]})
+
+    types = dict(left.dtypes)
+    return left.groupBy("grp").cogroup(within.withColumnRenamed("grp", "of").groupBy("of")).applyInPandas(run, f"grp {types['grp']}, name {types['name']}, place int, forced boolean")
 
 
 def variants(base: DataFrame, options: list[tuple[str, str]]) -> DataFrame:
