@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from kinetra.operators import pairs, relink
+from kinetra.operators import links, pairs, relink
 
 
 @pytest.fixture
@@ -47,3 +47,12 @@ def test_links_by_tiles(spark, broken, monkeypatch):
     again = pairs.global_candidates(broken, 30, 0.01)
     assert whole == sorted(map(repr, again.select(*told).collect()))
     assert "FlatMapGroupsInPandas" in again._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_link_candidates_join_no_pairs(spark, broken):
+    ends = pairs.ends(broken)
+    found = links.link_candidates(ends, 0, 12, 20.0)
+    assert "FlatMapGroupsInPandas" in found._jdf.queryExecution().optimizedPlan().toString()
+    side = lambda s, b, f: ends.select("seq_id", F.col("track_id").alias(s), f, *[F.col(f"{b}_{c}").alias(f"{s}_{c}") for c in pairs.BOX])
+    met = side("a", "b1", "f1").join(side("b", "b0", "f0"), "seq_id").where("a != b and f0 - f1 >= 0 and f0 - f1 < 12 and sqrt((a_x1 - b_x1) * (a_x1 - b_x1) + (a_y1 - b_y1) * (a_y1 - b_y1)) <= 20")
+    assert sorted((r.seq_id, r.a, r.b, r.gap) for r in found.collect()) == sorted((r.seq_id, r.a, r.b, r.f0 - r.f1) for r in met.collect()) != []
