@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from kinetra.operators import events, features, links, pairs, review, tiles
+from kinetra.operators import events, features, links, masks, pairs, review, tiles
 
 
 @pytest.fixture
@@ -119,3 +119,12 @@ def test_groups_from_few_links(spark, boxes):
     one = boxes.withColumns({"x1": F.lit(0.0), "y1": F.lit(0.0), "x2": F.lit(9.0), "y2": F.lit(9.0)}).where("track_id < 4 and seq_id = 0 and frame_idx < 2").withColumn("frame_idx", F.lit(1)).dropDuplicates(["track_id"])
     n = one.count()
     assert events.box_events(one, events.COLLISION, linked=True).count() == n - 1 < events.box_events(one, events.COLLISION).count() == n * (n - 1) // 2
+
+
+def test_masks_by_tiles(spark, monkeypatch):
+    """Runs of three tracks in a frame; a join of runs with runs would be broadcast or make a row for each two of a row."""
+    monkeypatch.setattr(tiles, "TRACKS", 1)
+    runs = spark.createDataFrame([(0, 5, 1, 0, 0, 10), (0, 5, 1, 1, 0, 4), (0, 5, 2, 0, 6, 16), (0, 5, 2, 1, 2, 3), (0, 5, 3, 1, 4, 9), (0, 6, 3, 0, 0, 9)], "seq_id long, frame_idx long, track_id long, y long, x0 long, x1 long")
+    found = masks.overlaps(runs)
+    assert [tuple(r) for r in found.collect()] == [(0, 5, 1, 2, 5, 5 / 20, 5 / 14, 5 / 11)]
+    assert "Inner, (((seq_id" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "FlatMapGroupsInPandas" in plan
