@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from kinetra.operators import merging, pairs, turns
+from kinetra.operators import features, merging, pairs, turns
 
 
 @pytest.fixture
@@ -42,3 +42,14 @@ def test_layers_near(spark, broken):
 def test_no_table_of_links_or_of_pairs(broken):
     for made in (turns.merged_near(broken, 8, 9.0), turns.layers_near(broken, 8, 9.0)):
         assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("least", [0.4, 0.55])
+def test_merged_by_prior(broken, least):
+    """Likely pairs give what all pairs give, with those that share a frame; at 0.55 no pair that shares none can be likely."""
+    all_ = merging.kept_apart(broken).unionByName(links(broken, 8, 9.0).select("seq_id", "a", "b"))
+    made = features.likely(broken, 60, 8, 9.0, least)
+    got = rows(features.merged_by_prior(broken, 60, made, least))
+    assert got == rows(features.merged_by_prior(broken, 60, all_, least))
+    assert any(n != r for _, n, r in got) == (least < 0.5)
+    assert (made.count() == 0) == (least > 0.5)
