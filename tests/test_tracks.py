@@ -305,3 +305,13 @@ def test_groups_reach_along_chains(spark):
 def test_info_rounds_the_double_not_its_text(spark):
     facts = spark.createDataFrame([(1, 2, 3, 0, 9, 50.0, 60.0, 10.0, 224.95 - 100.0)], "seq_id long, track_id long, n long, f0 long, f1 long, mx double, my double, mw double, mh double")
     assert prune.info(facts, prune.Frame(320.0, 320.0, 60)).first().median_h == 125.0
+
+
+def test_bones_of_many_poses_at_once():
+    """Poses side by side as each alone, also where two joints of one lie on each other."""
+    rng = np.random.default_rng(3)
+    bones, poses = [(5, 7), (7, 9), (5, 6), (11, 12)], rng.normal(size=(6, 17, 2)) * 100
+    poses[2, 7] = poses[2, 5]
+    lengths = rng.uniform(10, 60, (6, 4))
+    many = grouped.bone_lengths(poses, bones, lengths)
+    assert np.allclose(many, [grouped.bone_lengths(p, bones, n) for p, n in zip(poses, lengths, strict=True)])
