@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from kinetra.operators import features, merging, pairs, turns
+from kinetra.operators import features, links as links_, merging, pairs, turns
 
 
 @pytest.fixture
@@ -53,3 +53,17 @@ def test_merged_by_prior(broken, least):
     assert got == rows(features.merged_by_prior(broken, 60, all_, least))
     assert any(n != r for _, n, r in got) == (least < 0.5)
     assert (made.count() == 0) == (least > 0.5)
+
+
+def test_taken_near(broken):
+    """In order of ids from the cells around each end as from a table of all candidates; many starts are equally far."""
+    ends = pairs.ends(broken)
+    forward = ends.select("seq_id", "track_id", "f0", "f1", (F.col("f1") < 55).alias("dormant"))
+    place = lambda box: [pairs.g.cx(f"{box}_").alias("x"), pairs.g.cy(f"{box}_").alias("y")]
+    ended = ends.where("f1 < 55").select("seq_id", F.col("track_id").alias("a"), F.col("f1").alias("end"), *place("b1"))
+    starts = ends.select("seq_id", (F.col("track_id") + 1000).alias("b"), "f0", F.col("f1").alias("b_f1"), *place("b0"))
+    far = F.sqrt(F.pow(F.col("x") - F.col("bx"), F.lit(2)) + F.pow(F.col("y") - F.col("by"), F.lit(2)))
+    met = ended.join(starts.withColumnsRenamed({"x": "bx", "y": "by"}), "seq_id").select("seq_id", "a", "b", (F.col("f0") - F.col("end")).alias("gap"), (1 / (1 + far / 20)).alias("sim"), "b_f1")
+    want = rows(links_.forward_reverse(forward, met, 10, 0.7).na.fill(-1))
+    assert rows(links_.gone_on(forward, turns.taken_near(ended, starts, 10, 20.0, 0.7)).na.fill(-1)) == want
+    assert sum(r[2] >= 0 for r in want) > 20
