@@ -112,6 +112,13 @@ def test_frames_make_no_pairs(spark, boxes):
         assert "PandasGroup" in (plan := df._jdf.queryExecution().optimizedPlan().toString()).replace("FlatMapGroupsInPandas", "PandasGroup") and "Join Inner" not in plan
 
 
+def test_enrolment_by_frames(spark, boxes):
+    d = pairs.frame_pairs(boxes).where("frame_idx % 2 = 0 and frame_idx < 20").groupBy("seq_id", "frame_idx").agg(F.min("dist").alias("d"))
+    scored = d.join(boxes.groupBy("seq_id", "frame_idx").agg(F.count("*").alias("n")), ["seq_id", "frame_idx"]).where("d >= 0.1").withColumn("score", F.round(F.col("d") * F.col("n"), 6))
+    best = scored.groupBy("seq_id").agg(F.max(F.struct("score", -F.col("frame_idx"), "n")).alias("m"))
+    same(review.enrolment_frame(boxes, 2, 20, 0.1), best.select("seq_id", (-F.col("m.col2")).alias("frame_idx"), "m.n", "m.score"))
+
+
 def test_groups_from_few_links(spark, boxes):
     at = events.Thresholds(0.4, 0.35, 2)
     few = events.box_events(boxes, at, linked=True)
