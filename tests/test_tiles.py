@@ -39,6 +39,20 @@ def test_no_pair_is_shuffled(spark, boxes):
     assert "FlatMapGroupsInPandas" in plan and "< b#" not in plan
 
 
+@pytest.mark.parametrize("spread", [1, 2])
+def test_large_blocks_by_parts(spark, boxes, monkeypatch, spread):
+    """However many tracks there are, an observation goes to a few tasks, which take their tracks part by part."""
+    monkeypatch.setattr(tiles, "SPREAD", spread)
+    assert max(r.blocks for r in tiles._dealt(boxes, 1)[1].collect()) == spread
+    at = events.Thresholds(0.4, 0.35, 2)
+    met = pairs.frame_pairs(boxes).select("seq_id", "frame_idx", "a", "b", F.coalesce("iou", F.lit(0.0)).alias("iou"))
+    same(events.box_events(boxes, at), events.pair_events(met, boxes, at))
+    back = boxes.withColumns({"track_id": F.col("track_id") + 100, "x1": F.col("x1") + 1.5})
+    votes = pairs.id_votes(boxes, back, 0.5, 4)
+    monkeypatch.setattr(tiles, "TRACKS", 1024)
+    same(votes, pairs.id_votes(boxes, back, 0.5, 4))
+
+
 def both_ways(met):
     return met.withColumn("track_id", F.explode(F.array("a", "b"))).drop("a", "b")
 
@@ -128,6 +142,32 @@ def test_groups_from_few_links(spark, boxes):
     assert events.box_events(one, events.COLLISION, linked=True).count() == n - 1 < events.box_events(one, events.COLLISION).count() == n * (n - 1) // 2
 
 
+def test_groups_take_one_job(spark, boxes):
+    """Rounds over a table of links would write one for each round."""
+    links = events.box_events(boxes, events.Thresholds(0.4, 0.35, 2), linked=True)
+    plan = events.coalescence_groups(links)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 2 and "Join Inner, ((at" not in plan and "LogicalRDD" not in plan
+
+
+@pytest.mark.parametrize("least", [1, 3])
+def test_runs_by_tiles(spark, boxes, least):
+    """Runs from a row for each pair and frame, numbered among the frames that there are."""
+    place = {(s, f): k for s in (0, 1) for k, f in enumerate(sorted(r.frame_idx for r in boxes.where(F.col("seq_id") == s).select("frame_idx").distinct().collect()))}
+    met, told = {}, []
+    for r in pairs.frame_pairs(boxes).where("iou > 0.35").collect():
+        met.setdefault((r.seq_id, r.a, r.b), []).append(r.frame_idx)
+    for (s, a, b), at in met.items():
+        run = []
+        for f in [*sorted(at), None]:
+            if run and (f is None or place[s, f] != place[s, run[-1]] + 1):
+                told += [(s, a, b, run[0], run[-1], len(run))] if len(run) >= least else []
+                run = []
+            run.append(f)
+    found = pairs.overlap_runs(boxes, 0.35, least)
+    assert sorted(map(tuple, found.select("seq_id", "a", "b", "run_start", "run_end", "run_len").collect())) == sorted(told) != []
+    assert "< b#" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_masks_by_tiles(spark, monkeypatch):
     """Runs of three tracks in a frame; a join of runs with runs would be broadcast or make a row for each two of a row."""
     monkeypatch.setattr(tiles, "TRACKS", 1)
