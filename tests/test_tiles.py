@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from kinetra.operators import events, features, links, masks, pairs, review, tiles
+from kinetra.operators import events, features, links, masks, merging, pairs, review, tiles
 
 
 @pytest.fixture
@@ -168,6 +168,20 @@ def test_runs_by_tiles(spark, boxes, least):
     assert "< b#" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("spread", [1, 6])
+def test_features_of_all_pairs(spark, boxes, monkeypatch, spread):
+    """However far apart in time and place: each two tracks that share a frame, and each track with all that start after its end."""
+    monkeypatch.setattr(tiles, "SPREAD", spread)
+    short = boxes.withColumn("track_id", F.col("track_id") * 100 + F.floor(F.col("frame_idx") / 7)).withColumn("y2", F.col("y2") + F.col("v") * 8).cache()
+    ends = short.groupBy("seq_id", "track_id").agg(F.min("frame_idx").alias("f0"), F.max("frame_idx").alias("f1"))
+    later = ends.select("seq_id", F.col("track_id").alias("a"), "f1").join(ends.select("seq_id", F.col("track_id").alias("b"), "f0"), "seq_id").where("f0 > f1").select("seq_id", "a", "b")
+    wanted = features.pair_features(short, 25, merging.kept_apart(short).unionByName(later))
+    near = lambda df: df.select("seq_id", "a", "b", *[F.round(c, 7).alias(c) for c in ("gap", "max_iou", "distance", "apart", "lengths", "shared", "prior")])
+    found = features.all_pair_features(short, 25)
+    same(near(found), near(wanted))
+    assert found.where("apart = 1").count() == later.count() > 0 and "Join Inner, ((seq_id" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_masks_by_tiles(spark, monkeypatch):
     """Runs of three tracks in a frame; a join of runs with runs would be broadcast or make a row for each two of a row."""
     monkeypatch.setattr(tiles, "TRACKS", 1)
