@@ -5,10 +5,11 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinetra.operators import choice, evaluate, links, masks, merging, pose
+from kinetra.operators import choice, evaluate, links, masks, merging, pose, tiles
 
 
 def graphs(seed):
@@ -175,3 +176,26 @@ def test_masks_by_pixels(spark):
     for r in masks.resized(df, F.lit(1.5), F.lit(2.0)).collect():
         larger.setdefault((r["frame_idx"], r["track_id"]), set()).update((r["y"], x) for x in range(r["x0"], r["x1"]))
     assert larger == {k: {(y, x) for y in range(12) for x in range(30) if (y // 2, int(x / 1.5)) in p} for k, p in pixels.items()}
+
+
+@pytest.mark.parametrize("cell", [1, 3, 8])
+def test_boxes_by_cells(monkeypatch, cell):
+    """The box that is overlapped most, looked for by cells, against all boxes; of equals the first. Most boxes are never looked at."""
+    monkeypatch.setattr(links, "CELL", cell)
+    rng, looked = np.random.default_rng(3), []
+    whole = tiles.iou
+    for size, least in ((0, 0.3), (6, 0.0), (40, 0.1), (40, 0.3)):
+        corners = rng.integers(0, 40, (400, 2)) / 2.0
+        boxes = np.concatenate([corners, corners + rng.integers(0, 4, (400, 2)) * size / 4.0], axis=1)
+        cells, taken = links.Cells(boxes[:200]), np.zeros(200, bool)
+        for box in boxes[200:] - rng.integers(0, 2, (200, 1)) * 3.25:
+            over = np.nan_to_num(whole(box, boxes[:200]), nan=-1.0)
+            over[taken] = -1.0
+            best = int(over.argmax())
+            monkeypatch.setattr(tiles, "iou", lambda a, b: looked.append(len(b)) or whole(a, b))
+            got = cells.best(box, least)
+            monkeypatch.setattr(tiles, "iou", whole)
+            assert got == ((best, over[best]) if over[best] >= least else (-1, got[1]))
+            if over[best] >= least:
+                cells.taken[best] = taken[best] = True
+    assert sum(looked) < 4 * 200 * 200
